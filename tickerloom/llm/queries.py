@@ -35,9 +35,16 @@ def op5_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_quality_rules(spark, sf_dir):
+    from .quality import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_token_store": op3_token_store,
     "op5_token_counts": op5_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
