@@ -20,6 +20,12 @@ def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark, sf_dir):
+    from .pii import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark, sf_dir):
     from .token_store import token_store
 
@@ -42,6 +48,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_token_store": op3_token_store,
     "op5_token_counts": op5_token_counts,
     "op10_quality_rules": op10_quality_rules,
