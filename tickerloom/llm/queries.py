@@ -41,6 +41,16 @@ def op5_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_language_id(spark, sf_dir):
+    from .common import crc_remainder, project
+    from .langid import fit, identify
+
+    docs = project(_table(spark, sf_dir, "documents"), doc_id="long", text="string", lang="string")
+    held_out = crc_remainder("doc_id", 5) == 0
+    model = fit(docs, ~held_out)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality_rules(spark, sf_dir):
     from .quality import report
 
@@ -51,6 +61,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op3_token_store": op3_token_store,
     "op5_token_counts": op5_token_counts,
+    "op8_language_id": op8_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
