@@ -137,7 +137,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0)
     holds one block of ids.
     """
     bounded_batches(docs.sparkSession)
-    ordered = texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         rows = ((d, t.as_py()) for b in batches for d, t in zip(b.column(0).to_pylist(), string_column(b.column(1)), strict=True))

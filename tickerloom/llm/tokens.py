@@ -17,6 +17,7 @@ import functools
 import json
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, string_column
 
-#: Memo entries for pre-tokens that need merging.
-MEMO = 400_000
+#: Pre-tokens that needed merging, kept in each of the memo's two generations.
+MEMO = 180_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_CHARS = 64
 
@@ -37,19 +38,34 @@ _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡-ɏ‐-‧‰-⁞]*")
 _CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 
 
+#: A byte's stand-in in the vocabulary: itself where printable, else the next free one from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+_STAND_IN = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+
+
 class _Memo(dict):
-    """Pre-token -> packed ids. Starts with the proven whole tokens; misses are merged by the library."""
+    """Pre-token -> value of its ids. Holds the proven whole tokens; the library merges the rest.
+
+    Merged pre-tokens stay for one to two generations: when the young one is full it becomes the
+    old one, and what is asked for again moves back.
+    """
 
-    def __init__(self, library, pack):
-        super().__init__()
-        self.library, self.pack, self.room = library, pack, MEMO
+    def __init__(self, library, whole: dict[str, int], value):
+        super().__init__((piece, value([i])) for piece, i in whole.items())
+        self.merge, self.value, self.whole = library.model.tokenize, value, dict(self)
+        self.old: dict = {}
 
     def __missing__(self, piece: str):
-        value = self.pack(self.library.encode(piece, add_special_tokens=False).ids)
-        if self.room > 0 and len(piece) <= MEMO_CHARS:
-            self.room -= 1
-            self[piece] = value
-        return value
+        found = self.old.get(piece)
+        if found is None:
+            found = self.value([t.id for t in self.merge(piece.encode().decode("latin-1").translate(_STAND_IN))])
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= len(self.whole) + MEMO:
+                self.old = self.copy()
+                self.clear()
+                self.update(self.whole)
+            self[piece] = found
+        return found
 
 
 def _is_byte_bpe(spec: dict) -> bool:
@@ -64,13 +80,13 @@ def _is_byte_bpe(spec: dict) -> bool:
     )
 
 
-def whole_tokens(library) -> list[str]:
+def whole_tokens(library) -> dict[str, int]:
     """The vocabulary strings that the library encodes alone as exactly their own token."""
-    proven = []
+    proven = {}
     for i in range(library.get_vocab_size(with_added_tokens=False)):
         piece = library.decode([i], skip_special_tokens=False)
-        if piece and "�" not in piece and _PLAIN.fullmatch(piece) and _CUT.findall(piece) == [piece] and library.encode(piece, add_special_tokens=False).ids == [i]:
-            proven.append(piece)
+        if piece and "\ufffd" not in piece and _PLAIN.fullmatch(piece) and _CUT.findall(piece) == [piece] and library.encode(piece, add_special_tokens=False).ids == [i]:
+            proven[piece] = i
     return proven
 
 
@@ -95,13 +111,19 @@ class Tokenizer:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or ()]
         self.simple = _is_byte_bpe(spec)
-        if self.simple:
-            whole = whole_tokens(self.library)
-            ids = [self.library.encode(w, add_special_tokens=False).ids for w in whole]
-            self.counts = _Memo(self.library, len)
-            self.counts.update(dict.fromkeys(whole, 1))
-            self.packed = _Memo(self.library, lambda x: np.array(x, "<u4").tobytes())
-            self.packed.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(whole, ids, strict=True))
+        del spec
+
+    @functools.cached_property
+    def _whole(self) -> dict[str, int]:
+        return whole_tokens(self.library)
+
+    @functools.cached_property
+    def counts(self) -> _Memo:
+        return _Memo(self.library, self._whole, len)
+
+    @functools.cached_property
+    def packed(self) -> _Memo:
+        return _Memo(self.library, self._whole, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
     def _by_pieces(self, text: str) -> bool:
         return self.simple and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
