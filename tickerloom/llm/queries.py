@@ -51,6 +51,12 @@ def op8_language_id(spark, sf_dir):
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_warc(spark, sf_dir):
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark, sf_dir):
     from .quality import report
 
@@ -62,7 +68,18 @@ QUERIES = {
     "op3_token_store": op3_token_store,
     "op5_token_counts": op5_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+             f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT d.page_id, d.payload_bytes, d.payload_digest,
+               CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
+        FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
+    """,
+}
