@@ -32,6 +32,18 @@ def op3_token_store(spark, sf_dir):
     return token_store(_table(spark, sf_dir, "documents"), _path(TOKENIZER), end_id=0)
 
 
+def op4_decontaminate(spark, sf_dir):
+    from .decontaminate import report
+
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark, sf_dir):
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), _path(TOKENIZER))
+
+
 def op5_token_counts(spark, sf_dir):
     from .common import texts
     from .tokens import count_tokens
@@ -66,6 +78,8 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_token_store": op3_token_store,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_packing": op6_packing,
     "op5_token_counts": op5_token_counts,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
