@@ -53,6 +53,13 @@ def op5_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op7_lm_scores(spark, sf_dir):
+    from .common import crc_remainder
+    from .lm import score
+
+    return score(_table(spark, sf_dir, "documents"), crc_remainder("doc_id", 10) == 0)
+
+
 def op8_language_id(spark, sf_dir):
     from .common import crc_remainder, project
     from .langid import fit, identify
@@ -81,6 +88,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_packing": op6_packing,
     "op5_token_counts": op5_token_counts,
+    "op7_lm_scores": op7_lm_scores,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
