@@ -26,6 +26,12 @@ def op1_pii(spark, sf_dir):
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    from .jaccard import similarity_classes
+
+    return similarity_classes(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op3_token_store(spark, sf_dir):
     from .token_store import token_store
 
@@ -84,6 +90,7 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_ngram_join": op2_ngram_join,
     "op3_token_store": op3_token_store,
     "op4_decontaminate": op4_decontaminate,
     "op6_packing": op6_packing,
