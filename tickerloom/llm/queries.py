@@ -10,7 +10,7 @@ TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
-def _path(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,7 +35,7 @@ def op2_ngram_join(spark, sf_dir):
 def op3_token_store(spark, sf_dir):
     from .token_store import token_store
 
-    return token_store(_table(spark, sf_dir, "documents"), _path(TOKENIZER), end_id=0)
+    return token_store(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), end_id=0)
 
 
 def op4_decontaminate(spark, sf_dir):
@@ -47,7 +47,7 @@ def op4_decontaminate(spark, sf_dir):
 def op6_packing(spark, sf_dir):
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _path(TOKENIZER))
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
 def op5_token_counts(spark, sf_dir):
@@ -55,7 +55,7 @@ def op5_token_counts(spark, sf_dir):
     from .tokens import count_tokens
 
     docs = texts(_table(spark, sf_dir, "documents")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    counted = count_tokens(docs, _path(TOKENIZER), keep_text=False)
+    counted = count_tokens(docs, tokenizer_path(TOKENIZER), keep_text=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
