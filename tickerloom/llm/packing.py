@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, texts
+from .common import bounded_batches, materialize, texts
 from .tokens import count_tokens
 
 #: Tokens of a sequence.
@@ -108,12 +108,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pack whole documents (doc_id, text, source) by their token counts.
 
-    The duplicate cluster is a hash of the text in lower case with white space collapsed, so equal
-    texts never share a sequence; an empty or null text (0 tokens) has no cluster. Texts stay where
-    they are read: only lengths, sources and hashes are shuffled, once.
+    Equal texts are a duplicate cluster and never share a sequence; an empty or null text (0
+    tokens) has no cluster. ``pack`` takes any other clusters. Texts stay where they are read:
+    lengths, sources and hashes are written down once, then shuffled.
     """
-    rows = texts(docs, "source")
-    plain = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
-    rows = rows.withColumn("cluster", F.when(plain != "", F.xxhash64(plain)))
+    rows = texts(docs, "source").withColumn("cluster", F.when(F.col("text") != "", F.xxhash64("text")))
     counted = count_tokens(rows, tokenizer_path, keep_text=False)
-    return pack(counted, capacity, shard_rows)
+    return pack(materialize(counted, "packing-lengths"), capacity, shard_rows)
