@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import full, listed, mentions, said
 
-#: Rows of a block of the exponential average; (1 - alpha) ** -BLOCK stays far from overflow.
-BLOCK = 256
+#: A block of the exponential average ends before (1 - alpha) ** -rows reaches e ** SPREAD.
+SPREAD = 230.0
+#: What has decayed by e ** -REACH no longer reaches a double.
+REACH = 40.0
 
 
 def ordered() -> WindowSpec:
@@ -56,31 +58,32 @@ def with_rsi(bars: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
 def with_ema(bars: DataFrame, column: str, spans: dict[str, int]) -> DataFrame:
     """Exponential averages y = (1 - a) y' + a x with a = 2 / (span + 1), started at the first value.
 
-    Each block of BLOCK rows has a closed form (a running sum of x / (1 - a)^j, scaled back), so
-    nothing overflows however long a ticker's history is. What a row inherits from earlier blocks
-    decays by (1 - a)^BLOCK for each block; as many are carried over as still reach a double.
+    Each block of rows has a closed form (a running sum of x / (1 - a)^j, scaled back), and blocks
+    are short enough that nothing overflows however long a ticker's history is. What a row inherits
+    from earlier blocks decays by (1 - a) for each row; as many blocks are carried over as still
+    reach a double (one, for spans up to some hundred).
     """
     out = bars.withColumn("_n", F.row_number().over(ordered()) - 1)
-    out = out.withColumns({"_b": F.floor(F.col("_n") / BLOCK), "_j": (F.col("_n") % BLOCK).cast("double")})
-    block = Window.partitionBy("ticker", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     before = ordered().rowsBetween(Window.unboundedPreceding, -1)
-    edge = F.col("_j") == BLOCK - 1
+    block = Window.partitionBy("ticker", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     for name, span in spans.items():
-        a = 2 / (span + 1)
         if span == 1:
             out = out.withColumn(name, F.col(column))
             continue
+        a = 2 / (span + 1)
         keep = 1 - a
+        rows = max(8, min(4096, int(SPREAD / -math.log(keep))))
+        out = out.withColumns({"_b": F.floor(F.col("_n") / rows), "_j": (F.col("_n") % rows).cast("double")})
         part = F.when(F.col("_n") == 0, F.col(column)).otherwise(F.col(column) * a)
         out = out.withColumn("_own", F.sum(part * F.pow(F.lit(1 / keep), "_j")).over(block) * F.pow(F.lit(keep), "_j"))
         out = out.withColumn("_whole", F.col("_own"))
-        for _ in range(math.ceil(-40 / (BLOCK * math.log(keep)))):
+        for _ in range(math.ceil(REACH / (rows * -math.log(keep)))):
             # the average at the end of the block before, itself with what it inherits
-            carried = F.coalesce(F.last(F.when(edge, F.col("_whole")), ignorenulls=True).over(before), F.lit(0.0))
-            out = out.withColumn("_carry", carried)
+            ends = F.when(F.col("_j") == rows - 1, F.col("_whole"))
+            out = out.withColumn("_carry", F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(0.0)))
             out = out.withColumn("_whole", F.col("_own") + F.col("_carry") * F.pow(F.lit(keep), F.col("_j") + 1))
-        out = out.withColumn(name, F.col("_whole")).drop("_own", "_whole", "_carry")
-    return out.drop("_n", "_b", "_j")
+        out = out.withColumn(name, F.col("_whole")).drop("_own", "_whole", "_carry", "_b", "_j")
+    return out.drop("_n")
 
 
 def with_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
