@@ -3,19 +3,30 @@
 A document is the set of hashes of its word n-grams. Sets are put in size bands; for a band, the
 largest symmetric difference H of a pair at the similarity asked for follows from its greatest
 size. The universe of hashes is cut into segments, each with a budget of 1 (its subset is indexed)
-or 2 (so are the subset's one-deletion neighbours), the budgets adding up to H + 1: two sets that
-differ in at most H elements then agree in some index entry (if every segment differed by its
-budget or more, the sets would differ by more than H). How many segments take budget 2 is chosen
-by cost, from the number of entries against the collisions expected at the corpus's own rate of
-repeated n-grams. A set also makes entries for the bands above in which it may be the smaller side.
-
-Entries with the same key form a bucket. Every member is first verified, exactly, against the
-bucket's least member; that is one candidate for each entry, however large the bucket. Buckets
-whose members do not end up in one component are then refined: small ones are compared pair by
-pair across components, large ones are first split by a further, independent partition (any
-similar pair shares an entry of that as well), and what is still large at the last level is
-compared in rounds of more and more centres until complete. So no link between components is
-lost and no bucket is expanded into all its pairs while its members already hang together.
+or 2 (so are the subset's one-deletion neighbours). Where the budgets add up to H + 1, two similar
+sets agree in at least one index entry, because if every segment differed by its budget or more
+the sets would differ by more than H; with H + 1 + g segments of budget 1 they agree in at least
+g + 1. A set also makes entries for the bands above in which it may be the smaller side.
+
+*Allocation by cost.* Short sets weigh one-deletion neighbours (more entries) against longer, more
+selective segments at the corpus's own rate of repeated n-grams. Long sets take the slack g that
+lets a set of which ``COVERED`` is text shared with many others (a licence, a quoted passage) have
+no more than g segments filled by that text alone.
+
+Entries with the same key form a bucket.
+
+* Small buckets are compared pair by pair; a pair must meet in g + 1 buckets to go on.
+* A set in no more than g large buckets leaves them: whatever it is similar to, it meets that in a
+  small bucket too. The rest are verified against their bucket's least member, one candidate for
+  each entry, however large the bucket.
+* What goes on is checked against a sketch (counts of the hashes by range; their differences bound
+  the symmetric difference from below), then exactly, on the sets.
+* Large buckets that do not end up in one component are refined by a second, independent partition
+  with more slack. What is open after that are sets near the bound of each other; their sketches are
+  compared in blocks, across components only, and what may be similar is verified.
+
+So no link between components is lost, and no bucket whose members already hang together is
+expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -23,9 +34,11 @@ from __future__ import annotations
 import functools
 import gc
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +47,15 @@ from .components import components
 from .textops import chain, longs, mix, word_hashes
 
 #: Members up to which a bucket is compared pair by pair.
-SMALL = 24
-#: Independent partitions after the first.
-LEVELS = 3
+SMALL = 16
+#: Share of a set that may be text common to many without keeping it in large buckets.
+COVERED = 0.6
+#: Slack of the second partition, as a share of H + 1.
+SLACK_AGAIN = 2.0
+#: From this H on, bands take slack in place of deletions.
+LONG = 8
+#: Members of a block in the comparison of clusters.
+BLOCK = 2048
 #: Pairs that one replica of a centre serves in verification.
 CENTRE_PAIRS = 2000
 #: Candidate keys that are broadcast (16 bytes each); beyond, texts are fetched by a join.
@@ -47,6 +66,8 @@ RATE_SAMPLE = 256
 COLLISION = 40.0
 #: Largest set whose second deletions are indexed where H is 2 (segments would be too short).
 TINY = 16
+#: Rows of numbers in one Arrow batch.
+NUMBER_ROWS = 65_536
 
 
 def bands(percent: int, limit: int) -> list[tuple[int, int]]:
@@ -60,26 +81,34 @@ def bands(percent: int, limit: int) -> list[tuple[int, int]]:
 
 
 @functools.lru_cache(maxsize=4096)
-def allocation(low: int, high: int, percent: int, rate: float) -> tuple[int, ...]:
-    """Budgets of a band's segments; they add up to H + 1."""
+def allocation(low: int, high: int, percent: int, rate: float, again: bool = False) -> tuple[tuple[int, ...], int]:
+    """Budgets of a band's segments, and in how many buckets a similar pair meets at least."""
     h = 2 * high * (100 - percent) // (100 + percent)
     if h == 0:
-        return (1,)
+        return (1,), 1
     if h == 1:
-        return (2,)
+        return (2,), 1
     if h == 2 and high <= TINY:
-        return (3,)
+        return (3,), 1
+    size = (low + high) / 2
+    if h >= LONG:
+        share = SLACK_AGAIN if again else 0.05
+        while not again and share < SLACK_AGAIN:
+            length = size / (h + 1) / (1 + share)
+            if share / (1 + share) >= math.exp(-(1 - COVERED) * length) - math.exp(-length):
+                break
+            share += 0.05
+        g = math.ceil(share * (h + 1))
+        return (1,) * (h + 1 + g), g + 1
     best = None
     for deep in range((h + 1) // 2 + 1):
         m = h + 1 - deep
-        size = (low + high) / 2 / m
-        cost = m + deep * size + COLLISION * ((m - deep) * rate**size + deep * (1 + size) * rate ** max(size - 1, 0))
+        each = size / m
+        cost = m + deep * each + COLLISION * ((m - deep) * rate**each + deep * (1 + each) * rate ** max(each - 1, 0))
         if best is None or cost < best[0]:
             best = (cost, deep, m)
-        if deep * size > 4 * m and deep > 4:
-            break  # entries only grow from here
     _, deep, m = best
-    return (2,) * deep + (1,) * (m - deep)
+    return (2,) * deep + (1,) * (m - deep), 1
 
 
 @functools.lru_cache(maxsize=4096)
@@ -115,36 +144,58 @@ def set_keys(values: np.ndarray) -> tuple[int, int]:
     return int(mix(e.sum(keepdims=True)).view(np.int64)[0]), int(mix(mix(e).sum(keepdims=True) + np.uint64(len(values))).view(np.int64)[0])
 
 
-def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0) -> np.ndarray:
-    """All index entries of a set under the partition number ``level``."""
+def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All index entries of a set under partition ``level`` (0 or 1), and each one's tag.
+
+    A tag holds the band and the number of buckets that a similar pair must share in it.
+    """
     if level:
         values = np.sort(mix(values + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
     elements = _elements(values)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(elements, out=total[1:])
     high = values >> np.uint64(32)
-    out = []
+    out, tags = [], []
     for number, low, top in schemes(len(values), percent):
-        budgets = allocation(low, top, percent, rate)
+        budgets, need = allocation(low, top, percent, rate, level > 0)
         m = len(budgets)
         # a segment is a range of the hashes, so a run of the sorted set
         edges = np.searchsorted(high * np.uint64(m) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
         sums = total[edges[1:]] - total[edges[:-1]]
         salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((number << 40) + (level << 32)))
-        out.append(mix(sums + salt))
+        found = [mix(sums + salt)]
         deep = sum(b > 1 for b in budgets)
         if deep:
             members = np.arange(edges[deep])
             of = np.repeat(np.arange(deep), np.diff(edges[: deep + 1]))
-            out.append(mix(sums[of] - elements[members] + salt[of]))
+            found.append(mix(sums[of] - elements[members] + salt[of]))
             if budgets[0] == 3:
                 pairs = np.array(list(itertools.combinations(range(len(values)), 2)), np.int64).reshape(-1, 2)
-                out.append(mix(sums[0] - elements[pairs[:, 0]] - elements[pairs[:, 1]] + salt[0]))
-    return np.unique(np.concatenate(out))
+                found.append(mix(sums[0] - elements[pairs[:, 0]] - elements[pairs[:, 1]] + salt[0]))
+            found = [np.unique(np.concatenate(found))]
+        out.append(found[0])
+        tags.append(np.full(len(found[0]), (number << 32) + need))
+    return np.concatenate(out), np.concatenate(tags)
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """Counts of a set's hashes in ranges, about three hashes to a range; a power of two of ranges."""
+    bits = max(3, (len(values) // 3).bit_length())
+    return np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their sketches."""
+    x, y = (np.frombuffer(s, "<u2").astype(np.int64) for s in (a, b))
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(1)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(1)
+    return int(np.abs(x - y).sum())
 
 
 def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: fingerprints and size of its set, and its share of the counted hashes."""
+    """Per document: fingerprints, size and sketch of its set, and its share of the counted hashes."""
 
     def run(batches):
         for batch in batches:
@@ -152,60 +203,131 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
             keys = [set_keys(v) for v in found]
             counted = [v[v < np.uint64((1 << 64) // RATE_SAMPLE)].view(np.int64) for v in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(v) for v in found], pa.int64()), pa.array(counted, pa.list_(pa.int64()))],
-                names=["doc_id", "k", "k2", "n", "counted"],
+                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(v) for v in found], pa.int64()), pa.array(counted, pa.list_(pa.int64())), pa.array([sketch(v) for v in found], pa.binary())],
+                names=["doc_id", "k", "k2", "n", "counted", "sketch"],
             )
 
-    return materialize(docs.mapInArrow(run, "doc_id long, k long, k2 long, n long, counted array<long>"), "jaccard-classes")
+    return materialize(docs.mapInArrow(run, "doc_id long, k long, k2 long, n long, counted array<long>, sketch binary"), "jaccard-classes")
 
 
 def _rate(classes: DataFrame) -> float:
     """Share of n-gram occurrences (one in RATE_SAMPLE hashes counted) that other sets have too, copies aside."""
-    counts = classes.dropDuplicates(["k"]).select(F.explode("counted").alias("v")).groupBy("v").count()
+    counts = classes.select("k", "counted").dropDuplicates(["k"]).select(F.explode("counted").alias("v")).groupBy("v").count()
     row = counts.agg(F.sum("count").alias("n"), F.sum(F.when(F.col("count") > 1, F.col("count"))).alias("again")).first()
     return round((row.again or 0) / row.n, 2) if row.n else 0.0
 
 
-def _candidates(docs: DataFrame, width: int, percent: int, rate: float) -> DataFrame:
-    """Distinct (a, b): a is the least key of a bucket that holds b as well."""
+def _pairs_within(sig: np.ndarray, k: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """All (k, k', tag) within runs of equal ``sig``, none longer than SMALL."""
+    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    sizes = np.diff(np.r_[starts, len(sig)])
+    found = [np.zeros((0, 3), np.int64)]
+    for n in range(2, SMALL + 1):
+        rows = starts[sizes == n][:, None] + np.arange(n)
+        i, j = np.triu_indices(n, 1)
+        if len(rows):
+            found.append(np.stack([k[rows[:, i]].ravel(), k[rows[:, j]].ravel(), tag[rows[:, i]].ravel()], 1))
+    return np.concatenate(found)
+
+
+def _meetings(batches):
+    """From rows (sig, k, tag) sorted by sig and k: pairs in small buckets, members of large ones.
+
+    Output (kind, x, y, tag): kind 0 is a pair (x, y), kind 1 the member y of bucket x. Equal rows
+    count once. No more than SMALL rows of an unfinished bucket are held.
+    """
+    empty = np.zeros(0, np.int64)
+    sig, k, tag = empty, empty, empty  # the unfinished bucket; of a large one only its last row, passed on already
+    large = False
+
+    def out(kind, x, y, t):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y), pa.array(t)], names=["kind", "x", "y", "tag"])
+
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            sig, k, tag = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((sig, k, tag)))
+        if not len(sig):
+            continue
+        once = np.r_[True, (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])]
+        sig, k, tag = sig[once], k[once], tag[once]
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        sizes = np.diff(np.r_[starts, len(sig)])
+        hot = sizes > SMALL
+        hot[0] |= large
+        of = np.repeat(hot, sizes)
+        passing = of.copy()
+        passing[0] &= not large
+        if passing.any():
+            yield out(1, sig[passing], k[passing], tag[passing])
+        whole = ~of
+        if batch is not None:
+            whole[starts[-1] :] = False
+        pairs = _pairs_within(sig[whole], k[whole], tag[whole]) if whole.any() else np.zeros((0, 3), np.int64)
+        for low in range(0, len(pairs), 1 << 18):
+            part = pairs[low : low + (1 << 18)]
+            yield out(0, part[:, 0], part[:, 1], part[:, 2])
+        large = bool(hot[-1])
+        keep = slice(len(sig) - 1, None) if large else slice(starts[-1], None)
+        sig, k, tag = sig[keep], k[keep], tag[keep]
+
+
+def _candidates(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs to verify: a, b; members of large buckets: sig, k) from entries (sig, k, tag)."""
+    spark = entries.sparkSession
+    ordered = entries.repartition("sig").sortWithinPartitions("sig", "k")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_ROWS))
+    try:
+        met = materialize(ordered.mapInArrow(lambda b: _meetings(iter(b)), "kind byte, x long, y long, tag long"), f"{name}-meetings")
+    finally:
+        bounded_batches(spark)
+    need = F.col("tag").bitwiseAND((1 << 32) - 1)
+    hot = met.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("k"), "tag")
+    inside = materialize(hot.groupBy("k", "tag").agg(F.count("*").alias("z")), f"{name}-inside")
+    staying = inside.where(F.col("z") >= need).select("k", "tag")
+    hot = materialize(hot.join(staying, ["k", "tag"], "left_semi").select("sig", "k"), f"{name}-large")
+    pairs = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "tag").agg(F.count("*").alias("n"))
+    # what meets in one bucket of a band that asks for more can only reach it in large buckets
+    za, zb = (inside.select(F.col("k").alias(c), "tag", F.col("z").alias(f"z{c}")) for c in "ab")
+    enough = pairs.where(F.col("n") >= need)
+    short = pairs.where(F.col("n") < need).join(za, ["a", "tag"]).join(zb, ["b", "tag"]).where(F.col("n") + F.least("za", "zb") >= need)
+    centres = hot.groupBy("sig").agg(F.min("k").alias("a"))
+    stars = hot.join(centres, "sig").where("a <> k").select("a", F.col("k").alias("b"))
+    found = enough.select("a", "b").unionAll(short.select("a", "b")).unionAll(stars).distinct()
+    return materialize(found, f"{name}-candidates"), hot
+
+
+def _entries(docs: DataFrame, width: int, percent: int, rate: float) -> DataFrame:
+    """(sig, k, tag) of all sets of ``docs`` (column text); equal sets of one task count once."""
 
-    def entries(batches):
-        seen: set[int] = set()  # equal sets of one task count once
+    def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            keys, found = [], []
-            for v in sets(batch.column(0), width):
-                if len(v):
+            for low in range(0, len(batch), 128):
+                sigs, keys, tags = [], [], []
+                for v in sets(batch.column(0).slice(low, 128), width):
                     k = set_keys(v)[0]
-                    if k not in seen:
+                    if len(v) and k not in seen:
                         seen.add(k)
-                        s = signatures(v, percent, rate)
-                        found.append(s)
-                        keys.append(np.full(len(s), k))
-            for low in range(0, len(found), 128):
-                yield pa.RecordBatch.from_arrays([longs(np.concatenate(found[low : low + 128])), pa.array(np.concatenate(keys[low : low + 128]))], names=["sig", "k"])
-
-    def stars(batches):
-        last, centre = None, None
+                        sig, tag = signatures(v, percent, rate)
+                        sigs.append(sig)
+                        tags.append(tag)
+                        keys.append(np.full(len(sig), k))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([longs(np.concatenate(sigs)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(tags))], names=["sig", "k", "tag"])
+
+    return docs.select("text").mapInArrow(run, "sig long, k long, tag long")
+
+
+def _entries_again(stored: DataFrame, percent: int, rate: float) -> DataFrame:
+    """Entries of stored sets (k, items) under the second partition."""
+
+    def run(batches):
         for batch in batches:
-            sig, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(sig):
-                continue
-            new = np.r_[last is None or sig[0] != last, sig[1:] != sig[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            a = np.where(at >= 0, k[np.maximum(at, 0)], 0 if centre is None else centre)
-            last, centre = int(sig[-1]), int(a[-1])
-            pair = np.flatnonzero(a != k)
-            if len(pair):
-                both = np.unique(np.stack([a[pair], k[pair]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            for k, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sig, tag = signatures(np.frombuffer(items.as_buffer(), np.uint64), percent, rate, 1)
+                yield pa.RecordBatch.from_arrays([longs(sig), pa.array(np.full(len(sig), k)), pa.array(tag)], names=["sig", "k", "tag"])
 
-    spark = docs.sparkSession
-    rows = docs.select("text").mapInArrow(entries, "sig long, k long").repartition("sig").sortWithinPartitions("sig", "k")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")  # rows of two numbers
-    try:
-        return materialize(rows.mapInArrow(stars, "a long, b long").distinct(), "jaccard-candidates")
-    finally:
-        bounded_batches(spark)
+    return stored.select("k", "items").mapInArrow(run, "sig long, k long, tag long")
 
 
 def _free() -> None:
@@ -216,33 +338,45 @@ def _free() -> None:
         spark._jvm.System.gc()
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(k, n, items) of every set in a candidate pair, from its document with the least id."""
+def _likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches (columns n and sketch of ``kinds``, by k) do not rule out."""
+    sides = [kinds.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, sa, sb = (batch.column(i) for i in range(6))
+            bound = ((na.to_numpy() + nb.to_numpy()) * (100 - percent)) // (100 + percent)
+            keep = [least_difference(x.as_py(), y.as_py()) <= h for x, y, h in zip(sa, sb, bound.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    found = rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return materialize(found.distinct(), "jaccard-likely")
+
+
+def _texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(k, n, items) of the sets with the given keys, each from its document with the least id."""
     spark = docs.sparkSession
-    keys = pairs.select(F.col("a").alias("k")).unionAll(pairs.select(F.col("b").alias("k"))).distinct()
-    chosen = materialize(classes.join(keys, "k", "left_semi").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep")), "jaccard-reps")
+    chosen = materialize(kinds.join(keys, "k", "left_semi").select("k", "rep"), "jaccard-reps")
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "text")
     shared = None
     if chosen.count() <= KEYS_BROADCAST:
         table = chosen.toArrow()
         rep, k = table["rep"].to_numpy(), table["k"].to_numpy()
-        order = np.argsort(rep, kind="stable")
-        shared = spark.sparkContext.broadcast((rep[order], set(zip(rep.tolist(), k.tolist(), strict=True))))
+        shared = spark.sparkContext.broadcast((np.unique(rep), set(zip(rep.tolist(), k.tolist(), strict=True))))
     else:
         rows = rows.join(chosen.select("rep").distinct(), "rep", "left_semi")
 
     def run(batches):
         for batch in batches:
             if shared is not None:
-                reps, wanted = shared.value
+                reps = shared.value[0]
                 ids = batch.column(0).to_numpy()
-                at = np.minimum(np.searchsorted(reps, ids), max(len(reps) - 1, 0))
-                batch = batch.filter(pa.array(reps[at] == ids)) if len(reps) else batch.slice(0, 0)
-            ids = batch.column(0).to_pylist()
+                batch = batch.filter(pa.array(reps[np.minimum(np.searchsorted(reps, ids), len(reps) - 1)] == ids)) if len(reps) else batch.slice(0, 0)
             out = []
-            for rep, v in zip(ids, sets(batch.column(1), width), strict=True):
+            for rep, v in zip(batch.column(0).to_pylist(), sets(batch.column(1), width), strict=True):
                 k = set_keys(v)[0]
-                if len(v) and (shared is None or (rep, k) in wanted):
+                if len(v) and (shared is None or (rep, k) in shared.value[1]):
                     out.append((k, len(v), v.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k", "n", "items"])
@@ -253,24 +387,15 @@ def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     return materialize(found, "jaccard-sets")
 
 
-def _verify(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+def _verify(fits: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact intersection.
 
     Sets travel to the centre a, whose own set is sent once for each CENTRE_PAIRS of its pairs.
     """
-    sizes = stored.select("k", "n")
-    fits = (
-        pairs.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
-        .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .select("a", "b")
-        .distinct()
-    )
-    fits = materialize(fits, "jaccard-pairs")
     replicas = fits.groupBy("a").agg((1 + F.floor(F.count("*") / CENTRE_PAIRS)).cast("long").alias("copies"))
     dealt = fits.join(replicas, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy"), "b")
     sides = dealt.join(stored.select(F.col("k").alias("b"), "items"), "b").select("a", "copy", F.lit(1).alias("side"), "b", "items")
-    centres = replicas.join(stored.select(F.col("k").alias("a"), "items"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"), "items")
+    centres = replicas.join(stored.select(F.col("k").alias("a"), "items"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"), "items")
 
     def run(batches):
         key, centre = None, None
@@ -295,76 +420,102 @@ def _verify(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     return materialize(together.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
 
 
-def _entries(stored: DataFrame, percent: int, rate: float, level: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for k, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = signatures(np.frombuffer(items.as_buffer(), np.uint64), percent, rate, level)
-                yield pa.RecordBatch.from_arrays([longs(s), pa.array(np.full(len(s), k))], names=["sig", "k"])
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (sig, k) of buckets that still hold several components, with component and bucket size."""
+    named = rows.distinct().join(roots, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root"))
+    mixed = named.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("sig", "size")
+    return materialize(named.join(mixed, "sig"), "jaccard-open")
+
 
-    return stored.select("k", "items").mapInArrow(run, "sig long, k long")
+def _close(a: pa.Table, b: pa.Table | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs across (or, without b, within) blocks that sizes, components and sketches do not rule out."""
 
+    def side(table):
+        bits = [len(x.as_py()).bit_length() - 2 for x in table["sketch"]]
+        return table["k"].to_numpy(), table["root"].to_numpy(), table["n"].to_numpy(), np.array(bits), [np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in table["sketch"]]
 
-def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries (sig, k) of buckets that still hold several components, with component and bucket size."""
-    rows = entries.distinct().join(roots, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root"))
-    mixed = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("sig", "size")
-    return rows.join(mixed, "sig")
+    left = side(a)
+    right = left if b is None else side(b)
+    found = []
+    for level in np.unique(left[3]).tolist():
+        rows = np.flatnonzero(left[3] == level)
+        for other in (level - 1, level, level + 1):  # sets of similar sizes are within one bit
+            columns = np.flatnonzero(right[3] == other)
+            if not len(columns):
+                continue
+            fold = lambda x, bits: x.reshape(1 << min(level, other), -1).sum(1) if bits > min(level, other) else x  # noqa: E731, B023
+            matrix = np.stack([fold(right[4][j], other) for j in columns])
+            k, root, n = (right[i][columns] for i in range(3))
+            for i in rows.tolist():
+                mine = left[2][i]
+                maybe = np.flatnonzero((root != left[1][i]) & (100 * np.minimum(n, mine) >= percent * np.maximum(n, mine)) & ((k > left[0][i]) if b is None else True))
+                if len(maybe):
+                    bound = (n[maybe] + mine) * (100 - percent) // (100 + percent)
+                    near = np.abs(matrix[maybe] - fold(left[4][i], level)).sum(1) <= bound
+                    found += [(min(int(left[0][i]), int(x)), max(int(left[0][i]), int(x))) for x in k[maybe[near]]]
+    return found
+
+
+def _in_blocks(rows: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) across components of the clusters that ``rows`` (sig, k, root) form.
+
+    A cluster is what hangs together by shared buckets. Its members are dealt to blocks of BLOCK by
+    a hash, and each pair of blocks is one group: no group grows with the cluster, and only pairs
+    that may be similar leave it.
+    """
+    centres = rows.groupBy("sig").agg(F.min("k").alias("a"))
+    clusters = components(rows.join(centres, "sig").select("a", F.col("k").alias("b")).distinct(), "jaccard-clusters").withColumnRenamed("root", "cluster")
+    members = rows.select("k", "root").distinct().join(clusters, "k").join(kinds.select("k", "n", "sketch"), "k")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.select("k", "root", "n", "sketch", "cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") <= F.col("j")).alias("first"))
 
+    def run(table: pa.Table) -> pa.Table:
+        same = table["lo"][0].as_py() == table["hi"][0].as_py()
+        first = table.filter(table["first"])
+        found = _close(first, None if same else table.filter(pc.invert(table["first"])), percent)
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-def _across(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of a centre and a member of its bucket in another component."""
-    other = centres.select("sig", F.col("k").alias("c"), F.col("root").alias("croot"))
-    pairs = rows.join(other, "sig").where("root <> croot")
-    return pairs.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct()
+    return placed.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, links between classes, roots): enough links to give every component of the join."""
     classes = _classes(docs, width)
     rate = _rate(classes)
-    tried = _candidates(docs.select("text"), width, percent, rate)
+    kinds = classes.where("n > 0").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    kinds = materialize(kinds, "jaccard-kinds")
+    tried, large = _candidates(_entries(docs, width, percent, rate), "jaccard")
     _free()
-    stored = _texts_of(docs, classes, tried, width)
-    links = _verify(tried, stored, percent)
+    fits = _likely(tried, kinds, percent)
+    keys = fits.select(F.col("a").alias("k")).unionAll(fits.select(F.col("b").alias("k"))).unionAll(large.select("k")).distinct()
+    stored = _texts_of(docs, kinds, keys, width)
+    links = _verify(fits, stored, percent)
     roots = materialize(components(links), "jaccard-roots")
-    _free()
-    rows = materialize(_open(_entries(stored, percent, rate, 0), roots), "jaccard-open")
-    for level in range(1, LEVELS + 2):
-        if rows.isEmpty():
-            break
-        last = level > LEVELS
-        if not last:
-            small = rows.where(F.col("size") <= SMALL)
-            pairs = _across(small, small)
-        else:
-            # what four independent partitions could not part: rounds of ever more centres
-            ranked = rows.withColumn("rank", F.expr("row_number() over (partition by sig order by xxhash64(k), k)"))
-            rows = materialize(ranked, "jaccard-ranked")
-            reach, largest = SMALL, rows.agg(F.max("size")).first()[0]
-            while True:
-                pairs = materialize(_across(rows, rows.where(F.col("rank") <= reach)).join(tried, ["a", "b"], "left_anti"), "jaccard-tried")
-                links = materialize(links.unionAll(_verify(pairs, stored, percent)), "jaccard-links")
-                roots = materialize(components(links), "jaccard-roots")
-                if reach >= largest:
-                    break
-                reach *= 8
-                rows = materialize(rows.drop("root", "size").join(_open(rows.select("sig", "k"), roots), ["sig", "k"]), "jaccard-ranked")
-                if rows.isEmpty():
-                    break
-            break
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "jaccard-tried")
-        if not pairs.isEmpty():
-            links = materialize(links.unionAll(_verify(pairs, stored, percent)), "jaccard-links")
+
+    def verified(pairs: DataFrame):
+        """Pairs not tried before are; links and roots follow."""
+        nonlocal tried, links, roots
+        turned = tried.select(F.col("a").alias("b"), F.col("b").alias("a"))
+        new = materialize(pairs.join(tried, ["a", "b"], "left_anti").join(turned, ["a", "b"], "left_anti"), "jaccard-new")
+        if new.isEmpty():
+            return
+        more = _verify(_likely(new, kinds, percent), stored, percent)
+        tried = materialize(tried.unionAll(new), "jaccard-tried")
+        if not more.isEmpty():
+            links = materialize(links.unionAll(more), "jaccard-links")
             roots = materialize(components(links), "jaccard-roots")
-            tried = materialize(tried.unionAll(pairs), "jaccard-tried")
-        large = rows.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            break
-        again = large.select("k").distinct().join(stored, "k")
-        finer = large.select("sig", "k").join(_entries(again, percent, rate, level).withColumnRenamed("sig", "fine"), "k")
-        rows = materialize(_open(finer.select(F.xxhash64("sig", "fine").alias("sig"), "k"), roots), "jaccard-open")
-        _free()
+
+    rows = _open(large, roots)
+    if not rows.isEmpty():
+        again = stored.join(rows.select("k").distinct(), "k", "left_semi")
+        pairs, large = _candidates(_entries_again(again, percent, rate), "jaccard-again")
+        verified(pairs)
+        rows = _open(large, roots)
+    if not rows.isEmpty():
+        # near the bound even two partitions leave doubt: all sketches of a cluster are compared, in blocks
+        verified(_in_blocks(rows, kinds, percent))
     return classes, links, roots
 
 
@@ -387,7 +538,7 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes, links, roots = links_and_roots(rows, width, percent)
     both = links.select(F.col("a").alias("k")).unionAll(links.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))
     # without a link, a set is known by both fingerprints
-    marked = classes.drop("counted").join(roots, "k", "left").withColumn("k2", F.when(F.col("root").isNull(), F.col("k2"))).withColumn("root", F.coalesce("root", "k"))
+    marked = classes.drop("counted", "sketch").join(roots, "k", "left").withColumn("k2", F.when(F.col("root").isNull(), F.col("k2"))).withColumn("root", F.coalesce("root", "k"))
     filled = marked.where("n > 0")
     least = filled.groupBy("root", "k2").agg(F.min("doc_id").alias("component_id"))
     named = filled.join(least, (filled.root == least.root) & filled.k2.eqNullSafe(least.k2)).select("doc_id", filled.k, "n", "component_id")
