@@ -330,7 +330,7 @@ def _first_pass(rows: DataFrame, vocab: Vocabulary, hmm: Hmm) -> DataFrame:
             offsets = np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32)
             rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([longs(w[new]), pa.array(tf.astype(np.int64))], names=["w", "tf"])).cast(rare_type)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key + np.arange(n)), batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(ratio), rare],
+                [pa.array(key + np.arange(n)), batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(ratio.astype(float)), rare],
                 names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "ratio", "rare"],
             )
             key += n

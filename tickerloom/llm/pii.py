@@ -240,18 +240,20 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     different kinds may overlap.
 
     Defined results: a null or empty text has no spans; repeated rows are each searched; other
-    columns pass through; an empty table gives an empty table; texts of any length are searched
-    whole. No shuffle, no Python.
+    columns pass through (those named like the two new ones are replaced); an empty table gives an
+    empty table; texts of any length are searched whole. No shuffle, no Python.
     """
     spark = docs.sparkSession
-    out = docs.withColumn("_t", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    # the row travels as one column, so that no name of its own can clash with those used here
+    out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
     out = out.withColumns({f"_{k}": F.expr(base_sql("_t", k)) for k in BASE})
     added = F.concat(*[F.expr(added_sql(spark, "_t", k, "_card")) for k in ADDED])
     # all looser kinds need one of these; most texts hold none and skip their generators
     hint = F.expr(r"_t rlike r'[0-9]{2}|[A-Za-z0-9_-]{20}' or contains(lower(_t), 'dot')")
     out = out.withColumn("base_spans", F.concat(*[f"_{k}" for k in BASE]))
     out = out.withColumn("pii_spans", F.when(hint, F.concat("base_spans", added)).otherwise(F.col("base_spans")))
-    return out.drop("_t", *[f"_{k}" for k in BASE])
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("base_spans", "pii_spans")]
+    return out.select(*kept, "base_spans", "pii_spans")
 
 
 def redact_sql(text: str, spans: str) -> str:
@@ -266,9 +268,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Same columns, same rows. Overlapping spans are replaced as one stretch.
     """
-    columns = docs.columns
-    found = find_spans(docs, text_col).withColumn("_r", F.expr(redact_sql(f"`{text_col}`", "pii_spans")))
-    return found.withColumn(text_col, F.col("_r")).select(*[f"`{c}`" for c in columns])
+    whole = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    found = find_spans(whole).withColumn("text", F.expr(redact_sql("text", "pii_spans")))
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

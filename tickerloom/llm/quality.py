@@ -94,26 +94,27 @@ def quality(docs: DataFrame, max_lost: float = MAX_LOST, text_col: str = "text")
     measured = "aggregate(ls, named_struct('n', 0L, 'chars', 0L, 'lost_n', 0L, 'lost', 0L), (a, l) -> if(l.bad, named_struct('n', a.n + 1, 'chars', a.chars + l.c, 'lost_n', a.lost_n + 1, 'lost', a.lost + l.c), named_struct('n', a.n + 1, 'chars', a.chars + l.c, 'lost_n', a.lost_n, 'lost', a.lost)))"
     judged = f"transform({lines}, l -> named_struct('bad', {line_fails('l')}, 'c', cast(length(l) as bigint)))"
     per_lines = _let(lines, "fl", "cast(size(fl) - size(array_distinct(fl)) as bigint)")
-    out = docs.withColumn("_text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    # the row travels as one column, so that no name of its own can clash with those used here
+    out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     out = out.withColumn("_w", F.expr(per_words)).withColumn("_l", F.expr(_let(judged, "ls", measured)))
     n, repeat = F.col("_w.n"), F.col("_w.repeat")
     failed: Column = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT * n)
-    return out.withColumns(
-        {
-            "n_words": n,
-            "word_chars": F.col("_w.chars"),
-            "n_symbols": (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long"),
-            "n_dup_lines": F.expr(per_lines),
-            "n_repeat_words": repeat,
-            "base_failed": failed,
-            "n_lines": F.col("_l.n"),
-            "n_removed_lines": F.col("_l.lost_n"),
-            "line_chars": F.col("_l.chars"),
-            "kept_chars": F.col("_l.chars") - F.col("_l.lost"),
-            "kept": ~failed & (F.col("_l.lost") <= F.lit(float(max_lost)) * F.col("_l.chars")),
-            "cleaned": F.expr(f"array_join(filter(split(_text, '\\n'), l -> not (l rlike r'[^{_SPACE}]') or not {line_fails('l')}), '\\n')"),
-        }
-    ).drop("_text", "_w", "_l")
+    added = {
+        "n_words": n,
+        "word_chars": F.col("_w.chars"),
+        "n_symbols": (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long"),
+        "n_dup_lines": F.expr(per_lines),
+        "n_repeat_words": repeat,
+        "base_failed": failed,
+        "n_lines": F.col("_l.n"),
+        "n_removed_lines": F.col("_l.lost_n"),
+        "line_chars": F.col("_l.chars"),
+        "kept_chars": F.col("_l.chars") - F.col("_l.lost"),
+        "kept": ~failed & (F.col("_l.lost") <= F.lit(float(max_lost)) * F.col("_l.chars")),
+        "cleaned": F.expr(f"array_join(filter(split(_text, '\\n'), l -> not (l rlike r'[^{_SPACE}]') or not {line_fails('l')}), '\\n')"),
+    }
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in added]
+    return out.select(*kept, *[c.alias(name) for name, c in added.items()])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -48,6 +48,11 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-8{h[17:20]}-{h[20:32]}>"
 
 
+def field_url(url: str) -> str:
+    """A URL as a header field holds it: on one line, without blanks around it."""
+    return url.replace("\r", "%0D").replace("\n", "%0A").strip(" \t")
+
+
 def make_record(page_id: int | None, url: str | None, html: str, digest: str, first: int | None) -> bytes:
     """One WARC/1.1 record: a response with an HTTP head, or a revisit that refers to page ``first``."""
     payload = html.encode("utf-8", "surrogatepass")
@@ -64,7 +69,7 @@ def make_record(page_id: int | None, url: str | None, html: str, digest: str, fi
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        fields.insert(4, "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        fields.insert(4, "WARC-Target-URI: " + field_url(url))
     if page_id is not None:
         fields.append(f"X-Page-Id: {page_id}")
     if first is not None:
@@ -78,7 +83,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    fields = {k.lower(): v.strip(" \t") for k, _, v in (line.partition(":") for line in lines[1:])}
     block = rest[: int(fields["content-length"])]
     return fields, block.partition(b"\r\n\r\n")[2]
 
@@ -114,7 +119,7 @@ def host_key(url: str | None) -> str:
 
 def capture_key(url: str | None, page_id: int | None) -> str:
     """Sort key of a capture; control characters, which would break a block's lines, are replaced."""
-    host = "".join(c if c >= " " else "%" for c in host_key(url))
+    host = "".join(c if c >= " " else "%" for c in host_key(None if url is None else field_url(url)))
     return f"{host}\t" + ("" if page_id is None else f"{page_id + (1 << 63):020d}")
 
 
