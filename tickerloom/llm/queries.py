@@ -29,7 +29,8 @@ def op1_pii(spark, sf_dir):
 def op2_ngram_join(spark, sf_dir):
     from .jaccard import similarity_classes
 
-    return similarity_classes(_table(spark, sf_dir, "documents"), width=3, percent=90)
+    found = similarity_classes(_table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op3_token_store(spark, sf_dir):
@@ -101,7 +102,38 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SOLID = r"length(regexp_replace({}, '[\x20\x09-\x0D]+', '', 'g'))"
+
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+             s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || chr(31) || ws[i + 1] || chr(31) || ws[i + 2])) WHEN len(ws) > 0 THEN [array_to_string(ws, chr(31))] END) AS g FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+             e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+             r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.m)
+        SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+    "op10_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+             w AS (SELECT doc_id, t, {_WORDS.format("t")} AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+             g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+             r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+             v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
+             x AS (SELECT doc_id, unnest(ls) AS l FROM w),
+             b AS (SELECT doc_id, length(l) AS c, length(regexp_replace(l, '[^\p{{L}}\p{{N}}]+', '', 'g')) * 2 < {_SOLID.format("l")}
+                          OR (len(regexp_split_to_array(l, '[|»›·•]|&gt;|  +')) >= 4 AND len({_WORDS.format("l")}) <= 4 * len(regexp_split_to_array(l, '[|»›·•]|&gt;|  +')))
+                          OR (regexp_matches(lower(l), 'all rights reserved|cookie|copyright ©|enable javascript|privacy policy|terms of service|terms of use|is licensed under|subscribe to our newsletter|click here to') AND len({_WORDS.format("l")}) <= 40) AS bad FROM x),
+             f AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_removed_lines, CAST(sum(c) AS BIGINT) AS line_chars, CAST(coalesce(sum(c) FILTER (NOT bad), 0) AS BIGINT) AS kept_chars FROM b GROUP BY doc_id),
+             q AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({_SOLID.format("t")} AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(line_chars, 0) AS line_chars, coalesce(kept_chars, 0) AS kept_chars
+                   FROM w LEFT JOIN v ON v.doc_id = w.doc_id LEFT JOIN f ON f.doc_id = w.doc_id)
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND line_chars - kept_chars <= 0.5 * line_chars AS kept
+        FROM q
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
