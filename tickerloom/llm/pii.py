@@ -219,16 +219,14 @@ def _model(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 11) -> tuple
     return model.sql([f"c.{f}" for f in FEATURES]), limits, (a, b)
 
 
-def added_sql(spark: SparkSession, text: str, kind: str, base: str) -> str:
-    """SQL array of the kind's selected spans, struct(k, s, e), those equal to a base span left out."""
+def added_sql(spark: SparkSession, text: str, card: str) -> str:
+    """SQL array of the selected spans of the added kinds, struct(k, s, e); a verified card is no further account."""
     trees, limits, (a, b) = _model(spark)
     chance = f"1 / (1 + exp(-({a:.9f}D * ({trees}) + {b:.9f}D)))"
-    picked = f"filter({features_sql(text, kind)}, c -> {chance} >= {limits[kind]:.9f}D)"
-    spans = f"transform({picked}, c -> named_struct('k', c.k, 's', c.s, 'e', c.e))"
-    if kind != "account":
-        return spans
-    # the card generator's own pattern: a verified card is no further account
-    return f"array_except({spans}, transform({base}, x -> named_struct('k', 'account', 's', x.s, 'e', x.e)))"
+    limit = "case c.k " + " ".join(f"when '{k}' then {limits[k]:.9f}D" for k in ADDED) + " end"
+    candidates = "concat(" + ", ".join(features_sql(text, k) for k in ADDED) + ")"
+    picked = f"transform(filter({candidates}, c -> {chance} >= {limit}), c -> named_struct('k', c.k, 's', c.s, 'e', c.e))"
+    return f"array_except({picked}, transform({card}, x -> named_struct('k', 'account', 's', x.s, 'e', x.e)))"
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -247,7 +245,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # the row travels as one column, so that no name of its own can clash with those used here
     out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
     out = out.withColumns({f"_{k}": F.expr(base_sql("_t", k)) for k in BASE})
-    added = F.concat(*[F.expr(added_sql(spark, "_t", k, "_card")) for k in ADDED])
+    added = F.expr(added_sql(spark, "_t", "_card"))
     # all looser kinds need one of these; most texts hold none and skip their generators
     hint = F.expr(r"_t rlike r'[0-9]{2}|[A-Za-z0-9_-]{20}' or contains(lower(_t), 'dot')")
     out = out.withColumn("base_spans", F.concat(*[f"_{k}" for k in BASE]))
