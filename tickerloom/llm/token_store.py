@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, string_column, texts, work_path
 from .tokens import tokenizer
 
-#: A block is closed once it holds this many ids; one document is never cut.
-BLOCK_IDS = 1 << 19
+#: A block is closed once it holds this many ids; one document is never cut. Blocks are small, as
+#: Parquet readers take thousands of rows at a time.
+BLOCK_IDS = 1 << 14
 #: Stands for a null doc_id in a store.
 NO_ID = -(1 << 63)
 _RANK = 512
@@ -152,7 +153,6 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     ``start`` adds the totals of earlier parts, one number for each part that was written.
     """
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")
     bounded_batches(spark)
     store = spark.read.schema(STORE).parquet(path)
     totals = store.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
