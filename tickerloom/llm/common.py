@@ -19,6 +19,7 @@ BATCH_BYTES = 16 << 20
 
 _written: list[str] = []
 _shipped: set[str] = set()
+_own_roots: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,11 +58,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for shared files; a temporary one is set only where none is named."""
+    """The folder that the cluster names for shared files; a temporary one only where none is named, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tickerloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = f"file://{tempfile.mkdtemp(prefix='tickerloom-')}"
+        root = _own_roots[app]
     return root.rstrip("/")
 
 
