@@ -22,8 +22,8 @@ Entries with the same key form a bucket.
 * What goes on is checked against a sketch (counts of the hashes by range; their differences bound
   the symmetric difference from below), then exactly, on the sets.
 * Large buckets that do not end up in one component are refined by a second, independent partition
-  with more slack. What is open after that are sets near the bound of each other; their sketches are
-  compared in blocks, across components only, and what may be similar is verified.
+  with more slack. What is open after that are sets near the bound of each other; they are compared
+  in blocks, across components only, and only links leave a block.
 
 So no link between components is lost, and no bucket whose members already hang together is
 expanded into its pairs.
@@ -54,8 +54,8 @@ COVERED = 0.6
 SLACK_AGAIN = 2.0
 #: From this H on, bands take slack in place of deletions.
 LONG = 8
-#: Members of a block in the comparison of clusters.
-BLOCK = 2048
+#: n-grams of a block in the comparison of clusters.
+BLOCK_ITEMS = 1 << 20
 #: Pairs that one replica of a centre serves in verification.
 CENTRE_PAIRS = 2000
 #: Candidate keys that are broadcast (16 bytes each); beyond, texts are fetched by a join.
@@ -66,6 +66,8 @@ RATE_SAMPLE = 256
 COLLISION = 40.0
 #: Largest set whose second deletions are indexed where H is 2 (segments would be too short).
 TINY = 16
+#: Low bits of an entry that hold its band.
+BAND_MASK = np.uint64(127)
 #: Rows of numbers in one Arrow batch.
 NUMBER_ROWS = 65_536
 
@@ -81,15 +83,16 @@ def bands(percent: int, limit: int) -> list[tuple[int, int]]:
 
 
 @functools.lru_cache(maxsize=4096)
-def allocation(low: int, high: int, percent: int, rate: float, again: bool = False) -> tuple[tuple[int, ...], int]:
-    """Budgets of a band's segments, and in how many buckets a similar pair meets at least."""
+def allocation(low: int, high: int, percent: int, rate: float, again: bool = False) -> tuple[int, int, int, int]:
+    """A band's segments: how many, how many of them (the first) have a deeper budget, that budget,
+    and in how many buckets a similar pair meets at least."""
     h = 2 * high * (100 - percent) // (100 + percent)
     if h == 0:
-        return (1,), 1
+        return 1, 0, 1, 1
     if h == 1:
-        return (2,), 1
+        return 1, 1, 2, 1
     if h == 2 and high <= TINY:
-        return (3,), 1
+        return 1, 1, 3, 1
     size = (low + high) / 2
     if h >= LONG:
         share = SLACK_AGAIN if again else 0.05
@@ -99,7 +102,7 @@ def allocation(low: int, high: int, percent: int, rate: float, again: bool = Fal
                 break
             share += 0.05
         g = math.ceil(share * (h + 1))
-        return (1,) * (h + 1 + g), g + 1
+        return h + 1 + g, 0, 1, g + 1
     best = None
     for deep in range((h + 1) // 2 + 1):
         m = h + 1 - deep
@@ -108,7 +111,7 @@ def allocation(low: int, high: int, percent: int, rate: float, again: bool = Fal
         if best is None or cost < best[0]:
             best = (cost, deep, m)
     _, deep, m = best
-    return (2,) * deep + (1,) * (m - deep), 1
+    return m, deep, 2, 1
 
 
 @functools.lru_cache(maxsize=4096)
@@ -144,38 +147,38 @@ def set_keys(values: np.ndarray) -> tuple[int, int]:
     return int(mix(e.sum(keepdims=True)).view(np.int64)[0]), int(mix(mix(e).sum(keepdims=True) + np.uint64(len(values))).view(np.int64)[0])
 
 
-def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """All index entries of a set under partition ``level`` (0 or 1), and each one's tag.
-
-    A tag holds the band and the number of buckets that a similar pair must share in it.
-    """
+def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0) -> np.ndarray:
+    """All index entries of a set under partition ``level`` (0 or 1); the low bits of each are its band."""
     if level:
         values = np.sort(mix(values + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
     elements = _elements(values)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(elements, out=total[1:])
     high = values >> np.uint64(32)
-    out, tags = [], []
+    out = []
     for number, low, top in schemes(len(values), percent):
-        budgets, need = allocation(low, top, percent, rate, level > 0)
-        m = len(budgets)
+        m, deep, budget, _ = allocation(low, top, percent, rate, level > 0)
         # a segment is a range of the hashes, so a run of the sorted set
         edges = np.searchsorted(high * np.uint64(m) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
         sums = total[edges[1:]] - total[edges[:-1]]
         salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((number << 40) + (level << 32)))
         found = [mix(sums + salt)]
-        deep = sum(b > 1 for b in budgets)
         if deep:
             members = np.arange(edges[deep])
             of = np.repeat(np.arange(deep), np.diff(edges[: deep + 1]))
             found.append(mix(sums[of] - elements[members] + salt[of]))
-            if budgets[0] == 3:
+            if budget == 3:
                 pairs = np.array(list(itertools.combinations(range(len(values)), 2)), np.int64).reshape(-1, 2)
                 found.append(mix(sums[0] - elements[pairs[:, 0]] - elements[pairs[:, 1]] + salt[0]))
             found = [np.unique(np.concatenate(found))]
-        out.append(found[0])
-        tags.append(np.full(len(found[0]), (number << 32) + need))
-    return np.concatenate(out), np.concatenate(tags)
+        out.append(found[0] & ~BAND_MASK | np.uint64(number))
+    return np.concatenate(out)
+
+
+def needs(percent: int, rate: float, level: int = 0) -> np.ndarray:
+    """For each band, in how many buckets a similar pair meets at least."""
+    all_bands = bands(percent, 1 << 40)[: int(BAND_MASK) + 1]
+    return np.array([allocation(low, high, percent, rate, level > 0)[3] for low, high in all_bands], np.int64)
 
 
 def sketch(values: np.ndarray) -> bytes:
@@ -217,8 +220,8 @@ def _rate(classes: DataFrame) -> float:
     return round((row.again or 0) / row.n, 2) if row.n else 0.0
 
 
-def _pairs_within(sig: np.ndarray, k: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """All (k, k', tag) within runs of equal ``sig``, none longer than SMALL."""
+def _pairs_within(sig: np.ndarray, k: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """All (k, k', band) within runs of equal ``sig``, none longer than SMALL."""
     starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     sizes = np.diff(np.r_[starts, len(sig)])
     found = [np.zeros((0, 3), np.int64)]
@@ -226,30 +229,33 @@ def _pairs_within(sig: np.ndarray, k: np.ndarray, tag: np.ndarray) -> np.ndarray
         rows = starts[sizes == n][:, None] + np.arange(n)
         i, j = np.triu_indices(n, 1)
         if len(rows):
-            found.append(np.stack([k[rows[:, i]].ravel(), k[rows[:, j]].ravel(), tag[rows[:, i]].ravel()], 1))
+            found.append(np.stack([k[rows[:, i]].ravel(), k[rows[:, j]].ravel(), band[rows[:, i]].ravel()], 1))
     return np.concatenate(found)
 
 
-def _meetings(batches):
-    """From rows (sig, k, tag) sorted by sig and k: pairs in small buckets, members of large ones.
+def _meetings(batches, need: np.ndarray):
+    """From rows (sig, k) sorted by both: pairs in small buckets, members of large ones.
 
-    Output (kind, x, y, tag): kind 0 is a pair (x, y), kind 1 the member y of bucket x. Equal rows
-    count once. No more than SMALL rows of an unfinished bucket are held.
+    Output (kind, x, y, tag): kind 0 is a pair (x, y), kind 1 the member y of bucket x; a tag holds
+    the band and the number of buckets that a similar pair must share in it. Equal rows count once.
+    No more than SMALL rows of an unfinished bucket are held.
     """
     empty = np.zeros(0, np.int64)
-    sig, k, tag = empty, empty, empty  # the unfinished bucket; of a large one only its last row, passed on already
+    sig, k = empty, empty  # the unfinished bucket; of a large one only its last row, passed on already
     large = False
 
-    def out(kind, x, y, t):
+    def out(kind, x, y, band):
+        t = (band << 32) + need[band]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y), pa.array(t)], names=["kind", "x", "y", "tag"])
 
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            sig, k, tag = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((sig, k, tag)))
+            sig, k = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((sig, k)))
         if not len(sig):
             continue
         once = np.r_[True, (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])]
-        sig, k, tag = sig[once], k[once], tag[once]
+        sig, k = sig[once], k[once]
+        band = sig & np.int64(BAND_MASK)
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, len(sig)])
         hot = sizes > SMALL
@@ -258,26 +264,26 @@ def _meetings(batches):
         passing = of.copy()
         passing[0] &= not large
         if passing.any():
-            yield out(1, sig[passing], k[passing], tag[passing])
+            yield out(1, sig[passing], k[passing], band[passing])
         whole = ~of
         if batch is not None:
             whole[starts[-1] :] = False
-        pairs = _pairs_within(sig[whole], k[whole], tag[whole]) if whole.any() else np.zeros((0, 3), np.int64)
+        pairs = _pairs_within(sig[whole], k[whole], band[whole]) if whole.any() else np.zeros((0, 3), np.int64)
         for low in range(0, len(pairs), 1 << 18):
             part = pairs[low : low + (1 << 18)]
             yield out(0, part[:, 0], part[:, 1], part[:, 2])
         large = bool(hot[-1])
         keep = slice(len(sig) - 1, None) if large else slice(starts[-1], None)
-        sig, k, tag = sig[keep], k[keep], tag[keep]
+        sig, k = sig[keep], k[keep]
 
 
-def _candidates(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs to verify: a, b; members of large buckets: sig, k) from entries (sig, k, tag)."""
+def _candidates(entries: DataFrame, need_of: np.ndarray, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs to verify: a, b; members of large buckets: sig, k) from entries (sig, k)."""
     spark = entries.sparkSession
     ordered = entries.repartition("sig").sortWithinPartitions("sig", "k")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_ROWS))
     try:
-        met = materialize(ordered.mapInArrow(lambda b: _meetings(iter(b)), "kind byte, x long, y long, tag long"), f"{name}-meetings")
+        met = materialize(ordered.mapInArrow(lambda b: _meetings(iter(b), need_of), "kind byte, x long, y long, tag long"), f"{name}-meetings")
     finally:
         bounded_batches(spark)
     need = F.col("tag").bitwiseAND((1 << 32) - 1)
@@ -297,25 +303,23 @@ def _candidates(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _entries(docs: DataFrame, width: int, percent: int, rate: float) -> DataFrame:
-    """(sig, k, tag) of all sets of ``docs`` (column text); equal sets of one task count once."""
+    """(sig, k) of all sets of ``docs`` (column text); equal sets of one task count once."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for low in range(0, len(batch), 128):
-                sigs, keys, tags = [], [], []
+                sigs, keys = [], []
                 for v in sets(batch.column(0).slice(low, 128), width):
                     k = set_keys(v)[0]
                     if len(v) and k not in seen:
                         seen.add(k)
-                        sig, tag = signatures(v, percent, rate)
-                        sigs.append(sig)
-                        tags.append(tag)
-                        keys.append(np.full(len(sig), k))
+                        sigs.append(signatures(v, percent, rate))
+                        keys.append(np.full(len(sigs[-1]), k))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([longs(np.concatenate(sigs)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(tags))], names=["sig", "k", "tag"])
+                    yield pa.RecordBatch.from_arrays([longs(np.concatenate(sigs)), pa.array(np.concatenate(keys))], names=["sig", "k"])
 
-    return docs.select("text").mapInArrow(run, "sig long, k long, tag long")
+    return docs.select("text").mapInArrow(run, "sig long, k long")
 
 
 def _entries_again(stored: DataFrame, percent: int, rate: float) -> DataFrame:
@@ -324,10 +328,10 @@ def _entries_again(stored: DataFrame, percent: int, rate: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sig, tag = signatures(np.frombuffer(items.as_buffer(), np.uint64), percent, rate, 1)
-                yield pa.RecordBatch.from_arrays([longs(sig), pa.array(np.full(len(sig), k)), pa.array(tag)], names=["sig", "k", "tag"])
+                sig = signatures(np.frombuffer(items.as_buffer(), np.uint64), percent, rate, 1)
+                yield pa.RecordBatch.from_arrays([longs(sig), pa.array(np.full(len(sig), k))], names=["sig", "k"])
 
-    return stored.select("k", "items").mapInArrow(run, "sig long, k long, tag long")
+    return stored.select("k", "items").mapInArrow(run, "sig long, k long")
 
 
 def _free() -> None:
@@ -427,57 +431,74 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(named.join(mixed, "sig"), "jaccard-open")
 
 
-def _close(a: pa.Table, b: pa.Table | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs across (or, without b, within) blocks that sizes, components and sketches do not rule out."""
+def _links_between(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
+    """Links across components between two blocks of sets (or, without ``right``, within one).
+
+    Sketches rule out most pairs; the rest are intersected, unless a link found before has already
+    joined their components. So no more links come out than members went in.
+    """
 
     def side(table):
-        bits = [len(x.as_py()).bit_length() - 2 for x in table["sketch"]]
-        return table["k"].to_numpy(), table["root"].to_numpy(), table["n"].to_numpy(), np.array(bits), [np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in table["sketch"]]
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["items"]]
+        sketches = [np.frombuffer(sketch(x), "<u2").astype(np.int32) for x in items]
+        return table["k"].to_pylist(), table["root"].to_pylist(), np.array([len(x) for x in items]), np.array([len(x) for x in sketches]), sketches, items
+
+    ours = side(left)
+    theirs = ours if right is None else side(right)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
 
-    left = side(a)
-    right = left if b is None else side(b)
     found = []
-    for level in np.unique(left[3]).tolist():
-        rows = np.flatnonzero(left[3] == level)
-        for other in (level - 1, level, level + 1):  # sets of similar sizes are within one bit
-            columns = np.flatnonzero(right[3] == other)
+    for level in np.unique(ours[3]).tolist():
+        for other in (level // 2, level, level * 2):  # sets of similar sizes have sketches within one halving
+            columns = np.flatnonzero(theirs[3] == other)
             if not len(columns):
                 continue
-            fold = lambda x, bits: x.reshape(1 << min(level, other), -1).sum(1) if bits > min(level, other) else x  # noqa: E731, B023
-            matrix = np.stack([fold(right[4][j], other) for j in columns])
-            k, root, n = (right[i][columns] for i in range(3))
-            for i in rows.tolist():
-                mine = left[2][i]
-                maybe = np.flatnonzero((root != left[1][i]) & (100 * np.minimum(n, mine) >= percent * np.maximum(n, mine)) & ((k > left[0][i]) if b is None else True))
-                if len(maybe):
-                    bound = (n[maybe] + mine) * (100 - percent) // (100 + percent)
-                    near = np.abs(matrix[maybe] - fold(left[4][i], level)).sum(1) <= bound
-                    found += [(min(int(left[0][i]), int(x)), max(int(left[0][i]), int(x))) for x in k[maybe[near]]]
+            width = min(level, other)
+            matrix = np.stack([theirs[4][j].reshape(width, -1).sum(1) for j in columns])
+            n = theirs[2][columns]
+            for i in np.flatnonzero(ours[3] == level).tolist():
+                mine = ours[2][i]
+                near = (np.abs(matrix - ours[4][i].reshape(width, -1).sum(1)).sum(1) <= (n + mine) * (100 - percent) // (100 + percent)) & (100 * np.minimum(n, mine) >= percent * np.maximum(n, mine))
+                for j in columns[near].tolist():
+                    if right is None and j <= i:
+                        continue
+                    a, b = find(ours[1][i]), find(theirs[1][j])
+                    if a != b:
+                        both = len(np.intersect1d(ours[5][i], theirs[5][j], assume_unique=True))
+                        if 100 * both >= percent * (mine + theirs[2][j] - both):
+                            parent[max(a, b)] = min(a, b)
+                            found.append((ours[0][i], theirs[0][j]))
     return found
 
 
-def _in_blocks(rows: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) across components of the clusters that ``rows`` (sig, k, root) form.
+def _in_blocks(rows: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components of the clusters that ``rows`` (sig, k, root) form.
 
-    A cluster is what hangs together by shared buckets. Its members are dealt to blocks of BLOCK by
-    a hash, and each pair of blocks is one group: no group grows with the cluster, and only pairs
-    that may be similar leave it.
+    A cluster is what hangs together by shared buckets. Its members are dealt to blocks by a hash,
+    about BLOCK_ITEMS n-grams to each, and each pair of blocks is one group: no group grows with the
+    cluster, and only links leave it.
     """
     centres = rows.groupBy("sig").agg(F.min("k").alias("a"))
     clusters = components(rows.join(centres, "sig").select("a", F.col("k").alias("b")).distinct(), "jaccard-clusters").withColumnRenamed("root", "cluster")
-    members = rows.select("k", "root").distinct().join(clusters, "k").join(kinds.select("k", "n", "sketch"), "k")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = rows.select("k", "root").distinct().join(clusters, "k").join(stored, "k")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
     dealt = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = dealt.select("k", "root", "n", "sketch", "cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") <= F.col("j")).alias("first"))
+    placed = dealt.select("k", "root", "items", "cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") <= F.col("j")).alias("first"))
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
         same = table["lo"][0].as_py() == table["hi"][0].as_py()
         first = table.filter(table["first"])
-        found = _close(first, None if same else table.filter(pc.invert(table["first"])), percent)
+        found = _links_between(first, None if same else table.filter(pc.invert(table["first"])), percent)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return placed.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return materialize(placed.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long"), "jaccard-more")
 
 
 def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -486,7 +507,7 @@ def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     rate = _rate(classes)
     kinds = classes.where("n > 0").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     kinds = materialize(kinds, "jaccard-kinds")
-    tried, large = _candidates(_entries(docs, width, percent, rate), "jaccard")
+    tried, large = _candidates(_entries(docs, width, percent, rate), needs(percent, rate), "jaccard")
     _free()
     fits = _likely(tried, kinds, percent)
     keys = fits.select(F.col("a").alias("k")).unionAll(fits.select(F.col("b").alias("k"))).unionAll(large.select("k")).distinct()
@@ -510,12 +531,15 @@ def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     rows = _open(large, roots)
     if not rows.isEmpty():
         again = stored.join(rows.select("k").distinct(), "k", "left_semi")
-        pairs, large = _candidates(_entries_again(again, percent, rate), "jaccard-again")
+        pairs, large = _candidates(_entries_again(again, percent, rate), needs(percent, rate, 1), "jaccard-again")
         verified(pairs)
         rows = _open(large, roots)
     if not rows.isEmpty():
-        # near the bound even two partitions leave doubt: all sketches of a cluster are compared, in blocks
-        verified(_in_blocks(rows, kinds, percent))
+        # near the bound even two partitions leave doubt: the sets of a cluster are compared, in blocks
+        more = _in_blocks(rows, stored, percent)
+        if not more.isEmpty():
+            links = materialize(links.unionAll(more), "jaccard-links")
+            roots = materialize(components(links), "jaccard-roots")
     return classes, links, roots
 
 
