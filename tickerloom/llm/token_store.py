@@ -171,7 +171,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 base = before[row["part"]] + row["first"]
                 for low in range(0, len(ids), 256):
                     part = slice(low, low + 256)
-                    found = [codes.slice(int(a), int(b)).astype("<u4") for a, b in zip(starts[part], stops[part], strict=True)]
+                    at = int(starts[low])  # these documents lie side by side: one range of every level
+                    span = codes.slice(at, int(stops[part][-1])).astype("<u4")
+                    found = [span[a - at : b - at] for a, b in zip(starts[part].tolist(), stops[part].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([None if d == NO_ID else int(d) for d in ids[part]], pa.int64()),
