@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; keeps a batch of long documents within a worker's memory.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 #: Bytes in one Arrow batch, where the running Spark knows the setting.
 BATCH_BYTES = 16 << 20
 
@@ -97,6 +100,27 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_plans(spark: SparkSession):
+    """For rounds of jobs over small tables: no generated classes for each plan, which would pile up in every JVM."""
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """At the end of a task, return freed memory to the system: an idle worker keeps none of a batch's scratch arrays."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def string_column(column: pa.Array) -> pa.Array:
     """A plain 32-bit-offset string array without nulls."""
     if isinstance(column, pa.ChunkedArray):

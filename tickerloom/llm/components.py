@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, work_path
+from .common import discard, materialize, small_plans, work_path
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(k, root) for every node of ``links`` (columns a, b): root is the least key it can reach.
-
-    Each round is written to the shared folder, which cuts lineage; rounds go on until nothing
-    changes and grow with the logarithm of the longest chain. Empty links give an empty table;
-    repeated links and links of a node to itself change nothing.
-    """
+def _contracted(links: DataFrame, name: str) -> DataFrame:
+    """Edges (u, v) from every node to the least one it can reach."""
     spark = links.sparkSession
     path = work_path(spark, name)
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), name, path)
@@ -47,5 +42,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if state == before:
             break
         before = state
+    return edges
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """(k, root) for every node of ``links`` (columns a, b): root is the least key it can reach.
+
+    Each round is written to the shared folder, which cuts lineage; rounds go on until nothing
+    changes and grow with the logarithm of the longest chain. Empty links give an empty table;
+    repeated links and links of a node to itself change nothing.
+    """
+    spark = links.sparkSession
+    with small_plans(spark):
+        edges = _contracted(links, name)
     roots = edges.select(F.col("u").alias("k"), F.col("v").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("k"), "root").distinct())

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, texts
+from .common import bounded_batches, give_back, materialize, small_plans, texts
 from .components import components
 from .textops import chain, longs, mix, word_hashes
 
@@ -69,7 +69,7 @@ TINY = 16
 #: Low bits of an entry that hold its band.
 BAND_MASK = np.uint64(127)
 #: Rows of numbers in one Arrow batch.
-NUMBER_ROWS = 65_536
+NUMBER_ROWS = 32_768
 
 
 def bands(percent: int, limit: int) -> list[tuple[int, int]]:
@@ -209,6 +209,7 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(v) for v in found], pa.int64()), pa.array(counted, pa.list_(pa.int64())), pa.array([sketch(v) for v in found], pa.binary())],
                 names=["doc_id", "k", "k2", "n", "counted", "sketch"],
             )
+        give_back()
 
     return materialize(docs.mapInArrow(run, "doc_id long, k long, k2 long, n long, counted array<long>, sketch binary"), "jaccard-classes")
 
@@ -275,6 +276,7 @@ def _meetings(batches, need: np.ndarray):
         large = bool(hot[-1])
         keep = slice(len(sig) - 1, None) if large else slice(starts[-1], None)
         sig, k = sig[keep], k[keep]
+    give_back()
 
 
 def _candidates(entries: DataFrame, need_of: np.ndarray, name: str) -> tuple[DataFrame, DataFrame]:
@@ -318,6 +320,7 @@ def _entries(docs: DataFrame, width: int, percent: int, rate: float) -> DataFram
                         keys.append(np.full(len(sigs[-1]), k))
                 if sigs:
                     yield pa.RecordBatch.from_arrays([longs(np.concatenate(sigs)), pa.array(np.concatenate(keys))], names=["sig", "k"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "sig long, k long")
 
@@ -355,7 +358,8 @@ def _likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     found = rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
-    return materialize(found.distinct(), "jaccard-likely")
+    with small_plans(pairs.sparkSession):
+        return materialize(found.distinct(), "jaccard-likely")
 
 
 def _texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -384,6 +388,7 @@ def _texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame, width: int) ->
                     out.append((k, len(v), v.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k", "n", "items"])
+        give_back()
 
     found = rows.mapInArrow(run, "k long, n long, items binary")
     if shared is None:
@@ -421,14 +426,16 @@ def _verify(fits: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     together = centres.unionAll(sides).repartition("a", "copy").sortWithinPartitions("a", "copy", "side")
-    return materialize(together.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+    with small_plans(fits.sparkSession):
+        return materialize(together.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (sig, k) of buckets that still hold several components, with component and bucket size."""
     named = rows.distinct().join(roots, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root"))
     mixed = named.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("sig", "size")
-    return materialize(named.join(mixed, "sig"), "jaccard-open")
+    with small_plans(rows.sparkSession):
+        return materialize(named.join(mixed, "sig"), "jaccard-open")
 
 
 def _links_between(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
@@ -498,7 +505,8 @@ def _in_blocks(rows: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
         found = _links_between(first, None if same else table.filter(pc.invert(table["first"])), percent)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return materialize(placed.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long"), "jaccard-more")
+    with small_plans(rows.sparkSession):
+        return materialize(placed.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long"), "jaccard-more")
 
 
 def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, project, string_column
+from .common import bounded_batches, give_back, materialize, project, string_column
 from .textops import hash_spans, mix, spans
 
 TRAIN_DOCS = 10_000
@@ -30,7 +30,7 @@ SMOOTH = 0.1
 #: Words after which more text no longer sharpens the score.
 FULL_WORDS = 12
 #: Characters handled at once; longer texts are taken in pieces, cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 UNDETERMINED = "und"
 
 _tables: dict = {}
@@ -209,5 +209,6 @@ def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
         for batch in batches:
             found = shared.value.predict([t.as_py() for t in string_column(batch.column(batch.schema.names.index("text")))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
+        give_back()
 
     return kept.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once; bounds the scratch arrays, whatever a text's length.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
