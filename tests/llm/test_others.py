@@ -101,6 +101,20 @@ def test_packing(spark, frame, odd_rows):
     assert packing.pack_documents(frame(odd_rows).limit(0), path).count() == 0
 
 
+def test_near_copies_never_share_a_sequence(spark, frame):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    words = [f"word{i}" for i in range(60)]
+    one_word = " ".join([*words[:59], "other"])
+    copies = [" ".join(words), " ".join(words).upper(), "  ".join(words), "\n".join(words), one_word]
+    rows = [(i, t, None, None) for i, t in enumerate(copies)] + [(10 + i, f"short text {i}", None, None) for i in range(5)]
+    rows += [(7, copies[0], None, None), (7, "unlike all others", None, None), (None, copies[1], None, None), (20, " \t", None, None), (21, " \t", None, None)]
+    got = packing.pack_documents(frame(rows), path).collect()
+    assert len(got) == len(rows)
+    bins = collections.Counter((r.shard, r.bin) for r in got if r.n_tokens > 50)
+    assert len(bins) == sum(bins.values()) == 7
+    assert len({(r.shard, r.bin) for r in got if r.doc_id in (20, 21)}) == 2
+
+
 def test_language(spark, frame, odd_rows):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = crc_remainder("doc_id", 5) == 0

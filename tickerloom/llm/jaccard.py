@@ -41,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, give_back, materialize, small_plans, texts
 from .components import components
@@ -214,6 +215,19 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
     return materialize(docs.mapInArrow(run, "doc_id long, k long, k2 long, n long, counted array<long>, sketch binary"), "jaccard-classes")
 
 
+def with_set_key(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with ``set_key``: the fingerprint (k) of each text's set, null where the set is empty."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("set_key", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            found = sets(batch.column(batch.schema.names.index("text")), width)
+            keys = pa.array([set_keys(v)[0] if len(v) else None for v in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "set_key"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def _rate(classes: DataFrame) -> float:
     """Share of n-gram occurrences (one in RATE_SAMPLE hashes counted) that other sets have too, copies aside."""
     counts = classes.select("k", "counted").dropDuplicates(["k"]).select(F.explode("counted").alias("v")).groupBy("v").count()

@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, texts
+from .jaccard import links_and_roots, with_set_key
 from .tokens import count_tokens
 
 #: Tokens of a sequence.
 CAPACITY = 2048
 #: Documents a shard has in the mean.
 SHARD_ROWS = 2048
+#: n-gram width and similarity that make two documents near copies.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 PACKED = "doc_id long, piece long, start long, n_tokens long, shard long, bin long, offset long, bin_tokens long"
 
@@ -108,10 +112,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pack whole documents (doc_id, text, source) by their token counts.
 
-    Equal texts are a duplicate cluster and never share a sequence; an empty or null text (0
-    tokens) has no cluster. ``pack`` takes any other clusters. Texts stay where they are read:
-    lengths, sources and hashes are written down once, then shuffled.
+    The duplicate clusters are the components of the similarity join (``NEAR_WORDS`` words,
+    ``NEAR_PERCENT``), so near copies, which may differ in case, white space or single words, never
+    share a sequence. A text of white space alone clusters with equal texts; an empty or null text
+    (0 tokens) has no cluster. ``pack`` takes any other clusters. Set keys, lengths and sources are
+    written down once, then shuffled.
     """
-    rows = texts(docs, "source").withColumn("cluster", F.when(F.col("text") != "", F.xxhash64("text")))
-    counted = count_tokens(rows, tokenizer_path, keep_text=False)
-    return pack(materialize(counted, "packing-lengths"), capacity, shard_rows)
+    bounded_batches(docs.sparkSession)
+    rows = texts(docs, "source")
+    _, _, roots = links_and_roots(rows.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
+    blank = F.when(F.col("text") != "", F.xxhash64("text"))
+    counted = count_tokens(with_set_key(rows.withColumn("blank", blank), NEAR_WORDS), tokenizer_path, keep_text=False)
+    stored = materialize(counted, "packing-lengths")
+    found = stored.join(roots.withColumnRenamed("k", "set_key"), "set_key", "left")
+    return pack(found.withColumn("cluster", F.coalesce("root", "set_key", "blank")), capacity, shard_rows)
