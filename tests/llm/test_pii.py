@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -54,6 +55,17 @@ def test_added_spans(spark, frame):
     assert got[1].startswith("secret:14:54") and got[2].startswith("account:7:23") and got[3] == ""
 
 
+def test_long_secrets(spark, frame):
+    r = random.Random(3)
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(n)) for n in (40, 500, 512, 513, 900, 5000, 60_000)]
+    df = frame([(i, f'word token = "{k}" word') for i, k in enumerate(keys)] + [(100, "word " + "-" * 2000 + " word"), (101, "word " + "a" * 2000 + " word")])
+    got = {r.doc_id: r.spans.split(",") for r in pii.digest(df).collect()}
+    assert all(f"secret:14:{14 + len(k)}" in got[i] for i, k in enumerate(keys))
+    assert got[100] == got[101] == [""]
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert all(out[i] == 'word token = "<SECRET>" word' for i in range(len(keys)))
+
+
 def test_redact(spark, frame, odd_rows):
     df = frame([(1, "mail a@b.com or +1 (459) 555-9246 now"), (2, None), (3, "x")], clash=True)
     out = pii.redact(df)

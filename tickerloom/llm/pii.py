@@ -48,7 +48,7 @@ GENERATORS = {
     "account": (_DIGITS, "{t} rlike r'[0-9][\\x20-]?[0-9]'"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "{t} rlike r'[A-Z]{{2}}[0-9]{{2}}'"),
     "mailtext": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?[(\[{]?(?:at|AT)[)\]}]?\x20?[A-Za-z0-9-]{2,63}\x20?[(\[{]?(?:dot|DOT)[)\]}]?\x20?[A-Za-z]{2,12}(?![A-Za-z0-9])", "contains(lower({t}), 'dot')"),
-    "secret": (r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,512}(?![A-Za-z0-9_/+-])", "{t} rlike r'[A-Za-z0-9_-]{{20}}'"),
+    "secret": (r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_/+-])", "{t} rlike r'[A-Za-z0-9_-]{{20}}'"),
     "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "{t} rlike r'[0-9]-[0-9]{{2}}-[0-9]'"),
     "tel": (r"(?<![0-9A-Za-z(+-])(?<!\+[0-9]{1,3}[\x20.-]?)(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])", "{t} rlike r'[0-9]{{3}}[\\x20.-][0-9]{{3}}'"),
 }
@@ -176,10 +176,13 @@ def _line(r: random.Random) -> tuple[str, str, int]:
             body = f"{_word(r)} at {_word(r, 2, 4)} dot {_word(r, 4, 12)}"
             lead = _word(r)
     elif kind == "secret":
-        n = r.choice((20, 24, 32, 40, 40, 48, 64))
+        n = r.choice((20, 24, 32, 40, 40, 48, 64, r.randint(100, 512), r.randint(513, 3000)))
         body = "".join(r.choice(alphabet) for _ in range(n))
         if not good:
             body = r.choice((_word(r, 20, 40), "-".join(_word(r) for _ in range(6)), "_".join(_word(r) for _ in range(6)), "-" * 30, _digits(r, 30), "x" * 25, _word(r, 22, 28) + "2", "A" * 22))
+            if r.random() < 0.2:
+                n = r.randint(100, 3000)
+                body = r.choice((_word(r, n, n), "-".join(_word(r) for _ in range(n // 6)), "_".join(_word(r) for _ in range(n // 6)), "-" * n, _digits(r, n), "x" * n, "A" * n))
     elif kind == "ssn":
         body = f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}"
         if good:
