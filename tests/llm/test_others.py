@@ -199,6 +199,35 @@ def test_baum_welch_counts():
         np.testing.assert_allclose(g, w, atol=1e-10)
 
 
+def test_training_carries_states_across_runs(monkeypatch):
+    r = np.random.default_rng(7)
+    k, x = 3, 5
+    hmm = lm.Hmm(r.dirichlet(np.ones(k)), r.dirichlet(np.ones(k), k), r.random((x, k)) + 0.1)
+    first = np.cumsum([0, 1, 9, 4, 30, 2])
+    classes = r.integers(0, x, first[-1])
+    whole = lm._counted(hmm, classes, first)
+    monkeypatch.setattr(lm, "RUN", 4)
+    got = lm.expected(hmm, classes, first)
+    for g, w in zip(got, whole[:3], strict=True):
+        np.testing.assert_allclose(g, w, atol=1e-10)
+    assert abs(got[0].sum() - 5) < 1e-9 and abs(got[1].sum() - (first[-1] - 5)) < 1e-9
+    logs = lm.log_ratio(hmm, classes, first).sum()
+    assert abs(whole[3] - logs) < 1e-8 and abs(lm._counted(hmm, classes, first)[3] - logs) < 1e-8
+
+
+def test_training_goes_on_until_the_likelihood_stops_rising(spark, frame, monkeypatch):
+    docs = frame([(i, "a b c " * 40 + "x y z " * 40) for i in range(20)])
+    vocab = lm.vocabulary(lm.count_words(docs))
+    rounds, updated = [], lm._updated
+    monkeypatch.setattr(lm, "_updated", lambda *a: rounds.append(1) or updated(*a))
+    hmm = lm.train(docs, vocab)
+    assert len(rounds) > 3
+    words, first = lm.tokens(pa.array(["a b c " * 40 + "x y z " * 40]))
+    classes = vocab.classes_of(vocab.index.find(words))
+    more = lm.train(docs, vocab, iterations=len(rounds) + 1)
+    assert lm.log_ratio(more, classes, first)[0] - lm.log_ratio(hmm, classes, first)[0] < 2 * lm.RISE * len(words)
+
+
 def test_archives(spark):
     body = "<html>" + "é" * 80
     rows = [(1, "http://a.org/x", body), (2, "https://B.org:8080/y?z=1", body), (3, None, body), (4, "http://a.org/x", None), (5, "http://a.org/x", ""), (None, "bad\r\nurl \x1f", body), (7, "http://[bad", "short"), (8, "http://a.org/x", "short"), (9, "http://c.net", "WARC/1.1\r\n\r\n" + body)]

@@ -12,13 +12,15 @@ frequent words share ``SHARED`` hashed ones, and all others, unseen words includ
 Their number is bounded, and with it what is broadcast, while the word counts themselves stay
 distributed: frequent words' counts are broadcast (``HEAVY`` at most), the rest are joined.
 
-Training is Baum-Welch: each task runs scaled forward-backward over runs of ``RUN`` tokens of the
-training texts and adds up expected counts; the sums over all partitions give the next model.
-Scoring is exact over whole texts: runs become scaled transfer matrices, multiplied in order.
+Training is Baum-Welch over whole texts: each task runs scaled forward-backward and adds up expected
+counts; the sums over all partitions give the next model, until the likelihood stops rising. In
+training as in scoring, runs of ``RUN`` tokens become scaled transfer matrices, multiplied in order,
+so that what lies before and behind a run is carried over exactly.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +33,9 @@ from .common import bounded_batches, materialize
 from .textops import longs, mix, word_hashes
 
 STATES = 4
-ITERATIONS = 3
-#: Tokens of a training run, and of one transfer matrix in scoring.
+#: Training ends when the log-likelihood of a token rises by less than this (nats).
+RISE = 1e-3
+#: Tokens of a run, which one transfer matrix stands for.
 RUN = 128
 #: Words with a broadcast count at most, and those of them with a class of their own.
 HEAVY = 400_000
@@ -193,36 +196,84 @@ def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def expected(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and (class, state) pairs by scaled forward-backward over runs."""
+    """Expected counts of starts, moves and (class, state) pairs of whole texts by scaled forward-backward."""
+    return _counted(hmm, classes, first)[:3]
+
+
+def _borders(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, text: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run, the state probabilities its first token meets, and what follows its last token (up to a factor)."""
+    k = len(hmm.start)
+    enter, leave = np.tile(hmm.start, (len(starts), 1)), np.ones((len(starts), k))
+    many = np.bincount(text)[text]
+    split = np.flatnonzero(many > 1)
+    if not len(split):
+        return enter, leave
+    split = split[np.argsort(-lengths[split], kind="stable")]
+    slot = np.full(len(starts), -1)
+    slot[split] = np.arange(len(split))
+    through = np.eye(k) * hmm.ratio[classes[starts[split]]][:, None, :]
+    for t in range(1, int(lengths[split[0]])):
+        m = int(np.searchsorted(-lengths[split], -t, "left"))
+        step = (through[:m].reshape(-1, k) @ hmm.move).reshape(m, k, k) * hmm.ratio[classes[starts[split[:m]] + t]][:, None, :]
+        through[:m] = step / step.sum((1, 2))[:, None, None]
+    by_rank = split[np.argsort(rank[split], kind="stable")]
+    bounds = np.searchsorted(rank[by_rank], np.arange(int(rank.max()) + 2))
+    for r in range(1, len(bounds) - 1):
+        now = by_rank[bounds[r] : bounds[r + 1]]
+        vector = np.einsum("ni,nij->nj", enter[now - 1], through[slot[now - 1]]) @ hmm.move
+        enter[now] = vector / vector.sum(1, keepdims=True)
+    for r in range(len(bounds) - 2, 0, -1):
+        now = by_rank[bounds[r] : bounds[r + 1]]
+        vector = np.einsum("nij,nj->ni", through[slot[now]], leave[now]) @ hmm.move.T
+        leave[now - 1] = vector / vector.sum(1, keepdims=True)
+    return enter, leave
+
+
+def _counted(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``expected``, and the log of the forward sums of all texts over the emission ratios."""
     k, n_classes = len(hmm.start), len(hmm.ratio)
-    starts, lengths, _ = _runs(first)
+    starts, lengths, text = _runs(first)
+    moves, emits = np.zeros((k, k)), np.zeros((n_classes, k))
+    if not len(starts):
+        return np.zeros(k), moves, emits, 0.0
+    rank = np.arange(len(text)) - np.searchsorted(text, text)
+    enter, leave = _borders(hmm, classes, starts, lengths, text, rank)
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    steps = int(lengths[0]) if len(lengths) else 0
+    run_of, starts, lengths, enter, leave = order, starts[order], lengths[order], enter[order], leave[order]
+    steps = int(lengths[0])
     active = [int(np.searchsorted(-lengths, -t, "left")) for t in range(steps)]  # runs longer than t
-    forward, scales = [], []
+    forward, scales, log = [], [], 0.0
     for t in range(steps):
         emit = hmm.ratio[classes[starts[: active[t]] + t]]
-        a = (forward[-1][: active[t]] @ hmm.move if t else hmm.start) * emit
+        a = (forward[-1][: active[t]] @ hmm.move if t else enter) * emit
         scale = a.sum(1, keepdims=True)
         forward.append(a / scale)
         scales.append(scale)
-    moves, emits = np.zeros((k, k)), np.zeros((n_classes, k))
+        log += float(np.log(scale).sum())
+    last = np.empty((len(starts), k))
     beta = np.zeros((0, k))
     for t in range(steps - 1, -1, -1):
-        back = np.ones((active[t], k))
-        if t + 1 < steps:
-            m = active[t + 1]
+        back = leave[: active[t]].copy()
+        m = active[t + 1] if t + 1 < steps else 0
+        if m:
             ahead = hmm.ratio[classes[starts[:m] + t + 1]] * beta / scales[t + 1]
             moves += hmm.move * (forward[t][:m].T @ ahead)
             back[:m] = ahead @ hmm.move.T
+        last[run_of[m : active[t]]] = forward[t][m:]
+        back[m:] /= (forward[t][m:] * back[m:]).sum(1, keepdims=True)
         beta = back
         gamma = forward[t] * back
         gamma /= gamma.sum(1, keepdims=True)
         of = classes[starts[: active[t]] + t]
         for s in range(k):
             emits[:, s] += np.bincount(of, gamma[:, s], n_classes)
-    return gamma.sum(0) if steps else np.zeros(k), moves, emits
+    # moves from the last token of a run to the first of the text's next one
+    begun = np.empty((len(starts), k))
+    begun[run_of] = hmm.ratio[classes[starts]] * beta
+    on = np.flatnonzero(rank > 0)
+    before, ahead = last[on - 1], begun[on]
+    moves += hmm.move * (before.T @ (ahead / ((before @ hmm.move) * ahead).sum(1, keepdims=True)))
+    return gamma[rank[run_of] == 0].sum(0), moves, emits, log
 
 
 def log_ratio(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -254,31 +305,41 @@ def log_ratio(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
-    """Baum-Welch over all rows of ``docs`` (column text); expected counts are summed across partitions."""
+def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int | None = None) -> Hmm:
+    """Baum-Welch over all rows of ``docs`` (column text); expected counts are summed across partitions.
+
+    Rounds go on until the log-likelihood of a token rises by less than ``RISE``, or for ``iterations``.
+    """
     spark = docs.sparkSession
     hmm = untrained(vocab, states)
     shared_vocab = spark.sparkContext.broadcast(vocab)
     fields = ["x", *(f"e{s}" for s in range(states))]
-    for _ in range(iterations):
+    before = -np.inf
+    for _ in itertools.count() if iterations is None else range(iterations):
         shared = spark.sparkContext.broadcast(hmm)
 
         def run(batches, shared=shared):
             vocab_, hmm_ = shared_vocab.value, shared.value
-            start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((len(vocab_.mass), states))
+            start, moves, emits, log = np.zeros(states), np.zeros((states, states)), np.zeros((len(vocab_.mass), states)), np.zeros(states)
             for batch in batches:
                 words, first = tokens(batch.column(0))
-                more = expected(hmm_, vocab_.classes_of(vocab_.index.find(words)), first)
+                more = _counted(hmm_, vocab_.classes_of(vocab_.index.find(words)), first)
                 start, moves, emits = start + more[0], moves + more[1], emits + more[2]
+                log[0] += more[3]
             seen = np.flatnonzero(emits.any(1))
-            x = np.concatenate([seen, -1 - np.arange(states), [-1 - states]])
-            e = np.concatenate([emits[seen], moves, start[None]])
+            x = np.concatenate([seen, -1 - np.arange(states), [-1 - states, -2 - states]])
+            e = np.concatenate([emits[seen], moves, start[None], log[None]])
             yield pa.RecordBatch.from_arrays([pa.array(x), *(pa.array(np.ascontiguousarray(e[:, s])) for s in range(states))], names=fields)
 
         sums = docs.select("text").mapInArrow(run, ", ".join(["x long", *(f"{f} double" for f in fields[1:])])).groupBy("x").agg(*[F.sum(f).alias(f) for f in fields[1:]])
         table = sums.toArrow()
         x, e = table["x"].to_numpy(), np.stack([table[f].to_numpy() for f in fields[1:]], 1) if len(table) else np.zeros((0, states))
-        hmm = _updated(vocab, hmm, x, e)
+        is_log = x == -2 - states
+        log = e[is_log, 0].sum()
+        if iterations is None and log - before < RISE * vocab.n or not vocab.n:
+            break
+        before = log
+        hmm = _updated(vocab, hmm, x[~is_log], e[~is_log])
     return hmm
 
 
@@ -338,7 +399,7 @@ def _first_pass(rows: DataFrame, vocab: Vocabulary, hmm: Hmm) -> DataFrame:
     return materialize(rows.mapInArrow(run, SCORED), "lm-first-pass")
 
 
-def score(docs: DataFrame, held_out: Column, states: int = STATES, iterations: int = ITERATIONS, heavy: int = HEAVY) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, states: int = STATES, iterations: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """Score every whole text of ``docs`` (doc_id, text), learning from the rows that are not held out.
 
     Result: doc_id, held_out, n_tokens (words and the end), n_known (tokens seen in training),
