@@ -84,6 +84,13 @@ def test_odd_rows(spark, frame, odd_rows):
     assert kept.columns == frame([]).columns
 
 
+def test_keep_one_of_repeated_ids(spark, frame):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b.upper()), (3, c), (3, a), (4, c), (4, b), (5, ""), (5, None), (6, a), (7, "d e f")]
+    kept = jaccard.keep_one(frame(rows, clash=True)).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in kept) == [(1, a), (2, b), (3, c), (5, ""), (7, "d e f")]
+
+
 @pytest.mark.parametrize("percent", [70, 80, 90])
 def test_similar_sets_share_entries(percent):
     r = np.random.default_rng(percent)

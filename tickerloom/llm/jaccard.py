@@ -594,16 +594,31 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least doc_id. Same columns.
+    """``docs`` with one row of each component: one with the least doc_id. Same columns.
 
-    A row with a null doc_id is kept, as nothing names it; of rows that repeat a doc_id one is kept.
+    Rows are told apart by doc_id and set, so where different texts share a doc_id each is judged by
+    itself and every component keeps a row. A row with a null doc_id is kept, as nothing names it; of
+    rows that repeat both doc_id and set (or have one doc_id and no words) one is kept.
     """
-    found = materialize(similarity_classes(docs, width, percent).select("doc_id", "component_id"), "jaccard-kept")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    if gone.count() <= KEYS_BROADCAST:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns)
+    bounded_batches(docs.sparkSession)
+    classes, _, roots = links_and_roots(texts(docs), width, percent)
+    filled = F.col("n") > 0
+    found = classes.join(roots, "k", "left").where("doc_id is not null")
+    found = materialize(found.select("doc_id", F.when(filled, F.col("k")).alias("set_key"), F.when(filled, F.coalesce("root", "k")).alias("root")), "jaccard-kept")
+    named = found.where("root is not null")
+    chosen = named.groupBy("root").agg(F.min(F.struct("doc_id", "set_key")).alias("c")).select("c.*")
+    pairs = materialize(named.select("doc_id", "set_key").distinct().join(chosen, ["doc_id", "set_key"], "left_anti"), "jaccard-gone")
+
+    def sent(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.count() <= KEYS_BROADCAST else table
+
+    gone = sent(pairs.select("doc_id").distinct())
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = sent(materialize(repeated, "jaccard-repeated"))
+    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # the row travels as one column, so that no name of its own can clash with those used here
+    rows = docs.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kept = with_set_key(rows, width).join(pairs, ["doc_id", "set_key"], "left_anti").dropDuplicates(["doc_id", "set_key"])
+    return once.unionByName(kept.select("row.*"))
