@@ -7,7 +7,9 @@ stream that any reader of concatenated members can read, on any store that Spark
 *Index.* A capture's key is its URL with the host reversed, then its page id. Keys are sorted by a
 range shuffle and packed into compressed blocks of ``BLOCK`` entries (file, offset, length); the
 first key of each block is the sparse directory. A look-up bisects the directory, decompresses one
-block, bisects it, and reads that byte range of the archive alone.
+block, bisects it, and gets the record's place. Python workers can reach the store only through
+Spark's readers, so a look-up loads the whole archive file (``FILE_RECORDS`` at most) and unpacks
+that byte range of it alone.
 """
 
 from __future__ import annotations
@@ -240,7 +242,7 @@ def locate(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, archives: str, places: DataFrame) -> DataFrame:
-    """The records at the given places, each read as its byte range of the archive file."""
+    """The records at the given places: archive files are loaded whole, each record is unpacked from its byte range."""
     bounded_batches(spark)
     # at most FILE_RECORDS places for a file
     by_file = places.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
