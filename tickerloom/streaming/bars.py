@@ -10,8 +10,10 @@ def window_bars(events: DataFrame, every: str = "1 hour", late: str = "10 minute
     """Bars (ticker, start, open, high, low, close, n) of events (ticker, ts, value, event_id).
 
     Works on a batch or a stream; on a stream, rows later than ``late`` are dropped by the watermark
-    and a window is final once that has passed its end. Ties in time go by event_id.
+    and a window is final once that has passed its end. Ties in time go by event_id. A time without
+    a zone is read in the session's zone, on both paths.
     """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs this type
     if events.isStreaming:
         events = events.withWatermark("ts", late)
     at = F.struct("ts", "event_id")
