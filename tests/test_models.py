@@ -9,7 +9,8 @@ from tickerloom.operators import health as H
 from tickerloom.operators import portfolio as P
 from tickerloom.operators import report as R
 from tickerloom.operators import valuation as V
-from tickerloom.sources import filings, market, sinks
+from tickerloom.functions.expr import fixed, percent
+from tickerloom.sources import filings, market, sinks, tables
 
 RATIOS = "ticker string, " + ", ".join(f"{r} double" for r in H.RATIOS) + ", revenueGrowth double"
 
@@ -147,3 +148,62 @@ def test_periods(spark, sf_dir):
     end = bars.agg(F.max("date")).first()[0]
     assert sorted(market.since(bars, "6mo").collect()) == sorted(market.since(bars, "6mo", end).collect())
     assert market.last_days(bars, 0).select("date").distinct().count() == 1
+
+
+def test_store(spark, sf_dir, tmp_path):
+    store = tables.Store(spark, f"file://{tmp_path}/store")
+    for _ in range(2):  # a second time changes nothing
+        store.create("stored_test")
+    assert all(store.read(name).count() == 0 for name in tables.SCHEMAS)
+    assert all((tmp_path / "store" / name).is_dir() for name in ("reports", "logs", "data"))
+    prices = market.company_bars(spark, sf_dir, "1y").where("ticker in ('S1', 'S2')")
+    info = market.company_info(spark, sf_dir)
+    store.refresh(prices, info, dt.datetime(2001, 1, 1))
+    store.refresh(prices, info.withColumn("marketCap", F.lit(5.0)), dt.datetime(2002, 1, 1))
+    rows = {r.ticker: r for r in store.read("companies").collect()}
+    assert set(rows) == {"S1", "S2"} and all(r.market_cap == 5.0 and r.last_updated.year == 2001 for r in rows.values())
+    assert store.read("price_data").count() == 2 * prices.count()
+    assert store.company("S2").first().ticker == "S2" and store.company("S9").count() == 0
+    assert spark.table("stored_test.companies").columns == store.read("companies").columns
+    spark.sql("DROP DATABASE stored_test CASCADE")
+
+
+def test_filing_requests(spark):
+    directory = filings.cik_directory(spark.createDataFrame([('{"7": {"ticker": "A"}}',)], "json string"))
+    asked = filings.filing_requests(spark.createDataFrame([("a",), ("none",)], "ticker string"), directory, "8-K", 2)
+    assert [(r.ticker, r.url.split("?")[1]) for r in asked.collect()] == [("A", "action=getcompany&CIK=0000000007&type=8-K&count=2")]
+    html = "".join(f'<td nowrap="nowrap">2020-01-{d:02d}</td>' for d in range(1, 9))
+    answers = asked.select("url").crossJoin(spark.createDataFrame([(200, html), (500, html)], "status int, html string"))
+    got = filings.fetched_filings(asked, answers, 2).collect()
+    assert [(r.filing_date, r.filing_type, r.sequence, r.text_url.rsplit("/", 3)[1:]) for r in got] == [(f"2020-01-0{d}", "8-K", d, ["0000000007", f"2020010{d}", ""]) for d in (1, 2)]
+
+
+def test_ticker_checks():
+    assert market.parse_tickers(" aapl,, msft ", 2) == ["AAPL", "MSFT"]
+    for text, least in (("aapl", 2), (" ,", 1), ("", 1)):
+        with pytest.raises(ValueError, match="at least"):
+            market.parse_tickers(text, least)
+
+
+@pytest.mark.parametrize(("period", "end", "start"), [("6mo", dt.date(2001, 10, 29), dt.date(2001, 4, 29)), ("1mo", dt.date(2004, 3, 31), dt.date(2004, 2, 29)), ("2y", dt.date(2004, 2, 29), dt.date(2002, 2, 28)), ("5d", dt.date(2001, 1, 3), dt.date(2000, 12, 29))])
+def test_period_start(period, end, start):
+    assert market.period_start(end, period) == start
+
+
+def test_numbers_as_text(spark):
+    row = spark.createDataFrame([(0.125, 0.375, 0.1234, -0.05)], "a double, b double, c double, d double").select(fixed(F.col("a"), 2).alias("a"), fixed(F.col("b"), 2).alias("b"), percent(F.col("c")).alias("c"), percent(F.col("d"), 2).alias("d")).first()
+    assert tuple(row) == ("0.12", "0.38", "12.3%", "-5.00%")
+
+
+def test_scans_prune(spark, sf_dir):
+    plan = market.bars(spark, sf_dir, "6mo")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan and "Join" not in plan
+
+
+def test_too_many_tickers_for_a_matrix(spark, sf_dir, monkeypatch):
+    from tickerloom.operators.returns import aligned_returns
+
+    returns = aligned_returns(market.bars(spark, sf_dir))
+    monkeypatch.setattr(P, "MATRIX_TICKERS", 4)
+    with pytest.raises(Exception, match="measured_by_join"):
+        P.frontier(returns, 5).collect()

@@ -47,6 +47,16 @@ def mentions(items: Column, word: str) -> Column:
     return F.size(F.filter(items, lambda s: F.lower(s).contains(word)))
 
 
+def fixed(value: Column, digits: int, after: str = "") -> Column:
+    """A number as text with so many decimals; an exact half goes to the even digit."""
+    return F.format_string(f"%.{digits}f{after.replace('%', '%%')}", F.bround(value.cast("double"), digits))
+
+
+def percent(value: Column, digits: int = 1) -> Column:
+    """A share as text in percent."""
+    return fixed(value * 100, digits, "%")
+
+
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
     """Doubles (also in arrays) rounded, for results that are compared; -0.0 becomes 0.0."""
     out = []

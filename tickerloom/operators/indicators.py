@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.expr import full, listed, mentions, said
+from ..sources.market import since
 
 #: A block of the exponential average ends before (1 - alpha) ** -rows reaches e ** SPREAD.
 SPREAD = 230.0
@@ -145,13 +146,17 @@ def signals() -> Column:
     return F.transform(F.array(found), with_bias)[0]
 
 
-def technical(bars: DataFrame, min_bars: int = 22) -> DataFrame:
-    """The analysis of each ticker's last bar; tickers with fewer than ``min_bars`` bars have none."""
+def technical(bars: DataFrame, min_bars: int = 22, period: str | None = "6mo") -> DataFrame:
+    """The analysis of each ticker's last bar over the trailing ``period`` (None: all bars given).
+
+    Tickers with fewer than ``min_bars`` bars have none. A scan that already ends at the period needs no second one.
+    """
+    bars = since(bars, period) if period else bars
     last = latest(with_all(bars)).where(F.col("n_bars") >= min_bars)
     return last.withColumn("signals", signals())
 
 
-def technical_record(bars: DataFrame) -> DataFrame:
+def technical_record(bars: DataFrame, period: str | None = "6mo") -> DataFrame:
     """(ticker, technical): the nested record of an analysis."""
     names = ["rsi", "macd", "macd_signal", "macd_histogram", "bb_upper", "bb_lower", "volume_sma", F.col("volume").alias("current_volume"), "volume_ratio", "price_change_1d", "price_change_5d", "price_change_1mo", "resistance", "support"]
     record = F.struct(
@@ -162,4 +167,4 @@ def technical_record(bars: DataFrame) -> DataFrame:
         F.struct("high", "low", "open", "volume").alias("price_data"),
         F.struct("sma_20", "sma_50", "sma_200").alias("moving_averages"),
     )
-    return technical(bars).select("ticker", record.alias("technical"))
+    return technical(bars, period=period).select("ticker", record.alias("technical"))

@@ -1,7 +1,9 @@
 """Portfolio analytics: weighted returns, the Monte-Carlo frontier, optimal portfolios, performance.
 
-Weights and moments meet by ticker. Means and covariances of the chosen tickers fit one row, which
-is broadcast; each portfolio's return and volatility are then computed inside its own row.
+Weights and moments meet by ticker. Means and covariances of up to ``MATRIX_TICKERS`` tickers make one
+row, which is broadcast; each portfolio's return and volatility are then computed inside its own row.
+For more tickers there is no matrix: a portfolio's variance is that of its own return series, so
+weights and returns are joined by ticker (``measured_by_join``).
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .returns import aligned_returns, covariance, mean_returns
 
 YEAR = 252
 RISK_FREE = 0.04
 PORTFOLIOS = 10_000
+#: Tickers up to which the covariance matrix is one broadcast row (2 MB); with more, ``moments`` refuses.
+MATRIX_TICKERS = 512
 
 
 def moments(returns: DataFrame) -> DataFrame:
@@ -23,8 +28,10 @@ def moments(returns: DataFrame) -> DataFrame:
     means = mean_returns(returns).agg(F.sort_array(F.collect_list(F.struct("ticker", "mean_return"))).alias("m"))
     rows = covariance(returns).groupBy("ticker_i").agg(F.sort_array(F.collect_list(F.struct("ticker_j", "cov"))).alias("r"))
     matrix = rows.agg(F.sort_array(F.collect_list(F.struct("ticker_i", "r"))).alias("s"))
+    n = F.size("m")
+    too_many = F.raise_error(F.concat(n.cast("string"), F.lit(f" tickers; beyond {MATRIX_TICKERS} use measured_by_join")))
     return means.crossJoin(F.broadcast(matrix)).select(
-        F.col("m.ticker").alias("tickers"),
+        F.when(n <= MATRIX_TICKERS, F.col("m.ticker")).otherwise(too_many).alias("tickers"),
         F.col("m.mean_return").alias("mu"),
         F.transform("s", lambda row: F.transform(row["r"], lambda x: x["cov"])).alias("sigma"),
     )
@@ -44,6 +51,16 @@ def measured(portfolios: DataFrame, moment: DataFrame, risk_free: float = RISK_F
     return out.withColumn("sharpe_ratio", sharpe)
 
 
+def measured_by_join(weights: DataFrame, returns: DataFrame, risk_free: float = RISK_FREE) -> DataFrame:
+    """What ``measured`` gives, for portfolios as rows (portfolio_id, ticker, w) and any number of tickers.
+
+    One join by ticker; partial sums make each portfolio's return a date before the shuffle.
+    """
+    series = weights.join(returns, "ticker").groupBy("portfolio_id", "date").agg(F.sum(F.col("w") * F.col("ret")).alias("r"))
+    facts = series.groupBy("portfolio_id").agg((F.avg("r") * YEAR).alias("expected_return"), F.sqrt(F.var_samp("r") * YEAR).alias("volatility"))
+    return facts.withColumn("sharpe_ratio", F.when(F.col("volatility") > 0, (F.col("expected_return") - risk_free) / F.col("volatility")).otherwise(0.0))
+
+
 def equal_weights(moment: DataFrame) -> DataFrame:
     one = moment.select(F.lit(0).cast("long").alias("portfolio_id"), F.transform("tickers", lambda t: F.lit(1.0) / F.size("tickers")).alias("w"))
     return one
@@ -72,7 +89,7 @@ def frontier(returns: DataFrame, n: int = PORTFOLIOS, risk_free: float = RISK_FR
 
 
 def _best(portfolios: DataFrame, by: Column, highest: bool) -> DataFrame:
-    row = F.struct("portfolio_id", "tickers", "w", "expected_return", "volatility", "sharpe_ratio", "sigma")
+    row = F.struct("portfolio_id", "tickers", "w", "expected_return", "volatility", "sharpe_ratio")
     pick = F.max_by(row, F.struct(by, -F.col("portfolio_id"))) if highest else F.min_by(row, F.struct(by, F.col("portfolio_id")))
     return portfolios.agg(pick.alias("b")).select("b.*")
 
@@ -86,8 +103,9 @@ def min_volatility(portfolios: DataFrame) -> DataFrame:
     return _best(portfolios, F.col("volatility"), False)
 
 
-def diversification(best: DataFrame) -> DataFrame:
+def diversification(best: DataFrame, moment: DataFrame) -> DataFrame:
     """Root of the mean variance over the portfolio's volatility, neither annualised; 1 without volatility."""
+    best = best.select("w").crossJoin(F.broadcast(moment.select("sigma")))  # one row each
     mean_variance = F.aggregate(F.transform("sigma", lambda row, i: row[i]), F.lit(0.0), lambda s, x: s + x) / F.size("sigma")
     spread = F.sqrt(_dot(F.col("w"), F.transform("sigma", lambda row: _dot(row, F.col("w")))))
     return best.select(F.when(spread > 0, F.sqrt(mean_variance) / spread).otherwise(1.0).alias("diversification_ratio"))
@@ -105,8 +123,8 @@ def stock_metrics(moment: DataFrame, sharpe: DataFrame, calm: DataFrame, risk_fr
 def optimize(prices: DataFrame, weights: dict[str, float] | None = None, n: int = PORTFOLIOS, column: str = "close", risk_free: float = RISK_FREE) -> DataFrame:
     """One nested row: tickers, the current portfolio, both optima, stock metrics, diversification, the frontier."""
     returns = aligned_returns(prices, column)
-    moment = moments(returns)
-    cloud = frontier(returns, n, risk_free)
+    moment = written(moments(returns), "moments")  # one row, read by every part
+    cloud = measured(random_weights(prices.sparkSession, moment, n), moment, risk_free)
     best, calm = max_sharpe(cloud), min_volatility(cloud)
     current = measured(given_weights(moment, weights) if weights else equal_weights(moment), moment, risk_free)
 
@@ -118,7 +136,7 @@ def optimize(prices: DataFrame, weights: dict[str, float] | None = None, n: int
     points = cloud.agg(F.sort_array(F.collect_list(F.struct("portfolio_id", "expected_return", "volatility", "sharpe_ratio"))).alias("p"))
     lists = points.select(F.struct(F.col("p.expected_return").alias("returns"), F.col("p.volatility").alias("volatilities"), F.col("p.sharpe_ratio").alias("sharpe_ratios")).alias("efficient_frontier"))
     out = moment.select("tickers")
-    for part in (record(current, "current_portfolio"), record(best, "max_sharpe"), record(calm, "min_volatility"), by_ticker, diversification(best), lists):
+    for part in (record(current, "current_portfolio"), record(best, "max_sharpe"), record(calm, "min_volatility"), by_ticker, diversification(best, moment), lists):
         out = out.crossJoin(F.broadcast(part))  # one row each
     return out.withColumn("optimized_portfolios", F.struct("max_sharpe", "min_volatility")).drop("max_sharpe", "min_volatility")
 

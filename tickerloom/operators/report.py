@@ -7,12 +7,15 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import listed, mentions, or_else, said
+from ..functions.expr import fixed, listed, mentions, or_else, said
 from .health import health_record
 from .indicators import technical_record
 from .valuation import valuation
 
 
+# The sentences, labels and headings below are fixed values.
+
+
 def _signals() -> Column:
     return F.coalesce(F.col("technical.signals"), F.array().cast("array<string>"))
 
@@ -68,13 +71,14 @@ def with_risks(df: DataFrame) -> DataFrame:
     return out.withColumn("risk", record).drop("_h", "_m", "_l")
 
 
-def reports(bars: DataFrame, statements: DataFrame, info: DataFrame, peers: DataFrame, as_of: date, group: str | None = None) -> DataFrame:
+def reports(bars: DataFrame, statements: DataFrame, info: DataFrame, peers: DataFrame, as_of: date, group: str | None = None, period: str | None = "6mo") -> DataFrame:
     """The full report of every ticker of ``info``: valuation, health, technical, recommendation, risk.
 
     Sections are built once for all tickers and joined by ticker; a section that does not apply is NULL.
+    ``period`` is the technical section's (None: all bars given, as after a scan of that period).
     """
     out = valuation(statements, info, peers, group)
-    out = out.join(health_record(statements, info, as_of), "ticker", "left").join(technical_record(bars), "ticker", "left")
+    out = out.join(health_record(statements, info, as_of), "ticker", "left").join(technical_record(bars, period), "ticker", "left")
     out = with_risks(with_recommendation(out))
     section = F.struct("dcf", F.col("comps").alias("comparable_analysis"), F.col("graham").alias("graham_analysis"), "summary")
     return out.withColumn("valuation", section)
@@ -97,7 +101,7 @@ def ranked(compared: DataFrame) -> DataFrame:
 
 def report_text(full: DataFrame, generated: datetime) -> DataFrame:
     """(ticker, value): the readable summary."""
-    number = lambda c, f: F.format_string(f, or_else(F.col(c), 0.0))
+    number = lambda c, digits: fixed(or_else(F.col(c), 0.0), digits)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
     line = lambda label, value, after="": F.concat(F.lit(label), value, F.lit(after))
 
@@ -108,12 +112,12 @@ def report_text(full: DataFrame, generated: datetime) -> DataFrame:
         *titled("STOCK ANALYSIS REPORT", "="), F.lit(""),
         line("Ticker: ", F.col("ticker")), line("Generated: ", F.lit(generated.strftime("%Y-%m-%d %H:%M:%S")), "\n"),
         line("RECOMMENDATION: ", text("recommendation.recommendation")), line("Confidence: ", text("recommendation.confidence")),
-        line("Score: ", number("recommendation.score", "%.1f"), "/100\n"), line("Rationale: ", text("recommendation.rationale"), "\n"),
+        line("Score: ", number("recommendation.score", 1), "/100\n"), line("Rationale: ", text("recommendation.rationale"), "\n"),
         *titled("VALUATION SUMMARY", "-"),
-        line("Current Price: $", number("summary.current_price", "%.2f")), line("Fair Value: $", number("summary.average_fair_value", "%.2f")),
-        line("Upside: ", number("summary.average_upside", "%.1f"), "%"), line("Undervalued: ", F.when(or_else(F.col("summary.is_undervalued"), False), "Yes").otherwise("No"), "\n"),
+        line("Current Price: $", number("summary.current_price", 2)), line("Fair Value: $", number("summary.average_fair_value", 2)),
+        line("Upside: ", number("summary.average_upside", 1), "%"), line("Undervalued: ", F.when(or_else(F.col("summary.is_undervalued"), False), "Yes").otherwise("No"), "\n"),
         *titled("FINANCIAL HEALTH", "-"),
-        line("Score: ", number("health.health_score", "%.2f"), "/1.0"), line("Status: ", text("health.health_status"), "\n"),
+        line("Score: ", number("health.health_score", 2), "/1.0"), line("Status: ", text("health.health_status"), "\n"),
         *titled("RISK ASSESSMENT", "-"),
         line("Overall Risk: ", text("risk.overall_risk")),
         *[line(f"{level.title()} Risks: ", F.col(f"risk.risk_counts.{level}").cast("string")) for level in ("high", "medium", "low")],

@@ -40,12 +40,10 @@ def mean_returns(returns: DataFrame) -> DataFrame:
 def covariance(returns: DataFrame) -> DataFrame:
     """(ticker_i, ticker_j, cov): sample covariances of every pair of tickers.
 
-    A date's returns are gathered once (as many as there are tickers) and pairs form inside the
-    row, which partial aggregation folds before the shuffle by pair; one half is computed and
-    mirrored.
+    Two narrow sides meet by date, each pair once; partial aggregation folds pairs before the shuffle by
+    pair, and the other half is mirrored.
     """
-    vectors = returns.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ticker", "ret"))).alias("v"))
-    pairs = vectors.select(F.posexplode("v").alias("at", "i"), "v").select("i", F.explode(F.slice("v", F.col("at") + 1, F.size("v"))).alias("j"))
-    half = pairs.groupBy(F.col("i.ticker").alias("a"), F.col("j.ticker").alias("b")).agg(F.covar_samp("i.ret", "j.ret").alias("cov"))
+    a, b = (returns.select("date", F.col("ticker").alias(c), F.col("ret").alias(f"r{c}")) for c in "ab")
+    half = a.join(b, "date").where("a <= b").groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
     ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return half.select("cov", F.explode(ways).alias("p")).select(F.col("p.a").alias("ticker_i"), F.col("p.b").alias("ticker_j"), "cov")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CIK_JSON, DIGITS, WEIGHTS
+from .queries import CIK_JSON, DIGITS, WANTED, WEIGHTS
 
 
 def _bars(name: str, ticker: str) -> str:
@@ -19,6 +19,7 @@ def _bars(name: str, ticker: str) -> str:
 
 BARS = _bars("bars", "'T' || (l_suppkey % 5)")
 COMPANY_BARS = _bars("bars", "'S' || l_suppkey")
+RECENT_BARS = _bars("all_bars", "'S' || l_suppkey") + ", bars AS (SELECT * FROM all_bars WHERE date >= (SELECT max(date) FROM all_bars) - INTERVAL 6 MONTH)"
 
 
 def _out(select: str, doubles: str = "", ctes: str = "") -> str:
@@ -162,7 +163,7 @@ SUMMARY = SECTOR + """,
            SELECT ticker, 'Comparables', implied_price, upside, 2, current_price FROM cp WHERE implied_price > 0 UNION ALL
            SELECT ticker, 'Graham', intrinsic_value, (intrinsic_value * 0.75 - current_price) / current_price * 100, 3, current_price FROM gr WHERE intrinsic_value > 0),
     sm AS (SELECT ticker, any_value(current_price) AS current_price, avg(value) AS average_fair_value, avg(upside) AS average_upside, avg(value) > any_value(current_price) AS is_undervalued, min(value) AS range_min, max(value) AS range_max FROM iv GROUP BY ticker)"""
-REPORT = COMPANY_BARS + "," + INDICATORS + "," + HEALTH + "," + SUMMARY.replace(COMPANIES + "," + ITEMS + "," + INFO, ITEMS) + """,
+REPORT = RECENT_BARS + "," + INDICATORS + "," + HEALTH + "," + SUMMARY.replace(COMPANIES + "," + ITEMS + "," + INFO, ITEMS) + """,
     re0 AS (SELECT inf.ticker, sm.current_price, sm.average_fair_value, sm.average_upside, coalesce(sm.is_undervalued, false) AS uv, he.health_score, he.health_status, coalesce(he.risks, []) AS hr, dcf.fcf AS dfcf, tech.rsi, coalesce(tech.signals, []) AS sig,
             len(list_filter(coalesce(tech.signals, []), lambda x: contains(lower(x), 'bullish'))) AS bu, len(list_filter(coalesce(tech.signals, []), lambda x: contains(lower(x), 'bearish'))) AS be
             FROM inf LEFT JOIN sm ON sm.ticker = inf.ticker LEFT JOIN he ON he.ticker = inf.ticker LEFT JOIN dcf ON dcf.ticker = inf.ticker LEFT JOIN tech ON tech.ticker = inf.ticker),
@@ -182,6 +183,19 @@ def _pick(best: str) -> str:
     return _out(f"SELECT m.portfolio_id, any_value(expected_return) AS expected_return, any_value(volatility) AS volatility, any_value(sharpe_ratio) AS sharpe_ratio, {_WIDE} FROM m JOIN {best} USING (portfolio_id) JOIN w ON w.pid = m.portfolio_id JOIN mu ON mu.ticker = w.ticker GROUP BY m.portfolio_id", f"{_FACTS} w0 w1 w2 w3 w4", BARS + "," + CLOUD)
 
 
+_RECORD = "SELECT ticker, close AS current_price, rsi, macd, macd_signal, macd_histogram, bb_upper, bb_lower, volume_sma, volume AS current_volume, volume_ratio, price_change_1d, price_change_5d, price_change_1mo, resistance, support, high, low, open, volume, sma_20, sma_50, sma_200, CAST(len(signals) AS INTEGER) AS n_signals FROM tech"
+_RECORD_DOUBLES = "current_price rsi macd macd_signal macd_histogram bb_upper bb_lower volume_sma volume_ratio price_change_1d price_change_5d price_change_1mo resistance support high low open sma_20 sma_50 sma_200"
+_WHY = """CASE WHEN uv THEN 'Stock appears undervalued based on multiple valuation methods.' ELSE 'Stock appears fairly valued or overvalued.' END || ' ' ||
+        CASE health_status WHEN 'Excellent' THEN 'Excellent financial health with strong fundamentals.' WHEN 'Good' THEN 'Good financial health with solid fundamentals.' WHEN 'Fair' THEN 'Fair financial health, monitor closely.' ELSE 'Poor financial health, significant risks present.' END ||
+        CASE WHEN bu > 0 THEN ' Technical indicators show bullish momentum.' WHEN be > 0 THEN ' Technical indicators show bearish momentum.' ELSE '' END"""
+_FULL = """SELECT re.*, dcf.fair_value AS dcf_value, cp.implied_price, gr.intrinsic_value, he.current_ratio, coalesce(he.long_name, he.ticker) AS company_name, tech.macd, tech.close AS price
+        FROM re LEFT JOIN dcf ON dcf.ticker = re.ticker LEFT JOIN cp ON cp.ticker = re.ticker LEFT JOIN gr ON gr.ticker = re.ticker LEFT JOIN he ON he.ticker = re.ticker LEFT JOIN tech ON tech.ticker = re.ticker"""
+
+
+def _facts(name: str, source: str) -> str:
+    return ", ".join(f"(SELECT {f} FROM {source}) AS {name}_{f}" for f in _FACTS.split())
+
+
 ORACLES = {
     "latest_averages": _out(f"SELECT ticker, date, close, sma_20, sma_50, sma_200 FROM (SELECT *, {_roll('avg', 'close', 20)} AS sma_20, {_roll('avg', 'close', 50)} AS sma_50, {_roll('avg', 'close', 200)} AS sma_200, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS b FROM bars) WHERE b = 1", "close sma_20 sma_50 sma_200", BARS),
     "weekly_bars": _out("SELECT * FROM bars", _PRICES, BARS),
@@ -200,7 +214,9 @@ ORACLES = {
     "momentum_1_5_21": _out("SELECT ticker, date, price_change_1d, price_change_5d, price_change_1mo FROM ind", "price_change_1d price_change_5d price_change_1mo", BARS + "," + INDICATORS),
     "support_resistance": _out("SELECT ticker, date, resistance, support FROM ind", "resistance support", BARS + "," + INDICATORS),
     "technical_signals": _out("SELECT ticker, array_to_string(signals, '|') AS signals FROM tech", "", COMPANY_BARS + "," + INDICATORS),
-    "technical_record": _out("SELECT ticker, close AS current_price, rsi, macd, macd_signal, macd_histogram, bb_upper, bb_lower, volume_sma, volume AS current_volume, volume_ratio, price_change_1d, price_change_5d, price_change_1mo, resistance, support, high, low, open, volume, sma_20, sma_50, sma_200, CAST(len(signals) AS INTEGER) AS n_signals FROM tech", "current_price rsi macd macd_signal macd_histogram bb_upper bb_lower volume_sma volume_ratio price_change_1d price_change_5d price_change_1mo resistance support high low open sma_20 sma_50 sma_200", COMPANY_BARS + "," + INDICATORS),
+    "technical_signals_6mo": _out("SELECT ticker, array_to_string(signals, '|') AS signals FROM tech", "", RECENT_BARS + "," + INDICATORS),
+    "technical_record": _out(_RECORD, _RECORD_DOUBLES, COMPANY_BARS + "," + INDICATORS),
+    "technical_record_6mo": _out(_RECORD, _RECORD_DOUBLES, RECENT_BARS + "," + INDICATORS),
     "daily_returns": _out("SELECT * FROM ret", "ret", BARS + "," + RETURNS),
     "aligned_returns": _out("SELECT * FROM al", "ret", BARS + "," + RETURNS),
     "mean_returns": _out("SELECT ticker, m AS mean_return FROM mu", "mean_return", BARS + "," + MOMENTS),
@@ -212,6 +228,16 @@ ORACLES = {
     "stock_metrics": _out("SELECT mu.ticker, (SELECT w.w FROM w, bs WHERE w.pid = bs.portfolio_id AND w.ticker = mu.ticker) AS weight_max_sharpe, (SELECT w.w FROM w, bv WHERE w.pid = bv.portfolio_id AND w.ticker = mu.ticker) AS weight_min_vol, m * 252 AS annual_return, sqrt(cov * 252) AS annual_volatility, (m * 252 - 0.04) / sqrt(cov * 252) AS sharpe_ratio FROM mu JOIN sg ON sg.ticker_i = mu.ticker AND sg.ticker_j = mu.ticker", "weight_max_sharpe weight_min_vol annual_return annual_volatility sharpe_ratio", BARS + "," + CLOUD),
     "equal_weight_portfolio": _out("SELECT * FROM m", _FACTS, BARS + "," + MOMENTS + "," + _measure("w AS (SELECT CAST(0 AS BIGINT) AS pid, ticker, 1.0 / (SELECT count(*) FROM mu) AS w FROM mu)")),
     "custom_weight_portfolio": _out("SELECT * FROM m", _FACTS, BARS + "," + MOMENTS + "," + _measure(f"w AS (SELECT CAST(0 AS BIGINT) AS pid, v.ticker, CAST(v.w AS DOUBLE) AS w FROM (VALUES {_GIVEN}) v(ticker, w))")),
+    "portfolio_by_join": _out("SELECT * FROM m", _FACTS, BARS + "," + MOMENTS + "," + _measure(f"w AS (SELECT CAST(0 AS BIGINT) AS pid, v.ticker, CAST(v.w AS DOUBLE) AS w FROM (VALUES {_GIVEN}) v(ticker, w))")),
+    "portfolio_text": _out("""SELECT 'Expected Return: ' || printf('%.1f%%', expected_return * 100) || chr(10) || 'Volatility: ' || printf('%.1f%%', volatility * 100) || chr(10) || 'Sharpe Ratio: ' || printf('%.2f', sharpe_ratio) || chr(10) ||
+        (SELECT string_agg('    ' || w.ticker || ': ' || printf('%.1f%%', w.w * 100), chr(10) ORDER BY w.ticker) FROM w, bs WHERE w.pid = bs.portfolio_id) AS value FROM m JOIN bs USING (portfolio_id)""", "", BARS + "," + CLOUD),
+    "portfolio_result": _out(f"""SELECT 'portfolio_20020101_000000.json' AS file, '["T0","T1","T2","T3","T4"]' AS tickers, {_facts("current", "eq")}, {_facts("best", "m JOIN bs USING (portfolio_id)")}, {_facts("calm", "m JOIN bv USING (portfolio_id)")},
+        (SELECT (SELECT sqrt(avg(cov)) FROM sg WHERE ticker_i = ticker_j) / v0 FROM vo JOIN bs ON vo.pid = bs.portfolio_id) AS diversification_ratio, (SELECT w.w FROM w, bs WHERE w.pid = bs.portfolio_id AND w.ticker = 'T1') AS best_w1,
+        (SELECT sqrt(cov * 252) FROM sg WHERE ticker_i = 'T3' AND ticker_j = 'T3') AS t3_volatility, CAST((SELECT count(*) FROM m) AS INTEGER) AS n_points, (SELECT max(expected_return) FROM m) AS highest_return, (SELECT min(volatility) FROM m) AS lowest_volatility, (SELECT max(sharpe_ratio) FROM m) AS highest_sharpe""",
+        "current_expected_return current_volatility current_sharpe_ratio best_expected_return best_volatility best_sharpe_ratio calm_expected_return calm_volatility calm_sharpe_ratio diversification_ratio best_w1 t3_volatility highest_return lowest_volatility highest_sharpe",
+        BARS + "," + CLOUD + """,
+        e0 AS (SELECT (SELECT avg(m) FROM mu) * 252 AS expected_return, (SELECT sqrt(sum(cov) / 25 * 252) FROM sg) AS volatility),
+        eq AS (SELECT *, (expected_return - 0.04) / volatility AS sharpe_ratio FROM e0)"""),
     "portfolio_returns": _out("SELECT * FROM s", "ret", BARS + "," + SERIES),
     "drawdown_series": _out("SELECT date, ret, cumulative, peak, (cumulative - peak) / peak AS drawdown FROM dd", "ret cumulative peak drawdown", BARS + "," + SERIES),
     "portfolio_metrics": _out("""SELECT total_return, annual_return, annual_volatility, (annual_return - 0.04) / annual_volatility AS sharpe_ratio, (annual_return - 0.04) / downside AS sortino_ratio, annual_return / abs(max_drawdown) AS calmar_ratio, max_drawdown, win_rate, avg_win, avg_loss, profit_factor
@@ -234,12 +260,28 @@ ORACLES = {
     "valuation_summary": _out("SELECT * FROM sm", "current_price average_fair_value average_upside range_min range_max", SUMMARY),
     "individual_valuations": _out("SELECT ticker, method, value, upside FROM iv", "value upside", SUMMARY),
     "recommendation": _out("SELECT ticker, score, recommendation, confidence FROM re", "score", REPORT),
-    "rationale": _out("""SELECT ticker, CASE WHEN uv THEN 'Stock appears undervalued based on multiple valuation methods.' ELSE 'Stock appears fairly valued or overvalued.' END || ' ' ||
-        CASE health_status WHEN 'Excellent' THEN 'Excellent financial health with strong fundamentals.' WHEN 'Good' THEN 'Good financial health with solid fundamentals.' WHEN 'Fair' THEN 'Fair financial health, monitor closely.' ELSE 'Poor financial health, significant risks present.' END ||
-        CASE WHEN bu > 0 THEN ' Technical indicators show bullish momentum.' WHEN be > 0 THEN ' Technical indicators show bearish momentum.' ELSE '' END AS rationale FROM re""", "", REPORT),
+    "rationale": _out(f"SELECT ticker, {_WHY} AS rationale FROM re", "", REPORT),
     "risk_assessment": _out("SELECT ticker, array_to_string(hi, '|') AS high_risks, array_to_string(me, '|') AS medium_risks, array_to_string(lo, '|') AS low_risks, CAST(total AS INTEGER) AS total_risks, overall_risk FROM re", "", REPORT),
     "stock_report": _out("SELECT ticker, average_fair_value, health_status, rsi, recommendation, score, overall_risk FROM re", "average_fair_value rsi score", REPORT),
     "compare_ranked": _out("SELECT ticker, coalesce(current_price, 0.0) AS current_price, coalesce(average_fair_value, 0.0) AS fair_value, coalesce(average_upside, 0.0) AS upside_pct, coalesce(health_score, 0.0) AS health_score, recommendation, score AS overall_score FROM re", "current_price fair_value upside_pct health_score overall_score", REPORT),
+    "report_json": _out(f"""SELECT ticker || '_analysis_20020101_000000.json' AS file, ticker, '2002-01-01 00:00:00' AS generated_date, dcf_value, implied_price, intrinsic_value, average_fair_value AS fair_value, health_score, current_ratio, company_name, macd, price, recommendation, score, CAST(len(hi) AS INTEGER) AS high, overall_risk FROM ({_FULL})""",
+        "dcf_value implied_price intrinsic_value fair_value health_score current_ratio macd price score", REPORT),
+    "report_text": _out(f"""SELECT ticker, 'STOCK ANALYSIS REPORT' || chr(10) || repeat('=', 21) || chr(10) || chr(10) || 'Ticker: ' || ticker || chr(10) || 'Generated: 2002-01-01 00:00:00' || chr(10) || chr(10) ||
+        'RECOMMENDATION: ' || recommendation || chr(10) || 'Confidence: ' || confidence || chr(10) || 'Score: ' || printf('%.1f', score::DOUBLE) || '/100' || chr(10) || chr(10) || 'Rationale: ' || {_WHY} || chr(10) || chr(10) ||
+        'VALUATION SUMMARY' || chr(10) || repeat('-', 17) || chr(10) || 'Current Price: $' || printf('%.2f', coalesce(current_price, 0)::DOUBLE) || chr(10) || 'Fair Value: $' || printf('%.2f', coalesce(average_fair_value, 0)::DOUBLE) || chr(10) ||
+        'Upside: ' || printf('%.1f', coalesce(average_upside, 0)::DOUBLE) || '%' || chr(10) || 'Undervalued: ' || CASE WHEN uv THEN 'Yes' ELSE 'No' END || chr(10) || chr(10) ||
+        'FINANCIAL HEALTH' || chr(10) || repeat('-', 16) || chr(10) || 'Score: ' || printf('%.2f', coalesce(health_score, 0)::DOUBLE) || '/1.0' || chr(10) || 'Status: ' || coalesce(health_status, 'N/A') || chr(10) || chr(10) ||
+        'RISK ASSESSMENT' || chr(10) || repeat('-', 15) || chr(10) || 'Overall Risk: ' || overall_risk || chr(10) || 'High Risks: ' || len(hi) || chr(10) || 'Medium Risks: ' || len(me) || chr(10) || 'Low Risks: ' || len(lo) || chr(10) AS value FROM re""", "", REPORT),
+    "analysis_results": _out("""SELECT ticker, DATE '2002-01-01' AS analysis_date, 'valuation' AS analysis_type, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS recommendation, average_fair_value AS fair_value, CAST(NULL AS VARCHAR) AS health_status, CAST(NULL AS DOUBLE) AS rsi, CAST(NULL AS VARCHAR) AS confidence FROM re
+        UNION ALL SELECT ticker, DATE '2002-01-01', 'health', health_score, NULL, NULL, health_status, NULL, NULL FROM re
+        UNION ALL SELECT re.ticker, DATE '2002-01-01', 'technical', NULL, NULL, NULL, NULL, re.rsi, NULL FROM re JOIN tech ON tech.ticker = re.ticker
+        UNION ALL SELECT ticker, DATE '2002-01-01', 'recommendation', score, recommendation, NULL, NULL, NULL, confidence FROM re""", "score fair_value rsi", REPORT),
+    "refresh_tickers": _out("""SELECT 'S' || k AS ticker, coalesce(long_name, i.ticker) AS name, coalesce(sector, 'Unknown') AS sector, coalesce(industry, 'Unknown') AS industry, country, cap AS market_cap, '2001-01-01' AS last_updated, 2 * n AS n_rows, n AS n_days
+        FROM inf i JOIN (SELECT ticker AS t, count(*) AS n FROM bars WHERE date >= (SELECT max(date) FROM bars) - INTERVAL 1 YEAR GROUP BY 1) ON t = i.ticker WHERE k % 2 = 0""", "market_cap", COMPANY_BARS + "," + COMPANIES + "," + INFO),
+    "company_lookup": _out("SELECT ticker, s_name AS name, r_name AS sector, n_name AS industry, n_name AS country, price * shares AS market_cap FROM co WHERE k = 3", "market_cap", COMPANIES),
+    "ticker_checks": f"SELECT * FROM (VALUES ('{WANTED}', true, true), ('aapl', false, true), (' , ,', false, false), ('A,b', true, true)) v(tickers, portfolio, comparison)",
+    "filing_requests": """SELECT ticker, lpad(n, 10, '0') AS cik, '10-Q' AS filing_type, 'https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK=' || lpad(n, 10, '0') || '&type=10-Q&count=3' AS url, 'https://www.sec.gov/Archives/edgar/data/' || lpad(n, 10, '0') || '/20010203/' AS text_url
+        FROM (VALUES ('AAPL', '320193'), ('MSFT', '789019'), ('AMZN', '1018724')) v(ticker, n)""",
     "price_append_dedup": _out("SELECT * FROM bars", _PRICES, BARS),
     "company_upsert": _out("SELECT ticker, s_name AS name, r_name AS sector, n_name AS industry, n_name AS country, price * shares * CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS market_cap, CASE WHEN k % 3 <> 0 THEN '2001-01-01' ELSE '2002-01-01' END AS last_updated FROM co WHERE k % 3 <> 0 OR k % 2 = 0", "market_cap", COMPANIES),
     "filing_dates": """SELECT page_id, found, CAST(sequence AS INTEGER) AS sequence FROM (SELECT page_id, unnest(m) AS found, generate_subscripts(m, 1) AS sequence FROM (SELECT page_id, list_slice(regexp_extract_all(html, 'href="([^"]*)"', 1), 1, 5) AS m FROM pages))""",

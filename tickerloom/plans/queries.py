@@ -6,17 +6,18 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import rounded
+from ..functions.expr import fixed, percent, rounded
 from ..operators import health as H
 from ..operators import indicators as I
 from ..operators import portfolio as P
 from ..operators import report as R
 from ..operators import returns as T
 from ..operators import valuation as V
-from ..sources import filings, market, sinks
+from ..sources import filings, market, sinks, tables
 from ..streaming.bars import window_bars
 
 AS_OF = date(2002, 1, 1)
+GENERATED = datetime(2002, 1, 1)
 #: Weights of the given portfolio.
 WEIGHTS = {"T0": 0.4, "T1": 0.3, "T2": 0.15, "T3": 0.1, "T4": 0.05}
 CIK_JSON = '{"0": {"cik_str": "320193", "ticker": "AAPL", "title": "A"}, "1": {"cik_str": "789019", "ticker": "MSFT", "title": "M"}, "1018724": {"ticker": "AMZN", "title": "Z"}}'
@@ -45,14 +46,15 @@ def _peers(info):
 
 
 def _models(spark, d):
-    info = market.company_info(spark, d)
-    sector = _peers(info)
-    return market.statement_items(spark, d), sector, sector
+    """Statements, info and peers on one stored base, so that the lines are summed once for all models."""
+    base = tables.written(market.company_base(spark, d), "companies")
+    sector = _peers(market.company_info(spark, d, base))
+    return market.statement_items(spark, d, base), sector, sector
 
 
 def _reports(spark, d):
     statements, info, peers = _models(spark, d)
-    return R.reports(market.company_bars(spark, d), statements, info, peers, AS_OF, "peer_group")
+    return R.reports(market.company_bars(spark, d, "6mo"), statements, info, peers, AS_OF, "peer_group", None)
 
 
 def _flat(items, sep="|"):
@@ -72,12 +74,12 @@ def weekly_bars(spark, d):
 
 @query
 def price_scan_period(spark, d):
-    return market.since(market.bars(spark, d), "6mo")
+    return market.bars(spark, d, "6mo")
 
 
 @query
 def adjusted_scan_365d(spark, d):
-    return market.last_days(market.bars(spark, d)).where(F.col("ticker").isin("T1", "T3")).select("ticker", "date", "adjusted_close")
+    return market.bars(spark, d, days=365).where(F.col("ticker").isin("T1", "T3")).select("ticker", "date", "adjusted_close")
 
 
 @money_query
@@ -142,13 +144,27 @@ def support_resistance(spark, d):
 
 @query
 def technical_signals(spark, d):
+    return I.technical(market.company_bars(spark, d), period=None).select("ticker", _flat("signals").alias("signals"))
+
+
+@query
+def technical_signals_6mo(spark, d):
     return I.technical(market.company_bars(spark, d)).select("ticker", _flat("signals").alias("signals"))
 
 
+def _record(bars):
+    t = I.technical_record(bars, None).select("technical.*")
+    return t.select("ticker", "current_price", "indicators.*", "price_data.*", "moving_averages.*", F.size("signals").alias("n_signals"))
+
+
 @query
 def technical_record(spark, d):
-    t = I.technical_record(market.company_bars(spark, d)).select("technical.*")
-    return t.select("ticker", "current_price", "indicators.*", "price_data.*", "moving_averages.*", F.size("signals").alias("n_signals"))
+    return _record(market.company_bars(spark, d))
+
+
+@query
+def technical_record_6mo(spark, d):
+    return _record(market.company_bars(spark, d, "6mo"))
 
 
 @query
@@ -172,8 +188,9 @@ def cov_matrix(spark, d):
 
 
 def _cloud(spark, d):
-    returns = T.aligned_returns(market.bars(spark, d))
-    return returns, P.frontier(returns)
+    """The moments, one stored row, and the frontier measured with them."""
+    moment = tables.written(P.moments(T.aligned_returns(market.bars(spark, d))), "moments")
+    return moment, P.measured(P.random_weights(spark, moment), moment)
 
 
 _FACTS = ("portfolio_id", "expected_return", "volatility", "sharpe_ratio")
@@ -200,13 +217,28 @@ def min_volatility(spark, d):
 
 @query
 def diversification_ratio(spark, d):
-    return P.diversification(P.max_sharpe(_cloud(spark, d)[1]))
+    moment, cloud = _cloud(spark, d)
+    return P.diversification(P.max_sharpe(cloud), moment)
 
 
 @query
 def stock_metrics(spark, d):
-    returns, cloud = _cloud(spark, d)
-    return P.stock_metrics(P.moments(returns), P.max_sharpe(cloud), P.min_volatility(cloud))
+    moment, cloud = _cloud(spark, d)
+    return P.stock_metrics(moment, P.max_sharpe(cloud), P.min_volatility(cloud))
+
+
+@query
+def portfolio_text(spark, d):
+    best = P.max_sharpe(_cloud(spark, d)[1])
+    line = lambda label, value: F.concat(F.lit(label), value)
+    weights = F.transform(F.arrays_zip("tickers", "w"), lambda x: F.concat(F.lit("    "), x["tickers"], F.lit(": "), percent(x["w"])))
+    return best.select(F.concat_ws("\n", line("Expected Return: ", percent(F.col("expected_return"))), line("Volatility: ", percent(F.col("volatility"))), line("Sharpe Ratio: ", fixed(F.col("sharpe_ratio"), 2)), F.concat_ws("\n", weights)).alias("value"))
+
+
+@query
+def portfolio_by_join(spark, d):
+    weights = spark.range(1).select(F.lit(0).cast("long").alias("portfolio_id"), F.explode(F.array(*[F.struct(F.lit(t).alias("ticker"), F.lit(w).alias("w")) for t, w in WEIGHTS.items()])).alias("x")).select("portfolio_id", "x.*")
+    return P.measured_by_join(weights, T.aligned_returns(market.bars(spark, d))).select(*_FACTS)
 
 
 @query
@@ -221,10 +253,21 @@ def custom_weight_portfolio(spark, d):
     return P.measured(P.given_weights(moment, WEIGHTS), moment).select(*_FACTS)
 
 
+def _json(path, kind="double"):
+    return F.get_json_object("value", path).cast(kind)
+
+
 @query
 def portfolio_result(spark, d):
-    out = P.optimize(market.bars(spark, d))
-    return out.select(F.array_join("tickers", ",").alias("tickers"), F.to_json(F.struct("current_portfolio", "optimized_portfolios", "stock_metrics", "diversification_ratio")).alias("record"), F.size("efficient_frontier.returns").alias("n_points"))
+    """The result record, written as JSON and read back where SQL can follow it."""
+    out = sinks.portfolio_json(P.optimize(market.bars(spark, d)), GENERATED)
+    parts = {"current": "current_portfolio", "best": "optimized_portfolios.max_sharpe", "calm": "optimized_portfolios.min_volatility"}
+    facts = [_json(f"$.{path}.{f}").alias(f"{name}_{f}") for name, path in parts.items() for f in _FACTS[1:]]
+    frontier = [F.from_json(F.get_json_object("value", f"$.efficient_frontier.{f}"), "array<double>").alias(f) for f in ("returns", "volatilities", "sharpe_ratios")]
+    return out.select(
+        "file", _json("$.tickers", "string").alias("tickers"), *facts, _json("$.diversification_ratio").alias("diversification_ratio"),
+        _json("$.optimized_portfolios.max_sharpe.weights[1]").alias("best_w1"), _json("$.stock_metrics.T3.annual_volatility").alias("t3_volatility"), *frontier,
+    ).select("*", F.size("returns").alias("n_points"), F.array_max("returns").alias("highest_return"), F.array_min("volatilities").alias("lowest_volatility"), F.array_max("sharpe_ratios").alias("highest_sharpe")).drop("returns", "volatilities", "sharpe_ratios")
 
 
 def _series(spark, d):
@@ -362,36 +405,111 @@ def stock_report(spark, d):
 
 @money_query
 def compare_ranked(spark, d):
-    return R.ranked(R.comparison(_reports(spark, d)))
+    # sorting by range reads its input twice: once for the bounds
+    return R.ranked(tables.written(R.comparison(_reports(spark, d)), "compared"))
 
 
-@query
+@money_query
 def report_json(spark, d):
-    return sinks.report_json(_reports(spark, d))
+    """The report documents, written under their names and read back where SQL can follow them."""
+    folder = tables.work_path(spark, "reports")
+    sinks.write_documents(sinks.report_json(_reports(spark, d), GENERATED), folder)
+    stored = spark.read.schema("value string, file string").text(folder)
+    valuation = "$.sections.valuation"
+    return stored.select(
+        "file", _json("$.ticker", "string").alias("ticker"), _json("$.generated_date", "string").alias("generated_date"),
+        _json(f"{valuation}.dcf.fair_value").alias("dcf_value"), _json(f"{valuation}.comparable_analysis.implied_price").alias("implied_price"),
+        _json(f"{valuation}.graham_analysis.intrinsic_value").alias("intrinsic_value"), _json(f"{valuation}.summary.average_fair_value").alias("fair_value"),
+        _json("$.sections.financial_health.health_score").alias("health_score"), _json("$.sections.financial_health.ratios.current_ratio").alias("current_ratio"),
+        _json("$.sections.financial_health.company_name", "string").alias("company_name"), _json("$.sections.technical_analysis.indicators.macd").alias("macd"),
+        _json("$.sections.technical_analysis.current_price").alias("price"), _json("$.investment_recommendation.recommendation", "string").alias("recommendation"),
+        _json("$.investment_recommendation.score").alias("score"), _json("$.risk_assessment.risk_counts.high", "int").alias("high"), _json("$.risk_assessment.overall_risk", "string").alias("overall_risk"),
+    )
 
 
 @query
 def report_text(spark, d):
-    return R.report_text(_reports(spark, d), datetime(2002, 1, 1))
+    return R.report_text(_reports(spark, d), GENERATED)
 
 
-@query
+@money_query
 def analysis_results(spark, d):
-    return sinks.analysis_results(_reports(spark, d), AS_OF)
+    """Rows of the results table, appended, and read back where SQL can follow them."""
+    store = tables.Store(spark, tables.work_path(spark, "store"))
+    store.create()
+    store.add_results(sinks.analysis_results(_reports(spark, d), AS_OF))
+    value = lambda path, kind: F.get_json_object("result_data", path).cast(kind)
+    return store.read("analysis_results").select(
+        "ticker", "analysis_date", "analysis_type", "score", "recommendation", value("$.summary.average_fair_value", "double").alias("fair_value"),
+        value("$.health_status", "string").alias("health_status"), value("$.indicators.rsi", "double").alias("rsi"), value("$.confidence", "string").alias("confidence"),
+    )
 
 
 @query
 def price_append_dedup(spark, d):
-    prices = sinks.price_rows(market.bars(spark, d))
-    return sinks.latest_prices(prices.unionAll(prices))
+    """Prices appended twice to the stored table, and its view without duplicates."""
+    store = tables.Store(spark, tables.work_path(spark, "store"))
+    store.create()
+    prices = market.bars(spark, d)
+    for _ in range(2):
+        store.add_prices(prices)
+    return sinks.latest_prices(store.read("price_data"))
 
 
 @money_query
 def company_upsert(spark, d):
-    old = market.companies(spark, d).withColumn("last_updated", F.lit(datetime(2001, 1, 1)))
+    """Two upserts into the stored table: first two thirds of the companies, then every other one with new caps."""
+    store = tables.Store(spark, tables.work_path(spark, "store"))
+    store.create()
+    k = F.substring("ticker", 2, 10).cast("int")
+    store.upsert(market.companies(spark, d).where(k % 3 != 0), datetime(2001, 1, 1))
+    store.upsert(market.companies(spark, d).where(k % 2 == 0).withColumn("market_cap", F.col("market_cap") * 2), datetime(2002, 1, 1))
+    return store.read("companies").withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd"))
+
+
+@money_query
+def refresh_tickers(spark, d):
+    """A year of prices and the facts of every other company, fetched twice into fresh tables."""
+    store = tables.Store(spark, tables.work_path(spark, "store"))
+    store.create()
     k = F.substring("ticker", 2, 10).cast("int")
-    source = market.companies(spark, d).where(k % 2 == 0).withColumn("market_cap", F.col("market_cap") * 2)
-    return sinks.upsert_companies(old.where(k % 3 != 0), source, datetime(2002, 1, 1)).withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd"))
+    prices = tables.written(market.company_bars(spark, d, "1y").where(k % 2 == 0), "fetched")
+    for year in (2001, 2002):
+        store.refresh(prices, market.company_info(spark, d), datetime(year, 1, 1))
+    held = store.read("price_data")
+    counts = held.groupBy("ticker").agg(F.count("*").alias("n_rows")).join(sinks.latest_prices(held).groupBy("ticker").agg(F.count("*").alias("n_days")), "ticker")
+    return store.read("companies").join(counts, "ticker").withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd"))
+
+
+@money_query
+def company_lookup(spark, d):
+    """Point look-ups of a stored and of an unknown ticker."""
+    store = tables.Store(spark, tables.work_path(spark, "store"))
+    store.create()
+    store.upsert(market.companies(spark, d), datetime(2001, 1, 1))
+    return store.company("S3").unionAll(store.company("none")).drop("last_updated")
+
+
+@query
+def ticker_checks(spark, d):
+    """Which lists of tickers are long enough for a portfolio (two) and for a comparison (one)."""
+
+    def passes(text, least):
+        try:
+            return bool(market.parse_tickers(text, least))
+        except ValueError:
+            return False
+
+    lists = [WANTED, "aapl", " , ,", "A,b"]
+    return spark.createDataFrame([(t, passes(t, 2), passes(t, 1)) for t in lists], "tickers string, portfolio boolean, comparison boolean")
+
+
+@query
+def filing_requests(spark, d):
+    """The addresses to ask for filing lists, and that of a filing's text."""
+    wanted = spark.range(1).select(F.explode(market.ticker_list(F.lit(WANTED))).alias("ticker"))
+    found = filings.filing_requests(wanted, filings.cik_directory(spark.range(1).select(F.lit(CIK_JSON).alias("json"))), "10-Q", 3)
+    return found.select("*", filings.text_url("cik", F.lit("2001-02-03")).alias("text_url"))
 
 
 @query

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: a filing date's cell.
 DATE_CELL = r'<td nowrap="nowrap">(\d{4}-\d{2}-\d{2})</td>'
 TEXT_CHARS = 5000
+#: Fixed value: where filings are.
+BASE_URL = "https://www.sec.gov"
+
+
+def list_url(cik: str | Column, filing_type: str = "10-K", limit: int = 5) -> Column:
+    """The address of a company's filing list, with its parameters."""
+    number = F.col(cik) if isinstance(cik, str) else cik
+    query = F.concat(F.lit("action=getcompany&CIK="), F.url_encode(number), F.lit("&type="), F.url_encode(F.lit(filing_type)), F.lit(f"&count={limit}"))
+    return F.concat(F.lit(f"{BASE_URL}/cgi-bin/browse-edgar?"), query)
+
+
+def text_url(cik: str | Column, filing_date: str | Column) -> Column:
+    """The address of a filing's text: the number and the date without its dashes."""
+    number, day = (F.col(c) if isinstance(c, str) else c for c in (cik, filing_date))
+    return F.concat(F.lit(f"{BASE_URL}/Archives/edgar/data/"), number, F.lit("/"), F.replace(day, F.lit("-"), F.lit("")), F.lit("/"))
+
+
+def filing_requests(tickers: DataFrame, directory: DataFrame, filing_type: str = "10-K", limit: int = 5) -> DataFrame:
+    """(ticker, cik, filing_type, url) of the lists to fetch; tickers without a number are left out."""
+    return cik_lookup(tickers, directory).select("ticker", "cik", F.lit(filing_type).alias("filing_type"), list_url("cik", filing_type, limit).alias("url"))
+
+
+def fetched_filings(requests: DataFrame, responses: DataFrame, limit: int = 5) -> DataFrame:
+    """Filings in the responses (url, status, html) to ``requests``; only a status of 200 counts."""
+    pages = requests.join(responses.where("status = 200"), "url")
+    return filing_dates(pages.select("ticker", "cik", "filing_type", "html"), limit=limit).withColumn("text_url", text_url("cik", "filing_date"))
 
 
 def cik_directory(documents: DataFrame, column: str = "json") -> DataFrame:

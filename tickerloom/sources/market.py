@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date
+from calendar import monthrange
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,24 +26,34 @@ def ticker_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda t: F.upper(F.trim(t))), lambda t: F.length(t) > 0)
 
 
-def since(bars: DataFrame, period: str = "1y", end: date | None = None) -> DataFrame:
-    """Bars after ``end`` (the latest date, unless given) less the period.
+def parse_tickers(text: str, least: int = 1) -> list[str]:
+    """The tickers of a comma list, checked before anything is planned: a portfolio asks for two, a comparison for one."""
+    found = [t.strip().upper() for t in text.split(",") if t.strip()]
+    if len(found) < least:
+        raise ValueError(f"Please enter at least {least} ticker{'s' if least > 1 else ''}")
+    return found
 
-    The bound is one scalar; with ``end`` given it is a literal that reaches the Parquet scan.
-    """
+
+def period_start(end: date, period: str = "1y") -> date:
+    """The first day of the period that ends with ``end``; months end where the shorter month does."""
     unit, n = PERIODS[period]
-    last = F.lit(end) if end else F.col("_end")
-    start = F.date_sub(last, n) if unit == "days" else F.add_months(last, -n)
-    if end:
-        return bars.where((F.col("date") >= start) & (F.col("date") <= last))
-    return bars.crossJoin(F.broadcast(bars.agg(F.max("date").alias("_end")))).where(F.col("date") >= start).drop("_end")
+    if unit == "days":
+        return end - timedelta(days=n)
+    months = end.year * 12 + end.month - 1 - n
+    year, month = divmod(months, 12)
+    return date(year, month + 1, min(end.day, monthrange(year, month + 1)[1]))
+
+
+def since(bars: DataFrame, period: str = "1y", end: date | None = None) -> DataFrame:
+    """Bars from ``end`` (the latest date, unless given) less the period on; the bounds are literals."""
+    end = end or bars.agg(F.max("date")).first()[0]
+    return bars if end is None else bars.where(F.col("date").between(F.lit(period_start(end, period)), F.lit(end)))
 
 
 def last_days(bars: DataFrame, days: int = 365, end: date | None = None) -> DataFrame:
     """Bars of the trailing calendar days."""
-    if end:
-        return bars.where((F.col("date") >= F.date_sub(F.lit(end), days)) & (F.col("date") <= F.lit(end)))
-    return bars.crossJoin(F.broadcast(bars.agg(F.max("date").alias("_end")))).where(F.col("date") >= F.date_sub("_end", days)).drop("_end")
+    end = end or bars.agg(F.max("date")).first()[0]
+    return bars if end is None else bars.where(F.col("date").between(F.lit(end - timedelta(days=days)), F.lit(end)))
 
 
 def company_scan(info: DataFrame) -> DataFrame:
@@ -83,17 +94,33 @@ def weekly_bars(lineitem: DataFrame, ticker: Column) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scan(spark: SparkSession, sf_dir: str, ticker: Column, period: str | None = None, days: int | None = None) -> DataFrame:
+    """Weekly bars, of all time or of a trailing period.
+
+    The last day is one scalar read from the date column alone; the period's first day then reaches the
+    Parquet scan, below the weekly sums. Lines before it cannot be in a week that begins after it.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    last = lines.agg(F.max("l_shipdate").cast("date")).first()[0] if period or days is not None else None
+    if last is None:
+        return weekly_bars(lines, ticker)
+    end = last - timedelta(days=last.weekday())
+    start = period_start(end, period) if period else end - timedelta(days=days)
+    kept = lines.where(F.col("l_shipdate") >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz"))
+    return weekly_bars(kept, ticker).where(F.col("date") >= F.lit(start))
+
+
+def bars(spark: SparkSession, sf_dir: str, period: str | None = None, days: int | None = None) -> DataFrame:
     """Five tickers, T0 to T4."""
-    return weekly_bars(table(spark, sf_dir, "lineitem"), F.concat(F.lit("T"), (F.col("l_suppkey") % 5).cast("string")))
+    return _scan(spark, sf_dir, F.concat(F.lit("T"), (F.col("l_suppkey") % 5).cast("string")), period, days)
 
 
-def company_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def company_bars(spark: SparkSession, sf_dir: str, period: str | None = None) -> DataFrame:
     """One ticker for each supplier."""
-    return weekly_bars(table(spark, sf_dir, "lineitem"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+    return _scan(spark, sf_dir, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), period)
 
 
-def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def company_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with nation, region and revenue r; k is the supplier key."""
     revenue = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sum(_money("l_extendedprice")).cast("double").alias("r"))
     s, n, g = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
@@ -111,8 +138,8 @@ def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def statement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long statements (ticker, statement, item, fiscal_date, value) for two fiscal years."""
+def statement_items(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """Long statements (ticker, statement, item, fiscal_date, value) for two fiscal years; ``base`` is a stored ``company_base``."""
     k, r = F.col("k"), F.col("r")
 
     def row(statement: str, item, value: Column) -> Column:
@@ -137,15 +164,15 @@ def statement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         row("cashflow", F.when(k % 10 != 9, F.lit("Free Cash Flow")), free),
     )
     years = F.array(*[F.struct(F.lit(d).cast("date").alias("fiscal_date"), F.lit(s).alias("scale")) for d, s in (("2001-12-31", 1.0), ("2000-12-31", 0.9))])
-    long = _companies(spark, sf_dir).select("ticker", F.explode(items).alias("i"), years.alias("years")).select("ticker", "i.*", F.explode("years").alias("y"))
+    long = (company_base(spark, sf_dir) if base is None else base).select("ticker", F.explode(items).alias("i"), years.alias("years")).select("ticker", "i.*", F.explode("years").alias("y"))
     return long.where(F.col("item").isNotNull()).select("ticker", "statement", "item", "y.fiscal_date", (F.col("value") * F.col("y.scale")).alias("value"))
 
 
-def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each company with the nullable keys that the models read."""
+def company_info(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """One row for each company with the nullable keys that the models read; ``base`` is a stored ``company_base``."""
     k, price, shares, r = F.col("k"), F.col("price"), F.col("shares"), F.col("r")
     eps, book = F.col("net_income") / shares, F.col("equity") / shares
-    return _companies(spark, sf_dir).select(
+    return (company_base(spark, sf_dir) if base is None else base).select(
         "ticker",
         *[F.when(k % 8 != 7, F.col(c)).alias(n) for c, n in (("s_name", "longName"), ("r_name", "sector"), ("n_name", "industry"))],
         F.col("n_name").alias("country"), F.lit(None).cast("string").alias("longBusinessSummary"), (price * shares).alias("marketCap"),
@@ -160,4 +187,4 @@ def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _companies(spark, sf_dir).select("ticker", F.col("s_name").alias("name"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"), F.col("n_name").alias("country"), (F.col("price") * F.col("shares")).alias("market_cap"))
+    return company_base(spark, sf_dir).select("ticker", F.col("s_name").alias("name"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"), F.col("n_name").alias("country"), (F.col("price") * F.col("shares")).alias("market_cap"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .market import RESULTS
@@ -42,9 +42,41 @@ def upsert_companies(target: DataFrame, source: DataFrame, now) -> DataFrame:
     )
 
 
-def report_json(reports: DataFrame, key: str = "ticker") -> DataFrame:
-    """(ticker, value): each report as a JSON document."""
-    return reports.select(key, F.to_json(F.struct("*")).alias("value"))
+#: Fixed value: the stamp in report file names.
+STAMP = "%Y%m%d_%H%M%S"
+
+
+def report_document(generated: datetime) -> Column:
+    """The report of a row of ``reports`` as one nested record; a section that does not apply is left out of its JSON."""
+    sections = F.struct("valuation", F.col("health").alias("financial_health"), F.col("technical").alias("technical_analysis"))
+    return F.struct(
+        "ticker",
+        F.lit(generated.strftime("%Y-%m-%d %H:%M:%S")).alias("generated_date"),
+        sections.alias("sections"),
+        F.col("recommendation").alias("investment_recommendation"),
+        F.col("risk").alias("risk_assessment"),
+    )
+
+
+def report_file(generated: datetime, suffix: str = "json") -> Column:
+    """The file name of a ticker's report."""
+    return F.concat(F.coalesce("ticker", F.lit("unknown")), F.lit(f"_analysis_{generated.strftime(STAMP)}.{suffix}"))
+
+
+def report_json(reports: DataFrame, generated: datetime) -> DataFrame:
+    """(ticker, file, value): each report as a JSON document under its file name."""
+    return reports.select("ticker", report_file(generated).alias("file"), F.to_json(report_document(generated)).alias("value"))
+
+
+def portfolio_json(result: DataFrame, generated: datetime) -> DataFrame:
+    """(file, value): a portfolio result, the frontier's arrays included, as a JSON document."""
+    fields = ["tickers", "current_portfolio", "optimized_portfolios", "stock_metrics", "diversification_ratio", "efficient_frontier"]
+    return result.select(F.lit(f"portfolio_{generated.strftime(STAMP)}.json").alias("file"), F.to_json(F.struct(*fields)).alias("value"))
+
+
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """Write rows (file, value), each under its own name: a folder ``file=<name>`` with one text file."""
+    documents.select("file", "value").repartition("file").write.mode("overwrite").partitionBy("file").text(folder)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
