@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; keeps a batch of long documents within a worker's memory.
 BATCH_ROWS = 512
+#: The same for rows of a few numbers.
+NUMBER_ROWS = 32_768
 #: Bytes in one Arrow batch, where the running Spark knows the setting.
 BATCH_BYTES = 16 << 20
 
@@ -49,6 +52,17 @@ def bounded_batches(spark: SparkSession) -> None:
         return
 
 
+@contextlib.contextmanager
+def number_batches(spark: SparkSession):
+    """Larger Arrow batches while jobs over rows of numbers run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(NUMBER_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def project(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns only, cast; what else the input carries, under whatever name, is left behind."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
@@ -61,9 +75,15 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for shared files; a temporary one only where none is named, as in tests."""
+    """The folder that the cluster names for shared files.
+
+    Where none is named, as in tests, a temporary one serves, but only if driver and executors are one
+    process: on a cluster each executor would write to a disk of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_roots:
             _own_roots[app] = f"file://{tempfile.mkdtemp(prefix='tickerloom-')}"
@@ -92,14 +112,26 @@ def discard(spark: SparkSession, *paths: str) -> None:
             _written.remove(path)
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, path: str | None = None, few: bool = False, **options: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``few`` is for small results of a shuffle: no more files than there are cores, as each costs its own round trips.
+    """
     spark = df.sparkSession
     path = path or work_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    rows = df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df
+    rows.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free() -> None:
+    """Let Spark's cleaner drop the shuffle files and broadcasts of jobs that are over."""
+    spark = SparkSession.getActiveSession()
+    gc.collect()
+    if spark is not None:
+        spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def small_plans(spark: SparkSession):
     """For rounds of jobs over small tables: no generated classes for each plan, which would pile up in every JVM."""

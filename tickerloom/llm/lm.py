@@ -1,21 +1,26 @@
-"""Language-model scoring with a hidden Markov model over word classes.
+"""Language-model scoring with a hidden Markov model over words.
 
 The base is a smoothed unigram model over words (A-Z folded, split at white space) and an end
-token. On it sits a hidden Markov model: state s gives class x with probability phi_s(x), and a
-class gives its words in proportion to their unigram probability p(w), so
-
-    P(w | s) = phi_s(class(w)) * p(w) / p(class(w))     and
-    log P(text) = base score + log of the forward sum over the ratios phi_s / p(class).
-
-Classes are set by the corpus: each of the most frequent words has one of its own, further known
-frequent words share ``SHARED`` hashed ones, and all others, unseen words included, share one.
-Their number is bounded, and with it what is broadcast, while the word counts themselves stay
-distributed: frequent words' counts are broadcast (``HEAVY`` at most), the rest are joined.
-
-Training is Baum-Welch over whole texts: each task runs scaled forward-backward and adds up expected
-counts; the sums over all partitions give the next model, until the likelihood stops rising. In
-training as in scoring, runs of ``RUN`` tokens become scaled transfer matrices, multiplied in order,
-so that what lies before and behind a run is carried over exactly.
+token. On it sits a hidden Markov model: state s gives word w with probability r_s(w) * p(w), where
+p is the unigram probability and r_s(w) the word's emission ratio, so
+
+    log P(text) = base score + log of the forward sum over the emission ratios.
+
+Nothing that is gathered has a fixed size. Counts and emissions of all training words are kept
+distributed, in shards of the word hashes, and grow with the corpus:
+
+1. *Counts.* Tasks count words and send each shard one run of numbers.
+2. *Blocks.* Texts are written once as blocks of about ``BLOCK_TOKENS`` word numbers, each with the
+   hashes of its words beyond the ``HEAVY`` most frequent ones, whose counts are broadcast.
+3. *Training* is Baum-Welch over whole texts: each task runs scaled forward-backward over its blocks and
+   adds up expected counts, whose sums give the next model, until the likelihood stops rising. It
+   begins with one text in ``WARM`` and goes on over all. Meanwhile words beyond the ``OWN`` most
+   frequent ones share emissions by class.
+4. *Emissions.* A last pass counts, for each of those words, how often each state gave it; the sums a
+   word are its own emission, drawn towards the states' overall shares where it is seldom.
+5. *Scores.* Blocks ask the shards for the words they hold; with the answers the forward recursion
+   is exact. In training as in scoring, runs of ``RUN`` tokens become scaled transfer matrices,
+   multiplied in order, so that what lies before and behind a run is carried over exactly.
 """
 
 from __future__ import annotations
@@ -29,18 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, free, give_back, materialize
 from .textops import longs, mix, word_hashes
 
 STATES = 4
 #: Training ends when the log-likelihood of a token rises by less than this (nats).
 RISE = 1e-3
+#: Before it goes over all texts, training goes over one in so many.
+WARM = 16
 #: Tokens of a run, which one transfer matrix stands for.
 RUN = 128
-#: Words with a broadcast count at most, and those of them with a class of their own.
+#: Words with a broadcast count at most, and those of them with an emission of their own while training.
 HEAVY = 400_000
 OWN = 32_768
-SHARED = 32_768
+SHARED = 32_767
 ALPHA = 0.1
 #: Probability of staying in a state before training, and weights of the priors in the updates.
 STAY = 0.9
@@ -50,6 +57,13 @@ KAPPA = 5.0
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Distinct words a task holds before it passes counts on.
 HELD = 1_500_000
+#: Tokens of a block, and of the texts that forward-backward takes together.
+BLOCK_TOKENS = 1 << 19
+GROUP_TOKENS = 1 << 18
+#: Bytes of text for each shard of the word hashes.
+SHARD_BYTES = 1 << 25
+#: Blocks are read back a few at a time.
+SMALL_GROUPS = {"compression": "zstd", "parquet.block.size": str(8 << 20)}
 
 
 class HashIndex:
@@ -92,14 +106,41 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    words, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sums by word of (words, values, ...); values are numbers or rows of numbers."""
+    words, *values = (np.concatenate(c) for c in zip(*held, strict=True))
     keys, inverse = np.unique(words, return_inverse=True)
-    return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64)
+    sums = [np.bincount(inverse, v, len(keys)) if v.ndim == 1 else np.stack([np.bincount(inverse, v[:, s], len(keys)) for s in range(v.shape[1])], 1) for v in values]
+    return keys, *sums
+
+
+def _sharded(shards: int, words: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The shards that ascending ``words`` fall into, and for each the bytes of its words and values."""
+    shard = ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    names, first = np.unique(shard, return_index=True)
+    bounds = np.r_[first, len(words)]
+    return names, [[np.ascontiguousarray(x[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for x in (words, *values)]
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The numbers of all rows of a binary column."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """Distributed counts (w, c) of all tokens of ``docs`` (column text), combined in each task first."""
+def shards_for(docs: DataFrame) -> int:
+    """Shards for the words of ``docs``, by the bytes of their texts."""
+    return max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+
+
+def count_words(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """Counts of all tokens of ``docs`` (column text), in shards: rows (shard, words, counts), numbers packed, words ascending."""
+    shards = shards or shards_for(docs)
+
+    def sent(held):
+        words, counts = _merged(held)
+        names, packed = _sharded(shards, words, counts.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(p, pa.binary()) for p in packed)], names=["shard", "words", "counts"])
 
     def run(batches):
         held, size = [], 0
@@ -111,13 +152,18 @@ def count_words(docs: DataFrame) -> DataFrame:
                 held = [_merged(held)]
                 size = len(held[0][0])
                 if size > HELD:
-                    yield pa.RecordBatch.from_arrays([longs(held[0][0]), pa.array(held[0][1])], names=["w", "c"])
+                    yield sent(held)
                     held, size = [], 0
         if held:
-            words, counts = _merged(held)
-            yield pa.RecordBatch.from_arrays([longs(words), pa.array(counts)], names=["w", "c"])
+            yield sent(held)
+        give_back()
+
+    def total(table: pa.Table) -> pa.Table:
+        words, counts = _merged([(_joined(table["words"], np.uint64), _joined(table["counts"], np.int64))])
+        return pa.table({"shard": table["shard"][:1], "words": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([counts.astype(np.int64).tobytes()], pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    found = docs.select("text").mapInArrow(run, "shard long, words binary, counts binary")
+    return found.groupBy("shard").applyInArrow(total, "shard long, words binary, counts binary")
 
 
 @dataclass
@@ -127,6 +173,7 @@ class Vocabulary:
     n: int
     v: int
     index: HashIndex
+    words: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
     mass: np.ndarray
@@ -140,19 +187,34 @@ class Vocabulary:
         return len(self.mass) - 1
 
     def classes_of(self, rows: np.ndarray) -> np.ndarray:
-        return np.where(rows >= 0, self.classes[rows], self.rare) if len(self.classes) else np.full(len(rows), self.rare)
+        """The classes of frequent words by their rows; what is no such row (-1, or a block's own word) is rare."""
+        table = np.append(self.classes, self.rare)
+        return table[np.where((rows < 0) | (rows >= len(self.classes)), len(self.classes), rows)]
 
 
 def vocabulary(counts: DataFrame, heavy: int = HEAVY) -> Vocabulary:
     """Read off the totals and the words frequent enough that at most ``heavy`` are."""
-    ladder = sorted(((r.c, r.words) for r in counts.groupBy("c").agg(F.count("*").alias("words")).collect()), reverse=True)
+
+    def ladder_of(batches):
+        for batch in batches:
+            c, words = np.unique(_joined(pa.chunked_array([batch.column(0)]), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(words)], names=["c", "words"])
+
+    steps = counts.select("counts").mapInArrow(ladder_of, "c long, words long").groupBy("c").agg(F.sum("words").alias("words"))
+    ladder = sorted(((r.c, r.words) for r in steps.collect()), reverse=True)
     n, v = sum(c * k for c, k in ladder), sum(k for _, k in ladder)
     least, room = ladder[0][0] + 1 if ladder else 1, heavy
     for c, k in ladder:
         if k > room:
             break
         least, room = c, room - k
-    table = counts.where(F.col("c") >= least).toArrow()
+
+    def frequent(batches):
+        for batch in batches:
+            words, c = (_joined(pa.chunked_array([batch.column(i)]), kind) for i, kind in enumerate((np.uint64, np.int64)))
+            yield pa.RecordBatch.from_arrays([longs(words[c >= least]), pa.array(c[c >= least])], names=["w", "c"])
+
+    table = counts.select("words", "counts").mapInArrow(frequent, "w long, c long").toArrow()
     words, c = table["w"].to_numpy().view(np.uint64), table["c"].to_numpy()
     order = np.lexsort((words, -c))
     words, c = words[order], c[order]
@@ -160,16 +222,17 @@ def vocabulary(counts: DataFrame, heavy: int = HEAVY) -> Vocabulary:
     classes = np.where(np.arange(len(words)) < OWN, np.arange(len(words)), shared)
     mass = np.bincount(classes, c + ALPHA, OWN + SHARED + 1)
     mass[-1] = n + ALPHA * (v + 1) - mass[:-1].sum()  # all other known words, and the unseen one
-    return Vocabulary(n, v, HashIndex(words), c, classes, mass / mass.sum() if mass.sum() else mass + 1 / len(mass))
+    return Vocabulary(n, v, HashIndex(words), words, c, classes, mass / mass.sum() if mass.sum() else mass + 1 / len(mass))
 
 
 @dataclass
 class Hmm:
-    """Start and transition probabilities, and the emission ratios phi_s(class) / p(class)."""
+    """Start and transition probabilities, the emission ratios phi_s(class) / p(class), and the states' shares of all tokens."""
 
     start: np.ndarray
     move: np.ndarray
     ratio: np.ndarray
+    share: np.ndarray | None = None
 
 
 def untrained(vocab: Vocabulary, states: int = STATES, seed: int = 5) -> Hmm:
@@ -231,11 +294,18 @@ def _borders(hmm: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndar
 
 def _counted(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """``expected``, and the log of the forward sums of all texts over the emission ratios."""
-    k, n_classes = len(hmm.start), len(hmm.ratio)
+    start, moves, gamma, log = posteriors(hmm, classes, first)
+    emits = [np.bincount(classes, gamma[:, s], len(hmm.ratio)) for s in range(len(hmm.start))]
+    return start, moves, np.stack(emits, 1), log
+
+
+def posteriors(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts and moves, each token's state probabilities, and the log of the forward sums."""
+    k = len(hmm.start)
     starts, lengths, text = _runs(first)
-    moves, emits = np.zeros((k, k)), np.zeros((n_classes, k))
+    moves, found = np.zeros((k, k)), np.zeros((len(classes), k))
     if not len(starts):
-        return np.zeros(k), moves, emits, 0.0
+        return np.zeros(k), moves, found, 0.0
     rank = np.arange(len(text)) - np.searchsorted(text, text)
     enter, leave = _borders(hmm, classes, starts, lengths, text, rank)
     order = np.argsort(-lengths, kind="stable")
@@ -264,16 +334,14 @@ def _counted(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
         beta = back
         gamma = forward[t] * back
         gamma /= gamma.sum(1, keepdims=True)
-        of = classes[starts[: active[t]] + t]
-        for s in range(k):
-            emits[:, s] += np.bincount(of, gamma[:, s], n_classes)
+        found[starts[: active[t]] + t] = gamma
     # moves from the last token of a run to the first of the text's next one
     begun = np.empty((len(starts), k))
     begun[run_of] = hmm.ratio[classes[starts]] * beta
     on = np.flatnonzero(rank > 0)
     before, ahead = last[on - 1], begun[on]
     moves += hmm.move * (before.T @ (ahead / ((before @ hmm.move) * ahead).sum(1, keepdims=True)))
-    return gamma[rank[run_of] == 0].sum(0), moves, emits, log
+    return gamma[rank[run_of] == 0].sum(0), moves, found, log
 
 
 def log_ratio(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -305,44 +373,133 @@ def log_ratio(hmm: Hmm, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int | None = None) -> Hmm:
-    """Baum-Welch over all rows of ``docs`` (column text); expected counts are summed across partitions.
+BLOCK = "block long, doc_ids binary, known_ids binary, held binary, sizes binary, codes binary, others binary"
 
-    Rounds go on until the log-likelihood of a token rises by less than ``RISE``, or for ``iterations``.
+
+def encode(rows: DataFrame, vocab) -> DataFrame:
+    """Rows (doc_id, held_out, text) as blocks.
+
+    A block's codes (int32) are rows of the vocabulary or, from its size on, places among ``others``, the
+    ascending hashes of the block's other words; ``sizes`` are the texts' tokens. A text is never cut.
+    ``vocab`` is a broadcast Vocabulary.
     """
-    spark = docs.sparkSession
-    hmm = untrained(vocab, states)
-    shared_vocab = spark.sparkContext.broadcast(vocab)
+
+    def packed(number, ids, held, sizes, codes, rare):
+        codes, rare = np.concatenate(codes), np.concatenate(rare)
+        others, place = np.unique(rare, return_inverse=True)
+        codes[codes < 0] = len(vocab.value.words) + place
+        known = np.array([i is not None for i in ids], bool)
+        values = np.array([i or 0 for i in ids], np.int64), known, np.array(held, bool), np.array(sizes, np.int64), codes, others
+        return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=[f.split()[0] for f in BLOCK.split(", ")])
+
+    def run(batches):
+        number, size = TaskContext.get().partitionId() << 32, 0
+        ids, held, sizes, codes, rare = [], [], [], [], []
+        for batch in batches:
+            for low in range(0, len(batch), 128):
+                part = batch.slice(low, 128)
+                words, first = tokens(part.column(2))
+                at = vocab.value.index.find(words)
+                ids += part.column(0).to_pylist()
+                held += part.column(1).to_pylist()
+                sizes += np.diff(first).tolist()
+                codes.append(at)
+                rare.append(words[at < 0])
+                size += len(words)
+                if size >= BLOCK_TOKENS:
+                    yield packed(number, ids, held, sizes, codes, rare)
+                    number, size = number + 1, 0
+                    ids, held, sizes, codes, rare = [], [], [], [], []
+        if ids:
+            yield packed(number, ids, held, sizes, codes, rare)
+        give_back()
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, BLOCK)
+
+
+def _groups(row: dict, held: bool, share: int = 1):
+    """The codes and first positions of a block's texts, in groups of about GROUP_TOKENS; without ``held`` those
+    to learn from (of which one in ``share``)."""
+    sizes, codes = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["codes"], np.int32)
+    ends = np.cumsum(sizes)
+    chosen = np.ones(len(sizes), bool) if held else ~np.frombuffer(row["held"], bool)
+    if share > 1:
+        chosen &= mix(np.arange(len(sizes), dtype=np.uint64) + np.uint64(row["block"] & (1 << 63) - 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(share) == 0
+    texts = np.flatnonzero(chosen)
+    group = (np.cumsum(sizes[texts]) - sizes[texts]) // GROUP_TOKENS
+    for part in np.split(texts, np.flatnonzero(np.diff(group)) + 1) if len(texts) else ():
+        n = sizes[part]
+        first = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(first[-1]) + np.repeat(ends[part] - n - first[:-1], n)
+        yield codes[at], first
+
+
+def _rows(batches):
+    for batch in batches:
+        for i in range(len(batch)):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _pass(blocks: DataFrame, vocab, hmm: Hmm, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of expected counts over all partitions, by (x, state): classes, then -1 - s the moves from s, the starts, and the log."""
+    states = len(hmm.start)
     fields = ["x", *(f"e{s}" for s in range(states))]
-    before = -np.inf
-    for _ in itertools.count() if iterations is None else range(iterations):
-        shared = spark.sparkContext.broadcast(hmm)
-
-        def run(batches, shared=shared):
-            vocab_, hmm_ = shared_vocab.value, shared.value
-            start, moves, emits, log = np.zeros(states), np.zeros((states, states)), np.zeros((len(vocab_.mass), states)), np.zeros(states)
-            for batch in batches:
-                words, first = tokens(batch.column(0))
-                more = _counted(hmm_, vocab_.classes_of(vocab_.index.find(words)), first)
+    shared = blocks.sparkSession.sparkContext.broadcast(hmm)
+
+    def run(batches):
+        vocab_, hmm_ = vocab.value, shared.value
+        start, moves, emits, log = np.zeros(states), np.zeros((states, states)), np.zeros((len(vocab_.mass), states)), np.zeros(states)
+        for row in _rows(batches):
+            for codes, first in _groups(row, False, share):
+                more = _counted(hmm_, vocab_.classes_of(codes), first)
                 start, moves, emits = start + more[0], moves + more[1], emits + more[2]
                 log[0] += more[3]
-            seen = np.flatnonzero(emits.any(1))
-            x = np.concatenate([seen, -1 - np.arange(states), [-1 - states, -2 - states]])
-            e = np.concatenate([emits[seen], moves, start[None], log[None]])
-            yield pa.RecordBatch.from_arrays([pa.array(x), *(pa.array(np.ascontiguousarray(e[:, s])) for s in range(states))], names=fields)
-
-        sums = docs.select("text").mapInArrow(run, ", ".join(["x long", *(f"{f} double" for f in fields[1:])])).groupBy("x").agg(*[F.sum(f).alias(f) for f in fields[1:]])
-        table = sums.toArrow()
-        x, e = table["x"].to_numpy(), np.stack([table[f].to_numpy() for f in fields[1:]], 1) if len(table) else np.zeros((0, states))
-        is_log = x == -2 - states
-        log = e[is_log, 0].sum()
-        if iterations is None and log - before < RISE * vocab.n or not vocab.n:
-            break
-        before = log
-        hmm = _updated(vocab, hmm, x[~is_log], e[~is_log])
+        give_back()
+        seen = np.flatnonzero(emits.any(1))
+        x = np.concatenate([seen, -1 - np.arange(states), [-1 - states, -2 - states]])
+        e = np.concatenate([emits[seen], moves, start[None], log[None]])
+        yield pa.RecordBatch.from_arrays([pa.array(x), *(pa.array(np.ascontiguousarray(e[:, s])) for s in range(states))], names=fields)
+
+    sums = blocks.select("block", "held", "sizes", "codes").mapInArrow(run, ", ".join(["x long", *(f"{f} double" for f in fields[1:])])).groupBy("x").agg(*[F.sum(f).alias(f) for f in fields[1:]])
+    table = sums.toArrow()
+    shared.unpersist()
+    return table["x"].to_numpy(), np.stack([table[f].to_numpy() for f in fields[1:]], 1) if len(table) else np.zeros((0, states))
+
+
+def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int | None = None) -> Hmm:
+    """Baum-Welch over all rows of ``docs`` (column text).
+
+    Rounds go on until the log-likelihood of a token rises by less than ``RISE``, first over one text in
+    ``WARM``, then over all; or for ``iterations`` over all.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    return _trained(materialize(encode(rows, shared), "lm-blocks", **SMALL_GROUPS), shared, states, iterations)
+
+
+def _trained(blocks: DataFrame, shared, states: int, iterations: int | None) -> Hmm:
+    vocab = shared.value
+    hmm = untrained(vocab, states)
+    if not vocab.n:
+        return hmm
+    for share in (WARM, 1) if iterations is None else (1,):
+        before = -np.inf
+        for _ in itertools.count() if iterations is None else range(iterations):
+            x, e = _pass(blocks, shared, hmm, share)
+            is_log = x == -2 - states
+            log, n = e[is_log, 0].sum(), e[x >= 0].sum()
+            if not n or iterations is None and log - before < RISE * n:
+                break
+            before = log
+            hmm = _updated(vocab, hmm, x[~is_log], e[~is_log])
     return hmm
 
 
+def _held(emits: np.ndarray, total: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """How much more than its share a state has of each row, drawn towards 1, so that few occurrences decide little."""
+    return (emits + KAPPA * share) / ((total + KAPPA) * share)
+
+
 def _updated(vocab: Vocabulary, hmm: Hmm, x: np.ndarray, e: np.ndarray) -> Hmm:
     k = len(hmm.start)
     emits, moves, start = np.zeros((len(vocab.mass), k)), np.zeros((k, k)), np.zeros(k)
@@ -352,51 +509,152 @@ def _updated(vocab: Vocabulary, hmm: Hmm, x: np.ndarray, e: np.ndarray) -> Hmm:
             start = values
         else:
             moves[-1 - row] = values
-    # a class's states are drawn towards the overall shares, so that few occurrences decide little
     share = (emits.sum(0) + PRIOR / k) / (emits.sum() + PRIOR)
-    held = (emits + KAPPA * share) / ((emits.sum(1, keepdims=True) + KAPPA) * share)
-    phi = vocab.mass[:, None] * held
+    phi = vocab.mass[:, None] * _held(emits, emits.sum(1, keepdims=True), share)
     phi /= phi.sum(0)
     moves = moves + PRIOR * hmm.move
     start = start + PRIOR / k
-    return Hmm(start / start.sum(), moves / moves.sum(1, keepdims=True), _ratios(phi, vocab.mass))
+    return Hmm(start / start.sum(), moves / moves.sum(1, keepdims=True), _ratios(phi, vocab.mass), share)
+
 
+@dataclass
+class Emissions:
+    """Of the words without an emission of their own in training: what the shards hold, the frequent ones' values, and the scale.
+
+    ``table`` has rows (shard, words, counts, held), numbers packed, words ascending. A word's ratio is
+    ``scale`` times its row of held; a word that training has not seen has 1 there.
+    """
 
-SCORED = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, ratio double, rare array<struct<w:long,tf:long>>"
+    table: DataFrame
+    frequent: np.ndarray
+    scale: np.ndarray
 
 
-def _first_pass(rows: DataFrame, vocab: Vocabulary, hmm: Hmm) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((vocab, hmm))
-    rare_type = pa.list_(pa.struct([("w", pa.int64()), ("tf", pa.int64())]))
+def emissions(blocks: DataFrame, shared, hmm: Hmm, shards: int) -> Emissions:
+    """One pass over the training texts: how often each state gave each word beyond the ``OWN`` most frequent ones."""
+    spark, vocab, states = blocks.sparkSession, shared.value, len(hmm.start)
+    share = np.full(states, 1 / states) if hmm.share is None else hmm.share
+    model = spark.sparkContext.broadcast(hmm)
 
     def run(batches):
-        vocab_, hmm_ = shared.value
-        key = TaskContext.get().partitionId() << 40
-        logs = np.log10((vocab_.counts + ALPHA) / vocab_.divisor)
-        for batch in batches:
-            words, first = tokens(batch.column(2))
-            n = len(first) - 1
-            at = vocab_.index.find(words)
-            text = np.repeat(np.arange(n), np.diff(first))
-            hit = at >= 0
-            base = np.bincount(text[hit], logs[at[hit]], n)
-            known = np.bincount(text[hit], minlength=n)
-            ratio = log_ratio(hmm_, vocab_.classes_of(at), first) / np.log(10)
-            # distinct rare words of each text, with their frequency
-            w, of = words[~hit], text[~hit]
-            order = np.lexsort((w, of))
-            w, of = w[order], of[order]
-            new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (of[1:] != of[:-1])]) if len(w) else np.zeros(0, np.int64)
-            tf = np.diff(np.r_[new, len(w)])
-            offsets = np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([longs(w[new]), pa.array(tf.astype(np.int64))], names=["w", "tf"])).cast(rare_type)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key + np.arange(n)), batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(ratio.astype(float)), rare],
-                names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "ratio", "rare"],
-            )
-            key += n
-
-    return materialize(rows.mapInArrow(run, SCORED), "lm-first-pass")
+        vocab_, hmm_ = shared.value, model.value
+        heavy = len(vocab_.words)
+        for row in _rows(batches):
+            others = np.frombuffer(row["others"], np.uint64)
+            size = heavy + len(others)
+            times, given = np.zeros(size, np.int64), np.zeros((size, states))
+            for codes, first in _groups(row, False):
+                gamma = posteriors(hmm_, vocab_.classes_of(codes), first)[2]
+                times += np.bincount(codes, minlength=size)
+                for s in range(states):
+                    given[:, s] += np.bincount(codes, gamma[:, s], size)
+            seen = np.flatnonzero(times)
+            seen = seen[seen >= min(OWN, heavy)]
+            if len(seen):
+                words = np.where(seen < heavy, np.append(vocab_.words, np.uint64(0))[np.minimum(seen, heavy)], np.append(others, np.uint64(0))[np.maximum(seen - heavy, 0)])
+                order = np.argsort(words)
+                names, packed = _sharded(shards, words[order], times[seen][order], given[seen][order].astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(p, pa.binary()) for p in packed)], names=["shard", "words", "counts", "given"])
+        give_back()
+
+    def total(table: pa.Table) -> pa.Table:
+        given = _joined(table["given"], np.float32).reshape(-1, states)
+        words, counts, given = _merged([(_joined(table["words"], np.uint64), _joined(table["counts"], np.int64), given)])
+        held = _held(given, counts[:, None], share)
+        mass = ((counts + ALPHA)[:, None] / vocab_divisor * held).sum(0)
+        values = words, counts.astype(np.int64), held.astype(np.float32), mass
+        return pa.table({"shard": table["shard"][:1], **{n: pa.array([v.tobytes()], pa.binary()) for n, v in zip(("words", "counts", "held", "mass"), values, strict=True)}})
+
+    vocab_divisor = vocab.divisor
+    found = blocks.select("block", "held", "sizes", "codes", "others").mapInArrow(run, "shard long, words binary, counts binary, given binary")
+    table = materialize(found.groupBy("shard").applyInArrow(total, "shard long, words binary, counts binary, held binary, mass binary"), "lm-emissions", **SMALL_GROUPS)
+    model.unpersist()
+    # the words share what the model gives to all of them, in proportion to p(w) * held; the unseen one has held 1
+    beyond = hmm.ratio[OWN:] * vocab.mass[OWN:, None]
+    masses = [np.frombuffer(r.mass, np.float64) for r in table.select("mass").collect()]
+    scale = beyond.sum(0) / (np.sum(masses, axis=0) + ALPHA / vocab.divisor)
+    return Emissions(table, _of_frequent(table, shared, states), scale)
+
+
+def _of_frequent(table: DataFrame, shared, states: int) -> np.ndarray:
+    """The emissions of the broadcast words that have one, by their rows; 1 for the others."""
+
+    def run(batches):
+        for row in _rows(batches):
+            at = shared.value.index.find(np.frombuffer(row["words"], np.uint64))
+            held = np.frombuffer(row["held"], np.float32).reshape(-1, states)[at >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array(at[at >= 0].astype(np.int64)), *(pa.array(np.ascontiguousarray(held[:, s])) for s in range(states))], names=["row", *(f"h{s}" for s in range(states))])
+
+    got = table.select("words", "held").mapInArrow(run, ", ".join(["row long", *(f"h{s} float" for s in range(states))])).toArrow()
+    out = np.ones((len(shared.value.words), states), np.float32)
+    if len(got):
+        out[got["row"].to_numpy()] = np.stack([got[f"h{s}"].to_numpy() for s in range(states)], 1)
+    return out
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, ratio double"
+
+
+def _scored(blocks: DataFrame, shared, hmm: Hmm, found: Emissions, shards: int) -> DataFrame:
+    """Rows SCORED of all texts. Blocks ask the shards for their other words; answers come back a block."""
+    spark, states = blocks.sparkSession, len(hmm.start)
+    vocab = shared.value
+    ratio = np.where(np.arange(len(vocab.words))[:, None] < OWN, hmm.ratio[vocab.classes], found.scale * found.frequent) if len(vocab.words) else np.zeros((0, states))
+    model = spark.sparkContext.broadcast((Hmm(hmm.start, hmm.move, ratio.astype(np.float32)), found.scale))
+
+    def ask(batches):
+        for row in _rows(batches):
+            words = np.frombuffer(row["others"], np.uint64)
+            if len(words):
+                names, packed = _sharded(shards, words)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([row["block"]] * len(names), pa.int64()), pa.array(packed[0], pa.binary())], names=["shard", "block", "words"])
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        words, counts = _joined(held["words"], np.uint64), _joined(held["counts"], np.int64)
+        values = _joined(held["held"], np.float32).reshape(-1, states)
+        blocks_, wanted, got_c, got_h = [], [], [], []
+        for block, packed in zip(asked["block"].to_pylist(), asked["words"], strict=True):
+            ask_ = np.frombuffer(packed.as_buffer(), np.uint64)
+            c, h = np.zeros(len(ask_), np.int64), np.ones((len(ask_), states), np.float32)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, ask_), len(words) - 1)
+                same = words[at] == ask_
+                c[same], h[same] = counts[at[same]], values[at[same]]
+            blocks_.append(block)
+            wanted.append(ask_.tobytes())
+            got_c.append(c.tobytes())
+            got_h.append(h.tobytes())
+        return pa.table({"block": pa.array(blocks_, pa.int64()), "words": pa.array(wanted, pa.binary()), "counts": pa.array(got_c, pa.binary()), "held": pa.array(got_h, pa.binary())})
+
+    def score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        vocab_, (hmm_, scale) = shared.value, model.value
+        parts = []
+        words, counts = _joined(answers["words"], np.uint64), _joined(answers["counts"], np.int64)
+        order = np.argsort(words)
+        held = _joined(answers["held"], np.float32).reshape(-1, states)[order]
+        c = np.concatenate([vocab_.counts, counts[order]])
+        logs = np.log10((c + ALPHA) / vocab_.divisor)
+        whole = Hmm(hmm_.start, hmm_.move, np.concatenate([hmm_.ratio, scale * held]))
+        for row in texts.to_pylist():
+            ids, known, out_of = (np.frombuffer(row[n], kind) for n, kind in (("doc_ids", np.int64), ("known_ids", bool), ("held", bool)))
+            done = 0
+            for codes, first in _groups(row, True):
+                n = len(first) - 1
+                of = np.repeat(np.arange(n), np.diff(first))
+                now = slice(done, done + n)
+                parts.append(
+                    pa.table({
+                        "doc_id": pa.array(ids[now], mask=~known[now]), "held_out": out_of[now], "n_tokens": np.diff(first),
+                        "n_known": np.bincount(of, c[codes] > 0, n).astype(np.int64), "base": np.bincount(of, logs[codes], n), "ratio": log_ratio(whole, codes, first) / np.log(10),
+                    })
+                )
+                done += n
+        return pa.concat_tables(parts)
+
+    asked = blocks.select("block", "others").mapInArrow(ask, "shard long, block long, words binary")
+    answers = asked.groupBy("shard").cogroup(found.table.select("shard", "words", "counts", "held").groupBy("shard")).applyInArrow(answer, "block long, words binary, counts binary, held binary")
+    answers = answers.withColumnRenamed("held", "held_values").select("block", "words", "counts", F.col("held_values").alias("held"))
+    return blocks.drop("others").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, SCORED)
 
 
 def score(docs: DataFrame, held_out: Column, states: int = STATES, iterations: int | None = None, heavy: int = HEAVY) -> DataFrame:
@@ -408,20 +666,19 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, iterations: i
 
     Defined results: a null or empty text is the end token alone; a null ``held_out`` counts as
     false; repeated rows are each scored (and counted in training each time); equal counts at the
-    edge of the frequent words stay together on the joined side; an empty table gives an empty
-    table; without training rows every token is unseen; other columns are ignored.
+    edge of the frequent words stay together beyond it; an empty table gives an empty table; without
+    training rows every token is unseen; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    training = rows.where(~F.col("held_out")).select("text")
-    counts = materialize(count_words(training), "lm-counts")
-    vocab = vocabulary(counts, heavy)
-    hmm = train(training, vocab, states, iterations)
-    scored = _first_pass(rows, vocab, hmm)
-    rare = scored.select("key", F.inline("rare")).join(counts, "w", "left")
-    c = F.coalesce("c", F.lit(0))
-    added = rare.groupBy("key").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10((c + ALPHA) / F.lit(vocab.divisor))).alias("more_base"))
-    out = scored.drop("rare").join(added, "key", "left")
-    base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio")).alias("score"))
+    shards = shards_for(rows)
+    counts = materialize(count_words(rows.where(~F.col("held_out")), shards), "lm-counts", **SMALL_GROUPS)
+    shared = spark.sparkContext.broadcast(vocabulary(counts, heavy))
+    free()
+    blocks = materialize(encode(rows, shared), "lm-blocks", **SMALL_GROUPS)
+    hmm = _trained(blocks, shared, states, iterations)
+    found = emissions(blocks, shared, hmm, shards)
+    free()
+    out, base = _scored(blocks, shared, hmm, found, shards), F.col("base")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shared.value.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio")).alias("score"))
