@@ -110,21 +110,39 @@ def test_similar_sets_share_entries(percent):
 
 
 def test_meetings(monkeypatch):
+    """Dealt entries against a plain count of buckets, whatever the shards and the tasks."""
     monkeypatch.setattr(jaccard, "SMALL", 4)
     r = random.Random(3)
     for _ in range(60):
-        rows = sorted((s << 7 | 5, k) for s in range(r.randint(0, 9)) for k in {r.randint(0, 40) for _ in range(r.choice([1, 2, 4, 5, 9, 30]))} for _ in range(r.choice([1, 2])))
-        step = r.choice([1, 2, 3, 7, 1000])
-        batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[j : j + step]], pa.int64()) for i in range(2)], names=["sig", "k"]) for j in range(0, len(rows), step)]
-        out = collections.Counter(tuple(c) for b in jaccard._meetings(iter(batches), np.arange(128) + 100) for c in zip(*(x.to_pylist() for x in b.columns), strict=True))
-        want, groups = collections.Counter(), collections.defaultdict(set)
+        buckets = [r.getrandbits(55) << 8 | 5 for _ in range(r.randint(0, 9))]
+        rows = [(s - (1 << 62), k) for s in buckets for k in {r.randint(0, 40) for _ in range(r.choice([1, 2, 4, 5, 9, 30]))} for _ in range(r.choice([1, 2]))]
+        r.shuffle(rows)
+        shards, tasks = r.choice([1, 3, 50]), r.choice([1, 2, 5])
+        by_shard = collections.defaultdict(list)
+        for t in range(tasks):
+            part = sorted(set(rows[t::tasks]))
+            if part:
+                sig, k = (np.array([x[i] for x in part], np.int64) for i in range(2))
+                for shard, sigs, ks in zip(*(c.to_pylist() for c in jaccard._dealt([(sig.view(np.uint64), k)], shards).columns), strict=True):
+                    by_shard[shard].append((np.frombuffer(sigs, np.int64), np.frombuffer(ks, np.int64)))
+        pairs, members = collections.Counter(), set()
+        for shard, parts in by_shard.items():
+            met = jaccard._meet(*(np.concatenate(c) for c in zip(*parts, strict=True)), shard < 0, np.arange(128) + 100)
+            for kind, x, y, tag, n in zip(*(c.to_pylist() for c in met.columns), strict=True):
+                assert tag == (5 << 32) + 105
+                members |= {(x, y)} if kind else set()
+                pairs.update({(x, y): n} if not kind else {})
+        groups = collections.defaultdict(set)
         for s, k in rows:
             groups[s].add(k)
-        for s, ks in groups.items():
-            tag = (5 << 32) + 105
-            pairs = [(0, a, b, tag) for a in ks for b in ks if a < b]
-            want.update([(1, s, k, tag) for k in ks] if len(ks) > 4 else pairs)
-        assert out == want
+        assert members == {(s, k) for s, ks in groups.items() if len(ks) > 4 for k in ks}
+        want = collections.Counter((a, b) for ks in groups.values() if len(ks) <= 4 for a in ks for b in ks if a < b)
+        assert pairs == want
+
+
+def test_too_many_bands():
+    with pytest.raises(ValueError, match="bands"):
+        jaccard.signatures(np.arange(20_000, dtype=np.uint64), 99, 0.3)
 
 
 def test_components(spark):
@@ -132,3 +150,25 @@ def test_components(spark):
     got = {r.k: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 103: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_components_in_tasks(spark, monkeypatch, most):
+    from tickerloom.llm import components as C
+
+    monkeypatch.setattr(C, "TASK_LINKS", most)
+    r = random.Random(9)
+    links = [(r.randint(0, 150), r.randint(0, 150)) for _ in range(110)] + [(500, 500 + i) for i in range(1, 60)]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {x.k: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in linked}

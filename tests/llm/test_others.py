@@ -18,13 +18,13 @@ from .conftest import PROSE
 
 
 def edits(a, t):
-    row = [0] * (len(t) + 1)
+    """Least edit distance of ``a`` to any stretch of ``t``, by the plain table, a row at a time."""
+    t, at = np.frombuffer(t, np.uint8), np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(t, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return min(row)
+        new = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (t != x))]
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
 
 
 def test_best_distance():
@@ -55,6 +55,72 @@ def test_recall_of_edited_copies(spark):
     assert not any(block.leaks(pa.array([" ".join(f"p{j}" for j in range(500)), PROSE[0]])))
 
 
+def _plain(text):
+    return " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())).encode()
+
+
+def _at_random(r, text, rate):
+    out = []
+    for c in text:
+        kind = r.randrange(3) if r.random() < rate else 3
+        out += [[r.choice("abcdefghij klmnop")], [], [c, r.choice("abcdefghij klmnop")], [c]][kind]
+    return "".join(out)
+
+
+def _in_words(r, text, every, insert):
+    words = text.split(" ")
+    for k in range(0, len(words), every):
+        at = r.randrange(len(words[k]) + insert) if len(words[k]) + insert else 0
+        words[k] = words[k][:at] + "x" + words[k][at + 1 - insert :]
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("edit", [0.06, 0.1, 0.14, 0.18, 0.2, "insert 3", "substitute 3", "insert 2", "substitute 2", "substitute 1"])
+def test_recall_up_to_the_bound(spark, edit):
+    """Of edited copies that brute-force edit distance puts within the bound, nine in ten are found, however the edits lie."""
+    items = [(r.item_id, r.text) for r in _bench(spark).collect()]
+    block, r = decontaminate.Items(items), random.Random(str(edit))
+    docs = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect() if x.text]
+    texts, wanted = [], []
+    for _ in range(150):
+        i, text = r.choice(items)
+        copy = _at_random(r, text, edit) if isinstance(edit, float) else _in_words(r, text, int(edit[-1]), edit[0] == "i")
+        around = r.choice(docs)[:400], r.choice(docs)[:400]
+        whole = f"{around[0]} {copy} {around[1]}"
+        if edits(_plain(text), _plain(whole)) <= decontaminate.MAX_EDIT * len(_plain(text)):
+            texts.append(whole)
+            wanted.append(i)
+    found = block.leaks(pa.array(texts))
+    assert len(texts) >= 60 or edit in (0.2, "substitute 1", "insert 2", "substitute 2")
+    hit = sum(i in [f[0] for f in leaks] for leaks, i in zip(found, wanted, strict=True))
+    assert hit >= 0.9 * len(texts), (hit, len(texts))
+    for text, leaks, i in zip(texts, found, wanted, strict=True):
+        for item_id, distance, start, stop in leaks:
+            if item_id == i:
+                assert distance == edits(_plain(dict(items)[i]), _plain(text)) and 0 <= start < stop <= len(_plain(text)) + 1
+
+
+def test_items_that_share_a_phrase():
+    """A phrase of many items opens no windows for items with words of their own; the work stays linear."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    phrase = "which of the following statements about the passage is not true"
+    items = [(i, f"{phrase} {' '.join(word() for _ in range(25))}") for i in range(2000)]
+    block = decontaminate.Items(items)
+    texts = pa.array([f"{word()} {phrase} {word()} {k}" for k in range(200)] + [items[7][1], items[1999][1].upper()])
+    values, _ = decontaminate.plain_texts(texts)
+    assert sum(len(found[0]) for found in block.opened(values)) < 5 * len(texts)
+    assert [[leak[:2] for leak in leaks] for leaks in block.leaks(texts)][-3:] == [[], [(7, 0)], [(1999, 0)]]
+
+
+def test_short_and_odd_items():
+    rows = [(1, "ab"), (2, "a" * 300), (3, "Yes, no?"), (4, ""), (5, "!!"), (6, "yes no")]
+    block = decontaminate.Items(rows)
+    got = block.leaks(pa.array(["x ab y", "a" * 500, "say YES... no!", "", "\0", "ab", "yes", None]))
+    assert [[leak[:2] for leak in leaks] for leaks in got] == [[(1, 0)], [(2, 0)], [(3, 0), (6, 0)], [], [], [(1, 0)], [], []]
+    assert decontaminate.Items([]).leaks(pa.array(["a"])) == [[]]
+
+
 def test_leaks(spark, frame, odd_rows, monkeypatch):
     bench = spark.createDataFrame([(7, PROSE[0]), (8, PROSE[0]), (9, None), (10, ""), (None, "two words")], "item_id long, text string")
     plain = lambda s: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (s or "").lower()))
@@ -135,6 +201,63 @@ def test_language_backs_off(spark, frame):
     assert model.predict(["strength " * (langid.PIECE // 9 + 10)])[0][0] == "en"
 
 
+def plain_language(train, texts):
+    """The scorer in plain Python: words by log frequency, unseen ones by the mean over their longest known n-grams."""
+    letters = re.compile(r"[^\W\d_]+")
+    counts = [collections.Counter() for _ in range(langid.LONGEST + 1)]
+
+    def grams(word, n):
+        return [(i == 0, i == len(word) - n, word[i : i + n]) for i in range(len(word) - n + 1)]
+
+    langs = sorted({lang for _, lang in train})
+    for text, lang in train:
+        for word in letters.findall(text.lower()):
+            counts[0].update([(lang, word)])
+            for n in range(1, langid.LONGEST + 1):
+                counts[n].update((lang, g) for g in grams(word, n))
+    known = [{key for _, key in c} for c in counts]
+    total = [{x: sum(v for (lang, _), v in c.items() if lang == x) for x in langs} for c in counts]
+
+    def log(n, lang, key):
+        return math.log((counts[n][lang, key] + langid.SMOOTH) / (total[n][lang] + langid.SMOOTH * (len(known[n]) + 1)))
+
+    out = []
+    for text in texts:
+        words, sums = letters.findall(text.lower()), dict.fromkeys(langs, 0.0)
+        for word in words:
+            level, keys = 0, [word] if word in known[0] else []
+            for n in range(langid.LONGEST, 0, -1):
+                if keys:
+                    break
+                level, keys = n, [g for g in grams(word, n) if g in known[n]]
+            for lang in langs:
+                sums[lang] += sum(log(level, lang, k) for k in keys) / max(len(keys), 1)
+        scale = min(len(words), langid.FULL_WORDS) / max(len(words), 1)
+        chance = {x: math.exp((v - max(sums.values())) * scale) for x, v in sums.items()}
+        best = max(langs, key=lambda x: chance[x])
+        out.append((best, chance[best] / sum(chance.values())))
+    return out
+
+
+def test_language_against_plain_scorer(spark, frame):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.text, r.lang) for r in docs.orderBy("doc_id").limit(25).collect()]
+    train = [(t[:3000], x) for t, x in rows if t and x and t.isascii() is not None][:20]
+    texts = [t[:400] for t, _ in rows if t and re.search(r"[^\W\d_]", t[:400])] + ["Unbekannt xqz", "éè", "a"]
+    model = langid.fit(frame([(i, t, x) for i, (t, x) in enumerate(train)]))
+    for (lang, score), (want, chance) in zip(model.predict(texts), plain_language(train, texts), strict=True):
+        assert (lang == want or abs(score - chance) < 1e-3) and abs(score - chance) < 1e-3
+
+
+def test_frequent_words_fit_the_room(spark, monkeypatch):
+    monkeypatch.setattr(langid, "WORDS", 50)
+    monkeypatch.setattr(langid, "GRAMS", 10)
+    table = spark.createDataFrame([(0, i, 5 if i < 20 else 2) for i in range(500)] + [(1, i, i) for i in range(40)] + [(2, 1, 1)], "n long, h long, c long")
+    got = [(r.n, r.h) for r in table.where(langid._frequent(table)).collect()]
+    assert {h for n, h in got if n == 0} >= set(range(20)) and abs(sum(n == 0 for n, _ in got) - 50) < 20
+    assert sorted(h for n, h in got if n == 1) == list(range(30, 40)) and (2, 1) in got
+
+
 def lm_base(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     toks = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), "\n"] for _, t in rows]
@@ -228,6 +351,65 @@ def test_training_goes_on_until_the_likelihood_stops_rising(spark, frame, monkey
     assert lm.log_ratio(more, classes, first)[0] - lm.log_ratio(hmm, classes, first)[0] < 2 * lm.RISE * len(words)
 
 
+@pytest.mark.parametrize("heavy", [lm.HEAVY, 30])
+def test_every_state_is_a_distribution(spark, frame, monkeypatch, heavy):
+    """Over all training words and the unseen one, each state's probabilities sum to one; rare words have emissions of their own."""
+    monkeypatch.setattr(lm, "OWN", 8)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 150)
+    r = random.Random(12)
+    texts = [" ".join(f"{'xy'[i % 2]}{int(r.paretovariate(0.6)) % 200}" for _ in range(r.randint(1, 60))) for i in range(80)]
+    docs = frame(list(enumerate(texts)))
+    counts = lm.count_words(docs, 3).cache()
+    shared = spark.sparkContext.broadcast(lm.vocabulary(counts, heavy))
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    blocks = lm.encode(rows, shared).cache()
+    hmm = lm._trained(blocks, shared, 3, 6)
+    found = lm.emissions(blocks, shared, hmm, 3)
+    vocab, total = shared.value, np.zeros(3)
+    have = {}
+    for row in found.table.collect():
+        words, c, h = (np.frombuffer(row[n], kind) for n, kind in (("words", np.uint64), ("counts", np.int64), ("held", np.float32)))
+        have.update(zip(words.tolist(), zip(c.tolist(), h.reshape(-1, 3), strict=True), strict=True))
+    for row in counts.collect():
+        for w, c in zip(np.frombuffer(row.words, np.uint64).tolist(), np.frombuffer(row.counts, np.int64).tolist(), strict=True):
+            at = int(vocab.index.find(np.array([w], np.uint64))[0])
+            p = (c + lm.ALPHA) / vocab.divisor
+            if 0 <= at < 8:
+                total += p * hmm.ratio[vocab.classes[at]]
+            else:
+                assert have[w][0] == c and (at < 0 or np.allclose(found.frequent[at], have[w][1]))
+                total += p * found.scale * have[w][1]
+    total += lm.ALPHA / vocab.divisor * found.scale
+    np.testing.assert_allclose(total, 1, atol=1e-5)
+    assert len(have) + min(8, len(vocab.words)) == vocab.v
+
+
+@pytest.mark.parametrize(("heavy", "tokens"), [(lm.HEAVY, lm.BLOCK_TOKENS), (30, 200), (0, 50)])
+def test_scores_do_not_depend_on_blocks(spark, frame, monkeypatch, heavy, tokens):
+    """The score of each text against the forward recursion over its words' ratios, however the work is cut."""
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(lm, "GROUP_TOKENS", tokens // 2)
+    r = random.Random(13)
+    texts = [" ".join(f"{'xy'[i % 2]}{int(r.paretovariate(0.6)) % 300}" for _ in range(r.randint(0, 80))) for i in range(90)]
+    df = frame(list(enumerate(texts)))
+    rows = df.select("doc_id", (F.col("doc_id") % 3 == 0).alias("held_out"), "text")
+    got = {x.doc_id: x for x in lm.score(df, F.col("doc_id") % 3 == 0, iterations=3, heavy=heavy).collect()}
+    shared = spark.sparkContext.broadcast(lm.vocabulary(lm.count_words(rows.where("not held_out"), 2), heavy))
+    blocks = lm.encode(rows, shared).cache()
+    hmm = lm._trained(blocks, shared, lm.STATES, 3)
+    found = lm.emissions(blocks, shared, hmm, 2)
+    have = {}
+    for row in found.table.collect():
+        words, h = np.frombuffer(row.words, np.uint64), np.frombuffer(row.held, np.float32).reshape(-1, lm.STATES)
+        have.update(zip(words.tolist(), h, strict=True))
+    for i, text in enumerate(texts):
+        words, first = lm.tokens(pa.array([text]))
+        at = shared.value.index.find(words)
+        ratio = np.array([hmm.ratio[shared.value.classes[a]] if 0 <= a < lm.OWN else found.scale * have.get(int(w), np.ones(lm.STATES)) for a, w in zip(at, words, strict=True)])
+        want = lm.log_ratio(lm.Hmm(hmm.start, hmm.move, ratio), np.arange(len(words)), first)[0] / math.log(10)
+        assert abs(got[i].score - got[i].base_score - want) < 1e-4 * (1 + abs(want)), (i, text)
+
+
 def test_archives(spark):
     body = "<html>" + "é" * 80
     rows = [(1, "http://a.org/x", body), (2, "https://B.org:8080/y?z=1", body), (3, None, body), (4, "http://a.org/x", None), (5, "http://a.org/x", ""), (None, "bad\r\nurl \x1f", body), (7, "http://[bad", "short"), (8, "http://a.org/x", "short"), (9, "http://c.net", "WARC/1.1\r\n\r\n" + body)]
@@ -248,6 +430,55 @@ def test_archives(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+class Counted:
+    """A file that notes what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.reads = data, []
+
+    def read_at(self, n, offset):
+        self.reads.append((offset, n))
+        return self.data[offset : offset + n]
+
+
+def test_read_ranges():
+    r = random.Random(5)
+    data = bytes(r.getrandbits(8) for _ in range(300_000))
+    places = sorted((r.randrange(299_000), r.randint(1, 900)) for _ in range(200))
+    file = Counted(data)
+    assert list(warc.read_ranges(file, places)) == [data[o : o + n] for o, n in places]
+    file, far = Counted(bytes(60_000_000)), [(k * 6_000_000 + 5, 1000) for k in range(10)]
+    assert [len(x) for x in warc.read_ranges(file, far)] == [1000] * 10 and file.reads == far
+    file, near = Counted(bytes(50_000_000)), [(k * 1_000_000, 1_000_000) for k in range(40)]
+    assert len(list(warc.read_ranges(file, near))) == 40 and all(n <= warc.READ_BYTES for _, n in file.reads) and len(file.reads) == 10
+
+
+def test_addresses_of_ranges(tmp_path):
+    (tmp_path / "x").write_bytes(b"1")
+    assert all(warc.reads_ranges(f"{p}{tmp_path}/x") for p in ("file:", "file://"))
+    assert not warc.reads_ranges(f"file:{tmp_path}/y") and not warc.reads_ranges("viewfs://a/b")
+    assert warc.range_uri("s3a://b/k") == "s3://b/k" and warc.range_uri("file:/a") == warc.range_uri("file:///a") == "file:///a"
+
+
+@pytest.mark.parametrize("ranges", [True, False])
+def test_look_up_of_few_pages(spark, tmp_path, monkeypatch, ranges):
+    """Large pages make several archive files; ten pages are found in them, with and without range reads."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    if not ranges:
+        monkeypatch.setattr(warc, "reads_ranges", lambda file: False)
+    r = random.Random(6)
+    big = [f"<p>{r.getrandbits(8 * 300_000):x}</p>" for _ in range(6)] + ["<p>" + "ab " * 1_700_000]
+    pages = spark.createDataFrame([(i, f"http://h{i % 5}.org/{i}", big[i] if i < len(big) else f"page {i} " * 30) for i in range(400)], "page_id long, url string, html string").repartition(2)
+    base = f"file://{tmp_path}/w"
+    warc.write_archives(pages, f"{base}/archives")
+    files = warc._listed(spark, f"{base}/archives").select("length").collect()
+    assert len(files) >= 4 and max(f.length for f in files) < 3 << 20
+    warc.write_index(spark, f"{base}/archives", f"{base}/index")
+    wanted = pages.where("page_id in (0, 3, 6, 17, 90, 91, 200, 333, 398, 399)")
+    got = warc.read_records(spark, f"{base}/archives", warc.locate(spark.read.parquet(f"{base}/index"), warc.capture_keys(wanted))).collect()
+    assert sorted((x.page_id, x.payload_bytes) for x in got) == sorted((x.page_id, len(x.html)) for x in wanted.collect())
+
+
 def test_index_blocks():
     blocks = []
     entries = sorted((f"k{i // 3:04d}", "f", i, 1) for i in range(2000))

@@ -73,6 +73,75 @@ def test_redact(spark, frame, odd_rows):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "mail <EMAIL> or <PHONE> now", 2: None, 3: "x"}
 
 
+def test_redact_overlaps(spark):
+    """Spans that overlap, touch, nest or repeat, against a plain fold; texts longer than a block."""
+    r = random.Random(4)
+    rows = []
+    for n in (0, 1, 5, 50, 300):
+        for size in (60, 5000, 140_000):
+            text = "".join(r.choice("abc é😀") for _ in range(size))
+            spans = []
+            for _ in range(n):
+                a = r.randrange(size)
+                spans.append((r.choice("pqr"), a, min(size, a + r.choice([1, 2, 5, 9000]))))
+            rows.append((text, spans))
+    df = spark.createDataFrame(rows, "t string, sp array<struct<k:string,s:long,e:long>>")
+    got = [x.o for x in df.selectExpr(pii.redact_sql("t", "sp") + " as o").collect()]
+    for (text, spans), out in zip(rows, got, strict=True):
+        want, at = [], 0
+        for s, ne, k in sorted((s, -e, k) for k, s, e in spans):
+            if s >= at:
+                want += [text[at:s], f"<{k.upper()}>"]
+            at = max(at, -ne)
+        assert out == "".join(want) + text[at:]
+
+
+def test_pieces_are_cut_right(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "é" for i in range(150_000))
+    r = random.Random(1)
+    cuts = [(0, 0), (0, 1), (4095, 4097), (4096, 8192), (0, 150_000), (149_999, 150_000), (65_535, 65_537), (131_072, 150_000)] + [tuple(sorted((r.randrange(150_001), r.randrange(150_001)))) for _ in range(10)]
+    df = spark.createDataFrame([(text, cuts)], "t string, c array<struct<a:long,b:long>>")
+    blocks = df.selectExpr("c", f"{pii.blocks_sql('t')} as bl").selectExpr(f"transform(c, x -> {pii.cut_sql('bl', 'x.a', 'x.b')}) as o").first().o
+    assert blocks == [text[a:b] for a, b in cuts]
+
+
+def test_trees_in_sql_are_the_trees(spark):
+    np = pytest.importorskip("numpy")
+    model, limits, (a, b) = pii.fitted(spark)
+    r = random.Random(99)
+    lines = [(pii._line(r)[0],) for _ in range(150)]
+    found = spark.createDataFrame(lines, "t string").selectExpr(f"explode({pii._every('t')}) as c")
+    rows = found.selectExpr("c.*", f"{model.sql([f'c.{f}' for f in pii.FEATURES])} as margin").collect()
+    x = np.array([[row[f] for f in pii.FEATURES] for row in rows], float)
+    assert len(rows) > 100 and np.allclose(model.margin(x), [row.margin for row in rows], atol=1e-9)
+    picked = {(row.k, row.s, row.e) for row, m in zip(rows, model.margin(x), strict=True) if 1 / (1 + np.exp(-(a * m + b))) >= limits[row.k]}
+    got = spark.createDataFrame(lines, "t string").selectExpr(f"explode({pii.added_sql(spark, 't')}) as c").select("c.*").collect()
+    assert {tuple(row) for row in got} == picked
+
+
+def test_precision_and_recall_on_unseen_lines(spark):
+    r = random.Random(2024)
+    lines = [pii._line(r) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(lines)], "doc_id long, text string")
+    found = {row.doc_id: {s.split(":")[0] for s in row.spans.split(",") if s} for row in pii.digest(df).collect()}
+    hits = [(k in found[i] or (k == "account" and "card" in found[i]), good) for i, (_, k, good) in enumerate(lines)]
+    caught, wrong = sum(h for h, g in hits if g), sum(h for h, g in hits if not g)
+    assert caught >= 0.9 * sum(g for _, g in hits) and wrong <= 0.1 * caught
+
+
+def test_many_spans_in_one_text(spark, frame):
+    """A megabyte of spans takes seconds, not hours: work grows with the text, not with its square."""
+    import time
+
+    text = "".join(f"u{i}@h{i}.org 10.0.{i % 256}.{i % 99} 3627 0721 {i:08d} " for i in range(24_000))
+    began = time.time()
+    row = pii.digest(frame([(1, text)])).first()
+    assert row.n_email == row.n_ip == 24_000 and len(text) > 1_000_000
+    out = pii.redact(frame([(1, text)])).first().text
+    assert out.count("<EMAIL>") == out.count("<IP>") == 24_000
+    assert time.time() - began < 60
+
+
 def test_no_python_in_plan(spark, frame):
     plan = pii.digest(frame([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

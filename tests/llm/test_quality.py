@@ -38,6 +38,34 @@ def test_lines(spark, frame):
     assert got[1].cleaned == prose and got[1].n_removed_lines == 2 and not got[2].kept and got[3].n_removed_lines == 0 and got[4].cleaned == prose
 
 
+def test_common_lines(spark, frame):
+    """A line of many unlike documents goes, in any language; lines of copies and near copies stay."""
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abdeilnorstu") for _ in range(r.randint(2, 12)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    notice = "Alle Rechte sind dem Verlag vorbehalten, Ausgabe {}"
+    rows = [(i, f"{prose(30)}\n{notice.format(i)}\n{prose(30)}") for i in range(40)]
+    copy = [prose(12) for _ in range(8)]
+    for i in range(60):
+        lines = list(copy)
+        for _ in range(3):
+            k = r.randrange(8)
+            words = lines[k].split(" ")
+            words[r.randrange(len(words))] = word()
+            lines[k] = " ".join(words)
+        rows.append((100 + i, "\n".join(lines)))
+    rows += [(200 + i, "\n".join(copy)) for i in range(60)]
+    df = frame(rows)
+    common = quality.common_lines(df)
+    assert len(common) == 1 and common == [x.h for x in df.limit(1).selectExpr(f"xxhash64({quality.plain_line_sql(repr(notice.format(1)))}) as h").collect()]
+    got = {x.doc_id: x for x in quality.quality(df, common=common).collect()}
+    assert all(got[i].n_removed_lines == 1 and notice.format(i) not in got[i].cleaned and got[i].kept for i in range(40))
+    assert all(x.n_removed_lines == 0 and x.kept for i, x in got.items() if i >= 100)
+    assert quality.common_lines(df.limit(0)) == []
+
+
 def test_no_python_in_plan(spark, frame):
     plan = quality.report(frame([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

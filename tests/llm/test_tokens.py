@@ -32,6 +32,14 @@ def test_same_as_library(own, library, text):
     assert own.ids(text).tolist() == want and own.count(text) == len(want)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["word", "mot", "слово", "слова", "单词", "a_b", "naïve", "don't", "x\u00a0y", "\u200b", "😀", "½", "9", "é\u0301", "\x1c", "ab\u2028"]), max_size=12), st.sampled_from([" ", "  ", "\n", " \t"]))
+def test_mixed_scripts(own, library, words, gap):
+    text = " ".join(words) + gap + gap.join(words)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert own.ids(text).tolist() == want and own.count(text) == len(want)
+
+
 def test_whole_tokens_are_proven(own, library):
     for piece, i in list(own._whole.items())[::997]:
         assert library.encode(piece, add_special_tokens=False).ids == [i]

@@ -112,6 +112,19 @@ def discard(spark: SparkSession, *paths: str) -> None:
             _written.remove(path)
 
 
+def writing(path: str) -> dict[str, str]:
+    """Options for writing under a work path.
+
+    Hadoop's checked local file system starts a process for each file and folder it makes, to set its mode, and
+    writes a checksum file beside each; thousands of small files cost thousands of processes, each of
+    which shares the executor's whole memory until it runs. The raw local file system does neither. Paths
+    in other stores are written as always.
+    """
+    if not path.startswith("file:"):
+        return {}
+    return {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialize(df: DataFrame, name: str, path: str | None = None, few: bool = False, **options: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors.
 
@@ -120,7 +133,7 @@ def materialize(df: DataFrame, name: str, path: str | None = None, few: bool = F
     spark = df.sparkSession
     path = path or work_path(spark, name)
     rows = df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df
-    rows.write.mode("overwrite").options(**options).parquet(path)
+    rows.write.mode("overwrite").options(**writing(path), **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

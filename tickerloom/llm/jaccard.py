@@ -13,7 +13,10 @@ selective segments at the corpus's own rate of repeated n-grams. Long sets take
 lets a set of which ``COVERED`` is text shared with many others (a licence, a quoted passage) have
 no more than g segments filled by that text alone.
 
-Entries with the same key form a bucket.
+Entries with the same key form a bucket. They travel in blocks: a task sorts its entries by shard (a
+range of the key hashes) and sends each shard one run of numbers, and a shard finds its buckets by
+sorting. Of a bucket that is large in a task already, ``SMALL`` + 1 members go to the shard, which
+then knows it as large, and the others go round it: no shard holds a hot bucket's members.
 
 * Small buckets are compared pair by pair; a pair must meet in g + 1 buckets to go on.
 * A set in no more than g large buckets leaves them: whatever it is similar to, it meets that in a
@@ -32,19 +35,18 @@ expanded into its pairs.
 from __future__ import annotations
 
 import functools
-import gc
 import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, give_back, materialize, small_plans, texts
-from .components import components
+from .common import bounded_batches, free, give_back, materialize, number_batches, small_plans, texts
+from .components import components, salted
 from .textops import chain, longs, mix, word_hashes
 
 #: Members up to which a bucket is compared pair by pair.
@@ -59,7 +61,7 @@ LONG = 8
 BLOCK_ITEMS = 1 << 20
 #: Pairs that one replica of a centre serves in verification.
 CENTRE_PAIRS = 2000
-#: Candidate keys that are broadcast (16 bytes each); beyond, texts are fetched by a join.
+#: Candidate keys that are broadcast (two sorted arrays of 8 bytes each); beyond, texts are fetched by a join.
 KEYS_BROADCAST = 500_000
 #: One hash in so many is counted for the rate of repeated n-grams.
 RATE_SAMPLE = 256
@@ -69,8 +71,8 @@ COLLISION = 40.0
 TINY = 16
 #: Low bits of an entry that hold its band.
 BAND_MASK = np.uint64(127)
-#: Rows of numbers in one Arrow batch.
-NUMBER_ROWS = 32_768
+#: Entries that a task deals out at once, and n-grams of the corpus for each shard of the index.
+ENTRIES = 1 << 20
 
 
 def bands(percent: int, limit: int) -> list[tuple[int, int]]:
@@ -155,6 +157,7 @@ def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0) ->
     elements = _elements(values)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(elements, out=total[1:])
+    _bands_checked(percent, len(values))
     high = values >> np.uint64(32)
     out = []
     for number, low, top in schemes(len(values), percent):
@@ -176,6 +179,13 @@ def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0) ->
     return np.concatenate(out)
 
 
+def _bands_checked(percent: int, n: int) -> None:
+    """Entries have room for so many bands; a set beyond them would share none."""
+    last = schemes(n, percent)[-1][0]
+    if last > int(BAND_MASK):
+        raise ValueError(f"sets of {n} n-grams at {percent} % need {last + 1} size bands; {int(BAND_MASK) + 1} are there")
+
+
 def needs(percent: int, rate: float, level: int = 0) -> np.ndarray:
     """For each band, in how many buckets a similar pair meets at least."""
     all_bands = bands(percent, 1 << 40)[: int(BAND_MASK) + 1]
@@ -230,7 +240,7 @@ def with_set_key(docs: DataFrame, width: int) -> DataFrame:
 
 def _rate(classes: DataFrame) -> float:
     """Share of n-gram occurrences (one in RATE_SAMPLE hashes counted) that other sets have too, copies aside."""
-    counts = classes.select("k", "counted").dropDuplicates(["k"]).select(F.explode("counted").alias("v")).groupBy("v").count()
+    counts = classes.select("k", F.explode("counted").alias("v")).distinct().groupBy("v").count()
     row = counts.agg(F.sum("count").alias("n"), F.sum(F.when(F.col("count") > 1, F.col("count"))).alias("again")).first()
     return round((row.again or 0) / row.n, 2) if row.n else 0.0
 
@@ -248,115 +258,128 @@ def _pairs_within(sig: np.ndarray, k: np.ndarray, band: np.ndarray) -> np.ndarra
     return np.concatenate(found)
 
 
-def _meetings(batches, need: np.ndarray):
-    """From rows (sig, k) sorted by both: pairs in small buckets, members of large ones.
-
-    Output (kind, x, y, tag): kind 0 is a pair (x, y), kind 1 the member y of bucket x; a tag holds
-    the band and the number of buckets that a similar pair must share in it. Equal rows count once.
-    No more than SMALL rows of an unfinished bucket are held.
+def _deal(sig: np.ndarray, k: np.ndarray, shards: int, spare: int) -> pa.RecordBatch:
+    """Entries as rows (shard, sigs, ks); of a bucket with more than SMALL + 1 members here the rest goes to row -1 - ``spare``."""
+    shard = ((sig.view(np.uint64) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    cells = max(1 << 12, 1 << len(sig).bit_length())
+    cell = (sig >> 7) & (cells - 1)
+    heavy = np.flatnonzero(np.bincount(cell, minlength=cells)[cell] > SMALL)
+    if len(heavy):
+        order = heavy[np.lexsort((k[heavy], sig[heavy]))]
+        new = np.r_[True, sig[order][1:] != sig[order][:-1]]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        shard[order[place > SMALL]] = -1 - spare
+    order = np.argsort(shard, kind="stable")
+    names, first = np.unique(shard[order], return_index=True)
+    offsets = pa.array(np.r_[first, len(order)] * 8, pa.int32()).buffers()[1]
+    packed = [pa.Array.from_buffers(pa.binary(), len(names), [None, offsets, pa.py_buffer(np.ascontiguousarray(x[order]).tobytes())]) for x in (sig, k)]
+    return pa.RecordBatch.from_arrays([pa.array(names), *packed], names=["shard", "sigs", "ks"])
+
+
+def _meet(sig: np.ndarray, k: np.ndarray, aside: bool, need: np.ndarray) -> pa.Table:
+    """Pairs in small buckets of (sig, k) and members of large ones; with ``aside``, all are known to be in large ones.
+
+    Output (kind, x, y, tag, n): kind 0 is a pair (x, y) met in n buckets of a band, kind 1 the member y of
+    bucket x; a tag holds the band and the number of buckets that a similar pair must share in it. Equal
+    entries count once.
     """
-    empty = np.zeros(0, np.int64)
-    sig, k = empty, empty  # the unfinished bucket; of a large one only its last row, passed on already
-    large = False
-
-    def out(kind, x, y, band):
-        t = (band << 32) + need[band]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y), pa.array(t)], names=["kind", "x", "y", "tag"])
-
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            sig, k = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((sig, k)))
-        if not len(sig):
-            continue
-        once = np.r_[True, (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])]
-        sig, k = sig[once], k[once]
-        band = sig & np.int64(BAND_MASK)
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        sizes = np.diff(np.r_[starts, len(sig)])
-        hot = sizes > SMALL
-        hot[0] |= large
-        of = np.repeat(hot, sizes)
-        passing = of.copy()
-        passing[0] &= not large
-        if passing.any():
-            yield out(1, sig[passing], k[passing], band[passing])
-        whole = ~of
-        if batch is not None:
-            whole[starts[-1] :] = False
-        pairs = _pairs_within(sig[whole], k[whole], band[whole]) if whole.any() else np.zeros((0, 3), np.int64)
-        for low in range(0, len(pairs), 1 << 18):
-            part = pairs[low : low + (1 << 18)]
-            yield out(0, part[:, 0], part[:, 1], part[:, 2])
-        large = bool(hot[-1])
-        keep = slice(len(sig) - 1, None) if large else slice(starts[-1], None)
-        sig, k = sig[keep], k[keep]
-    give_back()
+
+    def out(kind, x, y, band, n):
+        return pa.table({"kind": pa.array(np.full(len(x), kind, np.int8)), "x": x, "y": y, "tag": (band << 32) + need[band], "n": n})
+
+    order = np.argsort(sig)
+    met = np.zeros(len(order), bool)
+    same = sig[order][1:] == sig[order][:-1]
+    met[1:] = same
+    met[:-1] |= same  # entries alone in their bucket need no further look
+    rows = order if aside else order[met]
+    rows = rows[np.lexsort((k[rows], sig[rows]))]
+    sig, k = sig[rows], k[rows]
+    once = np.r_[True, (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])][: len(sig)]
+    sig, k = sig[once], k[once]
+    band = sig & np.int64(BAND_MASK)
+    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+    large = np.repeat(np.diff(np.r_[starts, len(sig)]) > SMALL, np.diff(np.r_[starts, len(sig)])) | aside
+    members = out(1, sig[large], k[large], band[large], np.ones(int(large.sum()), np.int64))
+    pairs = _pairs_within(sig[~large], k[~large], band[~large])
+    if not len(pairs):
+        return members
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2]))]
+    new = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(1)])
+    x, y, of = (np.ascontiguousarray(c) for c in pairs[new].T)
+    return pa.concat_tables([members, out(0, x, y, of, np.diff(np.r_[new, len(pairs)]))])
 
 
 def _candidates(entries: DataFrame, need_of: np.ndarray, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs to verify: a, b; members of large buckets: sig, k) from entries (sig, k)."""
+    """(pairs to verify: a, b; members of large buckets: sig, k) from dealt entries (shard, sigs, ks)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, k = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("sigs", "ks"))
+        return _meet(sig, k, table["shard"][0].as_py() < 0, need_of)
+
     spark = entries.sparkSession
-    ordered = entries.repartition("sig").sortWithinPartitions("sig", "k")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_ROWS))
-    try:
-        met = materialize(ordered.mapInArrow(lambda b: _meetings(iter(b), need_of), "kind byte, x long, y long, tag long"), f"{name}-meetings")
-    finally:
-        bounded_batches(spark)
+    with number_batches(spark):
+        met = materialize(entries.groupBy("shard").applyInArrow(run, "kind byte, x long, y long, tag long, n long"), f"{name}-meetings")
     need = F.col("tag").bitwiseAND((1 << 32) - 1)
-    hot = met.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("k"), "tag")
-    inside = materialize(hot.groupBy("k", "tag").agg(F.count("*").alias("z")), f"{name}-inside")
-    staying = inside.where(F.col("z") >= need).select("k", "tag")
-    hot = materialize(hot.join(staying, ["k", "tag"], "left_semi").select("sig", "k"), f"{name}-large")
-    pairs = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "tag").agg(F.count("*").alias("n"))
+    with small_plans(spark):
+        hot = met.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("k"), "tag").distinct()
+        inside = materialize(hot.groupBy("k", "tag").agg(F.count("*").alias("z")), f"{name}-inside", few=True)
+        staying = inside.where(F.col("z") >= need).select("k", "tag")
+        hot = materialize(hot.join(staying, ["k", "tag"], "left_semi").select("sig", "k"), f"{name}-large", few=True)
+    pairs = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "tag").agg(F.sum("n").alias("n"))
     # what meets in one bucket of a band that asks for more can only reach it in large buckets
     za, zb = (inside.select(F.col("k").alias(c), "tag", F.col("z").alias(f"z{c}")) for c in "ab")
     enough = pairs.where(F.col("n") >= need)
     short = pairs.where(F.col("n") < need).join(za, ["a", "tag"]).join(zb, ["b", "tag"]).where(F.col("n") + F.least("za", "zb") >= need)
     centres = hot.groupBy("sig").agg(F.min("k").alias("a"))
-    stars = hot.join(centres, "sig").where("a <> k").select("a", F.col("k").alias("b"))
+    stars = salted(hot, centres, ["sig"], "k").where("a <> k").select("a", F.col("k").alias("b"))
     found = enough.select("a", "b").unionAll(short.select("a", "b")).unionAll(stars).distinct()
     return materialize(found, f"{name}-candidates"), hot
 
 
-def _entries(docs: DataFrame, width: int, percent: int, rate: float) -> DataFrame:
-    """(sig, k) of all sets of ``docs`` (column text); equal sets of one task count once."""
+def _dealt(held: list[tuple[np.ndarray, np.ndarray]], shards: int) -> pa.RecordBatch:
+    sig, k = (np.concatenate(side) for side in zip(*held, strict=True))
+    return _deal(sig.view(np.int64), k, shards, int(k[0]) % shards)
+
+
+def _entries(docs: DataFrame, width: int, percent: int, rate: float, shards: int) -> DataFrame:
+    """Dealt entries of all sets of ``docs`` (column text); equal sets of one task count once."""
 
     def run(batches):
         seen: set[int] = set()
+        held, size = [], 0
         for batch in batches:
             for low in range(0, len(batch), 128):
-                sigs, keys = [], []
                 for v in sets(batch.column(0).slice(low, 128), width):
                     k = set_keys(v)[0]
                     if len(v) and k not in seen:
                         seen.add(k)
-                        sigs.append(signatures(v, percent, rate))
-                        keys.append(np.full(len(sigs[-1]), k))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([longs(np.concatenate(sigs)), pa.array(np.concatenate(keys))], names=["sig", "k"])
+                        sig = signatures(v, percent, rate)
+                        held.append((sig, np.full(len(sig), k)))
+                        size += len(sig)
+                if size >= ENTRIES:
+                    yield _dealt(held, shards)
+                    held, size = [], 0
+        if held:
+            yield _dealt(held, shards)
         give_back()
 
-    return docs.select("text").mapInArrow(run, "sig long, k long")
+    return docs.select("text").mapInArrow(run, "shard long, sigs binary, ks binary")
 
 
-def _entries_again(stored: DataFrame, percent: int, rate: float) -> DataFrame:
-    """Entries of stored sets (k, items) under the second partition."""
+def _entries_again(stored: DataFrame, percent: int, rate: float, shards: int) -> DataFrame:
+    """Dealt entries of stored sets (k, items) under the second partition."""
 
     def run(batches):
         for batch in batches:
+            held = []
             for k, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sig = signatures(np.frombuffer(items.as_buffer(), np.uint64), percent, rate, 1)
-                yield pa.RecordBatch.from_arrays([longs(sig), pa.array(np.full(len(sig), k))], names=["sig", "k"])
+                held.append((sig, np.full(len(sig), k)))
+            if held:
+                yield _dealt(held, shards)
 
-    return stored.select("k", "items").mapInArrow(run, "sig long, k long")
-
-
-def _free() -> None:
-    """Let Spark's cleaner drop shuffle files of jobs that are over."""
-    spark = SparkSession.getActiveSession()
-    gc.collect()
-    if spark is not None:
-        spark._jvm.System.gc()
+    return stored.select("k", "items").mapInArrow(run, "shard long, sigs binary, ks binary")
 
 
 def _likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
@@ -376,6 +399,18 @@ def _likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
         return materialize(found.distinct(), "jaccard-likely")
 
 
+def _paired(rep: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """One number for a document and a set key."""
+    return mix(np.asarray(rep, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(k, np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     """(k, n, items) of the sets with the given keys, each from its document with the least id."""
     spark = docs.sparkSession
@@ -385,20 +420,20 @@ def _texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame, width: int) ->
     if chosen.count() <= KEYS_BROADCAST:
         table = chosen.toArrow()
         rep, k = table["rep"].to_numpy(), table["k"].to_numpy()
-        shared = spark.sparkContext.broadcast((np.unique(rep), set(zip(rep.tolist(), k.tolist(), strict=True))))
+        shared = spark.sparkContext.broadcast((np.unique(rep), np.unique(_paired(rep, k))))
     else:
         rows = rows.join(chosen.select("rep").distinct(), "rep", "left_semi")
 
     def run(batches):
         for batch in batches:
             if shared is not None:
-                reps = shared.value[0]
-                ids = batch.column(0).to_numpy()
-                batch = batch.filter(pa.array(reps[np.minimum(np.searchsorted(reps, ids), len(reps) - 1)] == ids)) if len(reps) else batch.slice(0, 0)
+                batch = batch.filter(pa.array(_among(batch.column(0).to_numpy(), shared.value[0])))
             out = []
-            for rep, v in zip(batch.column(0).to_pylist(), sets(batch.column(1), width), strict=True):
-                k = set_keys(v)[0]
-                if len(v) and (shared is None or (rep, k) in shared.value[1]):
+            found = sets(batch.column(1), width)
+            keys = np.array([set_keys(v)[0] for v in found], np.int64)
+            wanted = np.ones(len(found), bool) if shared is None else _among(_paired(batch.column(0).to_numpy(), keys), shared.value[1])
+            for k, v, chosen_ in zip(keys.tolist(), found, wanted, strict=True):
+                if len(v) and chosen_:
                     out.append((k, len(v), v.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k", "n", "items"])
@@ -407,7 +442,10 @@ def _texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame, width: int) ->
     found = rows.mapInArrow(run, "k long, n long, items binary")
     if shared is None:
         found = found.join(keys, "k", "left_semi").dropDuplicates(["k"])
-    return materialize(found, "jaccard-sets")
+    found = materialize(found, "jaccard-sets")
+    if shared is not None:
+        shared.unpersist()
+    return found
 
 
 def _verify(fits: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
@@ -449,7 +487,7 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     named = rows.distinct().join(roots, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root"))
     mixed = named.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("sig", "size")
     with small_plans(rows.sparkSession):
-        return materialize(named.join(mixed, "sig"), "jaccard-open")
+        return materialize(salted(named, mixed, ["sig"], "k"), "jaccard-open", few=True)
 
 
 def _links_between(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
@@ -505,7 +543,7 @@ def _in_blocks(rows: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     cluster, and only links leave it.
     """
     centres = rows.groupBy("sig").agg(F.min("k").alias("a"))
-    clusters = components(rows.join(centres, "sig").select("a", F.col("k").alias("b")).distinct(), "jaccard-clusters").withColumnRenamed("root", "cluster")
+    clusters = components(salted(rows, centres, ["sig"], "k").select("a", F.col("k").alias("b")).distinct(), "jaccard-clusters").withColumnRenamed("root", "cluster")
     members = rows.select("k", "root").distinct().join(clusters, "k").join(stored, "k")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
     dealt = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
@@ -529,13 +567,14 @@ def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     rate = _rate(classes)
     kinds = classes.where("n > 0").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     kinds = materialize(kinds, "jaccard-kinds")
-    tried, large = _candidates(_entries(docs, width, percent, rate), needs(percent, rate), "jaccard")
-    _free()
+    shards = max(1, -(-(kinds.agg(F.sum("n")).first()[0] or 0) // ENTRIES))
+    tried, large = _candidates(_entries(docs, width, percent, rate, shards), needs(percent, rate), "jaccard")
+    free()
     fits = _likely(tried, kinds, percent)
     keys = fits.select(F.col("a").alias("k")).unionAll(fits.select(F.col("b").alias("k"))).unionAll(large.select("k")).distinct()
     stored = _texts_of(docs, kinds, keys, width)
     links = _verify(fits, stored, percent)
-    roots = materialize(components(links), "jaccard-roots")
+    roots = components(links, "jaccard-roots")
 
     def verified(pairs: DataFrame):
         """Pairs not tried before are; links and roots follow."""
@@ -548,12 +587,12 @@ def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
         tried = materialize(tried.unionAll(new), "jaccard-tried")
         if not more.isEmpty():
             links = materialize(links.unionAll(more), "jaccard-links")
-            roots = materialize(components(links), "jaccard-roots")
+            roots = components(links, "jaccard-roots")
 
     rows = _open(large, roots)
     if not rows.isEmpty():
         again = stored.join(rows.select("k").distinct(), "k", "left_semi")
-        pairs, large = _candidates(_entries_again(again, percent, rate), needs(percent, rate, 1), "jaccard-again")
+        pairs, large = _candidates(_entries_again(again, percent, rate, shards), needs(percent, rate, 1), "jaccard-again")
         verified(pairs)
         rows = _open(large, roots)
     if not rows.isEmpty():
@@ -561,7 +600,7 @@ def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
         more = _in_blocks(rows, stored, percent)
         if not more.isEmpty():
             links = materialize(links.unionAll(more), "jaccard-links")
-            roots = materialize(components(links), "jaccard-roots")
+            roots = components(links, "jaccard-roots")
     return classes, links, roots
 
 
@@ -583,14 +622,14 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = texts(docs)
     classes, links, roots = links_and_roots(rows, width, percent)
     both = links.select(F.col("a").alias("k")).unionAll(links.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))
-    # without a link, a set is known by both fingerprints
-    marked = classes.drop("counted", "sketch").join(roots, "k", "left").withColumn("k2", F.when(F.col("root").isNull(), F.col("k2"))).withColumn("root", F.coalesce("root", "k"))
-    filled = marked.where("n > 0")
+    linked = roots.join(both, "k", "left")
+    # without a link, a set is known by both fingerprints; copies of one text may be a large share of all rows
+    marked = salted(classes.where("n > 0").select("doc_id", "k", "k2", "n"), linked, ["k"], "doc_id", "left")
+    filled = marked.withColumn("k2", F.when(F.col("root").isNull(), F.col("k2")).otherwise(0)).withColumn("root", F.coalesce("root", "k"))
     least = filled.groupBy("root", "k2").agg(F.min("doc_id").alias("component_id"))
-    named = filled.join(least, (filled.root == least.root) & filled.k2.eqNullSafe(least.k2)).select("doc_id", filled.k, "n", "component_id")
-    alone = marked.where("n = 0").select("doc_id", "k", "n", F.col("doc_id").alias("component_id"))
-    out = named.unionAll(alone).join(both, "k", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = salted(filled, least, ["root", "k2"], "doc_id")
+    alone = classes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")).unionAll(alone)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -603,7 +642,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     bounded_batches(docs.sparkSession)
     classes, _, roots = links_and_roots(texts(docs), width, percent)
     filled = F.col("n") > 0
-    found = classes.join(roots, "k", "left").where("doc_id is not null")
+    found = salted(classes.where("doc_id is not null"), roots, ["k"], "doc_id", "left")
     found = materialize(found.select("doc_id", F.when(filled, F.col("k")).alias("set_key"), F.when(filled, F.coalesce("root", "k")).alias("root")), "jaccard-kept")
     named = found.where("root is not null")
     chosen = named.groupBy("root").agg(F.min(F.struct("doc_id", "set_key")).alias("c")).select("c.*")

@@ -7,8 +7,8 @@ A document's score per language is the sum over all its words.
 
 The model is fitted on a bounded sample of the labelled rows: ``TRAIN_DOCS`` documents in
 expectation (all, where there are fewer), chosen by a hash of their id. It keeps the most frequent
-``WORDS`` words and ``GRAMS`` n-grams of each length, so what is broadcast has a fixed size for a
-given number of languages.
+words (about ``WORDS``) and n-grams of each length (about ``GRAMS``), so what is broadcast has a fixed
+size for a given number of languages.
 """
 
 from __future__ import annotations
@@ -163,6 +163,29 @@ class Model:
         return out
 
 
+def _frequent(totals: DataFrame) -> Column:
+    """Which rows (n, h, c) are among the most frequent of their level.
+
+    The counts that occur, few of them, tell the least count a level has room for; of the words that have
+    just that count, a share fixed by their hash is taken. No task gathers a level.
+    """
+    ladder: dict[int, list[tuple[int, int]]] = {}
+    for row in totals.groupBy("n", "c").agg(F.count("*").alias("rows")).collect():
+        ladder.setdefault(row.n, []).append((row.c, row.rows))
+    kept = F.lit(False)
+    for n, steps in ladder.items():
+        room, least, share = WORDS if n == 0 else GRAMS, 0, 0.0
+        for c, rows in sorted(steps, reverse=True):
+            least = c
+            if rows > room:
+                share = room / rows
+                break
+            least, share, room = c, 1.0, room - rows
+        edge = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(share * (1 << 20))
+        kept |= (F.col("n") == n) & ((F.col("c") > least) | ((F.col("c") == least) & edge))
+    return kept
+
+
 def fit(docs: DataFrame, where: Column | None = None, train_docs: int = TRAIN_DOCS) -> Model:
     """The model from rows of ``docs`` (text, lang, doc_id) that hold both, and meet ``where``."""
     spark = docs.sparkSession
@@ -174,11 +197,8 @@ def fit(docs: DataFrame, where: Column | None = None, train_docs: int = TRAIN_DO
     counts = rows.select("text", "lang").mapInArrow(_count, "n long, h long, lang string, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c"))
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     totals = counts.groupBy("n", "h").agg(F.sum("c").alias("c"), *[F.sum(F.when(F.col("lang") == name, F.col("c")).otherwise(0)).alias(f"c{k}") for k, name in enumerate(langs)])
-    totals = materialize(totals, "langid-counts")  # read once for each level
-    best = totals.where("n = 0").orderBy(F.desc("c"), "h").limit(WORDS)
-    for k in range(1, LONGEST + 1):
-        best = best.unionAll(totals.where(F.col("n") == k).orderBy(F.desc("c"), "h").limit(GRAMS))
-    table = best.toArrow() if langs else pa.table({"n": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
+    totals = materialize(totals, "langid-counts", few=True)  # read twice: for the least counts, and for what reaches them
+    table = totals.where(_frequent(totals)).toArrow() if langs else pa.table({"n": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
     level, h = table["n"].to_numpy(), table["h"].to_numpy().view(np.uint64)
     freq = np.stack([table[f"c{k}"].to_numpy() for k in range(len(langs))], 1).astype(float) if langs else np.zeros((0, 0))
     tables = []

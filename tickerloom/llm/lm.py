@@ -440,7 +440,22 @@ def _rows(batches):
             yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-def _pass(blocks: DataFrame, vocab, hmm: Hmm, share: int) -> tuple[np.ndarray, np.ndarray]:
+def _sampled(blocks: DataFrame, share: int) -> DataFrame:
+    """Blocks of one in ``share`` of the texts to learn from."""
+
+    def run(batches):
+        for row in _rows(batches):
+            groups = list(_groups(row, False, share))
+            if groups:
+                sizes, codes = np.concatenate([np.diff(first) for _, first in groups]), np.concatenate([c for c, _ in groups])
+                values = np.zeros(len(sizes), bool), sizes, codes
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=["block", "held", "sizes", "codes"])
+        give_back()
+
+    return blocks.select("block", "held", "sizes", "codes").mapInArrow(run, "block long, held binary, sizes binary, codes binary")
+
+
+def _pass(blocks: DataFrame, vocab, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
     """Sums of expected counts over all partitions, by (x, state): classes, then -1 - s the moves from s, the starts, and the log."""
     states = len(hmm.start)
     fields = ["x", *(f"e{s}" for s in range(states))]
@@ -450,7 +465,7 @@ def _pass(blocks: DataFrame, vocab, hmm: Hmm, share: int) -> tuple[np.ndarray, n
         vocab_, hmm_ = vocab.value, shared.value
         start, moves, emits, log = np.zeros(states), np.zeros((states, states)), np.zeros((len(vocab_.mass), states)), np.zeros(states)
         for row in _rows(batches):
-            for codes, first in _groups(row, False, share):
+            for codes, first in _groups(row, False):
                 more = _counted(hmm_, vocab_.classes_of(codes), first)
                 start, moves, emits = start + more[0], moves + more[1], emits + more[2]
                 log[0] += more[3]
@@ -483,9 +498,9 @@ def _trained(blocks: DataFrame, shared, states: int, iterations: int | None) ->
     if not vocab.n:
         return hmm
     for share in (WARM, 1) if iterations is None else (1,):
-        before = -np.inf
+        before, part = -np.inf, blocks if share == 1 else materialize(_sampled(blocks, share), "lm-warm", few=True)
         for _ in itertools.count() if iterations is None else range(iterations):
-            x, e = _pass(blocks, shared, hmm, share)
+            x, e = _pass(part, shared, hmm)
             is_log = x == -2 - states
             log, n = e[is_log, 0].sum(), e[x >= 0].sum()
             if not n or iterations is None and log - before < RISE * n:

@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, texts
-from .jaccard import links_and_roots, with_set_key
-from .tokens import count_tokens
+from .common import bounded_batches, give_back, materialize, string_column, texts
+from .components import salted
+from .jaccard import links_and_roots, set_keys, sets
+from .tokens import tokenizer
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -122,7 +123,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     rows = texts(docs, "source")
     _, _, roots = links_and_roots(rows.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
     blank = F.when(F.col("text") != "", F.xxhash64("text"))
-    counted = count_tokens(with_set_key(rows.withColumn("blank", blank), NEAR_WORDS), tokenizer_path, keep_text=False)
-    stored = materialize(counted, "packing-lengths")
-    found = stored.join(roots.withColumnRenamed("k", "set_key"), "set_key", "left")
+    stored = materialize(_measured(rows.withColumn("blank", blank), tokenizer_path), "packing-lengths")
+    found = salted(stored, roots.withColumnRenamed("k", "set_key"), ["set_key"], "doc_id", "left")
     return pack(found.withColumn("cluster", F.coalesce("root", "set_key", "blank")), capacity, shard_rows)
+
+
+def _measured(rows: DataFrame, path: str) -> DataFrame:
+    """doc_id, source, blank, the set's key (null if it is empty) and the tokens of each text, in one pass."""
+
+    def run(batches):
+        counter = tokenizer(path)
+        for batch in batches:
+            column = string_column(batch.column(batch.schema.names.index("text")))
+            keys = pa.array([set_keys(v)[0] if len(v) else None for v in sets(column, NEAR_WORDS)], pa.int64())
+            counts = pa.array([counter.count(t.as_py()) for t in column], pa.int64())
+            kept = [batch.column(batch.schema.names.index(c)) for c in ("doc_id", "source", "blank")]
+            yield pa.RecordBatch.from_arrays([*kept, keys, counts], names=["doc_id", "source", "blank", "set_key", "n_tokens"])
+        give_back()
+
+    return rows.mapInArrow(run, "doc_id long, source string, blank long, set_key long, n_tokens long")

@@ -60,6 +60,8 @@ CUES = {
     "cue_id": ("ssn", "social security", "iban", "tax id", "bank", "mail", "contact", "write to"),
 }
 CONTEXT = 28
+#: Code points in a block of a text that is cut at many places; the step before cuts 16 blocks at once.
+CUT = 4096
 FEATURES = ["kind", "chars", "digits", "uppers", "lowers", "seps", "groups", "distinct", "luhn", "flips", "before", "after", *CUES]
 
 
@@ -91,6 +93,21 @@ def found_sql(text: str, kind: str) -> str:
     return f"if({test.format(t=text)}, {matched}, {none})"
 
 
+def blocks_sql(text: str) -> str:
+    """SQL array of a text's blocks of CUT code points, so that cutting out a piece does not walk from the text's start."""
+    inner = _let(f"substring({text}, a * {16 * CUT} + 1, {16 * CUT})", "y", f"transform(sequence(0, greatest(length(y) - 1, 0) div {CUT}), b -> substring(y, cast(b as int) * {CUT} + 1, {CUT}))")
+    return f"flatten(transform(sequence(0, cast(length({text}) div {16 * CUT} as int)), a -> {inner}))"
+
+
+def cut_sql(blocks: str, start: str, stop: str) -> str:
+    """SQL: the code points start..stop-1 (bigints) of a text given by its blocks."""
+    first, last = f"cast(({start}) div {CUT} as int)", f"cast(({stop}) div {CUT} as int)"
+    low, high = f"cast(({start}) % {CUT} as int)", f"cast(({stop}) % {CUT} as int)"
+    within = f"substring(get({blocks}, {first}), {low} + 1, {high} - {low})"
+    across = f"concat(substring(get({blocks}, {first}), {low} + 1), array_join(slice({blocks}, {first} + 2, {last} - {first} - 1), ''), coalesce(substring(get({blocks}, {last}), 1, {high}), ''))"
+    return f"if(({stop}) <= ({start}), '', if({first} = {last}, {within}, {across}))"
+
+
 def luhn_sql(digits: str) -> str:
     """SQL boolean: Luhn's check over a string of ASCII digits."""
     digit = f"cast(substring(if((length({digits}) - i) % 2 = 1, translate({digits}, '0123456789', '0246813579'), {digits}), i, 1) as int)"
@@ -103,7 +120,8 @@ CHECKS = {
     "ip": "forall(split(x.m, r'\\.'), q -> length(regexp_replace(q, '^0+', '')) <= 3 and cast(right(concat('0', regexp_replace(q, '^0+', '')), 3) as int) <= 255)",
     "card": _let(_ONLY_DIGITS, "d", f"length(d) between 13 and 19 and {luhn_sql('d')}"),
     "phone": f"length({_ONLY_DIGITS}) between 9 and 15",
-    "account": f"length({_ONLY_DIGITS}) between 8 and 24",
+    # a verified card is no further account
+    "account": _let(_ONLY_DIGITS, "d", f"length(d) between 8 and 24 and not (length(d) between 13 and 19 and {luhn_sql('d')})"),
 }
 
 
@@ -113,11 +131,11 @@ def base_sql(text: str, kind: str) -> str:
     return f"transform({kept}, x -> named_struct('k', '{kind}', 's', x.s, 'e', x.e))"
 
 
-def features_sql(text: str, kind: str) -> str:
-    """SQL array of the kind's candidates with their features."""
+def features_sql(text: str, kind: str, blocks: str = "bl") -> str:
+    """SQL array of the kind's candidates with their features; ``blocks`` holds the text's blocks."""
     number = "cast({} as double)"
     without = lambda cls: f"length(regexp_replace(x.m, '[^{cls}]', ''))"
-    before = f"lower(substring({text}, cast(greatest(x.s - {CONTEXT}, 0) as int) + 1, cast(least(x.s, {CONTEXT}) as int)))"
+    before = f"lower({cut_sql(blocks, f'greatest(x.s - {CONTEXT}, 0L)', 'x.s')})"
     values = {
         "kind": str(ADDED.index(kind)),
         "chars": "length(x.m)",
@@ -129,8 +147,8 @@ def features_sql(text: str, kind: str) -> str:
         "distinct": "size(array_distinct(split(lower(x.m), '')))",
         "luhn": f"if(length({_ONLY_DIGITS}) between 8 and 24 and {luhn_sql(_ONLY_DIGITS)}, 1, 0)",
         "flips": "size(split(x.m, '(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])'))",
-        "before": f"if(substring({text}, cast(x.s as int), if(x.s > 0, 1, 0)) rlike r'[0-9A-Za-z_.,:/-]', 1, 0)",
-        "after": f"if(substring({text}, cast(x.e as int) + 1, 1) rlike r'[0-9A-Za-z_/-]', 1, 0)",
+        "before": "if(right(cx, 1) rlike r'[0-9a-z_.,:/-]', 1, 0)",
+        "after": f"if({cut_sql(blocks, 'x.e', 'x.e + 1')} rlike r'[0-9A-Za-z_/-]', 1, 0)",
         **{name: "if(" + " or ".join(f"contains(cx, '{c}')" for c in cues) + ", 1, 0)" for name, cues in CUES.items()},
     }
     row = ", ".join(f"'{n}', {number.format(values[n])}" for n in FEATURES)
@@ -201,15 +219,19 @@ def _line(r: random.Random) -> tuple[str, str, int]:
     return f"{_word(r)} {_word(r)} {lead}{join}{body}{tail} {_word(r)} {_word(r)}.", kind, good
 
 
+def _every(text: str) -> str:
+    """SQL array of all candidates of the added kinds in a text."""
+    return _let(blocks_sql(text), "bl", "concat(" + ", ".join(features_sql(text, k) for k in ADDED) + ")")
+
+
 @functools.lru_cache(maxsize=4)
-def _model(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 11) -> tuple[str, dict[str, float], tuple[float, float]]:
-    """Trees as SQL over features of ``c``, thresholds by kind, and the calibration, from invented lines."""
+def fitted(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 11) -> tuple[Boosted, dict[str, float], tuple[float, float]]:
+    """The trees, thresholds by kind, and the calibration, from invented lines."""
     r = random.Random(seed)
     lines = [dict(zip(("text", "kind", "good"), _line(r), strict=True)) for _ in range(rows)]
     source = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(lines)), "array<struct<text:string,kind:string,good:int>>")).alias("l")).select("l.*")
-    every = "concat(" + ", ".join(features_sql("text", k) for k in ADDED) + ")"
     columns = [F.col(f"c.{f}") for f in FEATURES]
-    candidates = source.select(F.col("kind").alias("of"), "good", F.explode(F.expr(every)).alias("c"))
+    candidates = source.select(F.col("kind").alias("of"), "good", F.explode(F.expr(_every("text"))).alias("c"))
     got = candidates.where("c.k = of").select(*columns, "c.k", "good").collect()
     x = np.array([[row[f] for f in FEATURES] for row in got], float)
     y, kinds = np.array([row.good for row in got], float), np.array([row.k for row in got])
@@ -219,17 +241,15 @@ def _model(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 11) -> tuple
     a, b = calibrate(margin, y[~fit])
     p = 1 / (1 + np.exp(-(a * margin + b)))
     limits = {k: threshold(p[kinds[~fit] == k], y[~fit][kinds[~fit] == k], PRECISION) for k in ADDED}
-    return model.sql([f"c.{f}" for f in FEATURES]), limits, (a, b)
+    return model, limits, (a, b)
 
 
-def added_sql(spark: SparkSession, text: str, card: str) -> str:
-    """SQL array of the selected spans of the added kinds, struct(k, s, e); a verified card is no further account."""
-    trees, limits, (a, b) = _model(spark)
-    chance = f"1 / (1 + exp(-({a:.9f}D * ({trees}) + {b:.9f}D)))"
+def added_sql(spark: SparkSession, text: str) -> str:
+    """SQL array of the selected spans of the added kinds, struct(k, s, e)."""
+    model, limits, (a, b) = fitted(spark)
+    chance = f"1 / (1 + exp(-({a:.9f}D * ({model.sql([f'c.{f}' for f in FEATURES])}) + {b:.9f}D)))"
     limit = "case c.k " + " ".join(f"when '{k}' then {limits[k]:.9f}D" for k in ADDED) + " end"
-    candidates = "concat(" + ", ".join(features_sql(text, k) for k in ADDED) + ")"
-    picked = f"transform(filter({candidates}, c -> {chance} >= {limit}), c -> named_struct('k', c.k, 's', c.s, 'e', c.e))"
-    return f"array_except({picked}, transform({card}, x -> named_struct('k', 'account', 's', x.s, 'e', x.e)))"
+    return f"transform(filter({_every(text)}, c -> {chance} >= {limit}), c -> named_struct('k', c.k, 's', c.s, 'e', c.e))"
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -242,13 +262,14 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Defined results: a null or empty text has no spans; repeated rows are each searched; other
     columns pass through (those named like the two new ones are replaced); an empty table gives an
-    empty table; texts of any length are searched whole. No shuffle, no Python.
+    empty table; texts of any length are searched whole, in time near linear in the text and its
+    candidates. No shuffle, no Python.
     """
     spark = docs.sparkSession
     # the row travels as one column, so that no name of its own can clash with those used here
     out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
     out = out.withColumns({f"_{k}": F.expr(base_sql("_t", k)) for k in BASE})
-    added = F.expr(added_sql(spark, "_t", "_card"))
+    added = F.expr(added_sql(spark, "_t"))
     # all looser kinds need one of these; most texts hold none and skip their generators
     hint = F.expr(r"_t rlike r'[0-9]{2}|[A-Za-z0-9_-]{20}' or contains(lower(_t), 'dot')")
     out = out.withColumn("base_spans", F.concat(*[f"_{k}" for k in BASE]))
@@ -258,10 +279,21 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redact_sql(text: str, spans: str) -> str:
-    """SQL: the text with every covered stretch replaced by the kind (upper case) of its first span."""
-    ordered = f"array_sort({spans}, (l, r) -> case when l.s < r.s then -1 when l.s > r.s then 1 when l.e > r.e then -1 when l.e < r.e then 1 else 0 end)"
-    step = f"if(x.s >= a.at, named_struct('out', array_append(a.out, concat(substring({text}, cast(a.at as int) + 1, cast(x.s - a.at as int)), '<', upper(x.k), '>')), 'at', x.e), named_struct('out', a.out, 'at', greatest(a.at, x.e)))"
-    return f"if(size({spans}) = 0, {text}, aggregate({ordered}, named_struct('out', cast(array() as array<string>), 'at', 0L), (a, x) -> {step}, a -> concat(array_join(a.out, ''), substring({text}, cast(a.at as int) + 1))))"
+    """SQL: the text with every covered stretch replaced by the kind (upper case) of its first span.
+
+    In the order of their starts, a span opens a stretch if it begins at or after the end of all before it;
+    those ends are greatest values taken in two levels, 64 spans to a block.
+    """
+    ordered = f"sort_array(transform({spans}, x -> named_struct('s', x.s, 'ne', -x.e, 'k', x.k)))"
+    most = "coalesce(array_max({}), 0L)"
+    inside = most.format("slice(es, cast(i div 64 as int) * 64 + 1, cast(i % 64 as int))")
+    opened = f"filter(transform(o, (x, i) -> named_struct('s', x.s, 'k', x.k, 'at', greatest(pre[cast(i div 64 as int)], {inside}))), x -> x.s >= x.at)"
+    pieces = f"transform({opened}, x -> concat({cut_sql('bl', 'x.at', 'x.s')}, '<', upper(x.k), '>'))"
+    body = f"concat(array_join({pieces}, ''), {cut_sql('bl', 'array_max(es)', f'cast(length({text}) as bigint)')})"
+    blocks = f"transform(sequence(0, (size(es) - 1) div 64), b -> {most.format('slice(es, cast(b as int) * 64 + 1, 64)')})"
+    prefix = f"transform(sequence(0, size(mb) - 1), b -> {most.format('slice(mb, 1, b)')})"
+    body = _let(blocks, "mb", _let(prefix, "pre", _let(blocks_sql(text), "bl", body)))
+    return f"if(size({spans}) = 0, {text}, {_let(ordered, 'o', _let('transform(o, x -> -x.ne)', 'es', body))})"
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -1,10 +1,14 @@
 """Quality rules, line first, in DataFrame functions only.
 
 Every line is judged by three rules: *punctuation* (hardly a letter in it, or mostly
-punctuation), *navigation* (a run of short cells between separators) and *boilerplate* (a notice
-phrase in a line of notice length). Failing lines are removed; a document that loses more than
-``max_lost`` of the characters in its lines is rejected. Document counts (words, symbols,
-repeated lines and 8-word windows) come from the whole text.
+punctuation), *navigation* (a run of short cells between separators) and *boilerplate* (in a line of
+notice length, a notice phrase, or the line itself being common in the corpus). Failing lines are
+removed; a document that loses more than ``max_lost`` of the characters in its lines is rejected.
+Document counts (words, symbols, repeated lines and 8-word windows) come from the whole text.
+
+Common lines are found in the corpus itself, so in any language: lines that stand in many documents
+that are unlike each other. Documents count as alike if they agree in their least long word (by
+md5), as near copies do; however large a group of copies is, its lines are not common for that.
 """
 
 from __future__ import annotations
@@ -37,6 +41,12 @@ NOTICES = (
     "click here to",
 )
 
+#: A line is common in at least this many unlike documents, and one in so many of all documents.
+LEAST_COMMON = 10
+COMMON_SHARE = 1000
+#: Characters of a long word.
+LONG_WORD = 8
+
 _SPACE = r"\x20\x09-\x0D"
 
 
@@ -64,7 +74,28 @@ def repeat_words_sql(words: str) -> str:
     return _let(f"transform({words}, w -> xxhash64(w))", "h", per_text)
 
 
-def line_fails(line: str) -> str:
+def plain_line_sql(line: str) -> str:
+    """SQL: the line in lower case, with numbers and white space made alike."""
+    return f"trim(regexp_replace(regexp_replace(lower({line}), '[0-9]+', '0'), r'[{_SPACE}]+', ' '))"
+
+
+def common_lines(docs: DataFrame, text_col: str = "text") -> list[int]:
+    """Hashes of the common lines of ``docs``, ascending.
+
+    Two rounds of sums: the different (line, document kind) pairs, then pairs a line, so that a line in a
+    large share of all documents is spread over its kinds first. The driver gets at most
+    ``COMMON_SHARE`` times the mean number of short lines in a document.
+    """
+    least = max(LEAST_COMMON, -(-docs.count() // COMMON_SHARE))
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    kind = _let(words_sql("_text"), "ws", _let(f"filter(ws, w -> length(w) >= {LONG_WORD})", "lw", "array_min(transform(if(size(lw) > 0, lw, ws), w -> md5(cast(w as binary))))"))
+    short = f"filter(split(_text, '\n'), l -> l rlike r'[^{_SPACE}]' and size({words_sql('l')}) <= {NOTICE_WORDS})"
+    found = rows.select(F.expr(kind).alias("kind"), F.explode(F.expr(f"array_distinct(transform({short}, l -> xxhash64({plain_line_sql('l')})))")).alias("line"))
+    pairs = found.select("line", F.xxhash64("kind").alias("kind")).distinct()
+    return sorted(r.line for r in pairs.groupBy("line").count().where(F.col("count") >= least).select("line").collect())
+
+
+def line_fails(line: str, common: list[int] | None = None) -> str:
     """SQL boolean: the line (which has a word) fails a rule."""
     letters = rf"length(regexp_replace({line}, '[^\\p{{L}}\\p{{N}}]+', ''))"
     solid = f"length(regexp_replace({line}, r'[{_SPACE}]+', ''))"
@@ -73,16 +104,19 @@ def line_fails(line: str) -> str:
     n_words = f"size({words_sql(line)})"
     navigation = f"({cells} >= 4 and {n_words} <= 4 * {cells})"
     notice = " or ".join(f"contains(lower({line}), '{p}')" for p in NOTICES)
-    return f"({punctuation} or {navigation} or (({notice}) and {n_words} <= {NOTICE_WORDS}))"
+    if common:
+        notice += f" or xxhash64({plain_line_sql(line)}) in ({', '.join(f'{h}L' for h in common)})"
+    return f"({punctuation} or {navigation} or ({n_words} <= {NOTICE_WORDS} and ({notice})))"
 
 
-def quality(docs: DataFrame, max_lost: float = MAX_LOST, text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, max_lost: float = MAX_LOST, text_col: str = "text", common: list[int] | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines,
     n_removed_lines, line_chars, kept_chars, kept and ``cleaned`` (the text without its failing lines).
 
     Words are runs of characters other than space and 0x09-0x0D. A text fails at once with fewer
     than 20 words or with more than 30 % of its words in repeated windows; otherwise it is kept
     unless more than ``max_lost`` of the characters of its lines (those with a word) were removed.
+    ``common`` is what ``common_lines`` has found.
 
     Defined results: a null text counts as empty: all counts 0, failed, not kept, cleaned empty;
     repeated rows are judged each alike; other columns pass through (those with a name given above
@@ -92,7 +126,7 @@ def quality(docs: DataFrame, max_lost: float = MAX_LOST, text_col: str = "text")
     words, lines = words_sql("_text"), f"filter(split(_text, '\\n'), l -> l rlike r'[^{_SPACE}]')"
     per_words = _let(words, "ws", f"named_struct('n', cast(size(ws) as bigint), 'chars', aggregate(ws, 0L, (a, w) -> a + length(w)), 'repeat', {repeat_words_sql('ws')})")
     measured = "aggregate(ls, named_struct('n', 0L, 'chars', 0L, 'lost_n', 0L, 'lost', 0L), (a, l) -> if(l.bad, named_struct('n', a.n + 1, 'chars', a.chars + l.c, 'lost_n', a.lost_n + 1, 'lost', a.lost + l.c), named_struct('n', a.n + 1, 'chars', a.chars + l.c, 'lost_n', a.lost_n, 'lost', a.lost)))"
-    judged = f"transform({lines}, l -> named_struct('bad', {line_fails('l')}, 'c', cast(length(l) as bigint)))"
+    judged = f"transform({lines}, l -> named_struct('bad', {line_fails('l', common)}, 'c', cast(length(l) as bigint)))"
     per_lines = _let(lines, "fl", "cast(size(fl) - size(array_distinct(fl)) as bigint)")
     # the row travels as one column, so that no name of its own can clash with those used here
     out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
@@ -111,13 +145,13 @@ def quality(docs: DataFrame, max_lost: float = MAX_LOST, text_col: str = "text")
         "line_chars": F.col("_l.chars"),
         "kept_chars": F.col("_l.chars") - F.col("_l.lost"),
         "kept": ~failed & (F.col("_l.lost") <= F.lit(float(max_lost)) * F.col("_l.chars")),
-        "cleaned": F.expr(f"array_join(filter(split(_text, '\\n'), l -> not (l rlike r'[^{_SPACE}]') or not {line_fails('l')}), '\\n')"),
+        "cleaned": F.expr(f"array_join(filter(split(_text, '\\n'), l -> not (l rlike r'[^{_SPACE}]') or not {line_fails('l', common)}), '\\n')"),
     }
     kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in added]
     return out.select(*kept, *[c.alias(name) for name, c in added.items()])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The counts and verdicts of ``quality`` per document, without texts."""
-    out = quality(texts(docs))
+    """The counts and verdicts of ``quality`` per document, without texts; the common lines are those of ``docs``."""
+    out = quality(texts(docs), common=common_lines(docs))
     return out.drop("text", "cleaned")

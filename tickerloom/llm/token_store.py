@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, string_column, texts, work_path
+from .common import bounded_batches, string_column, texts, work_path, writing
 from .tokens import tokenizer
 
 #: A block is closed once it holds this many ids; one document is never cut. Blocks are small, as
@@ -145,7 +145,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0)
         for block in _blocks(rows, tokenizer_path, end_id):
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(block, _ARROW, strict=True)], schema=_ARROW)
 
-    ordered.mapInArrow(run, STORE).write.mode("overwrite").option("compression", "none").parquet(out)
+    ordered.mapInArrow(run, STORE).write.mode("overwrite").options(**writing(out)).option("compression", "none").parquet(out)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

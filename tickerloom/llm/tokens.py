@@ -6,9 +6,10 @@ string is encoded by the library: those that come back as one single token (and
 pre-token) are *proven* whole. A pre-token among them costs one dictionary look-up; only the
 rest is merged by the library, and kept in a bounded memo.
 
-The cut is redone here only for texts made of characters on which every implementation of the
-cut agrees (``_PLAIN``); any other text, and any text that holds a special token's string, is
-encoded by the library as a whole. Tokenizers of another kind always take the library's path.
+The cut is redone here only for characters on which every implementation of the cut agrees
+(``_PLAIN``). A text with others is parted before single spaces between letters or digits, where
+every cut parts it too; the parts that hold such characters go to the library, the rest does not. A
+text that holds a special token's string, and tokenizers of another kind, are left to the library.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ _NUMBER = "0-9²³¹¼-¾"
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡-ɏ‐-‧‰-⁞]*")
 _CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 
+#: A place where every implementation of the cut begins a new pre-token, whatever stands around it.
+_SAFE = re.compile(r"(?<=\w)(?= \w)")
+
 
 #: A byte's stand-in in the vocabulary: itself where printable, else the next free one from 256 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -125,18 +129,41 @@ class Tokenizer:
     def packed(self) -> _Memo:
         return _Memo(self.library, self._whole, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
-    def _by_pieces(self, text: str) -> bool:
-        return self.simple and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+    @functools.cached_property
+    def _odd(self) -> dict[str, np.ndarray]:
+        """Ids of parts that the library encoded, for parts that come again; emptied when it is full."""
+        return {}
+
+    def _part(self, part: str) -> np.ndarray:
+        ids = self._odd.get(part)
+        if ids is None:
+            ids = np.array(self._library_ids(part), "<u4")
+            if len(part) <= MEMO_CHARS:
+                if len(self._odd) >= MEMO:
+                    self._odd.clear()
+                self._odd[part] = ids
+        return ids
+
+    def _parts(self, text: str) -> list[tuple[str, bool]] | None:
+        """The text, parted where it must be, and which parts are plain; None if the library has to see it whole."""
+        if not self.simple or any(s in text for s in self.special):
+            return None
+        if _PLAIN.fullmatch(text):
+            return [(text, True)]
+        return [(p, _PLAIN.fullmatch(p) is not None) for p in _SAFE.split(text)]
 
     def count(self, text: str) -> int:
-        if self._by_pieces(text):
-            return sum(map(self.counts.__getitem__, _CUT.findall(text)))
-        return len(self._library_ids(text))
+        parts = self._parts(text)
+        if parts is None:
+            return len(self._library_ids(text))
+        return sum(sum(map(self.counts.__getitem__, _CUT.findall(p))) if plain else len(self._part(p)) for p, plain in parts)
 
     def ids(self, text: str) -> np.ndarray:
-        if self._by_pieces(text):
-            return np.frombuffer(b"".join(map(self.packed.__getitem__, _CUT.findall(text))), "<u4")
-        return np.array(self._library_ids(text), "<u4")
+        parts = self._parts(text)
+        if parts is None:
+            return np.array(self._library_ids(text), "<u4")
+        packed = self.packed.__getitem__
+        return np.frombuffer(b"".join(b"".join(map(packed, _CUT.findall(p))) if plain else self._part(p).tobytes() for p, plain in parts), "<u4")
 
     def _library_ids(self, text: str) -> list[int]:
         if self.piece is not None:

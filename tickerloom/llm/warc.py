@@ -7,31 +7,41 @@ stream that any reader of concatenated members can read, on any store that Spark
 *Index.* A capture's key is its URL with the host reversed, then its page id. Keys are sorted by a
 range shuffle and packed into compressed blocks of ``BLOCK`` entries (file, offset, length); the
 first key of each block is the sparse directory. A look-up bisects the directory, decompresses one
-block, bisects it, and gets the record's place. Python workers can reach the store only through
-Spark's readers, so a look-up loads the whole archive file (``FILE_RECORDS`` at most) and unpacks
-that byte range of it alone.
+block, bisects it, gets the record's place, and reads that byte range of the archive; ranges that
+lie side by side are read at once. Ranges are read through Arrow's file systems (local and mounted
+folders, S3, GCS, HDFS). In a store that these do not reach, only the archive files asked for are
+loaded, whole, by Spark's reader.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, project, string_column, work_path
+from .common import bounded_batches, project, string_column, work_path, writing
+from .components import salted
 
 #: Payloads under this many bytes are always stored whole.
 MIN_REVISIT = 100
 #: Entries in a block of the index.
 BLOCK = 256
-#: Records in one archive file, which bounds what a task holds.
+#: Records in one archive file, and bytes after which the next one begins: they bound what a task holds.
 FILE_RECORDS = 2000
+FILE_BYTES = 32 << 20
+#: Bytes that are read in vain rather than by another read, and bytes of one read.
+GAP = 1 << 14
+READ_BYTES = 4 << 20
+#: Archive files that are named to Spark's reader one by one.
+NAMED_FILES = 1000
 CAPTURED = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -131,28 +141,38 @@ def write_archives(pages: DataFrame, path: str) -> None:
     Of pages with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the smallest
     page_id is a response and those with a larger one revisit it. A null html is an empty payload,
     a null url leaves the field out, a null page_id is always a response, repeated rows are each
-    written. Only (page_id, digest) pairs meet in the join by digest; the texts move once, by page_id.
+    written. Only (page_id, digest) pairs meet in the join by digest, a payload's pages in several parts;
+    the texts move once, by page_id. A file ends after ``FILE_RECORDS`` records or ``FILE_BYTES`` bytes.
     """
     bounded_batches(pages.sparkSession)
     rows = project(pages, page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     keys = rows.where((F.octet_length("html") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
-    revisits = keys.join(firsts, "digest").where("page_id > first").dropDuplicates(["page_id", "digest"])
+    revisits = salted(keys, firsts, ["digest"], "page_id").where("page_id > first").dropDuplicates(["page_id", "digest"])
     joined = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "first")
 
     def run(batches):
+        size = 0
         for batch in batches:
-            records = [_member(make_record(*values)) for values in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
-
-    packed = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    writer = packed.write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS)
+            records, chunks = [], []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                records.append(_member(make_record(*values)))
+                chunks.append(size // FILE_BYTES)
+                size += len(records[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()), pa.array(chunks, pa.int64())], names=["record", "chunk"])
+
+    packed = joined.mapInArrow(run, "record binary, chunk long").select(F.col("record").cast("string").alias("value"), "chunk")
+    writer = packed.write.mode("overwrite").options(**writing(path)).partitionBy("chunk").option("maxRecordsPerFile", FILE_RECORDS)
     writer.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1")).text(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).where("length > 0")
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return _listed(spark, path).select(F.col("path").alias("file"), "content")
 
 
 def write_index(spark: SparkSession, archives: str, path: str) -> None:
@@ -189,7 +209,7 @@ def write_index(spark: SparkSession, archives: str, path: str) -> None:
         if held:
             yield block(held)
 
-    ordered.mapInArrow(pack, "part long, first_key string, n long, block binary").write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(pack, "part long, first_key string, n long, block binary").write.mode("overwrite").options(**writing(path)).parquet(path)
 
 
 class Directory:
@@ -241,27 +261,94 @@ def locate(index: DataFrame, wanted: DataFrame) -> DataFrame:
     return dealt.groupBy("part").cogroup(index.select("part", "first_key", "block").groupBy("part")).applyInArrow(search, "file string, offset long, length long")
 
 
+def range_uri(file: str) -> str:
+    """An address as Arrow's file systems know it."""
+    return re.sub("^s3[an]:", "s3:", re.sub("^file:/(?!//)/*", "file:///", file))
+
+
+def reads_ranges(file: str) -> bool:
+    """Whether Arrow's file systems reach a file's store."""
+    try:
+        store, path = fs.FileSystem.from_uri(range_uri(file))
+        return store.get_file_info(path).type == fs.FileType.File
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+def read_ranges(file, places: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The bytes at each (offset, length), ascending, of an open file; neighbouring places share a read."""
+    low = 0
+    while low < len(places):
+        high, begin = low + 1, places[low][0]
+        end = begin + places[low][1]
+        while high < len(places) and places[high][0] <= end + GAP and places[high][0] + places[high][1] - begin <= READ_BYTES:
+            end = max(end, places[high][0] + places[high][1])
+            high += 1
+        data = memoryview(file.read_at(end - begin, begin))
+        for offset, length in places[low:high]:
+            yield bytes(data[offset - begin : offset - begin + length])
+        low = high
+
+
+def _summary(member: bytes) -> tuple:
+    """A record's row of RESULT, from its gzip member; a response's size and digest are those of the payload read."""
+    fields, payload = parse_record(zlib.decompress(member, 31))
+    kind = fields["warc-type"]
+    size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha256:")
+    if kind == "response":
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    page, first = fields.get("x-page-id"), fields.get("x-refers-to-page")
+    return None if page is None else int(page), size, digest, kind, None if first is None else int(first)
+
+
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
 def read_records(spark: SparkSession, archives: str, places: DataFrame) -> DataFrame:
-    """The records at the given places: archive files are loaded whole, each record is unpacked from its byte range."""
+    """The records at the given places (file, offset, length), each read as its byte range of the archive file."""
     bounded_batches(spark)
+    some = _listed(spark, archives).select("path").first()
+    if some is None or not reads_ranges(some.path):
+        return _read_files(spark, archives, places)
+
+    def read(batches):
+        name, held = None, []
+        for batch in batches:
+            for file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != name or len(held) == BLOCK:
+                    yield from _from_file(name, held)
+                    name, held = file, []
+                held.append((offset, length))
+        yield from _from_file(name, held)
+
+    ordered = places.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(read, RESULT)
+
+
+def _from_file(name: str | None, places: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if places:
+        store, path = fs.FileSystem.from_uri(range_uri(name))
+        with store.open_input_file(path) as file:
+            yield _result([_summary(member) for member in read_ranges(file, places)])
+
+
+def _read_files(spark: SparkSession, archives: str, places: DataFrame) -> DataFrame:
+    """As ``read_records``, through Spark's reader: of the files asked for, where they are few enough to name, else of all."""
     # at most FILE_RECORDS places for a file
     by_file = places.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    joined = _files(spark, archives).join(by_file, "file").select("content", "places")
+    named = [r.file for r in by_file.select("file").limit(NAMED_FILES + 1).collect()]
+    if not named:
+        return spark.createDataFrame([], RESULT)
+    source = archives if len(named) > NAMED_FILES else named
+    joined = _files(spark, source).join(by_file, "file").select("content", "places")
 
     def read(batches):
         for batch in batches:
             for content, places_ in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                view, rows = memoryview(content.as_buffer()), []
-                for place in places_:
-                    fields, payload = parse_record(zlib.decompress(view[place["offset"] : place["offset"] + place["length"]], 31))
-                    kind = fields["warc-type"]
-                    size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response":
-                        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                    page, first = fields.get("x-page-id"), fields.get("x-refers-to-page")
-                    rows.append((None if page is None else int(page), size, digest, kind, None if first is None else int(first)))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                view = memoryview(content.as_buffer())
+                yield _result([_summary(bytes(view[p["offset"] : p["offset"] + p["length"]])) for p in places_])
 
     return joined.mapInArrow(read, RESULT)
 
@@ -277,6 +364,11 @@ def capture_keys(pages: DataFrame) -> DataFrame:
     return project(pages, page_id="long", url="string").mapInArrow(run, "key string")
 
 
+def _any_file(spark: SparkSession, path: str) -> bool:
+    """Whether a folder, also one without partitions, holds an archive."""
+    return not spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("length").where("length > 0").isEmpty()
+
+
 def round_trip(pages: DataFrame, out: str | None = None) -> DataFrame:
     """Write archives and index, look every page up and read its record back.
 
@@ -286,7 +378,7 @@ def round_trip(pages: DataFrame, out: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     base = out or work_path(spark, "warc")
     write_archives(pages, f"{base}/archives")
-    if spark.read.format("binaryFile").load(f"{base}/archives").select("length").where("length > 0").isEmpty():
+    if not _any_file(spark, f"{base}/archives"):
         return spark.createDataFrame([], RESULT)
     write_index(spark, f"{base}/archives", f"{base}/index")
     index = spark.read.parquet(f"{base}/index")
