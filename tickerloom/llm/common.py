@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; keeps a batch of long documents within a worker's memory.
 BATCH_ROWS = 512
-#: The same for rows of a few numbers.
+#: Texts that whole-array code takes at once.
+SLICE_ROWS = 128
+#: Rows of a few numbers in one Arrow batch.
 NUMBER_ROWS = 32_768
 #: Bytes in one Arrow batch, where the running Spark knows the setting.
 BATCH_BYTES = 16 << 20
@@ -138,11 +140,20 @@ def materialize(df: DataFrame, name: str, path: str | None = None, few: bool = F
 
 
 def free() -> None:
-    """Let Spark's cleaner drop the shuffle files and broadcasts of jobs that are over."""
+    """Between heavy jobs: drop the shuffle files and broadcasts of jobs that are over, and give back heap.
+
+    Spark's cleaner acts when the driver collects its garbage. An executor's heap, once grown, stays
+    at its peak until a full collection, and Python workers, Arrow buffers and native code need
+    that memory beside it; so each executor is asked for one as well, a task a core.
+    """
     spark = SparkSession.getActiveSession()
     gc.collect()
-    if spark is not None:
-        spark._jvm.System.gc()
+    if spark is None:
+        return
+    spark._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        cores = max(1, spark.sparkContext.defaultParallelism)
+        spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 @contextlib.contextmanager
@@ -157,6 +168,13 @@ def small_plans(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def slices(batches, rows: int = SLICE_ROWS):
+    """The batches in slices of a few rows, which bound the scratch arrays of whole-array work on texts."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 def give_back() -> None:
     """At the end of a task, return freed memory to the system: an idle worker keeps none of a batch's scratch arrays."""
     pa.default_memory_pool().release_unused()

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, free, give_back, materialize, number_batches, small_plans, texts
+from .common import bounded_batches, free, give_back, materialize, number_batches, slices, small_plans, texts
 from .components import components, salted
 from .textops import chain, longs, mix, word_hashes
 
@@ -72,7 +72,8 @@ TINY = 16
 #: Low bits of an entry that hold its band.
 BAND_MASK = np.uint64(127)
 #: Entries that a task deals out at once, and n-grams of the corpus for each shard of the index.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 18
+SHARD_GRAMS = 1 << 19
 
 
 def bands(percent: int, limit: int) -> list[tuple[int, int]]:
@@ -212,7 +213,7 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
     """Per document: fingerprints, size and sketch of its set, and its share of the counted hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = sets(batch.column(1), width)
             keys = [set_keys(v) for v in found]
             counted = [v[v < np.uint64((1 << 64) // RATE_SAMPLE)].view(np.int64) for v in found]
@@ -230,7 +231,7 @@ def with_set_key(docs: DataFrame, width: int) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("set_key", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = sets(batch.column(batch.schema.names.index("text")), width)
             keys = pa.array([set_keys(v)[0] if len(v) else None for v in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "set_key"])
@@ -348,18 +349,17 @@ def _entries(docs: DataFrame, width: int, percent: int, rate: float, shards: int
     def run(batches):
         seen: set[int] = set()
         held, size = [], 0
-        for batch in batches:
-            for low in range(0, len(batch), 128):
-                for v in sets(batch.column(0).slice(low, 128), width):
-                    k = set_keys(v)[0]
-                    if len(v) and k not in seen:
-                        seen.add(k)
-                        sig = signatures(v, percent, rate)
-                        held.append((sig, np.full(len(sig), k)))
-                        size += len(sig)
-                if size >= ENTRIES:
-                    yield _dealt(held, shards)
-                    held, size = [], 0
+        for batch in slices(batches):
+            for v in sets(batch.column(0), width):
+                k = set_keys(v)[0]
+                if len(v) and k not in seen:
+                    seen.add(k)
+                    sig = signatures(v, percent, rate)
+                    held.append((sig, np.full(len(sig), k)))
+                    size += len(sig)
+            if size >= ENTRIES:
+                yield _dealt(held, shards)
+                held, size = [], 0
         if held:
             yield _dealt(held, shards)
         give_back()
@@ -425,7 +425,7 @@ def _texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame, width: int) ->
         rows = rows.join(chosen.select("rep").distinct(), "rep", "left_semi")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if shared is not None:
                 batch = batch.filter(pa.array(_among(batch.column(0).to_numpy(), shared.value[0])))
             out = []
@@ -563,17 +563,19 @@ def _in_blocks(rows: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
 
 def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, links between classes, roots): enough links to give every component of the join."""
+    free()
     classes = _classes(docs, width)
     rate = _rate(classes)
     kinds = classes.where("n > 0").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     kinds = materialize(kinds, "jaccard-kinds")
-    shards = max(1, -(-(kinds.agg(F.sum("n")).first()[0] or 0) // ENTRIES))
+    shards = max(1, -(-(kinds.agg(F.sum("n")).first()[0] or 0) // SHARD_GRAMS))
     tried, large = _candidates(_entries(docs, width, percent, rate, shards), needs(percent, rate), "jaccard")
     free()
     fits = _likely(tried, kinds, percent)
     keys = fits.select(F.col("a").alias("k")).unionAll(fits.select(F.col("b").alias("k"))).unionAll(large.select("k")).distinct()
     stored = _texts_of(docs, kinds, keys, width)
     links = _verify(fits, stored, percent)
+    free()
     roots = components(links, "jaccard-roots")
 
     def verified(pairs: DataFrame):

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free, give_back, materialize
+from .common import bounded_batches, free, give_back, materialize, slices
 from .textops import longs, mix, word_hashes
 
 STATES = 4
@@ -395,21 +395,19 @@ def encode(rows: DataFrame, vocab) -> DataFrame:
     def run(batches):
         number, size = TaskContext.get().partitionId() << 32, 0
         ids, held, sizes, codes, rare = [], [], [], [], []
-        for batch in batches:
-            for low in range(0, len(batch), 128):
-                part = batch.slice(low, 128)
-                words, first = tokens(part.column(2))
-                at = vocab.value.index.find(words)
-                ids += part.column(0).to_pylist()
-                held += part.column(1).to_pylist()
-                sizes += np.diff(first).tolist()
-                codes.append(at)
-                rare.append(words[at < 0])
-                size += len(words)
-                if size >= BLOCK_TOKENS:
-                    yield packed(number, ids, held, sizes, codes, rare)
-                    number, size = number + 1, 0
-                    ids, held, sizes, codes, rare = [], [], [], [], []
+        for batch in slices(batches):
+            words, first = tokens(batch.column(2))
+            at = vocab.value.index.find(words)
+            ids += batch.column(0).to_pylist()
+            held += batch.column(1).to_pylist()
+            sizes += np.diff(first).tolist()
+            codes.append(at)
+            rare.append(words[at < 0])
+            size += len(words)
+            if size >= BLOCK_TOKENS:
+                yield packed(number, ids, held, sizes, codes, rare)
+                number, size = number + 1, 0
+                ids, held, sizes, codes, rare = [], [], [], [], []
         if ids:
             yield packed(number, ids, held, sizes, codes, rare)
         give_back()

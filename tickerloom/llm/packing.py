@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, materialize, string_column, texts
+from .common import bounded_batches, free, give_back, materialize, slices, string_column, texts
 from .components import salted
 from .jaccard import links_and_roots, set_keys, sets
 from .tokens import tokenizer
@@ -123,6 +123,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     rows = texts(docs, "source")
     _, _, roots = links_and_roots(rows.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
     blank = F.when(F.col("text") != "", F.xxhash64("text"))
+    free()
     stored = materialize(_measured(rows.withColumn("blank", blank), tokenizer_path), "packing-lengths")
     found = salted(stored, roots.withColumnRenamed("k", "set_key"), ["set_key"], "doc_id", "left")
     return pack(found.withColumn("cluster", F.coalesce("root", "set_key", "blank")), capacity, shard_rows)
@@ -133,7 +134,7 @@ def _measured(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         counter = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches):
             column = string_column(batch.column(batch.schema.names.index("text")))
             keys = pa.array([set_keys(v)[0] if len(v) else None for v in sets(column, NEAR_WORDS)], pa.int64())
             counts = pa.array([counter.count(t.as_py()) for t in column], pa.int64())

@@ -6,9 +6,9 @@ notice length, a notice phrase, or the line itself being common in the corpus).
 removed; a document that loses more than ``max_lost`` of the characters in its lines is rejected.
 Document counts (words, symbols, repeated lines and 8-word windows) come from the whole text.
 
-Common lines are found in the corpus itself, so in any language: lines that stand in many documents
-that are unlike each other. Documents count as alike if they agree in their least long word (by
-md5), as near copies do; however large a group of copies is, its lines are not common for that.
+Common lines are found in the corpus itself, so in any language: short lines that stand in many
+documents of many kinds. A document's kind is how its longest line begins, which nearly all near
+copies agree in; so the lines of a group of copies, however large, are not common for that.
 """
 
 from __future__ import annotations
@@ -41,11 +41,14 @@ NOTICES = (
     "click here to",
 )
 
-#: A line is common in at least this many unlike documents, and one in so many of all documents.
+#: A common line stands in documents of at least this many kinds, and as many as one in so many of all
+#: documents; and its documents are no more than so many a kind.
 LEAST_COMMON = 10
 COMMON_SHARE = 1000
-#: Characters of a long word.
-LONG_WORD = 8
+A_KIND = 4
+#: Characters of a short line, and of the beginning that tells a kind.
+SHORT_LINE = 300
+KIND_CHARS = 24
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -82,17 +85,17 @@ def plain_line_sql(line: str) -> str:
 def common_lines(docs: DataFrame, text_col: str = "text") -> list[int]:
     """Hashes of the common lines of ``docs``, ascending.
 
-    Two rounds of sums: the different (line, document kind) pairs, then pairs a line, so that a line in a
-    large share of all documents is spread over its kinds first. The driver gets at most
-    ``COMMON_SHARE`` times the mean number of short lines in a document.
+    Two rounds of sums: documents by line and kind, then kinds by line, so that a line in a large share of
+    all documents is spread over its kinds first. The driver gets at most ``COMMON_SHARE`` times the
+    mean number of short lines in a document.
     """
     least = max(LEAST_COMMON, -(-docs.count() // COMMON_SHARE))
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    kind = _let(words_sql("_text"), "ws", _let(f"filter(ws, w -> length(w) >= {LONG_WORD})", "lw", "array_min(transform(if(size(lw) > 0, lw, ws), w -> md5(cast(w as binary))))"))
-    short = f"filter(split(_text, '\n'), l -> l rlike r'[^{_SPACE}]' and size({words_sql('l')}) <= {NOTICE_WORDS})"
-    found = rows.select(F.expr(kind).alias("kind"), F.explode(F.expr(f"array_distinct(transform({short}, l -> xxhash64({plain_line_sql('l')})))")).alias("line"))
-    pairs = found.select("line", F.xxhash64("kind").alias("kind")).distinct()
-    return sorted(r.line for r in pairs.groupBy("line").count().where(F.col("count") >= least).select("line").collect())
+    rows = docs.select(F.expr(f"filter(split(coalesce(cast(`{text_col}` as string), ''), '\\n'), l -> l rlike r'[^{_SPACE}]')").alias("ls"))
+    kind = f"array_max(transform(ls, l -> named_struct('n', length(l), 't', left(l, {KIND_CHARS})))).t"
+    plain = f"array_distinct(transform(filter(ls, l -> length(l) <= {SHORT_LINE}), l -> xxhash64({plain_line_sql('l')})))"
+    found = rows.select(F.expr(f"xxhash64({kind})").alias("kind"), F.explode(F.expr(plain)).alias("line"))
+    lines = found.groupBy("line", "kind").agg(F.count("*").alias("n")).groupBy("line").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    return sorted(r.line for r in lines.where((F.col("kinds") >= least) & (A_KIND * F.col("kinds") >= F.col("n"))).select("line").collect())
 
 
 def line_fails(line: str, common: list[int] | None = None) -> str:
@@ -104,9 +107,8 @@ def line_fails(line: str, common: list[int] | None = None) -> str:
     n_words = f"size({words_sql(line)})"
     navigation = f"({cells} >= 4 and {n_words} <= 4 * {cells})"
     notice = " or ".join(f"contains(lower({line}), '{p}')" for p in NOTICES)
-    if common:
-        notice += f" or xxhash64({plain_line_sql(line)}) in ({', '.join(f'{h}L' for h in common)})"
-    return f"({punctuation} or {navigation} or ({n_words} <= {NOTICE_WORDS} and ({notice})))"
+    known = f" or (length({line}) <= {SHORT_LINE} and xxhash64({plain_line_sql(line)}) in ({', '.join(f'{h}L' for h in common)}))" if common else ""
+    return f"({punctuation} or {navigation} or (({notice}) and {n_words} <= {NOTICE_WORDS}){known})"
 
 
 def quality(docs: DataFrame, max_lost: float = MAX_LOST, text_col: str = "text", common: list[int] | None = None) -> DataFrame:

@@ -124,12 +124,14 @@ ORACLES: dict[str, str] = {
              r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
              v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
              x AS (SELECT doc_id, unnest(ls) AS l FROM w),
-             k AS (SELECT list_min(list_transform(CASE WHEN len(list_filter(ws, lambda x: length(x) >= 8)) > 0 THEN list_filter(ws, lambda x: length(x) >= 8) ELSE ws END, lambda x: md5(x))) AS kind, unnest(ls) AS l FROM w),
-             cm AS (SELECT p FROM (SELECT DISTINCT kind, {_PLAIN.format("l")} AS p FROM k WHERE len({_WORDS.format("l")}) <= 40) GROUP BY p HAVING count(*) >= greatest(10, (SELECT (count(*) + 999) // 1000 FROM documents))),
+             n AS (SELECT row_number() OVER () AS rid, ls FROM w),
+             k AS (SELECT rid, l, (max({{'n': length(l), 't': left(l, 24)}}) OVER (PARTITION BY rid)).t AS kind FROM (SELECT rid, unnest(ls) AS l FROM n)),
+             dl AS (SELECT DISTINCT rid, kind, {_PLAIN.format("l")} AS p FROM k WHERE length(l) <= 300),
+             cm AS (SELECT p FROM dl GROUP BY p HAVING count(DISTINCT kind) >= greatest(10, (SELECT (count(*) + 999) // 1000 FROM documents)) AND 4 * count(DISTINCT kind) >= count(*)),
              b AS (SELECT doc_id, length(l) AS c, length(regexp_replace(l, '[^\p{{L}}\p{{N}}]+', '', 'g')) * 2 < {_SOLID.format("l")}
                           OR (len(regexp_split_to_array(l, '[|»›·•]|&gt;|  +')) >= 4 AND len({_WORDS.format("l")}) <= 4 * len(regexp_split_to_array(l, '[|»›·•]|&gt;|  +')))
                           OR (regexp_matches(lower(l), 'all rights reserved|cookie|copyright ©|enable javascript|privacy policy|terms of service|terms of use|is licensed under|subscribe to our newsletter|click here to') AND len({_WORDS.format("l")}) <= 40)
-                          OR (len({_WORDS.format("l")}) <= 40 AND {_PLAIN.format("l")} IN (SELECT p FROM cm)) AS bad FROM x),
+                          OR (length(l) <= 300 AND {_PLAIN.format("l")} IN (SELECT p FROM cm)) AS bad FROM x),
              f AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_removed_lines, CAST(sum(c) AS BIGINT) AS line_chars, CAST(coalesce(sum(c) FILTER (NOT bad), 0) AS BIGINT) AS kept_chars FROM b GROUP BY doc_id),
              q AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({_SOLID.format("t")} AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
                           CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(line_chars, 0) AS line_chars, coalesce(kept_chars, 0) AS kept_chars

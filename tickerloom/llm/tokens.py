@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, string_column
 
 #: Pre-tokens that needed merging, kept in each of the memo's two generations.
-MEMO = 350_000
+MEMO = 450_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_CHARS = 64
 
