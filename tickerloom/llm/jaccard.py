@@ -333,7 +333,7 @@ def _candidates(entries: DataFrame, need_of: np.ndarray, name: str) -> tuple[Dat
     enough = pairs.where(F.col("n") >= need)
     short = pairs.where(F.col("n") < need).join(za, ["a", "tag"]).join(zb, ["b", "tag"]).where(F.col("n") + F.least("za", "zb") >= need)
     centres = hot.groupBy("sig").agg(F.min("k").alias("a"))
-    stars = salted(hot, centres, ["sig"], "k").where("a <> k").select("a", F.col("k").alias("b"))
+    stars = _matched(hot.select("sig", "k"), centres).where("value <> found").select(F.col("found").alias("a"), F.col("value").alias("b"))
     found = enough.select("a", "b").unionAll(short.select("a", "b")).unionAll(stars).distinct()
     return materialize(found, f"{name}-candidates"), hot
 
@@ -482,12 +482,85 @@ def _verify(fits: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
         return materialize(together.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
 
 
-def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (sig, k) of buckets that still hold several components, with component and bucket size."""
-    named = rows.distinct().join(roots, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root"))
-    mixed = named.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("sig", "size")
+def _matched(rows: DataFrame, table: DataFrame, known_only: bool = False) -> DataFrame:
+    """Different (value, found) of ``rows`` (key, value) looked up in ``table`` (one row a key: key, found).
+
+    A key without a row finds itself, or with ``known_only`` nothing.
+
+    A member of a large bucket has a row for each of its buckets, most of which find the same; so rows travel
+    packed, each pack meets its part of the table, and only what differs within a pack comes out.
+    """
+    spark = rows.sparkSession
+    parts = max(1, -(-rows.count() // SHARD_GRAMS))
+    names = "part int, keys binary, numbers binary"
+
+    def packed(keys, numbers, part):
+        for p in np.unique(part).tolist():
+            of = part == p
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x[of].tobytes()], pa.binary()) for x in (keys, numbers))], names=["part", "keys", "numbers"])
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += len(batch)
+            if held and (size >= ENTRIES or batch is None):
+                yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, size = [], 0
+
+    def look_up(batches):
+        for batch in batches:
+            for keys, numbers, known, found in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                keys, numbers, known, found = (np.frombuffer(x or b"", np.int64) for x in (keys, numbers, known, found))
+                order = np.argsort(known)
+                known, found, out = known[order], found[order], keys.copy()
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    same = known[at] == keys
+                    out = np.where(same, found[at], keys)
+                if known_only:
+                    same = same if len(known) else np.zeros(len(keys), bool)
+                    numbers, out = numbers[same], out[same]
+                order = np.lexsort((out, numbers))
+                numbers, out = numbers[order], out[order]
+                new = np.r_[True, (numbers[1:] != numbers[:-1]) | (out[1:] != out[:-1])][: len(out)]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[new]), pa.array(out[new])], names=["value", "found"])
+
+    def dealt(df):
+        key, number = df.columns
+        return df.select(key, number, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")).mapInArrow(pack, names)
+
+    def whole(group: pa.Table) -> pa.Table:
+        return pa.table({"part": group["part"][:1], **{c: pa.array([b"".join(x.as_py() for x in group[c])], pa.binary()) for c in ("keys", "numbers")}})
+
+    known = dealt(table).groupBy("part").applyInArrow(whole, names).select("part", F.col("keys").alias("known"), F.col("numbers").alias("found"))
+    # packs are dealt out anew, so that packing and looking up do not run in one task
+    met = dealt(rows).repartition(F.xxhash64("keys")).join(known, "part", "left").select("part", "keys", "numbers", "known", "found")
+    with number_batches(spark):
+        return materialize(met.mapInArrow(look_up, "value long, found long"), "jaccard-matched").distinct()
+
+
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The large buckets of ``rows`` (sig, k) that still hold several components."""
+    with small_plans(rows.sparkSession):
+        held = _matched(rows.select("k", "sig"), roots.select("k", "root"))
+        ends = held.groupBy(F.col("value").alias("sig")).agg(F.min("found").alias("low"), F.max("found").alias("high"))
+        return materialize(ends.where("low < high").select("sig"), "jaccard-mixed", few=True)
+
+
+def _members(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The different members (k) of the buckets ``mixed``."""
+    with small_plans(rows.sparkSession):
+        found = _matched(rows.select("sig", "k"), mixed.select("sig", F.lit(0).cast("long").alias("found")), known_only=True)
+        return materialize(found.select(F.col("value").alias("k")).distinct(), "jaccard-members", few=True)
+
+
+def _open(rows: DataFrame, mixed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (sig, k, root) of the buckets ``mixed``."""
     with small_plans(rows.sparkSession):
-        return materialize(salted(named, mixed, ["sig"], "k"), "jaccard-open", few=True)
+        members = materialize(rows.distinct().join(mixed, "sig", "left_semi"), "jaccard-members", few=True)
+        return materialize(members.join(roots, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root")), "jaccard-open", few=True)
 
 
 def _links_between(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
@@ -591,13 +664,14 @@ def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
             links = materialize(links.unionAll(more), "jaccard-links")
             roots = components(links, "jaccard-roots")
 
-    rows = _open(large, roots)
-    if not rows.isEmpty():
-        again = stored.join(rows.select("k").distinct(), "k", "left_semi")
+    mixed = _mixed(large, roots)
+    if not mixed.isEmpty():
+        again = stored.join(_members(large, mixed), "k", "left_semi")
         pairs, large = _candidates(_entries_again(again, percent, rate, shards), needs(percent, rate, 1), "jaccard-again")
         verified(pairs)
-        rows = _open(large, roots)
-    if not rows.isEmpty():
+        mixed = _mixed(large, roots)
+    if not mixed.isEmpty():
+        rows = _open(large, mixed, roots)
         # near the bound even two partitions leave doubt: the sets of a cluster are compared, in blocks
         more = _in_blocks(rows, stored, percent)
         if not more.isEmpty():
