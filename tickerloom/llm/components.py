@@ -20,7 +20,11 @@ SALTS = 16
 
 
 def salted(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table`` (few rows a key), a key's rows being dealt to SALTS parts by a hash of ``by``."""
+    """``rows`` joined with ``table`` (few rows a key), a key's rows being dealt to SALTS parts by a hash of ``by``.
+
+    Spark's estimate of the table does not see its copies; so where it broadcasts the table, that is at most
+    SALTS times the session's limit for broadcasts.
+    """
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
