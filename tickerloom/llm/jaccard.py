@@ -557,10 +557,16 @@ def _members(rows: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, mixed: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (sig, k, root) of the buckets ``mixed``."""
+    """Members (k, root) of the buckets ``mixed``, each with the least member (a) of every such bucket it is in.
+
+    Copies share hundreds of buckets and mostly one least member, so the rows stay near the number of
+    members instead of that of index entries.
+    """
     with small_plans(rows.sparkSession):
-        members = materialize(rows.distinct().join(mixed, "sig", "left_semi"), "jaccard-members", few=True)
-        return materialize(members.join(roots, "k", "left").select("sig", "k", F.coalesce("root", "k").alias("root")), "jaccard-open", few=True)
+        least = rows.groupBy("sig").agg(F.min("k").alias("found")).join(mixed, "sig", "left_semi")
+        met = _matched(rows.select("sig", "k"), least, known_only=True).select(F.col("found").alias("a"), F.col("value").alias("k"))
+        members = materialize(met, "jaccard-members", few=True)
+        return materialize(members.join(roots, "k", "left").select("a", "k", F.coalesce("root", "k").alias("root")), "jaccard-open", few=True)
 
 
 def _links_between(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
@@ -609,14 +615,13 @@ def _links_between(left: pa.Table, right: pa.Table | None, percent: int) -> list
 
 
 def _in_blocks(rows: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components of the clusters that ``rows`` (sig, k, root) form.
+    """Links (a, b) across components of the clusters that ``rows`` (a, k, root) form.
 
-    A cluster is what hangs together by shared buckets. Its members are dealt to blocks by a hash,
+    A cluster is what hangs together by shared buckets, that is, by their least members. Its members are dealt to blocks by a hash,
     about BLOCK_ITEMS n-grams to each, and each pair of blocks is one group: no group grows with the
     cluster, and only links leave it.
     """
-    centres = rows.groupBy("sig").agg(F.min("k").alias("a"))
-    clusters = components(salted(rows, centres, ["sig"], "k").select("a", F.col("k").alias("b")).distinct(), "jaccard-clusters").withColumnRenamed("root", "cluster")
+    clusters = components(rows.select("a", F.col("k").alias("b")), "jaccard-clusters").withColumnRenamed("root", "cluster")
     members = rows.select("k", "root").distinct().join(clusters, "k").join(stored, "k")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
     dealt = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
