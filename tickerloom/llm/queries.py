@@ -89,6 +89,12 @@ def op10_quality_rules(spark, sf_dir):
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op11_turn_reassembly(spark, sf_dir):
+    from .turns import digest
+
+    return digest(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -100,6 +106,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_turn_reassembly": op11_turn_reassembly,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
