@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 #: Tokenizer file of the token queries.
 TOKENIZER = "byte_bpe_50k.json"
+#: Second tokenizer of the alignment.
+PIECES = "piece_bpe_32k.model"
 #: Tokens beyond which op5 marks a text.
 TOKEN_LIMIT = 512
 
@@ -95,6 +97,18 @@ def op11_turn_reassembly(spark, sf_dir):
     return digest(_table(spark, sf_dir, "conversations"))
 
 
+def op12_bpe_codec(spark, sf_dir):
+    from .transducer import digest
+
+    return digest(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+def op13_token_alignment(spark, sf_dir):
+    from .alignment import aligned
+
+    return aligned(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), tokenizer_path(PIECES))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -107,6 +121,8 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
     "op11_turn_reassembly": op11_turn_reassembly,
+    "op12_bpe_codec": op12_bpe_codec,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
