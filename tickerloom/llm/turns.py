@@ -43,6 +43,8 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    # each batch is a start of its own; stores left open for the next one would keep their local folders
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
