@@ -410,6 +410,16 @@ def test_scores_do_not_depend_on_blocks(spark, frame, monkeypatch, heavy, tokens
         assert abs(got[i].score - got[i].base_score - want) < 1e-4 * (1 + abs(want)), (i, text)
 
 
+def test_scores_are_a_function_of_the_table(spark, sf_dir):
+    """The query's own path, warm rounds included, whatever the partitions and the order of rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ways = [docs, docs.repartition(7, "doc_id"), docs.repartition(3), docs.orderBy(F.desc("doc_id")).coalesce(1)]
+    found = [{r.doc_id: (r.score, r.base_score) for r in lm.score(w, crc_remainder("doc_id", 10) == 0).collect()} for w in ways]
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(abs(a - b) <= 1e-9 * abs(b) for i, x in other.items() for a, b in zip(x, found[0][i], strict=True))
+
+
 def test_archives(spark):
     body = "<html>" + "é" * 80
     rows = [(1, "http://a.org/x", body), (2, "https://B.org:8080/y?z=1", body), (3, None, body), (4, "http://a.org/x", None), (5, "http://a.org/x", ""), (None, "bad\r\nurl \x1f", body), (7, "http://[bad", "short"), (8, "http://a.org/x", "short"), (9, "http://c.net", "WARC/1.1\r\n\r\n" + body)]

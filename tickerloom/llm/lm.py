@@ -422,7 +422,9 @@ def _groups(row: dict, held: bool, share: int = 1):
     ends = np.cumsum(sizes)
     chosen = np.ones(len(sizes), bool) if held else ~np.frombuffer(row["held"], bool)
     if share > 1:
-        chosen &= mix(np.arange(len(sizes), dtype=np.uint64) + np.uint64(row["block"] & (1 << 63) - 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(share) == 0
+        # by id and length, so that a text is chosen or not wherever it lies
+        ids = np.frombuffer(row["doc_ids"], np.uint64)
+        chosen &= mix(mix(ids) + sizes.view(np.uint64)) % np.uint64(share) == 0
     texts = np.flatnonzero(chosen)
     group = (np.cumsum(sizes[texts]) - sizes[texts]) // GROUP_TOKENS
     for part in np.split(texts, np.flatnonzero(np.diff(group)) + 1) if len(texts) else ():
@@ -450,7 +452,7 @@ def _sampled(blocks: DataFrame, share: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=["block", "held", "sizes", "codes"])
         give_back()
 
-    return blocks.select("block", "held", "sizes", "codes").mapInArrow(run, "block long, held binary, sizes binary, codes binary")
+    return blocks.select("block", "doc_ids", "held", "sizes", "codes").mapInArrow(run, "block long, held binary, sizes binary, codes binary")
 
 
 def _pass(blocks: DataFrame, vocab, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
