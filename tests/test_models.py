@@ -1,13 +1,19 @@
 """Branch tables: every arm of scores, risks, advice, recommendation and risk level, with missing sections."""
 
 import datetime as dt
+import math
+import random
+import struct
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.operators import health as H
 from tickerloom.operators import portfolio as P
 from tickerloom.operators import report as R
+from tickerloom.operators import returns as T
 from tickerloom.operators import valuation as V
 from tickerloom.functions.expr import fixed, percent
 from tickerloom.sources import filings, market, sinks, tables
@@ -110,11 +116,12 @@ def test_latest_year_and_label_fallback(spark):
 def test_frontier_properties(spark, sf_dir):
     from tickerloom.operators.returns import aligned_returns
 
-    returns = aligned_returns(market.bars(spark, sf_dir))
-    cloud = P.frontier(returns, 200).toPandas()
-    assert abs(cloud.w.apply(sum) - 1).max() < 1e-12
-    best, calm = P.max_sharpe(P.frontier(returns, 200)).first(), P.min_volatility(P.frontier(returns, 200)).first()
-    assert best.sharpe_ratio == cloud.sharpe_ratio.max() and calm.volatility == cloud.volatility.min()
+    returns = aligned_returns(market.bars(spark, sf_dir)).cache()
+    places, cloud = P.positions(returns), P.frontier(returns, 200).cache()
+    rows = cloud.toPandas()
+    best, calm = P.max_sharpe(cloud, places).first(), P.min_volatility(cloud, places).first()
+    assert best.sharpe_ratio == rows.sharpe_ratio.max() and calm.volatility == rows.volatility.min() and len(rows) == 200
+    assert abs(sum(best.w) - 1) < 1e-12 and best.tickers == sorted(best.tickers)
 
 
 def test_performance_without_losses_or_rows(spark):
@@ -195,15 +202,96 @@ def test_numbers_as_text(spark):
     assert tuple(row) == ("0.12", "0.38", "12.3%", "-5.00%")
 
 
+def test_numbers_as_text_are_exact(spark):
+    """Random doubles of every size, all halves, and their neighbours, as Python writes them."""
+    r = random.Random(5)
+    values = [r.uniform(-1, 1) * 10 ** r.uniform(-6, 17) for _ in range(60_000)] + [struct.unpack("<d", r.randbytes(8))[0] for _ in range(20_000)]
+    halves = [k / 8 for k in range(-2000, 2000)] + [k / 200 for k in range(-3000, 3000)] + [2.0**k for k in range(-80, 1024)] + [-0.0, 0.0, float("inf"), -float("inf"), float("nan"), 2.675, 8.345, 1e23, -0.001]
+    values += halves + [math.nextafter(x, x + s) for x in halves for s in (-1, 1) if math.isfinite(x)]
+    data = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").repartition(8)
+    rows = data.select("i", fixed(F.col("x"), 0).alias("a"), fixed(F.col("x"), 1).alias("b"), fixed(F.col("x"), 2).alias("c"), percent(F.col("x")).alias("d")).collect()
+    for row in rows:
+        x = values[row.i]
+        assert (row.b, row.c, row.d) == (f"{x:.1f}", f"{x:.2f}", f"{x:.1%}") and row.a == f"{x:.0f}", (x, row)
+    assert spark.range(1).select(fixed(F.lit(None).cast("double"), 2).alias("a")).first().a is None
+
+
 def test_scans_prune(spark, sf_dir):
     plan = market.bars(spark, sf_dir, "6mo")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "Join" not in plan
 
 
-def test_too_many_tickers_for_a_matrix(spark, sf_dir, monkeypatch):
-    from tickerloom.operators.returns import aligned_returns
-
-    returns = aligned_returns(market.bars(spark, sf_dir))
-    monkeypatch.setattr(P, "MATRIX_TICKERS", 4)
-    with pytest.raises(Exception, match="measured_by_join"):
-        P.frontier(returns, 5).collect()
+def _prices(tickers, days, gaps=0):
+    r = np.random.default_rng(4)
+    start = dt.date(2020, 1, 1)
+    prices = 100 * np.cumprod(1 + 0.02 * r.standard_normal((days, tickers)), axis=0)
+    return [(f"N{i:04d}", start + dt.timedelta(d), float(prices[d, i])) for i in range(tickers) for d in range(days) if d == 0 or not gaps or (i * 31 + d * 17) % gaps]
+
+
+def test_blocks_of_many_tickers(spark, monkeypatch):
+    """Covariances and the frontier over several blocks of tickers, chunks of days and blocks of portfolios, against numpy."""
+    monkeypatch.setattr(T, "BLOCK_TICKERS", 16)
+    monkeypatch.setattr(T, "CHUNK_DAYS", 40)
+    monkeypatch.setattr(P, "BLOCK_PORTFOLIOS", 24)
+    data = _prices(90, 130, gaps=7)
+    prices = spark.createDataFrame(data, "ticker string, date date, close double")
+    wide = pd.DataFrame(data, columns=["ticker", "date", "close"]).pivot(index="date", columns="ticker", values="close").ffill().pct_change().dropna()
+    returns = T.aligned_returns(prices).cache()
+    got = returns.toPandas().pivot(index="date", columns="ticker", values="ret")
+    assert got.shape == wide.shape and np.allclose(got, wide, atol=1e-12)
+    cov = T.covariance(returns).toPandas().pivot(index="ticker_i", columns="ticker_j", values="cov")
+    assert np.allclose(cov, wide.cov(), rtol=1e-9, atol=1e-12)
+    cloud = P.frontier(returns, 60).toPandas().set_index("portfolio_id").sort_index()
+    raw = np.array([P._raw(p, range(90)) for p in range(60)], float)
+    w = raw / raw.sum(axis=1, keepdims=True)
+    assert np.allclose(cloud.expected_return, w @ wide.mean().to_numpy() * 252) and np.allclose(cloud.volatility, np.sqrt(np.einsum("pi,ij,pj->p", w, wide.cov().to_numpy() * 252, w)))
+    some = P.random_weights(spark.range(60).withColumnRenamed("id", "portfolio_id"), P.positions(returns))
+    assert np.allclose(P.measured(some, returns).toPandas().set_index("portfolio_id").sort_index().volatility, cloud.volatility)
+
+
+def test_limits(spark):
+    """Against a search for the shift; limits that leave no room give no weights."""
+    r = random.Random(2)
+    rows = [(p, f"t{i}", x) for p in range(80) for xs in [[r.random() ** 3 for _ in range(r.randint(2, 9))]] for i, x in enumerate(v / sum(xs) for v in xs)]
+    for least, most in ((0.05, 0.3), (0.0, 1.0), (0.2, 0.2), (0.1, 0.5)):
+        got = P.limited(spark.createDataFrame(rows, "portfolio_id long, ticker string, w double"), least, most).toPandas()
+        for _, one in got.groupby("portfolio_id"):
+            n, w = len(one), one.w.to_numpy()
+            if n * least > 1 + 1e-9 or n * most < 1 - 1e-9:
+                assert one.limited_w.isna().all()
+                continue
+            low, high = -2.0, 2.0
+            for _ in range(80):
+                middle = (low + high) / 2
+                low, high = (middle, high) if np.clip(w - middle, least, most).sum() > 1 else (low, middle)
+            assert np.allclose(one.limited_w, np.clip(w - low, least, most), atol=1e-9) and abs(one.limited_w.sum() - 1) < 1e-9
+
+
+def test_drawdowns_of_many_portfolios(spark, monkeypatch):
+    monkeypatch.setattr(P, "SCAN_DAYS", 9)
+    r = np.random.default_rng(1)
+    rets = r.standard_normal((6, 200)) * 0.05
+    rets[3, 20], rets[4, 50], rets[5] = -1.0, -1.7, abs(rets[5])
+    rows = [(p, dt.date(2020, 1, 1) + dt.timedelta(int(3 * d)), float(rets[p, d])) for p in range(6) for d in range(200)]
+    series = spark.createDataFrame(rows, "portfolio_id long, date date, ret double")
+    got = P.drawdowns(series).orderBy("portfolio_id", "date").toPandas()
+    grown = np.cumprod(1 + rets, axis=1)
+    peak = np.maximum.accumulate(grown, axis=1)
+    assert np.allclose(got.cumulative, grown.ravel()) and np.allclose(got.peak, peak.ravel()) and np.allclose(got.drawdown, ((grown - peak) / peak).ravel())
+    facts = P.performance(series).orderBy("portfolio_id").toPandas()
+    assert np.allclose(facts.max_drawdown, ((grown - peak) / peak).min(axis=1)) and len(facts) == 6
+    plan = P.drawdowns(series)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_returns_of_gaps_and_late_tickers(spark):
+    """Against a grid: gaps return 0, a late ticker's first days are missing, one without prices leaves no common day."""
+    d = lambda k: dt.date(2021, 3, k)
+    rows = [("A", d(1), 10.0), ("A", d(2), 11.0), ("A", d(5), 12.0), ("B", d(3), 5.0), ("B", d(4), None), ("B", d(6), 6.0), ("C", d(1), 1.0)]
+    schema = "ticker string, date date, close double"
+    got = {(r.ticker, r.date.day): r.ret for r in T.daily_returns(spark.createDataFrame(rows, schema)).collect()}
+    want = {("A", 1): None, ("A", 2): 0.1, ("A", 3): 0.0, ("A", 4): 0.0, ("A", 5): 12 / 11 - 1, ("A", 6): 0.0, ("B", 6): 0.2} | {("B", k): None for k in (1, 2, 3)} | {("B", k): 0.0 for k in (4, 5)} | {("C", 1): None} | {("C", k): 0.0 for k in range(2, 7)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)
+    assert sorted({r.date.day for r in T.aligned_returns(spark.createDataFrame(rows, schema)).collect()}) == [4, 5, 6]
+    silent = spark.createDataFrame([*rows, ("D", d(2), None)], schema)
+    assert T.aligned_returns(silent).count() == 0 and T.daily_returns(silent).where("ticker = 'D' and ret is null").count() == 6

@@ -20,6 +20,8 @@ AS_OF = date(2002, 1, 1)
 GENERATED = datetime(2002, 1, 1)
 #: Weights of the given portfolio.
 WEIGHTS = {"T0": 0.4, "T1": 0.3, "T2": 0.15, "T3": 0.1, "T4": 0.05}
+#: Least and greatest weight of a ticker in a limited portfolio.
+LIMITS = (0.1, 0.3)
 CIK_JSON = '{"0": {"cik_str": "320193", "ticker": "AAPL", "title": "A"}, "1": {"cik_str": "789019", "ticker": "MSFT", "title": "M"}, "1018724": {"ticker": "AMZN", "title": "Z"}}'
 WANTED = "aapl, MSFT ,, amzn,none"
 
@@ -177,20 +179,25 @@ def aligned_returns(spark, d):
     return T.aligned_returns(market.bars(spark, d))
 
 
+def _returns(spark, d):
+    """What the portfolio queries take: adjusted closes of the trailing 365 days."""
+    return T.aligned_returns(market.bars(spark, d, days=365), "adjusted_close")
+
+
 @query
 def mean_returns(spark, d):
-    return T.mean_returns(T.aligned_returns(market.bars(spark, d)))
+    return T.mean_returns(_returns(spark, d))
 
 
 @query
 def cov_matrix(spark, d):
-    return T.covariance(T.aligned_returns(market.bars(spark, d)))
+    return T.covariance(tables.written(_returns(spark, d), "returns"))
 
 
 def _cloud(spark, d):
-    """The moments, one stored row, and the frontier measured with them."""
-    moment = tables.written(P.moments(T.aligned_returns(market.bars(spark, d))), "moments")
-    return moment, P.measured(P.random_weights(spark, moment), moment)
+    """The returns, stored, and the frontier measured on them."""
+    returns = tables.written(_returns(spark, d), "returns")
+    return returns, tables.written(P.frontier(returns), "frontier")
 
 
 _FACTS = ("portfolio_id", "expected_return", "volatility", "sharpe_ratio")
@@ -198,7 +205,12 @@ _FACTS = ("portfolio_id", "expected_return", "volatility", "sharpe_ratio")
 
 @query
 def efficient_frontier(spark, d):
-    return _cloud(spark, d)[1].select(*_FACTS)
+    return P.frontier(tables.written(_returns(spark, d), "returns")).select(*_FACTS)
+
+
+def _best(spark, d, pick):
+    returns, cloud = _cloud(spark, d)
+    return pick(cloud, P.positions(returns))
 
 
 def _weights_flat(df):
@@ -207,50 +219,69 @@ def _weights_flat(df):
 
 @query
 def max_sharpe(spark, d):
-    return _weights_flat(P.max_sharpe(_cloud(spark, d)[1]))
+    return _weights_flat(_best(spark, d, P.max_sharpe))
 
 
 @query
 def min_volatility(spark, d):
-    return _weights_flat(P.min_volatility(_cloud(spark, d)[1]))
+    return _weights_flat(_best(spark, d, P.min_volatility))
 
 
 @query
 def diversification_ratio(spark, d):
-    moment, cloud = _cloud(spark, d)
-    return P.diversification(P.max_sharpe(cloud), moment)
+    returns, cloud = _cloud(spark, d)
+    return P.diversification(P.max_sharpe(cloud, P.positions(returns)), returns)
 
 
 @query
 def stock_metrics(spark, d):
-    moment, cloud = _cloud(spark, d)
-    return P.stock_metrics(moment, P.max_sharpe(cloud), P.min_volatility(cloud))
+    returns, cloud = _cloud(spark, d)
+    places = P.positions(returns)
+    return P.stock_metrics(returns, P.max_sharpe(cloud, places), P.min_volatility(cloud, places))
 
 
 @query
 def portfolio_text(spark, d):
-    best = P.max_sharpe(_cloud(spark, d)[1])
+    best = _best(spark, d, P.max_sharpe)
     line = lambda label, value: F.concat(F.lit(label), value)
     weights = F.transform(F.arrays_zip("tickers", "w"), lambda x: F.concat(F.lit("    "), x["tickers"], F.lit(": "), percent(x["w"])))
     return best.select(F.concat_ws("\n", line("Expected Return: ", percent(F.col("expected_return"))), line("Volatility: ", percent(F.col("volatility"))), line("Sharpe Ratio: ", fixed(F.col("sharpe_ratio"), 2)), F.concat_ws("\n", weights)).alias("value"))
 
 
+@query
+def equal_weight_portfolio(spark, d):
+    returns = tables.written(_returns(spark, d), "returns")
+    return P.measured(P.equal_weights(returns), returns).select(*_FACTS)
+
+
+@query
+def custom_weight_portfolio(spark, d):
+    return P.measured(P.given_weights(spark, WEIGHTS), _returns(spark, d)).select(*_FACTS)
+
+
 @query
 def portfolio_by_join(spark, d):
-    weights = spark.range(1).select(F.lit(0).cast("long").alias("portfolio_id"), F.explode(F.array(*[F.struct(F.lit(t).alias("ticker"), F.lit(w).alias("w")) for t, w in WEIGHTS.items()])).alias("x")).select("portfolio_id", "x.*")
-    return P.measured_by_join(weights, T.aligned_returns(market.bars(spark, d))).select(*_FACTS)
+    """The frontier's portfolios, measured by the join of their weights with returns instead of in blocks."""
+    returns = tables.written(_returns(spark, d), "returns")
+    every = spark.range(P.PORTFOLIOS).select(F.col("id").alias("portfolio_id"))
+    return P.measured(P.random_weights(every, P.positions(returns)), returns).select(*_FACTS)
 
 
 @query
-def equal_weight_portfolio(spark, d):
-    moment = P.moments(T.aligned_returns(market.bars(spark, d)))
-    return P.measured(P.equal_weights(moment), moment).select(*_FACTS)
+def position_limits(spark, d):
+    """The frontier's portfolios with every weight brought between the limits."""
+    returns = tables.written(_returns(spark, d), "returns")
+    every = spark.range(P.PORTFOLIOS).select(F.col("id").alias("portfolio_id"))
+    return P.limited(P.random_weights(every, P.positions(returns)), *LIMITS)
 
 
 @query
-def custom_weight_portfolio(spark, d):
-    moment = P.moments(T.aligned_returns(market.bars(spark, d)))
-    return P.measured(P.given_weights(moment, WEIGHTS), moment).select(*_FACTS)
+def limited_frontier(spark, d):
+    """Those portfolios, measured."""
+    returns = tables.written(_returns(spark, d), "returns")
+    every = spark.range(P.PORTFOLIOS).select(F.col("id").alias("portfolio_id"))
+    held = P.limited(P.random_weights(every, P.positions(returns)), *LIMITS)
+    return P.measured(held.select("portfolio_id", "ticker", F.col("limited_w").alias("w")), returns).select(*_FACTS)
 
 
 def _json(path, kind="double"):
@@ -260,7 +291,7 @@ def _json(path, kind="double"):
 @query
 def portfolio_result(spark, d):
     """The result record, written as JSON and read back where SQL can follow it."""
-    out = sinks.portfolio_json(P.optimize(market.bars(spark, d)), GENERATED)
+    out = sinks.portfolio_json(P.optimize(market.bars(spark, d, days=365)), GENERATED)
     parts = {"current": "current_portfolio", "best": "optimized_portfolios.max_sharpe", "calm": "optimized_portfolios.min_volatility"}
     facts = [_json(f"$.{path}.{f}").alias(f"{name}_{f}") for name, path in parts.items() for f in _FACTS[1:]]
     frontier = [F.from_json(F.get_json_object("value", f"$.efficient_frontier.{f}"), "array<double>").alias(f) for f in ("returns", "volatilities", "sharpe_ratios")]
@@ -271,8 +302,7 @@ def portfolio_result(spark, d):
 
 
 def _series(spark, d):
-    weights = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(t).alias("ticker"), F.lit(w).alias("w")) for t, w in WEIGHTS.items()])).alias("x")).select("x.*")
-    return P.portfolio_returns(T.aligned_returns(market.bars(spark, d)), weights)
+    return P.portfolio_returns(_returns(spark, d), P.given_weights(spark, WEIGHTS).drop("portfolio_id"))
 
 
 @query
@@ -290,6 +320,14 @@ def portfolio_metrics(spark, d):
     return P.performance(_series(spark, d))
 
 
+@query
+def portfolio_metrics_many(spark, d):
+    """Performance of all the frontier's portfolios, in one scan."""
+    returns = tables.written(_returns(spark, d), "returns")
+    held = P.random_weights(spark.range(P.PORTFOLIOS).select(F.col("id").alias("portfolio_id")), P.positions(returns))
+    return P.performance(P.portfolio_returns(returns, held))
+
+
 @money_query
 def latest_statement_items(spark, d):
     return H.latest_items(market.statement_items(spark, d))
