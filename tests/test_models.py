@@ -295,3 +295,57 @@ def test_returns_of_gaps_and_late_tickers(spark):
     assert sorted({r.date.day for r in T.aligned_returns(spark.createDataFrame(rows, schema)).collect()}) == [4, 5, 6]
     silent = spark.createDataFrame([*rows, ("D", d(2), None)], schema)
     assert T.aligned_returns(silent).count() == 0 and T.daily_returns(silent).where("ticker = 'D' and ret is null").count() == 6
+
+
+def test_upserts_by_parts(spark, sf_dir, tmp_path, monkeypatch):
+    """Buckets that are not touched keep their files; an upsert that dies leaves the table as it was; old folders go."""
+    store = tables.Store(spark, f"file://{tmp_path}/store")
+    store.create("parts_test")
+    rows = market.companies(spark, sf_dir)
+    many = rows.unionByName(spark.range(60).select(F.concat(F.lit("X"), "id").alias("ticker"), *[F.lit(c).alias(c) for c in ("name", "sector", "industry", "country")], F.lit(1.0).alias("market_cap")))
+    store.upsert(many, dt.datetime(2001, 1, 1))
+    files = lambda: {str(p) for p in (tmp_path / "store" / "companies").rglob("part-*")}
+    first, before = store._newest(), files()
+    one = rows.where("ticker = 'S3'").withColumn("market_cap", F.lit(7.0))
+    with monkeypatch.context() as m:
+        m.setattr(tables.Store, "_switch", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.upsert(one, dt.datetime(2002, 1, 1))
+    assert store._newest() == first and store.company("S3").first().market_cap != 7.0 and store.read("companies").count() == many.count()
+    reader = store.read("companies").where("ticker = 'S3'")
+    store.upsert(one, dt.datetime(2002, 1, 1))
+    second = store._newest()
+    assert sum(first[k] != second[k] for k in first) == 1 and before <= files()
+    assert store.company("S3").first().market_cap == 7.0 and store.company("S3").first().last_updated.year == 2001
+    assert reader.first().market_cap != 7.0  # planned before the switch, still readable
+    assert spark.table("parts_test.companies").count() == many.count() and spark.table("parts_test.companies").where("market_cap = 7").count() == 1
+    store.upsert(one, dt.datetime(2003, 1, 1))
+    assert not before <= files() and store.read("companies").count() == many.count()
+    store.upsert(one.limit(0), dt.datetime(2003, 1, 1))
+    spark.sql("DROP DATABASE parts_test CASCADE")
+
+
+def test_named_documents(spark, tmp_path):
+    rows = [("A_analysis_20020101_000000.json", '{"a": 1}'), ("b c d%.json", "x"), (None, "y")]
+    folder = f"file://{tmp_path}/reports"
+    documents = spark.createDataFrame(rows, "file string, value string")
+    (tmp_path / "reports" / "_staging-left").mkdir(parents=True)  # of a run that ended early
+    for _ in range(2):
+        sinks.write_documents(documents, folder)
+    assert (tmp_path / "reports" / rows[0][0]).read_text() == rows[0][1] + "\n" and (tmp_path / "reports" / "b c d%.json").is_file()
+    assert sorted(p.name for p in (tmp_path / "reports").iterdir() if p.name[0] not in "._") == sorted(r[0] for r in rows[:2])
+    assert sorted(tuple(r) for r in sinks.read_documents(spark, folder).collect()) == sorted(rows[:2])
+
+
+def test_bucketed_prices(spark, sf_dir, capsys):
+    from tickerloom.operators.indicators import with_averages
+
+    bars = market.company_bars(spark, sf_dir)
+    stored = tables.bucketed_prices(bars, "bucketed_test", 4)
+    plan = with_averages(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
+    stored.where("ticker = 'S3'").explain("formatted")
+    assert "SelectedBucketsCount: 1 out of 4" in capsys.readouterr().out
+    assert tables.bucketed_prices(bars, "bucketed_test", 4).count() == 2 * bars.count()
+    assert "Exchange" not in with_averages(spark.table("bucketed_test"))._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE bucketed_test")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -104,6 +105,13 @@ def sma_20_50_200(spark, d):
     return I.with_averages(market.company_bars(spark, d)).select("ticker", "date", "sma_20", "sma_50", "sma_200")
 
 
+@query
+def sma_from_store(spark, d):
+    """The averages from prices bucketed by ticker: no exchange."""
+    stored = tables.bucketed_prices(market.company_bars(spark, d), f"prices_{uuid.uuid4().hex}")
+    return I.with_averages(stored).select("ticker", "date", "sma_20", "sma_50", "sma_200")
+
+
 @query
 def price_diff(spark, d):
     return market.bars(spark, d).select("ticker", "date", I.change().alias("change"))
@@ -290,8 +298,10 @@ def _json(path, kind="double"):
 
 @query
 def portfolio_result(spark, d):
-    """The result record, written as JSON and read back where SQL can follow it."""
-    out = sinks.portfolio_json(P.optimize(market.bars(spark, d, days=365)), GENERATED)
+    """The result record, written as a JSON file of its name and read back where SQL can follow it."""
+    folder = tables.work_path(spark, "portfolios")
+    sinks.write_documents(sinks.portfolio_json(P.optimize(market.bars(spark, d, days=365)), GENERATED), folder)
+    out = sinks.read_documents(spark, folder)
     parts = {"current": "current_portfolio", "best": "optimized_portfolios.max_sharpe", "calm": "optimized_portfolios.min_volatility"}
     facts = [_json(f"$.{path}.{f}").alias(f"{name}_{f}") for name, path in parts.items() for f in _FACTS[1:]]
     frontier = [F.from_json(F.get_json_object("value", f"$.efficient_frontier.{f}"), "array<double>").alias(f) for f in ("returns", "volatilities", "sharpe_ratios")]
@@ -452,7 +462,7 @@ def report_json(spark, d):
     """The report documents, written under their names and read back where SQL can follow them."""
     folder = tables.work_path(spark, "reports")
     sinks.write_documents(sinks.report_json(_reports(spark, d), GENERATED), folder)
-    stored = spark.read.schema("value string, file string").text(folder)
+    stored = sinks.read_documents(spark, folder)
     valuation = "$.sections.valuation"
     return stored.select(
         "file", _json("$.ticker", "string").alias("ticker"), _json("$.generated_date", "string").alias("generated_date"),

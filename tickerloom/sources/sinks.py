@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Files, partition_value
 from .market import RESULTS
 
 PRICE_COLUMNS = ["ticker", "date", "open", "high", "low", "close", "volume", "adjusted_close"]
@@ -75,8 +77,24 @@ def portfolio_json(result: DataFrame, generated: datetime) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, folder: str) -> None:
-    """Write rows (file, value), each under its own name: a folder ``file=<name>`` with one text file."""
-    documents.select("file", "value").repartition("file").write.mode("overwrite").partitionBy("file").text(folder)
+    """Write rows (file, value) as files of exactly these names in ``folder``.
+
+    Spark's own commit puts each document into a staging folder, whatever tasks had to be tried again; only
+    then each gets its name, by a rename. A run that ends early leaves a hidden folder and can be repeated. Rows with
+    one name are lines of one file.
+    """
+    files, staging = Files(documents.sparkSession, folder), f"{folder}/_staging-{uuid.uuid4().hex}"
+    documents.where("file is not null").select("file", "value").repartition("file").write.partitionBy("file").option("maxRecordsPerFile", 0).text(staging)
+    for name in files.names(staging):
+        if name.startswith("file="):
+            (part,) = [x for x in files.names(f"{staging}/{name}") if x.startswith("part-")]
+            files.move(f"{staging}/{name}/{part}", f"{folder}/{partition_value(name)}")
+    files.drop(staging)
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, value) of the documents in a folder, each whole."""
+    return spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("file"), F.rtrim("value", F.lit("\n")).alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

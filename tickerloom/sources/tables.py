@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sinks
+from .files import Files
 from .market import COMPANIES, PRICES, RESULTS, company_scan
 
 #: The stored tables and their columns.
@@ -56,32 +58,97 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Hash buckets of the company table: what an upsert replaces.
+COMPANY_BUCKETS = 32
+#: Buckets of a price store.
+PRICE_BUCKETS = 32
+
+
+def bucketed_prices(prices: DataFrame, name: str, buckets: int = PRICE_BUCKETS, path: str | None = None) -> DataFrame:
+    """Append prices to a table that is bucketed by ticker and sorted by ticker and date, and read it.
+
+    Windows and joins by ticker on it need no exchange, a filter on tickers reads their buckets only, and
+    one shuffle pays for it when rows come in.
+    """
+    spark = prices.sparkSession
+    rows = sinks.price_rows(prices).repartition(buckets, "ticker")
+    write = rows.write.mode("append").format("parquet").bucketBy(buckets, "ticker").sortBy("ticker", "date")
+    write = write if spark.catalog.tableExists(name) else write.option("path", path or work_path(spark, name))
+    write.saveAsTable(name)
+    return spark.table(name)
+
+
 class Store:
-    """The tables under one root folder."""
+    """The tables under one root folder.
+
+    ``companies`` lies in hash buckets. Which folder holds a bucket is said by the newest numbered list in
+    ``_versions``; an upsert writes the buckets it touches into a new folder and then adds a list, which is one
+    rename. Until then, and if it never comes to that, readers see the old table. Folders that neither the
+    newest list nor the one before names are removed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.files = Files(spark, self.root)
+        self.database: str | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def create(self, database: str | None = None) -> None:
-        """Make the folders, and each table if it does not exist; with a database, also as tables for SQL."""
+        """Make the folders, and each table if it does not exist; with a database, also as tables (companies: a view) for SQL."""
         for name in (*SCHEMAS, *FOLDERS):
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(target)
+            self.files.make(self.path(name))
+        self.database = database
         if database:
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
             for name, columns in SCHEMAS.items():
-                self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet LOCATION '{self.path(name)}'")
+                if name != "companies":
+                    self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet LOCATION '{self.path(name)}'")
+            self._publish()
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names(self.path("companies/_versions")) if n.endswith(".json"))
+
+    def _folders(self, version: int | None) -> dict[int, str]:
+        """The folder of each bucket that holds rows."""
+        return {int(k): v for k, v in json.loads(self.files.read(self.path(f"companies/_versions/{version:08d}.json"))).items()} if version is not None else {}
+
+    def _switch(self, folders: dict[int, str]) -> None:
+        """From now on these folders are the table."""
+        old = self._versions()[-2:]
+        self.files.make(self.path("companies/_versions"))
+        self.files.write_new(self.path(f"companies/_versions/{old[-1] + 1 if old else 0:08d}.json"), json.dumps(folders))
+        if len(old) == 2:
+            gone = set(self._folders(old[0]).values()) - set(self._folders(old[1]).values()) - set(folders.values())
+            for folder in gone:
+                self.files.drop(self.path(f"companies/{folder}"))
+            self.files.drop(self.path(f"companies/_versions/{old[0]:08d}.json"))
+
+    def _publish(self) -> None:
+        """The view for SQL names the newest folders."""
+        if self.database:
+            kept = ", ".join(f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in COMPANIES.split(", "))
+            none = ", ".join(f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in COMPANIES.split(", "))
+            found = [f"SELECT {kept} FROM parquet.`{self.path(f'companies/{f}')}`" for f in self._newest().values()]
+            self.spark.sql(f"CREATE OR REPLACE VIEW `{self.database}`.companies AS {' UNION ALL '.join(found) or f'SELECT {none} WHERE false'}")
+
+    def _newest(self) -> dict[int, str]:
+        return self._folders(next(reversed(self._versions()), None))
+
+    def _companies(self, folders: dict[int, str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], COMPANIES)
+        return self.spark.read.schema(COMPANIES).parquet(*[self.path(f"companies/{f}") for f in sorted(folders.values())])
 
     def read(self, name: str) -> DataFrame:
         """A stored table; one that holds nothing yet is empty."""
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        return self._companies(self._newest()) if name == "companies" else self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
 
     def company(self, ticker: str) -> DataFrame:
-        """The row of one ticker, if it is stored; the ticker reaches the Parquet scan."""
-        return self.read("companies").where(F.col("ticker") == ticker).limit(1)
+        """The row of one ticker, if it is stored; only its bucket is read, and the ticker reaches the Parquet scan."""
+        bucket = self.spark.range(1).select(_bucket(F.lit(ticker)).alias("b")).first().b
+        return self._companies({k: f for k, f in self._newest().items() if k == bucket}).where(F.col("ticker") == ticker).limit(1)
 
     def add_prices(self, prices: DataFrame) -> None:
         """Append price rows; ``sinks.latest_prices`` is the view without duplicates."""
@@ -93,17 +160,28 @@ class Store:
         results.select(*[c.split()[0] for c in RESULTS.split(", ")]).write.mode("append").parquet(self.path("analysis_results"))
 
     def upsert(self, source: DataFrame, now: datetime) -> None:
-        """Write ``companies`` anew: attributes of known tickers are replaced, new tickers are added.
+        """Attributes of known tickers are replaced, new tickers are added; buckets without either keep their files.
 
-        Parquet has no update in place: the new version is written beside the old one and then takes its place.
+        Rows without a ticker are left out. One upsert at a time: a second one that ends later finds its number taken.
         """
-        after = sinks.upsert_companies(self.read("companies"), source, now)
+        source = written(source.where("ticker is not null"), "upsert")
+        before = self._newest()
+        touched = [r.b for r in source.select(_bucket(F.col("ticker")).alias("b")).distinct().collect()]  # as many as buckets at most
+        if not touched:
+            return
+        after = sinks.upsert_companies(self._companies({k: before[k] for k in touched if k in before}), source, now)
         kept = [F.col(c.split()[0]).cast(c.split()[1]) for c in COMPANIES.split(", ")]
-        stored = written(after.select(*kept), "companies")
-        stored.write.mode("overwrite").parquet(self.path("companies"))
+        folder = uuid.uuid4().hex
+        after.select(*kept, _bucket(F.col("ticker")).alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(self.path(f"companies/{folder}"))
+        self._switch(before | {k: f"{folder}/bucket={k}" for k in touched})
+        self._publish()
 
     def refresh(self, prices: DataFrame, info: DataFrame, now: datetime) -> None:
         """Fetched prices are appended and fetched company facts upserted; tickers without a price are left alone."""
         have = written(prices.select("ticker").distinct(), "refreshed")
         self.add_prices(prices)
         self.upsert(company_scan(info).join(have, "ticker", "left_semi"), now)
+
+
+def _bucket(ticker: Column) -> Column:
+    return F.pmod(F.hash(ticker), F.lit(COMPANY_BUCKETS))
