@@ -344,7 +344,7 @@ def test_bucketed_prices(spark, sf_dir, capsys):
     stored = tables.bucketed_prices(bars, "bucketed_test", 4)
     plan = with_averages(stored)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" in plan
-    stored.where("ticker = 'S3'").explain("formatted")
+    with_averages(stored.where("ticker = 'S3'")).explain("formatted")
     assert "SelectedBucketsCount: 1 out of 4" in capsys.readouterr().out
     assert tables.bucketed_prices(bars, "bucketed_test", 4).count() == 2 * bars.count()
     assert "Exchange" not in with_averages(spark.table("bucketed_test"))._jdf.queryExecution().executedPlan().toString()

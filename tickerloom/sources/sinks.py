@@ -94,7 +94,7 @@ def write_documents(documents: DataFrame, folder: str) -> None:
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(file, value) of the documents in a folder, each whole."""
-    return spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("file"), F.rtrim("value", F.lit("\n")).alias("value"))
+    return spark.read.option("wholetext", True).text(folder).select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file"), F.rtrim("value", F.lit("\n")).alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
