@@ -308,7 +308,7 @@ def test_upserts_by_parts(spark, sf_dir, tmp_path, monkeypatch):
     first, before = store._newest(), files()
     one = rows.where("ticker = 'S3'").withColumn("market_cap", F.lit(7.0))
     with monkeypatch.context() as m:
-        m.setattr(tables.Store, "_switch", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        m.setattr(tables.Store, "_switch", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
         with pytest.raises(KeyboardInterrupt):
             store.upsert(one, dt.datetime(2002, 1, 1))
     assert store._newest() == first and store.company("S3").first().market_cap != 7.0 and store.read("companies").count() == many.count()
@@ -349,3 +349,31 @@ def test_bucketed_prices(spark, sf_dir, capsys):
     assert tables.bucketed_prices(bars, "bucketed_test", 4).count() == 2 * bars.count()
     assert "Exchange" not in with_averages(spark.table("bucketed_test"))._jdf.queryExecution().executedPlan().toString()
     spark.sql("DROP TABLE bucketed_test")
+
+
+def test_indicator_state_through_refreshes(spark):
+    """After each of ten refreshes, some late, repeated or of new tickers, the state gives what all bars give."""
+    from tickerloom.operators import indicators as I
+    from tickerloom.operators import state as S
+
+    r, start = random.Random(6), dt.date(2020, 1, 1)
+    rows, price = [], {}
+    for k in range(260):
+        for t in ("A", "B", "C"):
+            if (t == "C" and k < 130) or (t == "B" and k % 5 == 0):
+                continue
+            price[t] = price.get(t, 50.0) * (1 + (r.random() - 0.5) / 10 if t != "C" else 1.01)
+            p = price[t]
+            rows.append((t, start + dt.timedelta(k), p, p + r.random(), p - r.random(), p, r.randrange(1000)))
+    schema = "ticker string, date date, open double, high double, low double, close double, volume bigint"
+    bars, held = spark.createDataFrame(rows, schema).cache(), spark.createDataFrame([], S.STATE)
+    for k in range(10):
+        until, since = start + dt.timedelta(26 * (k + 1)), start + dt.timedelta(26 * k - (3 if k % 2 else 0))
+        held = S.advanced(held, bars.where((F.col("date") < until) & (F.col("date") >= since)))
+        held = spark.createDataFrame(held.collect(), S.STATE)
+        want = {x.ticker: x for x in I.latest(I.with_all(bars.where(F.col("date") < until))).collect()}
+        got = S.indicators(held).collect()
+        assert {x.ticker for x in got} == set(want) and all(len(x.bars) <= S.KEPT for x in held.collect())
+        for x in got:
+            assert x.date == want[x.ticker].date and x.n_bars == want[x.ticker].n_bars
+            assert all(getattr(x, c) == (None if (w := getattr(want[x.ticker], c)) is None else pytest.approx(w, rel=1e-9, abs=1e-9)) for c in S.INDICATORS), (k, x, want[x.ticker])

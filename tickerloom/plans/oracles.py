@@ -223,6 +223,7 @@ ORACLES = {
     "parse_ticker_list": "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS pos, t AS ticker FROM (SELECT unnest(list_filter(list_transform(string_split('aapl, MSFT ,, amzn,none', ','), lambda x: upper(trim(x))), lambda x: x <> '')) AS t)",
     "latest_bar": _out("SELECT * EXCLUDE (b) FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS b FROM bars) WHERE b = 1", _PRICES, BARS),
     "sma_20_50_200": _out(f"SELECT ticker, date, {_roll('avg', 'close', 20)} AS sma_20, {_roll('avg', 'close', 50)} AS sma_50, {_roll('avg', 'close', 200)} AS sma_200 FROM bars", "sma_20 sma_50 sma_200", COMPANY_BARS),
+    "indicator_state": _out("SELECT ticker, date, close, n_bars, sma_20, sma_50, sma_200, bb_upper, bb_lower, volume_sma, volume_ratio, price_change_1d, price_change_5d, price_change_1mo, resistance, support, rsi, macd, macd_signal, macd_histogram FROM ind WHERE back = 1", "close sma_20 sma_50 sma_200 bb_upper bb_lower volume_sma volume_ratio price_change_1d price_change_5d price_change_1mo resistance support rsi macd macd_signal macd_histogram", COMPANY_BARS + "," + INDICATORS),
     "sma_from_store": _out(f"SELECT ticker, date, {_roll('avg', 'close', 20)} AS sma_20, {_roll('avg', 'close', 50)} AS sma_50, {_roll('avg', 'close', 200)} AS sma_200 FROM bars", "sma_20 sma_50 sma_200", COMPANY_BARS),
     "price_diff": _out("SELECT ticker, date, close - lag(close) OVER (PARTITION BY ticker ORDER BY date) AS change FROM bars", "change", BARS),
     "rsi_14": _out("SELECT * FROM rsi", "rsi", BARS + "," + RSI),

@@ -14,6 +14,7 @@ from ..operators import portfolio as P
 from ..operators import report as R
 from ..operators import returns as T
 from ..operators import valuation as V
+from ..operators.state import indicators
 from ..sources import filings, market, sinks, tables
 from ..streaming.bars import window_bars
 
@@ -112,6 +113,18 @@ def sma_from_store(spark, d):
     return I.with_averages(stored).select("ticker", "date", "sma_20", "sma_50", "sma_200")
 
 
+@query
+def indicator_state(spark, d):
+    """The last indicators of every company, after a refresh for each year of bars, without a look back at earlier ones."""
+    store = tables.Store(spark, tables.work_path(spark, "store"))
+    store.create()
+    bars = tables.written(market.company_bars(spark, d), "bars")
+    span = bars.agg(F.min(F.year("date")).alias("first"), F.max(F.year("date")).alias("last")).first()
+    for year in range(span.first, span.last + 1):
+        store.refresh_indicators(bars.where(F.year("date") == year))
+    return indicators(store.indicator_state())
+
+
 @query
 def price_diff(spark, d):
     return market.bars(spark, d).select("ticker", "date", I.change().alias("change"))

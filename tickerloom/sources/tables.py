@@ -6,11 +6,13 @@ import atexit
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import state
 from . import sinks
 from .files import Files
 from .market import COMPANIES, PRICES, RESULTS, company_scan
@@ -81,7 +83,7 @@ def bucketed_prices(prices: DataFrame, name: str, buckets: int = PRICE_BUCKETS,
 class Store:
     """The tables under one root folder.
 
-    ``companies`` lies in hash buckets. Which folder holds a bucket is said by the newest numbered list in
+    ``companies`` and ``indicator_state`` lie in hash buckets. Which folder holds a bucket is said by the newest numbered list in
     ``_versions``; an upsert writes the buckets it touches into a new folder and then adds a list, which is one
     rename. Until then, and if it never comes to that, readers see the old table. Folders that neither the
     newest list nor the one before names are removed.
@@ -107,23 +109,42 @@ class Store:
                     self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet LOCATION '{self.path(name)}'")
             self._publish()
 
-    def _versions(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in self.files.names(self.path("companies/_versions")) if n.endswith(".json"))
+    def _versions(self, table: str) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names(self.path(f"{table}/_versions")) if n.endswith(".json"))
 
-    def _folders(self, version: int | None) -> dict[int, str]:
+    def _folders(self, table: str, version: int | None) -> dict[int, str]:
         """The folder of each bucket that holds rows."""
-        return {int(k): v for k, v in json.loads(self.files.read(self.path(f"companies/_versions/{version:08d}.json"))).items()} if version is not None else {}
+        return {int(k): v for k, v in json.loads(self.files.read(self.path(f"{table}/_versions/{version:08d}.json"))).items()} if version is not None else {}
 
-    def _switch(self, folders: dict[int, str]) -> None:
+    def _newest(self, table: str = "companies") -> dict[int, str]:
+        return self._folders(table, next(reversed(self._versions(table)), None))
+
+    def _switch(self, table: str, folders: dict[int, str]) -> None:
         """From now on these folders are the table."""
-        old = self._versions()[-2:]
-        self.files.make(self.path("companies/_versions"))
-        self.files.write_new(self.path(f"companies/_versions/{old[-1] + 1 if old else 0:08d}.json"), json.dumps(folders))
+        old = self._versions(table)[-2:]
+        self.files.make(self.path(f"{table}/_versions"))
+        self.files.write_new(self.path(f"{table}/_versions/{old[-1] + 1 if old else 0:08d}.json"), json.dumps(folders))
         if len(old) == 2:
-            gone = set(self._folders(old[0]).values()) - set(self._folders(old[1]).values()) - set(folders.values())
+            gone = set(self._folders(table, old[0]).values()) - set(self._folders(table, old[1]).values()) - set(folders.values())
             for folder in gone:
-                self.files.drop(self.path(f"companies/{folder}"))
-            self.files.drop(self.path(f"companies/_versions/{old[0]:08d}.json"))
+                self.files.drop(self.path(f"{table}/{folder}"))
+            self.files.drop(self.path(f"{table}/_versions/{old[0]:08d}.json"))
+
+    def _parts(self, table: str, folders: dict[int, str], schema: str) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self.path(f"{table}/{f}") for f in sorted(folders.values())])
+
+    def _replace(self, table: str, keys: DataFrame, schema: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrite the buckets of ``keys``' tickers by ``change``, in a new folder, and switch to it."""
+        before = self._newest(table)
+        touched = [r.b for r in keys.select(_bucket(F.col("ticker")).alias("b")).distinct().collect()]  # as many as buckets at most
+        if not touched:
+            return
+        after = change(self._parts(table, {k: before[k] for k in touched if k in before}, schema))
+        folder = uuid.uuid4().hex
+        after.withColumn("bucket", _bucket(F.col("ticker"))).repartition("bucket").write.partitionBy("bucket").parquet(self.path(f"{table}/{folder}"))
+        self._switch(table, before | {k: f"{folder}/bucket={k}" for k in touched})
 
     def _publish(self) -> None:
         """The view for SQL names the newest folders."""
@@ -133,22 +154,14 @@ class Store:
             found = [f"SELECT {kept} FROM parquet.`{self.path(f'companies/{f}')}`" for f in self._newest().values()]
             self.spark.sql(f"CREATE OR REPLACE VIEW `{self.database}`.companies AS {' UNION ALL '.join(found) or f'SELECT {none} WHERE false'}")
 
-    def _newest(self) -> dict[int, str]:
-        return self._folders(next(reversed(self._versions()), None))
-
-    def _companies(self, folders: dict[int, str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], COMPANIES)
-        return self.spark.read.schema(COMPANIES).parquet(*[self.path(f"companies/{f}") for f in sorted(folders.values())])
-
     def read(self, name: str) -> DataFrame:
         """A stored table; one that holds nothing yet is empty."""
-        return self._companies(self._newest()) if name == "companies" else self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        return self._parts("companies", self._newest(), COMPANIES) if name == "companies" else self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
 
     def company(self, ticker: str) -> DataFrame:
         """The row of one ticker, if it is stored; only its bucket is read, and the ticker reaches the Parquet scan."""
         bucket = self.spark.range(1).select(_bucket(F.lit(ticker)).alias("b")).first().b
-        return self._companies({k: f for k, f in self._newest().items() if k == bucket}).where(F.col("ticker") == ticker).limit(1)
+        return self._parts("companies", {k: f for k, f in self._newest().items() if k == bucket}, COMPANIES).where(F.col("ticker") == ticker).limit(1)
 
     def add_prices(self, prices: DataFrame) -> None:
         """Append price rows; ``sinks.latest_prices`` is the view without duplicates."""
@@ -165,17 +178,19 @@ class Store:
         Rows without a ticker are left out. One upsert at a time: a second one that ends later finds its number taken.
         """
         source = written(source.where("ticker is not null"), "upsert")
-        before = self._newest()
-        touched = [r.b for r in source.select(_bucket(F.col("ticker")).alias("b")).distinct().collect()]  # as many as buckets at most
-        if not touched:
-            return
-        after = sinks.upsert_companies(self._companies({k: before[k] for k in touched if k in before}), source, now)
         kept = [F.col(c.split()[0]).cast(c.split()[1]) for c in COMPANIES.split(", ")]
-        folder = uuid.uuid4().hex
-        after.select(*kept, _bucket(F.col("ticker")).alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(self.path(f"companies/{folder}"))
-        self._switch(before | {k: f"{folder}/bucket={k}" for k in touched})
+        self._replace("companies", source, COMPANIES, lambda target: sinks.upsert_companies(target, source, now).select(*kept))
         self._publish()
 
+    def indicator_state(self) -> DataFrame:
+        """One row a ticker; see ``operators.state``."""
+        return self._parts("indicator_state", self._newest("indicator_state"), state.STATE)
+
+    def refresh_indicators(self, bars: DataFrame) -> None:
+        """Bring the indicator state forward by new bars; buckets without any keep their files."""
+        bars = written(bars, "bars")
+        self._replace("indicator_state", bars.where("ticker is not null"), state.STATE, lambda old: state.advanced(old, bars))
+
     def refresh(self, prices: DataFrame, info: DataFrame, now: datetime) -> None:
         """Fetched prices are appended and fetched company facts upserted; tickers without a price are left alone."""
         have = written(prices.select("ticker").distinct(), "refreshed")
