@@ -18,6 +18,7 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import sys
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -42,7 +43,7 @@ _OUT = tuple(c.split()[0] for c in OUTPUT.split(", "))
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     # each batch is a start of its own; stores left open for the next one would keep their local folders
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
@@ -80,6 +81,16 @@ class Reassembly(StatefulProcessor):
                     yield self._row(key, "reject", turn=r.turn, batch=r.batch, payload=r.payload, first=r.first, more=r.more)
             return
         last, run, more, first, turns, roles = known or (None, None, None, None, (), ())
+        if known is not None:
+            # arrivals come before timers: one that is due and has not been called yet closes here
+            rows = iter(rows)
+            head = next(rows)
+            rows = chain([head], rows)
+            if head.batch > last + self.idle:
+                yield self._closed(key, known)
+                self.handle.deleteTimer(_due(last + self.idle))
+                yield from (self._row(key, "reject", turn=r.turn, batch=r.batch, payload=r.payload, first=r.first, more=r.more) for r in rows if r.kind == "turn")
+                return
         have, fresh, held, batch, before = dict(zip(turns, roles, strict=True)), {}, 0, last, len(turns)
         for r in rows:
             batch, more, first = r.batch, r.more, r.first
@@ -111,18 +122,22 @@ class Reassembly(StatefulProcessor):
             self.open.update((batch, run, more, first, list(have), list(have.values())))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        last, run, more, first, turns, roles = self.open.get()
+        yield self._closed(key, self.open.get())
+
+    def _closed(self, key, known) -> Row:
+        """The closing of a part; from now on there is its tombstone only."""
+        last, run, more, first, turns, roles = known
         have = dict(zip(turns, roles, strict=True))
         base = ((first >> PART_BITS) + key[1]) << PART_BITS
         breaks = sum(t - 1 in have and have[t - 1] == role for t, role in have.items())
         left = ",".join(str(t) for t in sorted(have) if t >= run)
-        yield self._row(
-            key, "close", turn=-1, batch=last + self.idle, payload=left, first=first, more=more, run=run, n_kept=len(have),
-            largest=max(have, default=None), n_breaks=breaks, head_role=have.get(base), tail_role=have.get(base + (1 << PART_BITS) - 1),
-        )
         self.closed.update((last + self.idle,))
         self.open.clear()
         self.waiting.clear()
+        return self._row(
+            key, "close", turn=-1, batch=last + self.idle, payload=left, first=first, more=more, run=run, n_kept=len(have),
+            largest=max(have, default=None), n_breaks=breaks, head_role=have.get(base), tail_role=have.get(base + (1 << PART_BITS) - 1),
+        )
 
     def close(self) -> None:
         pass
@@ -168,7 +183,7 @@ def _tick(spark: SparkSession, batch: int) -> DataFrame:
 
 @contextlib.contextmanager
 def _settings(spark: SparkSession):
-    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    before = {k: spark.conf.get(k, None) for k in (*_SETTINGS, "spark.sql.streaming.noDataMicroBatches.enabled")}
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
     try:
@@ -216,6 +231,8 @@ def reassemble(arrivals: DataFrame, n_batches: int, idle: int = IDLE) -> DataFra
     with _settings(spark):
         extra = materialize(touches(stored), "turns-touches")
         for n in [*range(n_batches), n_batches + idle]:  # the last one is a tick alone: the end closes what is open
+            # a timer is called in the run after the one whose tick made it due; the end calls all
+            spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(n >= n_batches).lower())
             rows = stored.where(F.col("batch") == n).unionByName(extra.where(F.col("batch") == n)).unionByName(_tick(spark, n))
             _timed(rows).select(*columns).write.mode("append").options(**writing(source)).parquet(source)
             _fed(spark, source, sink, checkpoint, idle)
