@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CIK_JSON, DIGITS, LIMITS, WANTED, WEIGHTS
+from .queries import CIK_JSON, DIGITS, LIMITS, PAGE_TYPE, WANTED, WEIGHTS
 
 
 def _bars(name: str, ticker: str) -> str:
@@ -308,6 +308,8 @@ ORACLES = {
     "price_append_dedup": _out("SELECT * FROM bars", _PRICES, BARS),
     "company_upsert": _out("SELECT ticker, s_name AS name, r_name AS sector, n_name AS industry, n_name AS country, price * shares * CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS market_cap, CASE WHEN k % 3 <> 0 THEN '2001-01-01' ELSE '2002-01-01' END AS last_updated FROM co WHERE k % 3 <> 0 OR k % 2 = 0", "market_cap", COMPANIES),
     "filing_dates": """SELECT page_id, found, CAST(sequence AS INTEGER) AS sequence FROM (SELECT page_id, unnest(m) AS found, generate_subscripts(m, 1) AS sequence FROM (SELECT page_id, list_slice(regexp_extract_all(html, 'href="([^"]*)"', 1), 1, 5) AS m FROM pages))""",
+    "filing_list_by_type": f"""SELECT page_id, url, CAST(200 AS INTEGER) AS status, 'es' AS filing_type, found, CAST(sequence AS INTEGER) AS sequence FROM (SELECT page_id, url, unnest(m) AS found, generate_subscripts(m, 1) AS sequence FROM
+        (SELECT page_id, url, list_slice(regexp_extract_all(html, 'href="([^"]*)"', 1), 1, 3) AS m FROM pages WHERE regexp_extract(url, '{PAGE_TYPE}', 1) = 'es'))""",
     "filing_text": "SELECT page_id, coalesce(substr(html, 1, 5000), '') AS text FROM pages",
     "cik_lookup": f"""SELECT * FROM (SELECT json_extract_string(v, '$.ticker') AS ticker, lpad(coalesce(json_extract_string(v, '$.cik_str'), k), 10, '0') AS cik FROM (SELECT unnest(json_keys(j)) AS k, j, json_extract(j, '$."' || unnest(json_keys(j)) || '"') AS v FROM (SELECT '{CIK_JSON}'::JSON AS j))) WHERE ticker IN ('AAPL', 'MSFT', 'AMZN', 'NONE')""",
     "hourly_bars": _out("SELECT event_type AS ticker, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2", "open high low close"),

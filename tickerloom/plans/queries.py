@@ -15,7 +15,7 @@ from ..operators import report as R
 from ..operators import returns as T
 from ..operators import valuation as V
 from ..operators.state import indicators
-from ..sources import filings, market, sinks, tables
+from ..sources import filing_source, filings, market, sinks, tables
 from ..streaming.bars import window_bars
 
 AS_OF = date(2002, 1, 1)
@@ -25,6 +25,8 @@ WEIGHTS = {"T0": 0.4, "T1": 0.3, "T2": 0.15, "T3": 0.1, "T4": 0.05}
 #: Least and greatest weight of a ticker in a limited portfolio.
 LIMITS = (0.1, 0.3)
 CIK_JSON = '{"0": {"cik_str": "320193", "ticker": "AAPL", "title": "A"}, "1": {"cik_str": "789019", "ticker": "MSFT", "title": "M"}, "1018724": {"ticker": "AMZN", "title": "Z"}}'
+#: Stands for a filing's type in the addresses of pages: the folder named by two letters.
+PAGE_TYPE = "^[a-z]+://[^/]+/([a-z][a-z])/"
 WANTED = "aapl, MSFT ,, amzn,none"
 
 #: Decimals kept: money sums are large, so that their last bits differ between engines; prices have exact ties at six.
@@ -578,6 +580,13 @@ def filing_dates(spark, d):
     return filings.filing_dates(market.table(spark, d, "pages").select("page_id", "html"), 'href="([^"]*)"').withColumnRenamed("filing_date", "found")
 
 
+@query
+def filing_list_by_type(spark, d):
+    """Links of Spanish pages, at most three a page: type, status and count are answered in the scan."""
+    found = filing_source.responses(spark, f"{d}/pages.parquet", "es", 200, 3, key="page_id", pattern='href="([^"]*)"', type_pattern=PAGE_TYPE)
+    return found.withColumnRenamed("filing_date", "found")
+
+
 @query
 def filing_text(spark, d):
     return filings.filing_text(market.table(spark, d, "pages").select("page_id", "html"))

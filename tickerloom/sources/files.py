@@ -17,6 +17,10 @@ class Files:
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
 
+    def resolved(self, name: str) -> str:
+        """The address behind a view of file systems, or the full address of a name."""
+        return self.system.resolvePath(self.path(name)).toString()
+
     def exists(self, name: str) -> bool:
         return self.system.exists(self.path(name))
 
