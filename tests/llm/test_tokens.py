@@ -2,12 +2,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tickerloom.llm.token_store import Dac, dac_encode, token_store  # noqa: E402
+from tickerloom.llm.token_store import Dac, dac_encode, read_store, token_store, write_store  # noqa: E402
 from tickerloom.llm.tokens import Tokenizer, count_tokens  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,3 +89,23 @@ def test_store(spark, frame, odd_rows, library):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (None if doc_id < 0 else doc_id, at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
     assert token_store(df.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("text", ["CAST(id % 3 AS string)", "'one and the same text'"])
+def test_store_deals_out_hot_ids(spark, tmp_path, text):
+    """Rows of one id, equal or not, and rows without any: no part holds more than its share, the order stays."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    docs = spark.range(0, 40_000, 1, 16).selectExpr("CASE WHEN id % 2 = 0 THEN 5 END AS doc_id", f"{text} AS text")
+    path = f"file://{tmp_path}/store"
+    spark.conf.set(setting, "false")
+    try:
+        write_store(docs, PATH, path)
+    finally:
+        spark.conf.set(setting, "true")
+    parts = [r.n for r in spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()]
+    assert len(parts) == 4 and max(parts) < 0.5 * sum(parts)
+    got = sorted(read_store(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 20_000 + [5] * 20_000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    for part in (got[:20_000], got[20_000:]):
+        assert sum(a.ids_crc32 != b.ids_crc32 for a, b in zip(part, part[1:], strict=False)) == (2 if "%" in text else 0)

@@ -34,6 +34,8 @@ from .tokens import tokenizer
 BLOCK_IDS = 1 << 14
 #: Stands for a null doc_id in a store.
 NO_ID = -(1 << 63)
+#: Characters of a text by which documents of one id are ordered and dealt.
+HEAD = 64
 _RANK = 512
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -133,12 +135,14 @@ def write_store(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0)
     """Encode every whole text and write the ids, each document closed by ``end_id``, in ascending doc_id order.
 
     Defined results: a null or empty text gives only the end id; a null doc_id sorts first and is
-    stored as ``NO_ID``; equal doc_ids follow each other in the order of their texts; an empty table gives
-    an empty store; other columns are ignored. One range shuffle by doc_id, then a narrow pass that
-    holds one block of ids.
+    stored as ``NO_ID``; equal doc_ids follow each other in the order of their texts' first ``HEAD``
+    characters, then by a hash of the whole text; an empty table gives an empty store; other columns
+    are ignored. One range shuffle, then a narrow pass that holds one block of ids. The ranges go by
+    that order and, among equal rows, by where these were read, so no id or text has to fit a task.
     """
     bounded_batches(docs.sparkSession)
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = texts(docs).withColumns({"head": F.substring("text", 1, HEAD), "hash": F.xxhash64("text"), "place": F.spark_partition_id()})
+    ordered = keyed.repartitionByRange("doc_id", "head", "hash", "place").sortWithinPartitions("doc_id", "head", "hash", "text").select("doc_id", "text")
 
     def run(batches):
         rows = ((d, t.as_py()) for b in batches for d, t in zip(b.column(0).to_pylist(), string_column(b.column(1)), strict=True))
