@@ -167,6 +167,20 @@ def test_packing(spark, frame, odd_rows):
     assert packing.pack_documents(frame(odd_rows).limit(0), path).count() == 0
 
 
+def test_packing_deals_out_hot_ids(spark):
+    """Equal rows, with one id or none, and many rows of one id: no shard holds more than its share."""
+    ids = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.lit(8))
+    lengths = F.when(F.col("id") % 3 == 1, F.col("id") % 1000).otherwise(F.lit(5))
+    items = spark.range(60_000).select(ids.alias("doc_id"), lengths.alias("n_tokens"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("cluster"))
+    got = packing.pack(items, shard_rows=500)
+    shards = [r.n for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert sum(shards) == 60_000 and max(shards) <= 8 * 500 and len(shards) >= 60
+    counts = {r.doc_id: (r.n, r.t) for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    assert counts[7] == counts[None] == (20_000, 100_000) and counts[8][0] == 20_000
+    bins = got.groupBy("shard", "bin").agg(F.sum("n_tokens").alias("t"), F.max("bin_tokens").alias("b"))
+    assert bins.where(f"t <> b OR b > {packing.CAPACITY}").count() == 0
+
+
 def test_near_copies_never_share_a_sequence(spark, frame):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     words = [f"word{i}" for i in range(60)]

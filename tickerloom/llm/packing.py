@@ -5,8 +5,9 @@ has. Open bins are ordered by residual. An item looks for the successor of its l
 residuals and walks on until it meets a compatible bin, which is then the tightest one; if none is
 left it opens a bin. Items go by decreasing length.
 
-Items are dealt to shards by a hash of doc_id, about ``SHARD_ROWS`` documents each, and every shard
-packs alone: the work is linear in the corpus, and a task holds one shard's lengths, never texts.
+Items are dealt to shards by a hash, about ``SHARD_ROWS`` documents each, and every shard packs
+alone: the work is linear in the corpus, and a task holds one shard's lengths, never texts. Equal
+items are counted before they are dealt, and a count goes to shards in parts.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
     Defined results: a null or negative length counts as 0; a document of no tokens is one piece of
     length 0; a null source or cluster conflicts with nothing; equal lengths go in the order of
     doc_id, then source and cluster; repeated rows are packed each (they share a source, so never a
-    bin); an empty table gives an empty table; other columns are ignored.
+    bin); an empty table gives an empty table; other columns are ignored. Rows of one doc_id, or
+    without any, are dealt like others: equal rows go in parts of ``shard_rows``.
     """
     spark = items.sparkSession
     bounded_batches(spark)
@@ -85,13 +87,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
         F.col("cluster").cast("long").alias("cluster"),
     )
     shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "cluster", F.lit(0))), F.lit(shards)))
+    item = ["doc_id", "source", "cluster", "n_tokens"]
+    counted = rows.groupBy(*item).agg(F.count("*").alias("copies"))
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("copies") / shard_rows) - 1))
+    dealt = counted.withColumn("part", parts).select(
+        *item,
+        F.least(F.lit(shard_rows), F.col("copies") - F.col("part") * shard_rows).alias("copies"),
+        F.pmod(F.xxhash64(*item, "part"), F.lit(shards)).alias("shard"),
+    )
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        table = table.sort_by([("doc_id", "ascending"), ("source", "ascending"), ("cluster", "ascending"), ("n_tokens", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in item])
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table["copies"].to_numpy())))
         done, base = [], 0
-        # a shard that one repeated id has swollen is packed in parts, so that the search stays short
+        # a shard swollen by parts of large counts is packed in parts, so that the search stays short
         for low in range(0, len(table), 4 * shard_rows):
             part = table.slice(low, 4 * shard_rows)
             n = part["n_tokens"].to_numpy()
