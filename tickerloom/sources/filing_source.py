@@ -5,8 +5,8 @@ status) and gives a row for each filing date in a page. ``filing_type`` and ``st
 before a page's text is read: a row group without a wanted page is passed over on its short columns
 alone. ``count`` ends the search in a page once it is reached.
 
-The three are options of a load and not filters that Spark pushes: Spark 4.1 keeps what was pushed
-to a Python source with the load, so that a second query on the same DataFrame loses rows.
+The three are options of a load and not filters that Spark pushes: in Spark 4.1 what was pushed
+to a Python source seems to stay with the load: a second, unfiltered query on the same DataFrame lost rows.
 
 A task takes the row groups that begin in its range of a file's bytes, so planning lists files and
 opens none, and a task holds one small batch of pages. Files are read through Arrow's file systems
