@@ -100,6 +100,68 @@ def test_recall_up_to_the_bound(spark, edit):
                 assert distance == edits(_plain(dict(items)[i]), _plain(text)) and 0 <= start < stop <= len(_plain(text)) + 1
 
 
+def _filler(r, size):
+    """Items of prose in which common words come back, ``size`` characters in all."""
+    common = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    out, n = [], 0
+    while n < size:
+        out.append((10**6 + len(out), " ".join(r.choice(common) for _ in range(r.randint(20, 60)))))
+        n += len(out[-1][1])
+    return out
+
+
+@pytest.mark.parametrize("size", [0, 300_000, 2_000_000])
+@pytest.mark.parametrize("edit", [0.06, 0.14, 0.18])
+def test_recall_does_not_fall_with_the_benchmark(spark, edit, size):
+    items = [(r.item_id, r.text) for r in _bench(spark).collect()]
+    r = random.Random(f"{edit} {size}")
+    block = decontaminate.Items(items + _filler(r, size))
+    texts, wanted = [], []
+    for _ in range(120):
+        i, text = r.choice(items)
+        copy = _at_random(r, text, edit)
+        if edits(_plain(text), _plain(copy)) <= decontaminate.MAX_EDIT * len(_plain(text)):
+            texts.append(f"{PROSE[0]} {copy} {PROSE[1]}")
+            wanted.append(i)
+    hit = sum(i in [f[0] for f in leaks] for leaks, i in zip(block.leaks(pa.array(texts)), wanted, strict=True))
+    assert len(texts) >= 60 and hit >= 0.9 * len(texts), (hit, len(texts))
+
+
+@pytest.mark.parametrize("n", [20, 60, 300])
+def test_recall_of_edited_items_that_share_a_template(n):
+    """The template is left alone, the words of an item's own are edited."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    template = "read the passage below and choose the one statement that follows from what the author says"
+    own = [" ".join(word() for _ in range(18)) for _ in range(n)]
+    block = decontaminate.Items([(i, f"{template} {o}") for i, o in enumerate(own)])
+    texts, wanted = [], []
+    for k in range(120):
+        i, every = r.randrange(n), 4 + k % 3
+        copy = f"{template} {''.join('x' if j % every == 0 and c != ' ' else c for j, c in enumerate(own[i]))}"
+        if edits(f"{template} {own[i]}".encode(), copy.encode()) <= int(decontaminate.MAX_EDIT * len(f"{template} {own[i]}")):
+            texts.append(f"{PROSE[0]} {copy} {PROSE[1]}")
+            wanted.append(i)
+    hit = sum(i in [f[0] for f in leaks] for leaks, i in zip(block.leaks(pa.array(texts)), wanted, strict=True))
+    assert len(texts) >= 100 and hit >= 0.9 * len(texts), (hit, len(texts))
+
+
+def test_edited_copies_with_a_benchmark_in_blocks(spark, monkeypatch):
+    """What is found does not depend on how items are dealt to blocks."""
+    r = random.Random(12)
+    items = [(x.item_id, x.text) for x in _bench(spark).collect()]
+    rows = [(k, f"{PROSE[0]} {_at_random(r, items[k % len(items)][1], 0.12)} {PROSE[1]}") for k in range(80)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for limit in (2 << 20, 4000):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        found.append({(x.doc_id, tuple(sorted(leak.item_id for leak in x.leaks))) for x in decontaminate.find_leaks(docs, bench).collect()})
+    assert found[0] == found[1]
+    wanted = {k: items[k % len(items)][0] for k, t in rows if edits(_plain(items[k % len(items)][1]), _plain(t)) <= decontaminate.MAX_EDIT * len(_plain(items[k % len(items)][1]))}
+    hit = sum(wanted[k] in ids for k, ids in found[0] if k in wanted)
+    assert hit >= 0.9 * len(wanted)
+
+
 def test_items_that_share_a_phrase():
     """A phrase of many items opens no windows for items with words of their own; the work stays linear."""
     r = random.Random(8)

@@ -4,7 +4,9 @@ Items and texts are compared as lower-case words (letters, digits and bytes beyo
 by single spaces.
 
 1. *Windows.* Each run of ``SEED`` characters that a text shares with an item opens an item-sized
-   window of the text, aligned with the item at that run.
+   window of the text, aligned with the item at that run, however many items share it. An edit
+   destroys at most ``GRAM`` of an item's short grams, so a window that holds too few of them
+   cannot be within the bound and is dropped; this counting loses nothing.
 2. *CGK embedding.* Seeded random walks read window and item from the run outwards, in both
    directions: a step puts out the character under the pointer and moves on if a random bit of
    (walk, step, character) says so. Small edit distance becomes small Hamming distance between the
@@ -35,16 +37,20 @@ from .textops import mix, raw
 
 #: Edit distance allowed, as a share of the item's length.
 MAX_EDIT = 0.2
-#: Characters of a shared run, for a benchmark block of up to SEED_CHARS; one more for each SEED_GROWTH times as many.
+#: Characters of a shared run.
 SEED = 10
-SEED_CHARS = 1 << 16
-SEED_GROWTH = 2.2
 #: Items shorter than so many seeds take shorter ones, a quarter of their length, but not below LEAST_SEED.
 SEEDS_IN_ITEM = 4
 LEAST_SEED = 6
-#: A run that more different items hold opens no window for items with enough runs of their own (half of theirs).
-SHARED_BY = 32
+#: Characters of the grams counted in a window, bits of the map that holds their hashes, and characters a map covers.
+GRAM = 3
+GRAM_BITS = 1 << 12
+MAP_CHARS = 64
 WALKS = 2
+#: A first look at a window: of so many steps of one walk on each side, the share that has to agree. Nine in ten windows
+#: of other texts end here.
+LOOK_STEPS = 8
+LOOK = 0.375
 #: Steps of a walk on each side of the run; where the item ends on one side, as many more are read on the other.
 STEPS = 24
 SAMPLED = 8
@@ -155,15 +161,32 @@ def best_distance(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def gram_maps(values: np.ndarray) -> np.ndarray:
+    """For each ``MAP_CHARS`` characters, a map of hashed bits of the grams that begin there: maps x 64-bit words."""
+    n = -(-len(values) // MAP_CHARS)
+    out = np.empty((n, GRAM_BITS // 64), np.uint64)
+    per = PART // MAP_CHARS
+    for low in range(0, n, per):
+        part = values[low * MAP_CHARS : (low + per) * MAP_CHARS + GRAM - 1]
+        bit = (grams(_VALUE[part], GRAM) * _SPREAD >> np.uint64(64 - GRAM_BITS.bit_length() + 1)).astype(np.int64)
+        there = np.zeros((min(per, n - low), GRAM_BITS), bool)
+        there.reshape(-1)[np.arange(len(bit)) // MAP_CHARS * GRAM_BITS + bit] = True
+        out[low : low + per] = np.packbits(there, axis=1).view(np.uint64)
+    return out
+
+
 class Seeds:
     """The runs of one length in a block of items: sorted hashes, where each occurs, and a table of hash bits."""
 
-    def __init__(self, width: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, width: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.width = width
-        h, item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        h, item, offset, before = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
-        h, self.item, self.offset = h[order], item[order].astype(np.int32), offset[order].astype(np.int32)
+        h, self.item, self.offset, before = h[order], item[order].astype(np.int32), offset[order].astype(np.int32), before[order]
         self.keys, self.begin, self.count = np.unique(h, return_index=True, return_counts=True)
+        # the character before a run, where it is one and the same in all items (else 0)
+        least, most = np.minimum.reduceat(before, self.begin), np.maximum.reduceat(before, self.begin)
+        self.before = np.where(least == most, least, np.uint8(0))
         self.shift = np.uint64(64 - min(24, max(16, (32 * len(self.keys)).bit_length())))
         self.near = np.zeros(1 << int(64 - self.shift), bool)
         self.near[(self.keys * _SPREAD >> self.shift).astype(np.int64)] = True
@@ -196,32 +219,33 @@ class Items:
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.values = np.frombuffer(b"\0" + b"\0".join(self.texts) + b"\0", np.uint8)
         self.starts = np.concatenate([[1], 1 + np.cumsum(self.sizes + 1)])[: len(self.texts)]
-        more = math.log(max(1.0, self.sizes.sum() / SEED_CHARS)) / math.log(SEED_GROWTH)
-        seed = SEED + math.ceil(more)
-        width = np.where(self.sizes >= SEEDS_IN_ITEM * seed, seed, np.maximum(np.minimum(self.sizes, LEAST_SEED), self.sizes // SEEDS_IN_ITEM))
+        width = np.where(self.sizes >= SEEDS_IN_ITEM * SEED, SEED, np.maximum(np.minimum(self.sizes, LEAST_SEED), self.sizes // SEEDS_IN_ITEM))
         self.seeds = [self._seeds(w, np.flatnonzero(width == w)) for w in np.unique(width).tolist()]
+        maps = [np.bitwise_or.reduce(gram_maps(np.frombuffer(t, np.uint8)), axis=0) for t in self.texts]
+        self.maps = np.stack(maps) if maps else np.zeros((0, GRAM_BITS // 64), np.uint64)
+        self.bound = (max_edit * self.sizes).astype(np.int64)
+        self.least = np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64) - GRAM * self.bound
         self.moves, self.positions = _moves(), sampled_positions(tables_for(recall))
 
     def _seeds(self, width: int, members: np.ndarray) -> Seeds:
         found = []
         for i in members.tolist():
-            h = grams(_VALUE[np.frombuffer(self.texts[i], np.uint8)], width)
-            found.append((h, np.full(len(h), i), np.arange(len(h))))
-        held_by = np.unique(np.concatenate([np.unique(h) for h, _, _ in found]), return_counts=True)
-        kept = []
-        for h, item, offset in found:
-            by = held_by[1][np.searchsorted(held_by[0], h)]
-            own = by <= SHARED_BY
-            if 2 * own.sum() < len(h):  # too few of its own: the rarer half
-                own = by <= np.sort(by)[(len(h) - 1) // 2]
-            kept.append((h[own], item[own], offset[own]))
-        return Seeds(width, kept)
+            text = np.frombuffer(self.texts[i], np.uint8)
+            h = grams(_VALUE[text], width)
+            found.append((h, np.full(len(h), i), np.arange(len(h)), np.r_[np.uint8(0), text[: len(h) - 1]]))
+        return Seeds(width, found)
 
     def opened(self, values: np.ndarray):
-        """Windows, in parts: (item, first character of the run in it, that character's place in the text, characters of a seed)."""
-        hashed = _VALUE[values]
+        """Windows, in parts: (item, first character of the run in it, that character's place in the text, characters of a seed).
+
+        A shared run opens its window at its first seed only: the character before differs, or one side has none.
+        """
+        hashed, maps = _VALUE[values], None
         for seeds in self.seeds:
             place, key = seeds.find(hashed)
+            known = seeds.before[key]
+            first = (known == 0) | (values[place - 1] != known)
+            place, key = place[first], key[first]
             ahead = np.cumsum(seeds.count[key])
             cut = 0
             while cut < len(place):
@@ -229,13 +253,46 @@ class Items:
                 part, many = slice(cut, stop), seeds.count[key[cut:stop]]
                 entry = np.repeat(seeds.begin[key[part]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 at, item, offset = np.repeat(place[part], many), seeds.item[entry], seeds.offset[entry]
-                # neighbouring places with the same shift belong to one shared run
-                order = np.lexsort((at, at - offset, item))
-                at, item, offset = at[order], item[order], offset[order]
-                new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (at[1:] - offset[1:] != at[:-1] - offset[:-1]) | (at[1:] > at[:-1] + 1)])
-                yield item[new], offset[new], at[new], np.full(len(new), seeds.width)
+                before = self.values[self.starts[item] + offset - 1]
+                new = np.flatnonzero((before == 0) | (before != values[at - 1]))
+                new = new[self._look(values, item[new], offset[new], at[new], seeds.width)]
+                at, item, offset = at[new], item[new], offset[new]
+                maps = gram_maps(values) if maps is None else maps
+                kept = self._enough(maps, item, at - offset)
+                yield item[kept], offset[kept], at[kept], np.full(len(kept), seeds.width)
                 cut = stop
 
+    def _look(self, values: np.ndarray, item: np.ndarray, offset: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """Whether the first steps of one walk agree in ``LOOK`` of those that lie in the item."""
+        out = np.empty(len(item), bool)
+        for cut in range(0, len(item), WINDOWS):
+            part = slice(cut, cut + WINDOWS)
+            base, place = self.starts[item[part]] + offset[part], at[part]
+            there, same = 0, 0
+            for step, moves, ours, theirs in ((1, self.moves[0, 0], base + width, place + width), (-1, self.moves[1, 0], base - 1, place - 1)):
+                mine, other = (embed(v, x, moves[:LOOK_STEPS], step) for v, x in ((self.values, ours), (values, theirs)))
+                there = there + (mine != 0).sum(axis=0)
+                same = same + ((mine == other) & (mine != 0)).sum(axis=0)
+            out[part] = same >= LOOK * there
+        return out
+
+    def _enough(self, maps: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The windows, of items that begin there, with at least as many of the item's grams as copies within the bound have."""
+        kept = []
+        for cut in range(0, len(item), WINDOWS):
+            i, b = item[cut : cut + WINDOWS], begin[cut : cut + WINDOWS]
+            low = np.maximum(b - self.bound[i], 0) // MAP_CHARS
+            span = np.minimum((b + self.sizes[i] + self.bound[i]) // MAP_CHARS, len(maps) - 1) - low
+            order = np.argsort(-span, kind="stable")
+            i, low, span = i[order], low[order], span[order]
+            held = maps[low]
+            for j in range(1, int(span[0]) + 1):
+                n = int(np.searchsorted(-span, -j, "right"))
+                held[:n] |= maps[low[:n] + j]
+            shared = np.bitwise_count(held & self.maps[i]).sum(axis=1, dtype=np.int64)
+            kept.append(np.sort(order[shared >= self.least[i]]) + cut)
+        return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
     def agreement(self, values: np.ndarray, item: np.ndarray, offset: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
         """Where the embeddings of window and item agree: positions x windows. What a run has beyond its first seed counts."""
         base = self.starts[item] + offset
