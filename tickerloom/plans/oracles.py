@@ -18,6 +18,7 @@ def _bars(name: str, ticker: str) -> str:
 
 
 BARS = _bars("bars", "'T' || (l_suppkey % 5)")
+ADJUSTED_BARS = _bars("all_bars", "'T' || (l_suppkey % 5)") + ", bars AS (SELECT * REPLACE (adjusted_close AS close) FROM all_bars)"
 YEAR_BARS = _bars("all_bars", "'T' || (l_suppkey % 5)") + ", bars AS (SELECT * REPLACE (adjusted_close AS close) FROM all_bars WHERE date >= (SELECT max(date) FROM all_bars) - INTERVAL 365 DAY)"
 COMPANY_BARS = _bars("bars", "'S' || l_suppkey")
 RECENT_BARS = _bars("all_bars", "'S' || l_suppkey") + ", bars AS (SELECT * FROM all_bars WHERE date >= (SELECT max(date) FROM all_bars) - INTERVAL 6 MONTH)"
@@ -198,7 +199,7 @@ _WIDE = ", ".join(f"max(CASE WHEN mu.j = {i} THEN w.w END) AS w{i}" for i in ran
 
 
 def _pick(best: str) -> str:
-    return _out(f"SELECT m.portfolio_id, any_value(expected_return) AS expected_return, any_value(volatility) AS volatility, any_value(sharpe_ratio) AS sharpe_ratio, {_WIDE} FROM m JOIN {best} USING (portfolio_id) JOIN w ON w.pid = m.portfolio_id JOIN mu ON mu.ticker = w.ticker GROUP BY m.portfolio_id", f"{_FACTS} w0 w1 w2 w3 w4", YEAR_BARS + "," + CLOUD)
+    return _out(f"SELECT m.portfolio_id, any_value(expected_return) AS expected_return, any_value(volatility) AS volatility, any_value(sharpe_ratio) AS sharpe_ratio, {_WIDE} FROM m JOIN {best} USING (portfolio_id) JOIN w ON w.pid = m.portfolio_id JOIN mu ON mu.ticker = w.ticker GROUP BY m.portfolio_id", f"{_FACTS} w0 w1 w2 w3 w4", ADJUSTED_BARS + "," + CLOUD)
 
 
 _RECORD = "SELECT ticker, close AS current_price, rsi, macd, macd_signal, macd_histogram, bb_upper, bb_lower, volume_sma, volume AS current_volume, volume_ratio, price_change_1d, price_change_5d, price_change_1mo, resistance, support, high, low, open, volume, sma_20, sma_50, sma_200, CAST(len(signals) AS INTEGER) AS n_signals FROM tech"
@@ -239,15 +240,15 @@ ORACLES = {
     "technical_record_6mo": _out(_RECORD, _RECORD_DOUBLES, RECENT_BARS + "," + INDICATORS),
     "daily_returns": _out("SELECT * FROM ret", "ret", BARS + "," + RETURNS),
     "aligned_returns": _out("SELECT * FROM al", "ret", BARS + "," + RETURNS),
-    "mean_returns": _out("SELECT ticker, m AS mean_return FROM mu", "mean_return", YEAR_BARS + "," + MOMENTS),
-    "cov_matrix": _out("SELECT * FROM sg", "cov", YEAR_BARS + "," + MOMENTS),
+    "mean_returns": _out("SELECT ticker, m AS mean_return FROM mu", "mean_return", ADJUSTED_BARS + "," + MOMENTS),
+    "cov_matrix": _out("SELECT * FROM sg", "cov", ADJUSTED_BARS + "," + MOMENTS),
     "efficient_frontier": _out("SELECT * FROM m", _FACTS, YEAR_BARS + "," + CLOUD),
     "max_sharpe": _pick("bs"),
     "min_volatility": _pick("bv"),
-    "diversification_ratio": _out("SELECT (SELECT sqrt(avg(cov)) FROM sg WHERE ticker_i = ticker_j) / v0 AS diversification_ratio FROM vo JOIN bs ON vo.pid = bs.portfolio_id", "diversification_ratio", YEAR_BARS + "," + CLOUD),
-    "stock_metrics": _out("SELECT mu.ticker, (SELECT w.w FROM w, bs WHERE w.pid = bs.portfolio_id AND w.ticker = mu.ticker) AS weight_max_sharpe, (SELECT w.w FROM w, bv WHERE w.pid = bv.portfolio_id AND w.ticker = mu.ticker) AS weight_min_vol, m * 252 AS annual_return, sqrt(cov * 252) AS annual_volatility, (m * 252 - 0.04) / sqrt(cov * 252) AS sharpe_ratio FROM mu JOIN sg ON sg.ticker_i = mu.ticker AND sg.ticker_j = mu.ticker", "weight_max_sharpe weight_min_vol annual_return annual_volatility sharpe_ratio", YEAR_BARS + "," + CLOUD),
-    "equal_weight_portfolio": _out("SELECT * FROM m", _FACTS, YEAR_BARS + "," + MOMENTS + "," + _measure("w AS (SELECT CAST(0 AS BIGINT) AS pid, ticker, 1.0 / (SELECT count(*) FROM mu) AS w FROM mu)")),
-    "custom_weight_portfolio": _out("SELECT * FROM m", _FACTS, YEAR_BARS + "," + MOMENTS + "," + _measure(f"w AS (SELECT CAST(0 AS BIGINT) AS pid, v.ticker, CAST(v.w AS DOUBLE) AS w FROM (VALUES {_GIVEN}) v(ticker, w))")),
+    "diversification_ratio": _out("SELECT (SELECT sqrt(avg(cov)) FROM sg WHERE ticker_i = ticker_j) / v0 AS diversification_ratio FROM vo JOIN bs ON vo.pid = bs.portfolio_id", "diversification_ratio", ADJUSTED_BARS + "," + CLOUD),
+    "stock_metrics": _out("SELECT mu.ticker, (SELECT w.w FROM w, bs WHERE w.pid = bs.portfolio_id AND w.ticker = mu.ticker) AS weight_max_sharpe, (SELECT w.w FROM w, bv WHERE w.pid = bv.portfolio_id AND w.ticker = mu.ticker) AS weight_min_vol, m * 252 AS annual_return, sqrt(cov * 252) AS annual_volatility, (m * 252 - 0.04) / sqrt(cov * 252) AS sharpe_ratio FROM mu JOIN sg ON sg.ticker_i = mu.ticker AND sg.ticker_j = mu.ticker", "weight_max_sharpe weight_min_vol annual_return annual_volatility sharpe_ratio", ADJUSTED_BARS + "," + CLOUD),
+    "equal_weight_portfolio": _out("SELECT * FROM m", _FACTS, ADJUSTED_BARS + "," + MOMENTS + "," + _measure("w AS (SELECT CAST(0 AS BIGINT) AS pid, ticker, 1.0 / (SELECT count(*) FROM mu) AS w FROM mu)")),
+    "custom_weight_portfolio": _out("SELECT * FROM m", _FACTS, ADJUSTED_BARS + "," + MOMENTS + "," + _measure(f"w AS (SELECT CAST(0 AS BIGINT) AS pid, v.ticker, CAST(v.w AS DOUBLE) AS w FROM (VALUES {_GIVEN}) v(ticker, w))")),
     "portfolio_by_join": _out("SELECT * FROM m", _FACTS, YEAR_BARS + "," + CLOUD),
     "position_limits": _out("SELECT pid AS portfolio_id, ticker, w, limited_w FROM lw", "w limited_w", YEAR_BARS + "," + MOMENTS + "," + LIMITED),
     "limited_frontier": _out("SELECT * FROM m", _FACTS, YEAR_BARS + "," + MOMENTS + "," + _measure(LIMITED.replace(" w AS (", " w9 AS (").replace("FROM w ", "FROM w9 ") + ", w AS (SELECT pid, ticker, limited_w AS w FROM lw)")),
@@ -261,11 +262,11 @@ ORACLES = {
         YEAR_BARS + "," + CLOUD + """,
         e0 AS (SELECT (SELECT avg(m) FROM mu) * 252 AS expected_return, (SELECT sqrt(sum(cov) / 25 * 252) FROM sg) AS volatility),
         eq AS (SELECT *, (expected_return - 0.04) / volatility AS sharpe_ratio FROM e0)"""),
-    "portfolio_returns": _out("SELECT * FROM s", "ret", YEAR_BARS + "," + SERIES),
-    "drawdown_series": _out("SELECT date, ret, cumulative, peak, (cumulative - peak) / peak AS drawdown FROM dd", "ret cumulative peak drawdown", YEAR_BARS + "," + SERIES),
+    "portfolio_returns": _out("SELECT * FROM s", "ret", ADJUSTED_BARS + "," + SERIES),
+    "drawdown_series": _out("SELECT date, ret, cumulative, peak, (cumulative - peak) / peak AS drawdown FROM dd", "ret cumulative peak drawdown", ADJUSTED_BARS + "," + SERIES),
     "portfolio_metrics": _out("""SELECT total_return, annual_return, annual_volatility, (annual_return - 0.04) / annual_volatility AS sharpe_ratio, (annual_return - 0.04) / downside AS sortino_ratio, annual_return / abs(max_drawdown) AS calmar_ratio, max_drawdown, win_rate, avg_win, avg_loss, profit_factor
         FROM (SELECT *, total_return * 252 / n AS annual_return FROM (SELECT count(*) AS n, product(1 + ret) - 1 AS total_return, stddev_samp(ret) * sqrt(252) AS annual_volatility, min((cumulative - peak) / peak) AS max_drawdown, sqrt(avg(ret * ret) FILTER (ret < 0)) * sqrt(252) AS downside,
-        (count(*) FILTER (ret > 0)) / count(*) AS win_rate, avg(ret) FILTER (ret > 0) AS avg_win, avg(ret) FILTER (ret < 0) AS avg_loss, abs((sum(ret) FILTER (ret > 0)) / (sum(ret) FILTER (ret < 0))) AS profit_factor FROM dd))""", "total_return annual_return annual_volatility sharpe_ratio sortino_ratio calmar_ratio max_drawdown win_rate avg_win avg_loss profit_factor", YEAR_BARS + "," + SERIES),
+        (count(*) FILTER (ret > 0)) / count(*) AS win_rate, avg(ret) FILTER (ret > 0) AS avg_win, avg(ret) FILTER (ret < 0) AS avg_loss, abs((sum(ret) FILTER (ret > 0)) / (sum(ret) FILTER (ret < 0))) AS profit_factor FROM dd))""", "total_return annual_return annual_volatility sharpe_ratio sortino_ratio calmar_ratio max_drawdown win_rate avg_win avg_loss profit_factor", ADJUSTED_BARS + "," + SERIES),
     "latest_statement_items": _out("SELECT ticker, statement, item, DATE '2001-12-31' AS fiscal_date, value FROM it", "value", COMPANIES + "," + ITEMS),
     "fundamentals": _out("SELECT * FROM f", "total_assets current_assets current_liabilities total_liabilities total_equity revenue net_income operating_income interest_expense operating_cash_flow capex", RATIOS),
     "ratios": _out(f"SELECT ticker, {', '.join(RATIO_NAMES.split())} FROM ra", RATIO_NAMES, RATIOS),

@@ -203,7 +203,12 @@ def aligned_returns(spark, d):
 
 
 def _returns(spark, d):
-    """What the portfolio queries take: adjusted closes of the trailing 365 days."""
+    """Returns of adjusted closes, over all bars."""
+    return T.aligned_returns(market.bars(spark, d), "adjusted_close")
+
+
+def _year_returns(spark, d):
+    """The same of the trailing 365 days."""
     return T.aligned_returns(market.bars(spark, d, days=365), "adjusted_close")
 
 
@@ -217,9 +222,9 @@ def cov_matrix(spark, d):
     return T.covariance(tables.written(_returns(spark, d), "returns"))
 
 
-def _cloud(spark, d):
+def _cloud(spark, d, source=_returns):
     """The returns, stored, and the frontier measured on them."""
-    returns = tables.written(_returns(spark, d), "returns")
+    returns = tables.written(source(spark, d), "returns")
     return returns, tables.written(P.frontier(returns), "frontier")
 
 
@@ -228,11 +233,11 @@ _FACTS = ("portfolio_id", "expected_return", "volatility", "sharpe_ratio")
 
 @query
 def efficient_frontier(spark, d):
-    return P.frontier(tables.written(_returns(spark, d), "returns")).select(*_FACTS)
+    return P.frontier(tables.written(_year_returns(spark, d), "returns")).select(*_FACTS)
 
 
-def _best(spark, d, pick):
-    returns, cloud = _cloud(spark, d)
+def _best(spark, d, pick, source=_returns):
+    returns, cloud = _cloud(spark, d, source)
     return pick(cloud, P.positions(returns))
 
 
@@ -265,7 +270,7 @@ def stock_metrics(spark, d):
 
 @query
 def portfolio_text(spark, d):
-    best = _best(spark, d, P.max_sharpe)
+    best = _best(spark, d, P.max_sharpe, _year_returns)
     line = lambda label, value: F.concat(F.lit(label), value)
     weights = F.transform(F.arrays_zip("tickers", "w"), lambda x: F.concat(F.lit("    "), x["tickers"], F.lit(": "), percent(x["w"])))
     return best.select(F.concat_ws("\n", line("Expected Return: ", percent(F.col("expected_return"))), line("Volatility: ", percent(F.col("volatility"))), line("Sharpe Ratio: ", fixed(F.col("sharpe_ratio"), 2)), F.concat_ws("\n", weights)).alias("value"))
@@ -285,7 +290,7 @@ def custom_weight_portfolio(spark, d):
 @query
 def portfolio_by_join(spark, d):
     """The frontier's portfolios, measured by the join of their weights with returns instead of in blocks."""
-    returns = tables.written(_returns(spark, d), "returns")
+    returns = tables.written(_year_returns(spark, d), "returns")
     every = spark.range(P.PORTFOLIOS).select(F.col("id").alias("portfolio_id"))
     return P.measured(P.random_weights(every, P.positions(returns)), returns).select(*_FACTS)
 
@@ -293,7 +298,7 @@ def portfolio_by_join(spark, d):
 @query
 def position_limits(spark, d):
     """The frontier's portfolios with every weight brought between the limits."""
-    returns = tables.written(_returns(spark, d), "returns")
+    returns = tables.written(_year_returns(spark, d), "returns")
     every = spark.range(P.PORTFOLIOS).select(F.col("id").alias("portfolio_id"))
     return P.limited(P.random_weights(every, P.positions(returns)), *LIMITS)
 
@@ -301,7 +306,7 @@ def position_limits(spark, d):
 @query
 def limited_frontier(spark, d):
     """Those portfolios, measured."""
-    returns = tables.written(_returns(spark, d), "returns")
+    returns = tables.written(_year_returns(spark, d), "returns")
     every = spark.range(P.PORTFOLIOS).select(F.col("id").alias("portfolio_id"))
     held = P.limited(P.random_weights(every, P.positions(returns)), *LIMITS)
     return P.measured(held.select("portfolio_id", "ticker", F.col("limited_w").alias("w")), returns).select(*_FACTS)
@@ -348,7 +353,7 @@ def portfolio_metrics(spark, d):
 @query
 def portfolio_metrics_many(spark, d):
     """Performance of all the frontier's portfolios, in one scan."""
-    returns = tables.written(_returns(spark, d), "returns")
+    returns = tables.written(_year_returns(spark, d), "returns")
     held = P.random_weights(spark.range(P.PORTFOLIOS).select(F.col("id").alias("portfolio_id")), P.positions(returns))
     return P.performance(P.portfolio_returns(returns, held))
 
