@@ -146,14 +146,75 @@ def signals() -> Column:
     return F.transform(F.array(found), with_bias)[0]
 
 
+def _ema_weight(span: int) -> Column:
+    """What the close ``_k`` bars back weighs in the last exponential average; the first of all bars starts it."""
+    keep = 1 - 2 / (span + 1)
+    return F.pow(F.lit(keep), F.col("_k")) * F.when(F.col("_first"), 1.0).otherwise(1 - keep)
+
+
+def _signal_weight(span: int, signal: int = 9) -> Column:
+    """The same for the average of averages: the sum of both weights' products over the bars from that one to the last."""
+    keep, after = 1 - 2 / (span + 1), 1 - 2 / (signal + 1)
+    spread = (F.pow(F.lit(keep), F.col("_k") + 1) - F.pow(F.lit(after), F.col("_k") + 1)) / (keep - after)
+    return spread * (1 - after) * F.when(F.col("_first"), 1.0).otherwise(1 - keep)
+
+
+def last_analysis(bars: DataFrame) -> DataFrame:
+    """The last row of each ticker in ``with_all``, without the rows before it.
+
+    Bars are numbered from the last one back, in one sort of the bars alone; one aggregate then adds up what each bar
+    contributes. Averages over a history have closed weights, so all bars count and none is carried along. Both
+    averages of a line weigh 1 in all, so closes count as distances from the last one, and a flat history gives 0.
+    """
+    back = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    rows = bars.withColumns({"_k": F.row_number().over(back) - 1, "_before": F.lead("close").over(back), "_first": F.lead(F.lit(1)).over(back).isNull(), "_last": F.coalesce(F.first("close").over(back.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))})
+    rows = rows.withColumn("_d", F.col("close") - F.col("_before"))
+    rows = rows.withColumns({"_up": F.when(F.col("_d") > 0, F.col("_d")).otherwise(0.0), "_down": F.when(F.col("_d") < 0, -F.col("_d")).otherwise(0.0)})
+    k = F.col("_k")
+
+    def at(n: int, c: str) -> Column:
+        return F.max(F.when(k == n, F.col(c)))
+
+    def rolled(f, c: str, n: int) -> Column:
+        inside = F.when(k < n, F.col(c))
+        return F.when(F.count(inside) == n, f(inside))
+
+    def line(weight) -> Column:
+        return F.sum((F.coalesce("close", F.lit(0.0)) - F.col("_last")) * (weight(12) - weight(26)))
+
+    found = rows.groupBy("ticker").agg(
+        *[at(0, c).alias(c) for c in bars.columns if c != "ticker"],
+        F.count("*").alias("n_bars"),
+        *[rolled(F.avg, "close", n).alias(f"sma_{n}") for n in (20, 50, 200)],
+        rolled(F.stddev_samp, "close", 20).alias("_spread"),
+        rolled(F.avg, "volume", 20).alias("volume_sma"),
+        *[((at(0, "close") / at(n, "close") - 1) * 100).alias(name) for name, n in (("price_change_1d", 1), ("price_change_5d", 5), ("price_change_1mo", 21))],
+        rolled(F.max, "high", 20).alias("resistance"),
+        rolled(F.min, "low", 20).alias("support"),
+        rolled(F.avg, "_up", 14).alias("_g"),
+        rolled(F.avg, "_down", 14).alias("_l"),
+        line(_ema_weight).alias("macd"),
+        line(_signal_weight).alias("macd_signal"),
+    )
+    found = found.withColumns(
+        {
+            "bb_upper": F.col("sma_20") + F.col("_spread") * 2,
+            "bb_lower": F.col("sma_20") - F.col("_spread") * 2,
+            "volume_ratio": F.when(F.col("volume_sma") > 0, F.col("volume") / F.col("volume_sma")).otherwise(1.0),
+            "rsi": F.when(F.col("_l") > 0, 100 - 100 / (1 + F.col("_g") / F.col("_l"))).when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0),
+            "macd_histogram": F.col("macd") - F.col("macd_signal"),
+        }
+    )
+    return found.drop("_spread", "_g", "_l")
+
+
 def technical(bars: DataFrame, min_bars: int = 22, period: str | None = "6mo") -> DataFrame:
     """The analysis of each ticker's last bar over the trailing ``period`` (None: all bars given).
 
     Tickers with fewer than ``min_bars`` bars have none. A scan that already ends at the period needs no second one.
     """
     bars = since(bars, period) if period else bars
-    last = latest(with_all(bars)).where(F.col("n_bars") >= min_bars)
-    return last.withColumn("signals", signals())
+    return last_analysis(bars).where(F.col("n_bars") >= min_bars).withColumn("signals", signals())
 
 
 def technical_record(bars: DataFrame, period: str | None = "6mo") -> DataFrame:
