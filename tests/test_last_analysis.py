@@ -21,6 +21,6 @@ def test_equals_the_last_row_of_all_indicators(spark):
             assert got[t][c] == (pytest.approx(x, rel=1e-9, abs=1e-9) if isinstance(x, float) else x), (t, c)
 
 
-def test_sorts_the_bars_once(spark):
+def test_signals_sort_the_bars_once(spark):
     plan = I.technical(spark.createDataFrame(walk(1, 30, "A")), period=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1
