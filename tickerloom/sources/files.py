@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import re
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -62,3 +65,19 @@ class Files:
 def partition_value(folder: str) -> str:
     """The value in the name of a partition's folder."""
     return unquote(folder.split("=", 1)[1])
+
+
+def arrow_uri(name: str) -> str:
+    """An address as Arrow's file systems know it; a plain path is one of the local file system."""
+    if name.startswith("/"):
+        return f"file://{quote(name)}"
+    return re.sub("^s3[an]:", "s3:", re.sub("^file:/(?!//)/*", "file:///", name))
+
+
+def arrow_reaches(folder: str) -> bool:
+    """Whether Arrow's file systems reach a folder that has just been made."""
+    try:
+        store, path = fs.FileSystem.from_uri(arrow_uri(folder))
+        return store.get_file_info(path).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError, ValueError):
+        return False

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from datetime import date, datetime
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import Files, partition_value
+from ..functions.code import shipped
+from .files import Files, arrow_reaches, arrow_uri, partition_value
 from .market import RESULTS
 
 PRICE_COLUMNS = ["ticker", "date", "open", "high", "low", "close", "volume", "adjusted_close"]
@@ -79,17 +84,79 @@ def portfolio_json(result: DataFrame, generated: datetime) -> DataFrame:
 def write_documents(documents: DataFrame, folder: str) -> None:
     """Write rows (file, value) as files of exactly these names in ``folder``.
 
-    Spark's own commit puts each document into a staging folder, whatever tasks had to be tried again; only
-    then each gets its name, by a rename. A run that ends early leaves a hidden folder and can be repeated. Rows with
-    one name are lines of one file.
+    Tasks write each document into a staging folder of their attempt and say where; Spark's own commit keeps what
+    successful attempts said, whatever had to be tried again. Only then each document gets its name, by a rename, in
+    tasks too. A run that ends early leaves a hidden folder and can be repeated. Rows with one name are lines of one file.
+    Stores that Arrow's file systems do not reach are written by Spark's writer and renamed by the driver.
     """
-    files, staging = Files(documents.sparkSession, folder), f"{folder}/_staging-{uuid.uuid4().hex}"
-    documents.where("file is not null").select("file", "value").repartition("file").write.partitionBy("file").option("maxRecordsPerFile", 0).text(staging)
+    spark = documents.sparkSession
+    files, staging = Files(spark, folder), f"{folder}/_staging-{uuid.uuid4().hex}"
+    # a named count, as few bytes would be merged into one task, but each document costs a task some milliseconds
+    named = documents.where("file is not null").select("file", "value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    files.make(staging)
+    if arrow_reaches(staging):
+        _write_in_tasks(named, folder, staging)
+    else:
+        files.drop(staging)
+        _write_by_driver(named, folder, staging, files)
+    files.drop(staging)
+
+
+def _write_in_tasks(named: DataFrame, folder: str, staging: str) -> None:
+    spark = named.sparkSession
+    shipped(spark)
+    home, stage = arrow_uri(folder), arrow_uri(staging)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(stage)
+        attempt, name, out = f"task-{TaskContext.get().taskAttemptId()}", None, None
+        store.create_dir(f"{root}/{attempt}")
+        n = 0
+        for batch in batches:
+            begun = []
+            for file, value in zip(batch["file"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                if file != name:
+                    if out:
+                        out.close()
+                    name, n = file, n + 1
+                    begun.append((file, f"{attempt}/{n}"))
+                    out = store.open_output_stream(f"{root}/{attempt}/{n}")
+                out.write((value or "").encode() + b"\n")
+            yield pa.record_batch([pa.array([f for f, _ in begun], pa.string()), pa.array([s for _, s in begun], pa.string())], names=["file", "staged"])
+        if out:
+            out.close()
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(stage)
+        _, target = fs.FileSystem.from_uri(home)
+        for batch in batches:
+            for file, staged in zip(batch["file"].to_pylist(), batch["staged"].to_pylist(), strict=True):
+                try:
+                    _remove_checksum(store, f"{target}/.{file}.crc")
+                    store.move(f"{root}/{staged}", f"{target}/{file}")
+                except FileNotFoundError:
+                    # an attempt before this one has moved it
+                    if store.get_file_info(f"{target}/{file}").type != fs.FileType.File:
+                        raise
+            yield batch.slice(0, 0)
+
+    schema = "file string, staged string"
+    named.sortWithinPartitions("file").mapInArrow(put, schema).write.parquet(f"{staging}/_names")
+    spark.read.schema(schema).parquet(f"{staging}/_names").mapInArrow(rename, schema).write.format("noop").mode("overwrite").save()
+
+
+def _remove_checksum(store: fs.FileSystem, name: str) -> None:
+    """What Hadoop's local file system wrote beside an older document of the name does not fit the new one."""
+    if store.type_name == "local" and store.get_file_info(name).type == fs.FileType.File:
+        store.delete_file(name)
+
+
+def _write_by_driver(named: DataFrame, folder: str, staging: str, files: Files) -> None:
+    named.write.partitionBy("file").option("maxRecordsPerFile", 0).text(staging)
     for name in files.names(staging):
         if name.startswith("file="):
             (part,) = [x for x in files.names(f"{staging}/{name}") if x.startswith("part-")]
             files.move(f"{staging}/{name}/{part}", f"{folder}/{partition_value(name)}")
-    files.drop(staging)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
