@@ -42,37 +42,49 @@ def advanced(state: DataFrame, bars: DataFrame) -> DataFrame:
     return both.select("ticker", F.col("_x.n").alias("n_bars"), kept.alias("bars"), F.col("_x.a").alias("ema_12"), F.col("_x.b").alias("ema_26"), F.col("_x.s").alias("macd_signal"))
 
 
-def _mean(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0.0), lambda s, x: s + x) / F.size(items)
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda s, x: s + x)
 
 
 def indicators(state: DataFrame) -> DataFrame:
-    """The indicators of each ticker's last bar, as the full computation over all bars gives them; a value is NULL until its window is full."""
-    n, size = F.col("n_bars"), F.size("bars")
+    """The indicators of each ticker's last bar, as the full computation over all bars gives them; a value is NULL until its window is full.
+
+    Each array is cut out once and each sum taken once, in a select of its own: what a lambda or several columns read is
+    a column by then, not an expression that is worked out again for every element.
+    """
+    n = F.col("n_bars")
     last = F.element_at("bars", -1)
-    values = lambda c: F.transform("bars", lambda b: b[c].cast("double"))
 
-    def tail(items: Column, k: int) -> Column:
-        return F.slice(items, F.greatest(F.lit(1), F.size(items) - (k - 1)), F.lit(k))
+    def tail(c: str, k: int) -> Column:
+        return F.slice(F.col("bars")[c], F.greatest(F.lit(1), F.size("bars") - (k - 1)), F.lit(k))
 
     def windowed(value: Column, k: int) -> Column:
         return F.when(n >= k, value)
 
     def back(k: int) -> Column:
-        return F.when(n > k, (last["close"] / F.try_element_at("bars", -F.lit(k + 1))["close"] - 1) * 100)
-
-    close = values("close")
-    mean = _mean(tail(close, 20))
-    spread = F.sqrt(F.aggregate(tail(close, 20), F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / 19) * 2
-    moves = tail(F.transform("bars", lambda b, i: F.when(i > 0, b["close"] - F.get(F.col("bars"), i - 1)["close"]).otherwise(0.0)), 14)
-    gain, loss = _mean(F.transform(moves, lambda x: F.greatest(x, F.lit(0.0)))), _mean(F.transform(moves, lambda x: F.greatest(-x, F.lit(0.0))))
-    volume = windowed(_mean(tail(values("volume"), 20)), 20)
-    out = state.where(size > 0)
-    out = out.select(
-        "ticker", last["date"].alias("date"), last["close"].alias("close"), "n_bars", *[windowed(_mean(tail(close, k)), k).alias(f"sma_{k}") for k in (20, 50, 200)],
-        windowed(mean + spread, 20).alias("bb_upper"), windowed(mean - spread, 20).alias("bb_lower"), volume.alias("volume_sma"), F.when(volume > 0, last["volume"] / volume).otherwise(1.0).alias("volume_ratio"),
+        return F.when(n > k, (F.col("close") / F.try_element_at("bars", -F.lit(k + 1))["close"] - 1) * 100)
+
+    def side(sign: float) -> Column:
+        return F.aggregate("_moves", F.lit(0.0), lambda s, x: s + F.greatest(x * sign, F.lit(0.0))) / 14
+
+    cut = state.where(F.size("bars") > 0).select(
+        "ticker", last["date"].alias("date"), last["close"].alias("close"), last["volume"].alias("_volume"), "n_bars", "bars", "ema_12", "ema_26", "macd_signal",
+        *[tail("close", k).alias(f"_c{k}") for k in (15, 20, 50, 200)], tail("volume", 20).cast("array<double>").alias("_v"), tail("high", 20).alias("_h"), tail("low", 20).alias("_w"),
+    )
+    moves = F.zip_with(F.slice("_c15", F.lit(2), F.lit(14)), F.slice("_c15", F.lit(1), F.size("_c15") - 1), lambda x, y: x - y)
+    means = cut.select(
+        "*", *[(_sum(F.col(f"_c{k}")) / F.size(f"_c{k}")).alias(f"_m{k}") for k in (20, 50, 200)], (_sum(F.col("_v")) / F.size("_v")).alias("_vm"), moves.alias("_moves"),
+    )
+    # the first of all bars has no change, which counts as none
+    sides = means.select(
+        "*", F.sqrt(F.aggregate("_c20", F.lit(0.0), lambda s, x: s + (x - F.col("_m20")) * (x - F.col("_m20"))) / 19).alias("_sd"),
+        side(1.0).alias("_gain"), side(-1.0).alias("_loss"), windowed(F.col("_vm"), 20).alias("volume_sma"),
+    )
+    out = sides.select(
+        "ticker", "date", "close", "n_bars", *[windowed(F.col(f"_m{k}"), k).alias(f"sma_{k}") for k in (20, 50, 200)],
+        windowed(F.col("_m20") + F.col("_sd") * 2, 20).alias("bb_upper"), windowed(F.col("_m20") - F.col("_sd") * 2, 20).alias("bb_lower"), "volume_sma", F.when(F.col("volume_sma") > 0, F.col("_volume") / F.col("volume_sma")).otherwise(1.0).alias("volume_ratio"),
         back(1).alias("price_change_1d"), back(5).alias("price_change_5d"), back(21).alias("price_change_1mo"),
-        windowed(F.array_max(tail(values("high"), 20)), 20).alias("resistance"), windowed(F.array_min(tail(values("low"), 20)), 20).alias("support"),
-        windowed(F.when(loss > 0, 100 - 100 / (1 + gain / loss)).when((loss == 0) & (gain > 0), 100.0), 14).alias("rsi"), (F.col("ema_12") - F.col("ema_26")).alias("macd"), "macd_signal",
+        windowed(F.array_max("_h"), 20).alias("resistance"), windowed(F.array_min("_w"), 20).alias("support"),
+        windowed(F.when(F.col("_loss") > 0, 100 - 100 / (1 + F.col("_gain") / F.col("_loss"))).when((F.col("_loss") == 0) & (F.col("_gain") > 0), 100.0), 14).alias("rsi"), (F.col("ema_12") - F.col("ema_26")).alias("macd"), "macd_signal",
     )
     return out.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
