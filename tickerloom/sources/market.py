@@ -73,13 +73,18 @@ def _money(c: str, scale: int = 2, digits: int = 12) -> Column:
     return F.col(c).cast(f"decimal({digits},{scale})")
 
 
-def weekly_bars(lineitem: DataFrame, ticker: Column) -> DataFrame:
-    """Weekly bars from order lines: one pass, partial sums before the shuffle; decimals make sums exact."""
+def weekly_bars(lineitem: DataFrame, ticker: Column, many: bool = False) -> DataFrame:
+    """Weekly bars from order lines: one pass, partial sums before the shuffle; decimals make sums exact.
+
+    ``many`` is for tickers that have few lines a week: lines are dealt by ticker and week first. Partial sums would
+    not make them fewer, and the first trade's six keys would have each task sort a whole split of the input.
+    """
     lines = lineitem.select(
         ticker.alias("ticker"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
     )
+    lines = lines.repartition("ticker", "date") if many else lines
     first = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     quantity = F.sum(_money("l_quantity")).cast("double")
     value = F.sum(_money("l_extendedprice")).cast("double")
@@ -94,7 +99,7 @@ def weekly_bars(lineitem: DataFrame, ticker: Column) -> DataFrame:
     )
 
 
-def _scan(spark: SparkSession, sf_dir: str, ticker: Column, period: str | None = None, days: int | None = None) -> DataFrame:
+def _scan(spark: SparkSession, sf_dir: str, ticker: Column, period: str | None = None, days: int | None = None, many: bool = False) -> DataFrame:
     """Weekly bars, of all time or of a trailing period.
 
     The last day is one scalar read from the date column alone; the period's first day then reaches the
@@ -103,11 +108,11 @@ def _scan(spark: SparkSession, sf_dir: str, ticker: Column, period: str | None =
     lines = table(spark, sf_dir, "lineitem")
     last = lines.agg(F.max("l_shipdate").cast("date")).first()[0] if period or days is not None else None
     if last is None:
-        return weekly_bars(lines, ticker)
+        return weekly_bars(lines, ticker, many)
     end = last - timedelta(days=last.weekday())
     start = period_start(end, period) if period else end - timedelta(days=days)
     kept = lines.where(F.col("l_shipdate") >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz"))
-    return weekly_bars(kept, ticker).where(F.col("date") >= F.lit(start))
+    return weekly_bars(kept, ticker, many).where(F.col("date") >= F.lit(start))
 
 
 def bars(spark: SparkSession, sf_dir: str, period: str | None = None, days: int | None = None) -> DataFrame:
@@ -117,7 +122,7 @@ def bars(spark: SparkSession, sf_dir: str, period: str | None = None, days: int
 
 def company_bars(spark: SparkSession, sf_dir: str, period: str | None = None) -> DataFrame:
     """One ticker for each supplier."""
-    return _scan(spark, sf_dir, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), period)
+    return _scan(spark, sf_dir, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), period, many=True)
 
 
 def company_base(spark: SparkSession, sf_dir: str) -> DataFrame:
