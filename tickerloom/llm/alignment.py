@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, give_back, materialize, number_batches, string_column, texts
-from .transducer import Merges, encode, merges
+from .tokens import _STAND_IN
+from .transducer import Merges, _Memo, encode
 
 #: Bytes of text aligned at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -55,9 +56,24 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@functools.lru_cache(maxsize=2)
+def byte_merges(path: str) -> Merges:
+    """The merge list, whose library merges the pre-tokens that are not kept yet."""
+    m = Merges(path)
+    tokenize = m.library.model.tokenize
+    m.memo = _Memo(lambda data: [t.id for t in tokenize(data.decode("latin-1").translate(_STAND_IN))])
+    return m
+
+
 @functools.lru_cache(maxsize=2)
 def _lengths(path: str) -> np.ndarray:
-    return np.array([len(b) for b in merges(path).bytes], np.int64)
+    return np.array([len(b) for b in byte_merges(path).bytes], np.int64)
+
+
+@functools.lru_cache(maxsize=2)
+def _signed(ids: int) -> np.ndarray:
+    """Decimal ids followed by a comma, then all followed by a bar, then by a semicolon; shorter ones end with zero bytes."""
+    return np.array([f"{i}{sign}".encode() for sign in ",|;" for i in range(ids)])
 
 
 def _flat(lists: list[list[int]]) -> np.ndarray:
@@ -103,12 +119,12 @@ def align(text: list[str], m: Merges, lengths: np.ndarray, p: Pieces) -> tuple:
     tokens[lead[group_b] + in_a[group_b] + np.arange(len(ids_b)) - first_b[group_b]] = ids_b
     marks[lead + in_a - 1], marks[lead + in_a + in_b - 1] = 1, 2
     shas, at = [], 0
-    signs = np.array([",", "|", ";"], object)[marks].tolist()
-    names, listed = (m.decimal if len(m.decimal) >= len(p.decimal) else p.decimal), tokens.tolist()
+    ids = max(len(m.decimal), len(p.decimal))
+    listed = _signed(ids)[tokens + marks * ids]
     for count in (n_a + n_b).tolist():
         if count:
-            word = "".join(chain.from_iterable(zip(map(names.__getitem__, listed[at : at + count]), signs[at : at + count], strict=True)))
-            shas.append(hashlib.sha256(word[:-1].encode()).hexdigest())
+            word = listed[at : at + count].tobytes().translate(None, b"\0")
+            shas.append(hashlib.sha256(word[:-1]).hexdigest())
         else:
             shas.append("")
         at += count
@@ -176,7 +192,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        m, lengths, p = merges(path_a), _lengths(path_a), pieces(path_b)
+        m, lengths, p = byte_merges(path_a), _lengths(path_a), pieces(path_b)
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(batches):
             row = _block(part << 32 | k, batch.column(0).to_pylist(), string_column(batch.column(1)).to_pylist(), m, lengths, p)
