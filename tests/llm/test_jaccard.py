@@ -172,3 +172,36 @@ def test_components_in_tasks(spark, monkeypatch, most):
     linked = {x for a, b in links if a != b for x in (a, b)}
     got = {x.k: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in linked}
+
+
+def test_empty_segments_make_no_entries():
+    """Unrelated long sets meet nowhere; similar ones meet often enough with the empty segments that are only counted."""
+    r = np.random.default_rng(8)
+    for level in (0, 1):
+        need = jaccard.needs(80, 0.3, level)
+        for n in (60, 300, 900):
+            a, b = (np.unique(r.integers(0, 1 << 63, n, np.uint64)) for _ in "ab")
+            near = np.sort(np.concatenate([a[n // 10 :], b[: n // 10]]))  # 0.82 similar
+            found = []
+            for x in (a, b, near):
+                voids = []
+                found.append((set(jaccard.signatures(x, 80, 0.3, level, voids).tolist()), dict(voids)))
+            (sa, va), (sb, _), (sn, vn) = found
+            assert va and not sa & sb
+            met = collections.Counter(int(s) & 127 for s in sa & sn)
+            shared = [t for t in va if t in vn and met[t >> 32] + min(va[t], vn[t]) >= need[t >> 32]]
+            assert shared
+
+
+def test_long_entries_are_the_signatures():
+    """Entries of many sets at once are those of each alone, and so are fingerprints."""
+    r = np.random.default_rng(9)
+    found = [np.unique(r.integers(0, 1 << 63, n, np.uint64)) for n in (0, 5, 40, 71, 333, 2000, 333)]
+    k, k2, total = jaccard.keyed(found)
+    assert [jaccard.set_keys(v) for v in found] == list(zip(k.tolist(), k2.tolist(), strict=True))
+    rows = np.array([2, 3, 4, 5, 6])
+    sig, counts, voids = jaccard._long_entries(np.concatenate(found), total, np.cumsum([0, *map(len, found)]), rows, 80)
+    for i, part, empty in zip(rows, np.split(sig, np.cumsum(counts)[:-1]), voids, strict=True):
+        want: list = []
+        assert set(jaccard.signatures(found[i], 80, 0.3, 0, want).tolist()) == set(part.tolist())
+        assert sorted(empty) == sorted(want)

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
@@ -109,3 +111,14 @@ def test_store_deals_out_hot_ids(spark, tmp_path, text):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
     for part in (got[:20_000], got[20_000:]):
         assert sum(a.ids_crc32 != b.ids_crc32 for a, b in zip(part, part[1:], strict=False)) == (2 if "%" in text else 0)
+
+
+def test_columns_are_counted_like_texts(library, own):
+    """Texts cut together in arrays: ends of texts, white space, contractions, other scripts, special strings, unknown words."""
+    r = random.Random(6)
+    bits = ["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "  ", "\n", "\t", "\r", "1", "23", "a", "Zq", " '", "...", "é", "ß", "…", "½", "日", "\u00a0", "x\x0b", "<|endoftext|>"]
+    for known in (19, 23, len(bits)):
+        texts = ["", None, "a" * 3000] + ["".join(r.choice(bits[:known]) for _ in range(r.randint(0, 14))) for _ in range(1500)]
+        want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+        assert own.count_column(pa.array(texts)).tolist() == want
+        assert own.count_column(pa.array(texts).slice(1)).tolist() == want[1:]

@@ -61,7 +61,7 @@ LONG = 8
 BLOCK_ITEMS = 1 << 20
 #: Pairs that one replica of a centre serves in verification.
 CENTRE_PAIRS = 2000
-#: Candidate keys that are broadcast (two sorted arrays of 8 bytes each); beyond, texts are fetched by a join.
+#: Candidate keys that are broadcast (16 bytes each); beyond, texts are fetched by a join.
 KEYS_BROADCAST = 500_000
 #: One hash in so many is counted for the rate of repeated n-grams.
 RATE_SAMPLE = 256
@@ -135,7 +135,10 @@ def sets(column, width: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(grams[a : b - width + 1]))
+            found = np.sort(grams[a : b - width + 1])
+            new = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            out.append(found[new])
         else:
             out.append(chain(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out
@@ -151,22 +154,60 @@ def set_keys(values: np.ndarray) -> tuple[int, int]:
     return int(mix(e.sum(keepdims=True)).view(np.int64)[0]), int(mix(mix(e).sum(keepdims=True) + np.uint64(len(values))).view(np.int64)[0])
 
 
-def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0) -> np.ndarray:
-    """All index entries of a set under partition ``level`` (0 or 1); the low bits of each are its band."""
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Running sums, from 0 on."""
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=total[1:])
+    return total
+
+
+def keyed(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two fingerprints of each set, as ``set_keys`` gives them, and the running sums of the elements of all."""
+    edges = np.cumsum([0, *map(len, found)])
+    e = _elements(np.concatenate([np.zeros(0, np.uint64), *found]))
+    total, again = _sums(e), _sums(mix(e))
+    k = mix(total[edges[1:]] - total[edges[:-1]])
+    k2 = mix(again[edges[1:]] - again[edges[:-1]] + np.diff(edges).astype(np.uint64))
+    return k.view(np.int64), k2.view(np.int64), total
+
+
+@functools.lru_cache(maxsize=256)
+def _salt(m: int, number: int, level: int) -> np.ndarray:
+    return mix(np.arange(m, dtype=np.uint64) + np.uint64((number << 40) + (level << 32)))
+
+
+@functools.lru_cache(maxsize=4096)
+def _kind(n: int, percent: int) -> tuple[bool, bool]:
+    """Whether the entries of a set of n depend on the corpus's rate of repeated n-grams; whether all its bands are long."""
+    h = [(2 * high * (100 - percent) // (100 + percent), high) for _, _, high in schemes(n, percent)]
+    return any(2 < x < LONG or x == 2 and high > TINY for x, high in h), all(x >= LONG for x, _ in h)
+
+
+def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0, voids: list | None = None) -> np.ndarray:
+    """All index entries of a set under partition ``level`` (0 or 1); the low bits of each are its band.
+
+    With ``voids``, segments of long bands in which the set has no n-gram make no entries: all sets that
+    have none there would meet in one bucket. Their number is appended instead, as (tag, number), for
+    each band.
+    """
     if level:
         values = np.sort(mix(values + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
     elements = _elements(values)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(elements, out=total[1:])
+    total = _sums(elements)
     _bands_checked(percent, len(values))
     high = values >> np.uint64(32)
     out = []
     for number, low, top in schemes(len(values), percent):
-        m, deep, budget, _ = allocation(low, top, percent, rate, level > 0)
+        m, deep, budget, need = allocation(low, top, percent, rate, level > 0)
         # a segment is a range of the hashes, so a run of the sorted set
         edges = np.searchsorted(high * np.uint64(m) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
-        sums = total[edges[1:]] - total[edges[:-1]]
-        salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((number << 40) + (level << 32)))
+        sums, salt = total[edges[1:]] - total[edges[:-1]], _salt(m, number, level)
+        if voids is not None and need > 1:
+            filled = edges[1:] > edges[:-1]
+            empty = m - int(np.count_nonzero(filled))
+            if empty:
+                voids.append(((number << 32) + need, min(empty, need)))
+                sums, salt = sums[filled], salt[filled]
         found = [mix(sums + salt)]
         if deep:
             members = np.arange(edges[deep])
@@ -180,6 +221,38 @@ def signatures(values: np.ndarray, percent: int, rate: float, level: int = 0) ->
     return np.concatenate(out)
 
 
+def _long_entries(values: np.ndarray, total: np.ndarray, edges: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """``signatures`` with ``voids`` for many sets whose bands are all long: (entries, number of them by row, voids by row).
+
+    ``values``, ``total``: the sets' n-grams and running sums of their elements; ``edges``: where each set lies; ``rows``: which are meant.
+    """
+    by_band: dict[tuple[int, int, int], list[int]] = {}
+    for i, n in enumerate((edges[rows + 1] - edges[rows]).tolist()):
+        _bands_checked(percent, n)
+        for band in schemes(n, percent):
+            by_band.setdefault(band, []).append(i)
+    voids: list[list[tuple[int, int]]] = [[] for _ in rows]
+    sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for (number, low, top), of in sorted(by_band.items()):
+        m, _, _, need = allocation(low, top, percent, 0.0)
+        a, n = edges[rows[of]], edges[rows[of] + 1] - edges[rows[of]]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(a - first, n)
+        segment = ((values[at] >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(len(of)) * m, n)
+        counts = np.bincount(segment, minlength=len(of) * m)
+        filled = np.flatnonzero(counts)
+        stop = np.cumsum(counts)[filled] + (a - first)[filled // m]
+        sums = total[stop] - total[stop - counts[filled]]
+        sigs.append(mix(sums + _salt(m, number, 0)[filled % m]) & ~BAND_MASK | np.uint64(number))
+        owners.append(np.asarray(of)[filled // m])
+        for i, empty in zip(of, (m - np.bincount(filled // m, minlength=len(of))).tolist(), strict=True):
+            if empty:
+                voids[i].append(((number << 32) + need, min(empty, need)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(sigs)[order], np.bincount(owner, minlength=len(rows)), voids
+
+
 def _bands_checked(percent: int, n: int) -> None:
     """Entries have room for so many bands; a set beyond them would share none."""
     last = schemes(n, percent)[-1][0]
@@ -209,21 +282,61 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
-def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: fingerprints, size and sketch of its set, and its share of the counted hashes."""
+#: Columns of a set's index entries: those that do not depend on the rate, else the set itself; and its empty segments by band.
+SIGNED = "sigs binary, items binary, tags array<long>, voids array<long>"
+
+
+def _signed(rows: list[tuple | None]) -> list[pa.Array]:
+    """The columns ``SIGNED`` of (sigs, items, voids) or None."""
+    sigs, items, voids = zip(*((r or (None, None, ())) for r in rows), strict=True) if rows else ((), (), ())
+    lists = [pa.array([[x[i] for x in v] for v in voids], pa.list_(pa.int64())) for i in (0, 1)]
+    return [pa.array(sigs, pa.binary()), pa.array(items, pa.binary()), *lists]
+
+
+def _classes(docs: DataFrame, width: int, percent: int, counter=None) -> DataFrame:
+    """Per document: fingerprints, size and sketch of its set, its share of the counted hashes, and index entries.
+
+    Equal sets of one task make entries once. Further columns of ``docs`` (doc_id, text, ...) are kept; where
+    ``counter`` is given, which makes a function of a column of texts, its numbers are the column ``n_tokens``.
+    """
+    more = docs.schema.fields[2:]
+    schema = ", ".join(["doc_id long, k long, k2 long, n long, counted array<long>, sketch binary", SIGNED, *(f"{f.name} {f.dataType.simpleString()}" for f in more), *["n_tokens long"] * (counter is not None)])
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
+        seen: set[int] = set()
+        count = counter() if counter else None
         for batch in slices(batches):
             found = sets(batch.column(1), width)
-            keys = [set_keys(v) for v in found]
-            counted = [v[v < np.uint64((1 << 64) // RATE_SAMPLE)].view(np.int64) for v in found]
+            k, k2, total = keyed(found)
+            signed: list[tuple | None] = [None] * len(found)
+            long = []
+            for i, (v, key) in enumerate(zip(found, k.tolist(), strict=True)):
+                if not len(v) or key in seen:
+                    continue
+                seen.add(key)
+                by_rate, all_long = _kind(len(v), percent)
+                if all_long:
+                    long.append(i)
+                    continue
+                voids: list = []
+                sig = signatures(v, percent, 0.0, 0, voids)
+                signed[i] = (None, v.tobytes(), voids) if by_rate else (sig.tobytes(), None, voids)
+            if long:
+                sig, counts, empty = _long_entries(np.concatenate(found), total, np.cumsum([0, *map(len, found)]), np.array(long), percent)
+                stop = np.cumsum(counts).tolist()
+                for i, low, high, voids in zip(long, [0, *stop[:-1]], stop, empty, strict=True):
+                    signed[i] = (sig[low:high].tobytes(), None, voids)
+            counted = [v[: np.searchsorted(v, np.uint64((1 << 64) // RATE_SAMPLE))].view(np.int64) for v in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(v) for v in found], pa.int64()), pa.array(counted, pa.list_(pa.int64())), pa.array([sketch(v) for v in found], pa.binary())],
-                names=["doc_id", "k", "k2", "n", "counted", "sketch"],
+                [batch.column(0), pa.array(k), pa.array(k2), pa.array([len(v) for v in found], pa.int64()), pa.array(counted, pa.list_(pa.int64())), pa.array([sketch(v) for v in found], pa.binary()), *_signed(signed)]
+                + batch.columns[2:]
+                + ([pa.array(count(batch.column(1)), pa.int64())] if count else []),
+                names=names,
             )
         give_back()
 
-    return materialize(docs.mapInArrow(run, "doc_id long, k long, k2 long, n long, counted array<long>, sketch binary"), "jaccard-classes")
+    return materialize(docs.mapInArrow(run, schema), "jaccard-classes")
 
 
 def with_set_key(docs: DataFrame, width: int) -> DataFrame:
@@ -270,8 +383,10 @@ def _deal(sig: np.ndarray, k: np.ndarray, shards: int, spare: int) -> pa.RecordB
         new = np.r_[True, sig[order][1:] != sig[order][:-1]]
         place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         shard[order[place > SMALL]] = -1 - spare
-    order = np.argsort(shard, kind="stable")
-    names, first = np.unique(shard[order], return_index=True)
+    order = np.argsort(shard.astype(np.int16) if shards < 1 << 15 else shard, kind="stable")  # short numbers are sorted by digits
+    dealt = shard[order]
+    first = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]][: len(dealt)])
+    names = dealt[first]
     offsets = pa.array(np.r_[first, len(order)] * 8, pa.int32()).buffers()[1]
     packed = [pa.Array.from_buffers(pa.binary(), len(names), [None, offsets, pa.py_buffer(np.ascontiguousarray(x[order]).tobytes())]) for x in (sig, k)]
     return pa.RecordBatch.from_arrays([pa.array(names), *packed], names=["shard", "sigs", "ks"])
@@ -311,30 +426,41 @@ def _meet(sig: np.ndarray, k: np.ndarray, aside: bool, need: np.ndarray) -> pa.T
     return pa.concat_tables([members, out(0, x, y, of, np.diff(np.r_[new, len(pairs)]))])
 
 
-def _candidates(entries: DataFrame, need_of: np.ndarray, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs to verify: a, b; members of large buckets: sig, k) from dealt entries (shard, sigs, ks)."""
+def _candidates(signed: DataFrame, percent: int, rate: float, shards: int, level: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs to verify: a, b; members of large buckets: sig, k) from sets' entries (k and the columns ``SIGNED``).
+
+    The empty segments that a set shares with others of its band count as large buckets it is in; where they
+    matter, they are one bucket a band.
+    """
+    need_of = needs(percent, rate, level)
 
     def run(table: pa.Table) -> pa.Table:
         sig, k = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("sigs", "ks"))
         return _meet(sig, k, table["shard"][0].as_py() < 0, need_of)
 
-    spark = entries.sparkSession
+    spark = signed.sparkSession
+    entries = _entries(signed, percent, rate, shards, level)
     with number_batches(spark):
         met = materialize(entries.groupBy("shard").applyInArrow(run, "kind byte, x long, y long, tag long, n long"), f"{name}-meetings")
+    del entries
+    free()  # the entries are most of what is on disk
+    voids = signed.where("size(tags) > 0").select("k", F.explode(F.arrays_zip("tags", "voids")).alias("v")).select("k", F.col("v.tags").alias("tag"), F.col("v.voids").alias("e"))
     need = F.col("tag").bitwiseAND((1 << 32) - 1)
     with small_plans(spark):
         hot = met.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("k"), "tag").distinct()
-        inside = materialize(hot.groupBy("k", "tag").agg(F.count("*").alias("z")), f"{name}-inside", few=True)
+        both = hot.select("k", "tag", F.lit(1).cast("long").alias("h"), F.lit(0).cast("long").alias("e")).unionAll(voids.select("k", "tag", F.lit(0).cast("long").alias("h"), "e"))
+        inside = materialize(both.groupBy("k", "tag").agg((F.sum("h") + F.max("e")).alias("z")), f"{name}-inside", few=True)
         staying = inside.where(F.col("z") >= need).select("k", "tag")
+        hot = hot.unionAll(voids.select(F.xxhash64("tag").alias("sig"), "k", "tag").distinct())
         hot = materialize(hot.join(staying, ["k", "tag"], "left_semi").select("sig", "k"), f"{name}-large", few=True)
     pairs = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "tag").agg(F.sum("n").alias("n"))
     # what meets in one bucket of a band that asks for more can only reach it in large buckets
     za, zb = (inside.select(F.col("k").alias(c), "tag", F.col("z").alias(f"z{c}")) for c in "ab")
-    enough = pairs.where(F.col("n") >= need)
-    short = pairs.where(F.col("n") < need).join(za, ["a", "tag"]).join(zb, ["b", "tag"]).where(F.col("n") + F.least("za", "zb") >= need)
+    both = F.least(F.coalesce("za", F.lit(0)), F.coalesce("zb", F.lit(0)))
+    enough = pairs.join(za, ["a", "tag"], "left").join(zb, ["b", "tag"], "left").where(F.col("n") + both >= need)
     centres = hot.groupBy("sig").agg(F.min("k").alias("a"))
     stars = _matched(hot.select("sig", "k"), centres).where("value <> found").select(F.col("found").alias("a"), F.col("value").alias("b"))
-    found = enough.select("a", "b").unionAll(short.select("a", "b")).unionAll(stars).distinct()
+    found = enough.select("a", "b").unionAll(stars).distinct()
     return materialize(found, f"{name}-candidates"), hot
 
 
@@ -343,20 +469,19 @@ def _dealt(held: list[tuple[np.ndarray, np.ndarray]], shards: int) -> pa.RecordB
     return _deal(sig.view(np.int64), k, shards, int(k[0]) % shards)
 
 
-def _entries(docs: DataFrame, width: int, percent: int, rate: float, shards: int) -> DataFrame:
-    """Dealt entries of all sets of ``docs`` (column text); equal sets of one task count once."""
+def _entries(signed: DataFrame, percent: int, rate: float, shards: int, level: int) -> DataFrame:
+    """Dealt entries of sets; those that depend on the rate are made here."""
 
     def run(batches):
-        seen: set[int] = set()
         held, size = [], 0
-        for batch in slices(batches):
-            for v in sets(batch.column(0), width):
-                k = set_keys(v)[0]
-                if len(v) and k not in seen:
-                    seen.add(k)
-                    sig = signatures(v, percent, rate)
-                    held.append((sig, np.full(len(sig), k)))
-                    size += len(sig)
+        for batch in batches:
+            for k, sigs, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if sigs.is_valid:
+                    sig = np.frombuffer(sigs.as_buffer(), np.uint64)
+                else:
+                    sig = signatures(np.frombuffer(items.as_buffer(), np.uint64), percent, rate, level, [])
+                held.append((sig, np.full(len(sig), k)))
+                size += len(sig)
             if size >= ENTRIES:
                 yield _dealt(held, shards)
                 held, size = [], 0
@@ -364,22 +489,21 @@ def _entries(docs: DataFrame, width: int, percent: int, rate: float, shards: int
             yield _dealt(held, shards)
         give_back()
 
-    return docs.select("text").mapInArrow(run, "shard long, sigs binary, ks binary")
+    return signed.where("sigs is not null or items is not null").select("k", "sigs", "items").mapInArrow(run, "shard long, sigs binary, ks binary")
 
 
-def _entries_again(stored: DataFrame, percent: int, rate: float, shards: int) -> DataFrame:
-    """Dealt entries of stored sets (k, items) under the second partition."""
+def _signed_again(stored: DataFrame, percent: int, rate: float) -> DataFrame:
+    """Entries of stored sets (k, items) under the second partition."""
 
     def run(batches):
         for batch in batches:
-            held = []
-            for k, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sig = signatures(np.frombuffer(items.as_buffer(), np.uint64), percent, rate, 1)
-                held.append((sig, np.full(len(sig), k)))
-            if held:
-                yield _dealt(held, shards)
+            rows = []
+            for items in batch.column(1):
+                voids: list = []
+                rows.append((signatures(np.frombuffer(items.as_buffer(), np.uint64), percent, rate, 1, voids).tobytes(), None, voids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_signed(rows)], names=["k", "sigs", "items", "tags", "voids"])
 
-    return stored.select("k", "items").mapInArrow(run, "shard long, sigs binary, ks binary")
+    return materialize(stored.select("k", "items").mapInArrow(run, f"k long, {SIGNED}"), "jaccard-again")
 
 
 def _likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
@@ -418,20 +542,19 @@ def _texts_of(docs: DataFrame, kinds: DataFrame, keys: DataFrame, width: int) ->
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "text")
     shared = None
     if chosen.count() <= KEYS_BROADCAST:
+        rows = rows.join(F.broadcast(chosen.select("rep").distinct()), "rep", "left_semi")
         table = chosen.toArrow()
         rep, k = table["rep"].to_numpy(), table["k"].to_numpy()
-        shared = spark.sparkContext.broadcast((np.unique(rep), np.unique(_paired(rep, k))))
+        shared = spark.sparkContext.broadcast(np.unique(_paired(rep, k)))
     else:
         rows = rows.join(chosen.select("rep").distinct(), "rep", "left_semi")
 
     def run(batches):
         for batch in slices(batches):
-            if shared is not None:
-                batch = batch.filter(pa.array(_among(batch.column(0).to_numpy(), shared.value[0])))
             out = []
             found = sets(batch.column(1), width)
-            keys = np.array([set_keys(v)[0] for v in found], np.int64)
-            wanted = np.ones(len(found), bool) if shared is None else _among(_paired(batch.column(0).to_numpy(), keys), shared.value[1])
+            keys = keyed(found)[0]
+            wanted = np.ones(len(found), bool) if shared is None else _among(_paired(batch.column(0).to_numpy(), keys), shared.value)
             for k, v, chosen_ in zip(keys.tolist(), found, wanted, strict=True):
                 if len(v) and chosen_:
                     out.append((k, len(v), v.tobytes()))
@@ -639,15 +762,19 @@ def _in_blocks(rows: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
         return materialize(placed.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long"), "jaccard-more")
 
 
-def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, links between classes, roots): enough links to give every component of the join."""
+def links_and_roots(docs: DataFrame, width: int, percent: int, counter=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links between classes, roots): enough links to give every component of the join.
+
+    ``docs`` (doc_id, text, ...) and ``counter`` are those of ``_classes``, which tells what ``classes`` has.
+    """
     free()
-    classes = _classes(docs, width)
+    classes = _classes(docs, width, percent, counter)
     rate = _rate(classes)
     kinds = classes.where("n > 0").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     kinds = materialize(kinds, "jaccard-kinds")
     shards = max(1, -(-(kinds.agg(F.sum("n")).first()[0] or 0) // SHARD_GRAMS))
-    tried, large = _candidates(_entries(docs, width, percent, rate, shards), needs(percent, rate), "jaccard")
+    free()
+    tried, large = _candidates(classes, percent, rate, shards, 0, "jaccard")
     free()
     fits = _likely(tried, kinds, percent)
     keys = fits.select(F.col("a").alias("k")).unionAll(fits.select(F.col("b").alias("k"))).unionAll(large.select("k")).distinct()
@@ -672,7 +799,7 @@ def links_and_roots(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     mixed = _mixed(large, roots)
     if not mixed.isEmpty():
         again = stored.join(_members(large, mixed), "k", "left_semi")
-        pairs, large = _candidates(_entries_again(again, percent, rate, shards), needs(percent, rate, 1), "jaccard-again")
+        pairs, large = _candidates(_signed_again(again, percent, rate), percent, rate, shards, 1, "jaccard-again")
         verified(pairs)
         mixed = _mixed(large, roots)
     if not mixed.isEmpty():

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free, give_back, materialize, slices, string_column, texts
+from .common import bounded_batches, free, texts
 from .components import salted
-from .jaccard import links_and_roots, set_keys, sets
+from .jaccard import links_and_roots
 from .tokens import tokenizer
 
 #: Tokens of a sequence.
@@ -130,26 +130,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     written down once, then shuffled.
     """
     bounded_batches(docs.sparkSession)
-    rows = texts(docs, "source")
-    _, _, roots = links_and_roots(rows.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
-    blank = F.when(F.col("text") != "", F.xxhash64("text"))
+    rows = texts(docs, "source").withColumn("blank", F.when(F.col("text") != "", F.xxhash64("text")))
+    # one pass over the texts makes the sets, their index entries and the token counts
+    classes, _, roots = links_and_roots(rows.select("doc_id", "text", "source", "blank"), NEAR_WORDS, NEAR_PERCENT, lambda: tokenizer(tokenizer_path).count_column)
     free()
-    stored = materialize(_measured(rows.withColumn("blank", blank), tokenizer_path), "packing-lengths")
+    stored = classes.select("doc_id", "source", "blank", F.when(F.col("n") > 0, F.col("k")).alias("set_key"), "n_tokens")
     found = salted(stored, roots.withColumnRenamed("k", "set_key"), ["set_key"], "doc_id", "left")
     return pack(found.withColumn("cluster", F.coalesce("root", "set_key", "blank")), capacity, shard_rows)
-
-
-def _measured(rows: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, blank, the set's key (null if it is empty) and the tokens of each text, in one pass."""
-
-    def run(batches):
-        counter = tokenizer(path)
-        for batch in slices(batches):
-            column = string_column(batch.column(batch.schema.names.index("text")))
-            keys = pa.array([set_keys(v)[0] if len(v) else None for v in sets(column, NEAR_WORDS)], pa.int64())
-            counts = pa.array([counter.count(t.as_py()) for t in column], pa.int64())
-            kept = [batch.column(batch.schema.names.index(c)) for c in ("doc_id", "source", "blank")]
-            yield pa.RecordBatch.from_arrays([*kept, keys, counts], names=["doc_id", "source", "blank", "set_key", "n_tokens"])
-        give_back()
-
-    return rows.mapInArrow(run, "doc_id long, source string, blank long, set_key long, n_tokens long")

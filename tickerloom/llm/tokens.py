@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import bounded_batches, string_column
+from .textops import hash_spans, mix, raw
 
 #: Pre-tokens that needed merging, kept in each of the memo's two generations.
 MEMO = 450_000
@@ -46,6 +47,69 @@ _SAFE = re.compile(r"(?<=\w)(?= \w)")
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
 _STAND_IN = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 
+#: Code points from here on are not plain, and those below by class: white space, letters, numbers, others, not plain.
+_TOP = 0x2070
+_SPACE, _L, _N, _O, _ODD = range(5)
+_CLASS = np.array([_ODD if not _PLAIN.fullmatch(c) else _SPACE if c.isspace() else _L if re.match(f"[{_LETTER}]", c) else _N if re.match(f"[{_NUMBER}]", c) else _O for c in map(chr, range(_TOP))] + [_ODD], np.uint8)
+_VALUES = mix(np.arange(_TOP + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x3C6EF372FE94F82B)) | np.uint64(1)
+#: Bytes of texts that are cut at once; a longer text is counted by itself.
+CUT_BYTES = 1 << 20
+#: Slots of the table of pre-tokens' counts, as a power of two.
+SLOT_BITS = 21
+
+
+def cut(points: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of plain texts begin: ``_CUT`` for all texts at once, which begin at ``begins`` (none is empty)."""
+    n = len(points)
+    first = np.zeros(n + 1, bool)
+    first[begins] = first[n] = True
+    run = first[:n].copy()
+    run[1:] |= kinds[1:] != kinds[:-1]
+    start = run & (kinds == _SPACE)
+    at = np.flatnonzero(run & (kinds != _SPACE))
+    spaced = at[~first[at] & (kinds[at - 1] == _SPACE)]  # the last character of white space before a run stands apart or joins it
+    start[at] = True
+    start[spaced - 1] = True
+    start[spaced[points[spaced - 1] == 0x20]] = False
+    for p in np.flatnonzero((points == 0x27) & start).tolist():
+        if run[p] and p + 1 < n and run[p + 1] and not first[p + 1] and kinds[p + 1] == _L:
+            one, two = chr(points[p + 1]), chr(points[p + 2]) if p + 2 < n and not first[p + 2] else ""
+            length = 1 if one in "stmd" else 2 if one + two in ("re", "ve", "ll") else 0
+            if length:
+                start[p + 1] = False
+                if p + 1 + length < n and not first[p + 1 + length]:
+                    start[p + 1 + length] |= kinds[p + 1 + length] == _L
+    return np.flatnonzero(start)
+
+
+class _Table:
+    """Pre-tokens' counts by 64-bit hash: the first to come keeps a slot, others share a second choice with the latest."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint32)
+
+    def look_up(self, hashes: np.ndarray, count) -> np.ndarray:
+        """A number for each hash; count(rows) gives those of rows whose hashes are not here."""
+        hashes = hashes | np.uint64(1)  # 0 marks an empty slot
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out = self.numbers[slot]
+        missing = np.flatnonzero(self.keys[slot] != hashes)
+        second = ((hashes[missing] >> np.uint64(1)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        out[missing] = self.numbers[second]
+        missing = missing[self.keys[second] != hashes[missing]]
+        if len(missing):
+            new, where, of = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            numbers = np.array(count(missing[where]), np.uint32)
+            out[missing] = numbers[of]
+            slot = (new >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            free = self.keys[slot] == 0
+            second = ((new >> np.uint64(1)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+            for slots, rows in ((slot, free), (second, ~free)):
+                chosen, i = np.unique(slots[rows], return_index=True)
+                i = np.flatnonzero(rows)[i]
+                self.keys[chosen], self.numbers[chosen] = new[i], numbers[i]
+        return out
+
 
 class _Memo(dict):
     """Pre-token -> value of its ids. Holds the proven whole tokens; the library merges the rest.
@@ -158,6 +222,71 @@ class Tokenizer:
             return len(self._library_ids(text))
         return sum(sum(map(self.counts.__getitem__, _CUT.findall(p))) if plain else len(self._part(p)) for p, plain in parts)
 
+    @functools.cached_property
+    def _table(self) -> _Table:
+        return _Table()
+
+    def count_column(self, column: pa.Array) -> np.ndarray:
+        """``count`` of every text of a column.
+
+        Plain texts are cut together in arrays, and their pre-tokens are known by 64-bit hash, so that Python handles only
+        those that are not in the table.
+        """
+        column = string_column(column)
+        data, offsets = raw(column)
+        out = np.zeros(len(column), np.int64)
+        low = 0
+        while low < len(column):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CUT_BYTES, "right")) - 1)
+            out[low:high] = self._counted(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            low = high
+        return out
+
+    def _counted(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        text = data.tobytes().decode()
+        if not self.simple or len(data) > CUT_BYTES:
+            return np.array([self.count(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+        points, at = data, offsets
+        if len(text) < len(data):
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            points = np.minimum(points, _TOP)
+            at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]
+        kinds = _CLASS[points]
+        odd = np.zeros(len(at) - 1, bool)
+        odd[np.searchsorted(at, np.flatnonzero(kinds == _ODD), "right") - 1] = True
+        if any(s in text for s in self.special):
+            odd |= [any(s in text[a:b] for s in self.special) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        out = np.zeros(len(odd), np.int64)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.count(text[at[i] : at[i + 1]])
+        size = np.diff(at)
+        if odd.any():
+            keep = np.repeat(~odd, size)
+            points, kinds = points[keep], kinds[keep]
+            text = "".join(text[at[i] : at[i + 1]] for i in np.flatnonzero(~odd).tolist())
+        rows = np.flatnonzero(~odd & (size > 0))
+        if not len(rows):
+            return out
+        begins = np.cumsum(size[rows]) - size[rows]
+        starts = cut(points, kinds, begins)
+        ends = np.r_[starts[1:], len(points)]
+        merge = self.library.model.tokenize
+        stand_in = text
+        for c in " \n\t\r":
+            stand_in = stand_in.replace(c, chr(_STAND_IN[ord(c)]))
+
+        def count(rows: np.ndarray) -> list[int]:
+            found = []
+            for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True):
+                piece = text[a:b]
+                found.append(len(merge(stand_in[a:b] if piece.isascii() else piece.encode().decode("latin-1").translate(_STAND_IN))))
+            return found
+
+        numbers = self._table.look_up(hash_spans(points, starts, ends, _VALUES), count)
+        total = np.r_[0, np.cumsum(numbers, dtype=np.int64)][np.searchsorted(starts, np.r_[begins, len(points)])]
+        out[rows] = np.diff(total)
+        return out
+
     def ids(self, text: str) -> np.ndarray:
         parts = self._parts(text)
         if parts is None:
